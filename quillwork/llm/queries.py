@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from .chat import OP8_SQL, op8_reply_trees
+from .media import op6_avi_mjpeg
 from .sharding import op1_kd_shards
+from .simhash import op7_tiled_simhash
+from .toxicity import op9_classifier_chain
+from .warc import OP4_SQL, op4_boundary_chain
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
+    "op4_boundary_chain": op4_boundary_chain,
+    "op6_avi_mjpeg": op6_avi_mjpeg,
+    "op7_tiled_simhash": op7_tiled_simhash,
     "op8_reply_trees": op8_reply_trees,
+    "op9_classifier_chain": op9_classifier_chain,
 }
 
 ORACLE_SQL = {
+    "op4_boundary_chain": OP4_SQL,
     "op8_reply_trees": OP8_SQL,
 }

@@ -10,28 +10,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import row_runs, slices, span_hash, prefix_hash, word_spans
+from ._text import mixed, prefix_hash, slices, span_hash, word_spans
 
 #: Hashed word features of a model; the weights are all that is sent to the executors.
 FEATURE_BITS = 18
 #: Labelled rows that the chain is fitted on, at most; the scoring covers every row.
 FIT_ROWS = 6000
 FOLDS = 4
+#: Word starts that are features beside whole words, in bytes.
+STEMS = (4, 5)
+#: Pseudo-count of the class ratios that scale the features.
+SMOOTH = 2.0
 
 
-def word_features(column: pa.Array, bits: int = FEATURE_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, value) of every distinct word of each text; a row's values have length 1.
-
-    A word's value is 1 + log(count); the square root of the text's distinct words
-    divides them all, so that long texts do not outvote short ones.
-    """
+def word_features(column: pa.Array, bits: int = FEATURE_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of every distinct word, and every distinct word start of 4 and 5 bytes, of each text."""
     data, starts, ends, rows = word_spans(column)
-    bucket = span_hash(prefix_hash(data), starts, ends) >> np.uint64(64 - bits)
-    key, count = np.unique((rows.astype(np.uint64) << np.uint64(bits)) | bucket, return_counts=True)
-    row = (key >> np.uint64(bits)).astype(np.int64)
-    value = 1.0 + np.log(count)
-    norm = np.sqrt(np.bincount(row, value * value, minlength=len(column)))
-    return row, (key & np.uint64((1 << bits) - 1)).astype(np.int64), value / norm[row]
+    prefix = prefix_hash(data)
+    keys = []
+    for kind, most in enumerate((None, *STEMS)):
+        on = slice(None) if most is None else np.flatnonzero(ends - starts > most)
+        first, last = starts[on], ends[on] if most is None else starts[on] + most
+        bucket = mixed(span_hash(prefix, first, last) + np.uint64(kind)) >> np.uint64(64 - bits)
+        keys.append((rows[on].astype(np.uint64) << np.uint64(bits)) | bucket)
+    key = np.unique(np.concatenate(keys))
+    return (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -46,27 +49,37 @@ class Linear:
     dense: np.ndarray
     bias: float
 
-    def margin(self, row: np.ndarray, bucket: np.ndarray, value: np.ndarray, dense: np.ndarray) -> np.ndarray:
-        return np.bincount(row, value * self.words[bucket], minlength=len(dense)) + dense @ self.dense + self.bias
+    def margin(self, row: np.ndarray, bucket: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        return np.bincount(row, self.words[bucket], minlength=len(dense)) + dense @ self.dense + self.bias
 
 
-def fit_linear(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int, steps: int = 120, rate: float = 0.3, decay: float = 1e-5) -> Linear:
-    """Adam on the class-balanced log loss of all rows; buckets that never occur stay 0."""
+def fit_linear(row: np.ndarray, bucket: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int, steps: int = 100, rate: float = 0.05, decay: float = 1e-4) -> Linear:
+    """Adam on the class-balanced log loss of all rows.
+
+    A feature counts with the log ratio of its shares of both classes, so that words
+    of one class lead from the first step; a feature of one row only is left out.
+    """
+    n1, n0 = max(y.sum(), 1.0), max((1 - y).sum(), 1.0)
+    rows_with = np.bincount(bucket, minlength=width)
+    ones = np.bincount(bucket, y[row], minlength=width)
+    ratio = np.log((ones + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((rows_with - ones + SMOOTH * n0 / n1) / (n0 + 2 * SMOOTH * n0 / n1))
+    on = rows_with[bucket] > 1
+    row, bucket = row[on], bucket[on]
     used, at = np.unique(bucket, return_inverse=True)
-    k, d = len(used), dense.shape[1]
-    theta = np.zeros(k + d + 1)
+    value = ratio[used][at]
+    k = len(used)
+    theta = np.zeros(k + dense.shape[1] + 1)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    weight = np.where(y > 0, 0.5 / n1, 0.5 / n0)
     for t in range(1, steps + 1):
-        margin = np.bincount(row, value * theta[:k][at], minlength=len(y)) + dense @ theta[k:-1] + theta[-1]
-        slope = weight * (_sigmoid(margin) - y)
+        slope = weight * (_sigmoid(np.bincount(row, value * theta[:k][at], minlength=len(y)) + dense @ theta[k:-1] + theta[-1]) - y)
         grad = np.concatenate([np.bincount(at, value * slope[row], minlength=k), dense.T @ slope, [slope.sum()]])
         grad[:-1] += decay * theta[:-1]
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad * grad
         theta -= rate * (1 - t / (steps + 1)) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     words = np.zeros(width)
-    words[used] = theta[:k]
+    words[used] = theta[:k] * ratio[used]
     return Linear(words, theta[k:-1], float(theta[-1]))
 
 
@@ -78,10 +91,10 @@ class Chain:
     bits: int = FEATURE_BITS
     models: list[Linear] = field(default_factory=list)
 
-    def predict(self, row: np.ndarray, bucket: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    def predict(self, row: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
         seen = np.zeros((n, 0))
         for model in self.models:
-            seen = np.column_stack([seen, _sigmoid(model.margin(row, bucket, value, seen))])
+            seen = np.column_stack([seen, _sigmoid(model.margin(row, bucket, seen))])
         return seen
 
 
@@ -91,13 +104,13 @@ def fit_chain(texts: Sequence[str | None], labels: np.ndarray, categories: tuple
     The earlier probabilities of each row come from a model that has not seen the row,
     as they will for new rows. A category with one class only gets a constant model.
     """
-    row, bucket, value = word_features(pa.array(list(texts), pa.large_string()), bits)
+    row, bucket = word_features(pa.array(list(texts), pa.large_string()), bits)
     n = len(labels)
     fold = np.arange(n) % folds
     chain, seen = Chain(categories, bits), np.zeros((n, 0))
     for k in range(len(categories)):
         y = labels[:, k].astype(float)
-        chain.models.append(fit_linear(row, bucket, value, seen, y, 1 << bits))
+        chain.models.append(fit_linear(row, bucket, seen, y, 1 << bits))
         if k + 1 == len(categories):
             break
         out = np.zeros(n)
@@ -105,8 +118,8 @@ def fit_chain(texts: Sequence[str | None], labels: np.ndarray, categories: tuple
             train, test = fold != f, fold == f
             place = np.cumsum(train) - 1
             on = train[row]
-            model = fit_linear(place[row[on]], bucket[on], value[on], seen[train], y[train], 1 << bits)
-            out[test] = _sigmoid(model.margin(row, bucket, value, seen))[test]
+            model = fit_linear(place[row[on]], bucket[on], seen[train], y[train], 1 << bits)
+            out[test] = _sigmoid(model.margin(row, bucket, seen))[test]
         seen = np.column_stack([seen, out])
     return chain
 
