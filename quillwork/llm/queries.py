@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .chat import OP8_SQL, op8_reply_trees
+from .decontam import op5_simhash_windows
 from .media import op6_avi_mjpeg
+from .pieces import op10_batched_viterbi
+from .resampling import op2_importance_resampling
 from .sharding import op1_kd_shards
 from .simhash import op7_tiled_simhash
 from .toxicity import op9_classifier_chain
@@ -11,11 +14,14 @@ from .warc import OP4_SQL, op4_boundary_chain
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
+    "op2_importance_resampling": op2_importance_resampling,
     "op4_boundary_chain": op4_boundary_chain,
+    "op5_simhash_windows": op5_simhash_windows,
     "op6_avi_mjpeg": op6_avi_mjpeg,
     "op7_tiled_simhash": op7_tiled_simhash,
     "op8_reply_trees": op8_reply_trees,
     "op9_classifier_chain": op9_classifier_chain,
+    "op10_batched_viterbi": op10_batched_viterbi,
 }
 
 ORACLE_SQL = {
