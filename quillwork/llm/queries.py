@@ -9,12 +9,14 @@ from .pieces import op10_batched_viterbi
 from .resampling import op2_importance_resampling
 from .sharding import op1_kd_shards
 from .simhash import op7_tiled_simhash
+from .suffix_dedup import op3_suffix_spans
 from .toxicity import op9_classifier_chain
 from .warc import OP4_SQL, op4_boundary_chain
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
     "op2_importance_resampling": op2_importance_resampling,
+    "op3_suffix_spans": op3_suffix_spans,
     "op4_boundary_chain": op4_boundary_chain,
     "op5_simhash_windows": op5_simhash_windows,
     "op6_avi_mjpeg": op6_avi_mjpeg,

@@ -147,11 +147,12 @@ def score_chain(docs: DataFrame, chain: Chain, columns: Sequence[str] = ("doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            for part in slices(batch, "__text"):
-                p = model.predict(*word_features(part.column("__text"), model.bits), part.num_rows)
+            for part in slices(batch, text):
+                p = model.predict(*word_features(part.column(text), model.bits), part.num_rows)
                 yield pa.record_batch([part.column(c) for c in columns] + [pa.array(x) for x in p.T], names)
 
-    rows = docs.select(*[docs[c] for c in columns], docs[text_col].cast("string").alias("__text"))
+    text = text_col if text_col in columns else "__text"
+    rows = docs.select(*[docs[c] for c in columns], *[docs[text_col].alias(text)] * (text_col not in columns))
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
     return rows.mapInArrow(run, schema + "".join(f", p_{c} double" for c in chain.categories))
 
