@@ -1,0 +1,3 @@
+"""Queries over the driver's tables; importing this package registers them."""
+
+from . import searching  # noqa: F401
