@@ -15,7 +15,7 @@ from ._text import mixed, prefix_hash, slices, span_hash, word_spans
 #: Hashed word features of a model; the weights are all that is sent to the executors.
 FEATURE_BITS = 18
 #: Labelled rows that the chain is fitted on, at most; the scoring covers every row.
-FIT_ROWS = 6000
+FIT_ROWS = 5000
 FOLDS = 4
 #: Word starts that are features beside whole words, in bytes.
 STEMS = (4, 5)
@@ -37,6 +37,17 @@ def word_features(column: pa.Array, bits: int = FEATURE_BITS) -> tuple[np.ndarra
     return (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+def fit_features(texts: Sequence[str | None], bits: int = FEATURE_BITS, at_once: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all texts that more than one has, in 32 bits; a few texts at a time are expanded."""
+    parts = []
+    for s in range(0, len(texts), at_once):
+        row, bucket = word_features(pa.array(texts[s : s + at_once], pa.large_string()), bits)
+        parts.append(((row + s).astype(np.int32), bucket.astype(np.int32)))
+    row, bucket = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (list(zip(*parts)) or ((), ())))
+    shared = np.bincount(bucket, minlength=1 << bits)[bucket] > 1
+    return row[shared], bucket[shared]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
@@ -65,9 +76,10 @@ def fit_linear(row: np.ndarray, bucket: np.ndarray, dense: np.ndarray, y: np.nda
     ratio = np.log((ones + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((rows_with - ones + SMOOTH * n0 / n1) / (n0 + 2 * SMOOTH * n0 / n1))
     on = rows_with[bucket] > 1
     row, bucket = row[on], bucket[on]
-    used, at = np.unique(bucket, return_inverse=True)
-    value = ratio[used][at]
-    k = len(used)
+    used = np.flatnonzero(rows_with > 1)
+    place = np.zeros(width, np.int32)
+    place[used] = np.arange(len(used))
+    at, value, k = place[bucket], ratio[bucket].astype(np.float32), len(used)
     theta = np.zeros(k + dense.shape[1] + 1)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     weight = np.where(y > 0, 0.5 / n1, 0.5 / n0)
@@ -104,7 +116,7 @@ def fit_chain(texts: Sequence[str | None], labels: np.ndarray, categories: tuple
     The earlier probabilities of each row come from a model that has not seen the row,
     as they will for new rows. A category with one class only gets a constant model.
     """
-    row, bucket = word_features(pa.array(list(texts), pa.large_string()), bits)
+    row, bucket = fit_features(texts, bits)
     n = len(labels)
     fold = np.arange(n) % folds
     chain, seen = Chain(categories, bits), np.zeros((n, 0))
