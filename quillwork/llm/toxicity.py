@@ -151,10 +151,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: tuple[str, .
     return [r.text for r in got], np.array([[r[c] for c in categories] for r in got], float).reshape(-1, len(categories))
 
 
-def score_chain(docs: DataFrame, chain: Chain, columns: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """``columns`` of every row and p_<category> of each category; whole texts are read."""
+def score_chain(docs: DataFrame, chain: Chain, columns: Sequence[str] = ("doc_id",), text_col: str = "text", prefix: str = "p_") -> DataFrame:
+    """``columns`` of every row and p_<category> (or another prefix) of each category; whole texts are read."""
     sent = docs.sparkSession.sparkContext.broadcast(chain)  # 2**bits weights a category, whatever the input
-    names = [*columns, *(f"p_{c}" for c in chain.categories)]
+    names = [*columns, *(f"{prefix}{c}" for c in chain.categories)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -166,10 +166,12 @@ def score_chain(docs: DataFrame, chain: Chain, columns: Sequence[str] = ("doc_id
     text = text_col if text_col in columns else "__text"
     rows = docs.select(*[docs[c] for c in columns], *[docs[text_col].alias(text)] * (text_col not in columns))
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.mapInArrow(run, schema + "".join(f", p_{c} double" for c in chain.categories))
+    return rows.mapInArrow(run, schema + "".join(f", {prefix}{c} double" for c in chain.categories))
 
 
 CATEGORIES = ("junk", "toxic")
+#: A text above this probability is toxic.
+TOXIC_FROM = 0.5
 
 
 def fitted(spark: SparkSession, sf_dir: str) -> Chain:
@@ -191,10 +193,10 @@ def op9_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decided(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("toxic", F.col("p_toxic") > 0.5)
+    return scored.withColumn("toxic", F.col("p_toxic") > TOXIC_FROM)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the chain does not call toxic, with their columns."""
-    scored = decided(score_chain(docs, fitted(spark, sf_dir), docs.columns))
-    return scored.where(~F.col("toxic")).select(docs.columns)
+    scored = score_chain(docs, fitted(spark, sf_dir), docs.columns, prefix="__p_")
+    return scored.where(F.col("__p_toxic") <= TOXIC_FROM).select(docs.columns)
