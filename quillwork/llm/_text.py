@@ -85,9 +85,15 @@ _PLAIN = np.zeros(256, bool)
 _PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+
+
+def word_spans(column: pa.Array, symbols: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes, word starts, word ends and the row of each word.
 
+    With ``symbols``, runs of other characters than white space are words too.
+
     A word is a run of letters, digits and marks of any script: ASCII other than
     letters and digits, Latin-1 signs, general and CJK punctuation part words.
     """
@@ -103,12 +109,14 @@ def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
                 keep[at + k] = False
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    before = np.zeros(n, bool)
-    before[1:] = keep[:-1]
-    starts = np.flatnonzero(keep & (~before | edge[:n]))
-    after = np.zeros(n, bool)
-    after[:-1] = keep[1:]
-    ends = np.flatnonzero(keep & (~after | edge[1:])) + 1
+    kind = keep.view(np.uint8)
+    if symbols:
+        kind = np.where(~keep & ~_BLANK[data], 2, kind).astype(np.uint8)
+    turns = np.ones(n + 1, bool)
+    turns[1:n] = kind[1:] != kind[:-1]
+    turns |= edge
+    starts = np.flatnonzero((kind > 0) & turns[:n])
+    ends = np.flatnonzero((kind > 0) & turns[1:]) + 1
     rows = np.searchsorted(offsets, starts, "right") - 1
     return data, starts, ends, rows
 

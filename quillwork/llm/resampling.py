@@ -23,8 +23,8 @@ _FIXED = 20  # fractional bits of the selection key
 
 
 def ngram_buckets(column: pa.Array, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every word and every pair of neighbouring words of each text."""
-    data, starts, ends, rows = word_spans(column)
+    """(row, bucket) of every word or run of signs, and every pair of neighbours, of each text."""
+    data, starts, ends, rows = word_spans(column, symbols=True)
     words = span_hash(prefix_hash(data), starts, ends)
     pair = np.flatnonzero(rows[1:] == rows[:-1])
     pairs = mixed(words[pair] * np.uint64(3) + words[pair + 1])
