@@ -14,21 +14,21 @@ ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth ele
 
 def roman(n: Column) -> Column:
     """Upper-case roman numerals; empty for 0 and below."""
-    out, left = F.lit(""), n
-    for value, sign in ROMAN:
-        out = F.concat(out, F.repeat(F.lit(sign), F.greatest(F.floor(left / value), F.lit(0)).cast("int")))
-        left = F.when(left > 0, left % value).otherwise(left)
-    return out
+    signs = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(sign).alias("sign")) for v, sign in ROMAN])
+    start = F.struct(F.greatest(n.cast("long"), F.lit(0)).alias("left"), F.lit("").alias("out"))
+    step = lambda a, x: F.struct((a["left"] % x["value"]).cast("long").alias("left"), F.concat(a["out"], F.repeat(x["sign"], F.floor(a["left"] / x["value"]).cast("int"))).alias("out"))
+    return F.aggregate(signs, start, step, lambda a: a["out"])
 
 
 def letters(n: Column) -> Column:
     """a .. z, aa, ab ...; empty for 0 and below. Seven letters hold any 32-bit number."""
-    out, left = F.lit(""), n.cast("long")
-    for _ in range(7):
-        sign = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), ((left - 1) % 26 + 1).cast("int"), F.lit(1))
-        out = F.when(left > 0, F.concat(sign, out)).otherwise(out)
-        left = F.when(left > 0, F.floor((left - 1) / 26)).otherwise(F.lit(0))
-    return out
+    start = F.struct(F.greatest(n.cast("long"), F.lit(0)).alias("left"), F.lit("").alias("out"))
+
+    def step(a: Column, _: Column) -> Column:
+        sign = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), ((a["left"] + 25) % 26 + 1).cast("int"), F.lit(1))
+        return F.when(a["left"] > 0, F.struct(F.floor((a["left"] - 1) / 26).cast("long").alias("left"), F.concat(sign, a["out"]).alias("out"))).otherwise(a)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(7)), start, step, lambda a: a["out"])
 
 
 def ordinal(n: Column) -> Column:
@@ -70,8 +70,9 @@ def expanded(template: Column, counters: Column, formats: Column, legal: Column
     (``legal`` holds one flag a level), all of them are written as digits.
     """
     plain = F.lit(False) if legal is None else F.exists(legal, lambda x: x)
-    for k in range(9, 0, -1):
-        n = F.get(counters, F.lit(k - 1))
-        form = F.when(plain, "decimal").otherwise(F.coalesce(F.get(formats, F.lit(k - 1)), F.lit("decimal")))
-        template = F.replace(template, F.lit(f"%{k}"), F.coalesce(formatted(n, form), F.lit("")))
-    return template
+
+    def put(text: Column, k: Column) -> Column:
+        form = F.when(plain, "decimal").otherwise(F.coalesce(F.get(formats, k - 1), F.lit("decimal")))
+        return F.replace(text, F.concat(F.lit("%"), k.cast("string")), F.coalesce(formatted(F.get(counters, k - 1), form), F.lit("")))
+
+    return F.aggregate(F.sequence(F.lit(9), F.lit(1)), template, put)

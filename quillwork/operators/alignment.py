@@ -218,10 +218,11 @@ def with_moves(atoms: DataFrame, found: DataFrame, rows: DataFrame | None = None
     """Atoms with MovedSource and MovedDestination for those in moved blocks, and their move group."""
     rows = blocks(atoms) if rows is None else rows
     places = found.select("pair_id", F.explode(F.array(F.struct(F.col("source_block").alias("block"), F.lit("MovedSource").alias("to")), F.struct(F.col("target_block").alias("block"), F.lit("MovedDestination").alias("to")))).alias("x"), "move_group")
-    spans = places.select("pair_id", "x.block", "x.to", "move_group").join(rows, ["pair_id", "block"]).select("pair_id", "status", "first_atom", "last_atom", "to", "move_group")
-    cond = (atoms["pair_id"] == spans["pair_id"]) & (atoms["status"] == spans["status"]) & atoms["atom_idx"].between(spans["first_atom"], spans["last_atom"])
+    spans = places.select("pair_id", "x.block", "x.to", "move_group").join(rows, ["pair_id", "block"])
+    spans = spans.select(F.col("pair_id").alias("__pair"), F.col("status").alias("__status"), F.col("first_atom").alias("__first"), F.col("last_atom").alias("__last"), F.col("to").alias("__to"), "move_group")
+    cond = (F.col("pair_id") == F.col("__pair")) & (F.col("status") == F.col("__status")) & F.col("atom_idx").between(F.col("__first"), F.col("__last"))
     joined = atoms.join(spans, cond, "left")
-    return joined.select(atoms["pair_id"], atoms["atom_idx"], F.coalesce(spans["to"], atoms["status"]).alias("status"), "orig_para", "rev_para", "text", "move_group")
+    return joined.select("pair_id", "atom_idx", F.coalesce("__to", "status").alias("status"), "orig_para", "rev_para", "text", "move_group")
 
 
 def move_ids(found: DataFrame, first: int = 1) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..lineage import settled
 
 
 def threads(comments: DataFrame, max_depth: int = 1000) -> DataFrame:
@@ -20,11 +21,18 @@ def threads(comments: DataFrame, max_depth: int = 1000) -> DataFrame:
     known = comments.select("doc_id", F.col("comment_id").alias("parent_id"), F.lit(True).alias("__known"))
     rows = comments.join(known, ["doc_id", "parent_id"], "left")
     rows = rows.withColumn("parent_id", F.when(F.col("__known"), F.col("parent_id"))).drop("__known")
-    up = rows.select("doc_id", "comment_id", F.coalesce("parent_id", "comment_id").alias("above"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"))
+    top = rows.where("parent_id is null").select("doc_id", "comment_id", F.col("comment_id").alias("root_id"), F.lit(0).alias("depth"))
+    up = rows.where("parent_id is not null").select("doc_id", "comment_id", F.col("parent_id").alias("above"), F.lit(1).alias("depth"))
+    found, up = settled(top), settled(up)
     for _ in range(max(1, max_depth.bit_length())):  # each round doubles the distance to the comment above
+        if up.isEmpty():
+            break
+        at_root = found.select("doc_id", F.col("comment_id").alias("above"), "root_id", F.col("depth").alias("__more"))
+        reached = up.join(at_root, ["doc_id", "above"]).select("doc_id", "comment_id", "root_id", (F.col("depth") + F.col("__more")).alias("depth"))
         far = up.select("doc_id", F.col("comment_id").alias("above"), F.col("above").alias("__top"), F.col("depth").alias("__more"))
-        up = up.join(far, ["doc_id", "above"]).select("doc_id", "comment_id", F.col("__top").alias("above"), (F.col("depth") + F.col("__more")).alias("depth"))
-    return rows.join(up.withColumnRenamed("above", "root_id"), ["doc_id", "comment_id"])
+        up = settled(up.join(far, ["doc_id", "above"]).select("doc_id", "comment_id", F.col("__top").alias("above"), (F.col("depth") + F.col("__more")).alias("depth")))
+        found = settled(found.unionByName(reached))
+    return rows.join(found, ["doc_id", "comment_id"])
 
 
 def replies(comments: DataFrame) -> DataFrame:
@@ -227,7 +235,7 @@ def extract_tables(cells: DataFrame, headers: list[list[str]] | None = None, rej
     if headers is not None:
         kept = kept.where(F.col("head").isin(*[F.array(*map(F.lit, h)) for h in headers]))
     padded = F.transform(F.sequence(F.lit(1), F.size("head")), lambda i: F.coalesce(F.try_element_at("texts", i), F.lit("")))
-    return kept.select("doc_id", "table_idx", "row_idx", F.map_from_arrays("head", padded).alias("row")), told
+    return kept.select("doc_id", "table_idx", "row_idx", F.when(~twice, F.map_from_arrays("head", padded)).alias("row")), told
 
 
 # Rendering.

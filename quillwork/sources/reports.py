@@ -38,7 +38,7 @@ def markdown_rows(lines: DataFrame) -> DataFrame:
     head = F.nullif(F.regexp_extract("line", r"^#+\s+(.*)$", 1), F.lit(""))
     rows = lines.withColumn("heading", F.last(head, True).over(w))
     bar = F.regexp_like("line", F.lit(r"^\s*\|.*\|\s*$")) & ~F.regexp_like("line", F.lit(r"^[\s|:-]+$"))
-    cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"\|"), lambda c: F.trim(c))
     return rows.where(bar).select("file", "line_no", "heading", cells.alias("cells"))
 
 
