@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +39,14 @@ SHARD_BYTES = 2 << 20
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of frames that nothing refers to any more.
+
+    The first collection frees the frames, the second what their plans held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _columns(batches: list[pa.RecordBatch], *names: str) -> list[np.ndarray]:
