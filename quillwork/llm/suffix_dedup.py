@@ -33,9 +33,9 @@ from ._text import column_bytes, mixed, prefix_hash, slices, span_hash
 HOT_SHARE = 50_000
 HOT_LEAST = 1_000
 #: Anchors or contexts that a task gathers before it folds equal ones together.
-GATHER = 1 << 20
+GATHER = 1 << 19
 #: Bytes of contexts in one suffix array.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 
 def _release(spark: SparkSession) -> None:
@@ -123,7 +123,7 @@ def _contexts(texts: DataFrame, hot: np.ndarray) -> DataFrame:
 
     ``bytes`` holds all strings that start from ``first`` to ``last``. Equal bytes in a
     task are sent once, for the earliest; the later ones are repeats for certain and
-    are told with null bytes, under a key of their own text. Strings of a hot anchor
+    are told with null bytes, those that touch as one, under a key of their own text. Strings of a hot anchor
     are sent one by one, by their own hash.
     """
     sent = texts.sparkSession.sparkContext.broadcast(np.sort(hot))
@@ -136,11 +136,20 @@ def _contexts(texts: DataFrame, hot: np.ndarray) -> DataFrame:
         again[1:] = (key[order][1:] == key[order][:-1]) & (code[order][1:] == code[order][:-1])
         later = np.zeros(len(order), bool)
         later[order] = again
-        key = np.where(later, mixed(id_.view(np.uint64) ^ th.view(np.uint64)), key)
-        body = [None if r else b for r, b in zip(later.tolist(), bodies)]
-        for s in range(0, len(key), 50_000):
-            cols = [pa.array(c[s : s + 50_000]) for c in (key.view(np.int64), id_, th, first, last)]
-            yield pa.record_batch([*cols, pa.array(body[s : s + 50_000], pa.binary())], ["key", "id", "th", "first", "last", "bytes"])
+        names = ["key", "id", "th", "first", "last", "bytes"]
+        sure = np.flatnonzero(later)
+        sure = sure[np.lexsort((first[sure], th[sure], id_[sure]))]
+        i, t, a, z = id_[sure], th[sure], first[sure], last[sure]
+        runs = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (a[1:] > z[:-1] + SPAN))) if len(sure) else sure
+        ends = np.append(runs[1:], len(sure))[: len(runs)] - 1
+        told = mixed(i[runs].view(np.uint64) ^ t[runs].view(np.uint64))
+        cols = [pa.array(c) for c in (told.view(np.int64), i[runs], t[runs], a[runs], z[ends])]
+        yield pa.record_batch([*cols, pa.nulls(len(runs), pa.binary())], names)
+        sent = np.flatnonzero(~later)
+        for s in range(0, len(sent), 50_000):
+            on = sent[s : s + 50_000]
+            cols = [pa.array(c[on]) for c in (key.view(np.int64), id_, th, first, last)]
+            yield pa.record_batch([*cols, pa.array([bodies[k] for k in on.tolist()], pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, held, size = sent.value, [], 0
@@ -171,7 +180,7 @@ def _contexts(texts: DataFrame, hot: np.ndarray) -> DataFrame:
                 bodies = [raw[a:b] for a, b in zip(first.tolist(), (last + SPAN).tolist())]
                 held.append((key, code, part.column("id").to_numpy()[row], part.column("th").to_numpy()[row], first - base, last - base, bodies))
                 size += len(key)
-                if size >= GATHER // 4:
+                if size >= GATHER // 2:
                     yield from flush(held)
                     held, size = [], 0
         if size:
@@ -230,6 +239,7 @@ def _intervals(sent: DataFrame) -> DataFrame:
         starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
         ends = np.append(starts[1:], len(order))
         out: list[tuple] = []
+        again: list[int] = []
         chosen: list[int] = []
         size = 0
 
@@ -246,7 +256,7 @@ def _intervals(sent: DataFrame) -> DataFrame:
             seen: set[bytes] = set()
             for i in order[s:e].tolist():
                 if body[i] in seen:  # the same strings from another task, at a later place
-                    out.append((id_[i : i + 1], th[i : i + 1], first[i : i + 1], last[i : i + 1] + SPAN))
+                    again.append(i)
                 else:
                     seen.add(body[i])
                     chosen.append(i)
@@ -255,6 +265,8 @@ def _intervals(sent: DataFrame) -> DataFrame:
                 sort_shard()
         if chosen:
             sort_shard()
+        at = np.array(again, np.int64)
+        out.append((id_[at], th[at], first[at], last[at] + SPAN))
         cols = [np.concatenate(x) for x in zip(*out)]
         for s in range(0, len(cols[0]), 200_000):
             yield pa.record_batch([pa.array(c[s : s + 200_000].astype(np.int64)) for c in cols], names)
