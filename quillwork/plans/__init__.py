@@ -1,3 +1,3 @@
 """Queries over the driver's tables; importing this package registers them."""
 
-from . import comparing, grouping, joining, ordering, searching, shaping, viewing  # noqa: F401
+from . import comparing, diffing, grouping, joining, ordering, searching, shaping, viewing  # noqa: F401
