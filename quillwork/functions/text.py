@@ -14,6 +14,7 @@ WS = r"[\s\p{Z}\x{FEFF}]"
 DOUBLE_QUOTES = '"“”«»‹›'
 SINGLE_QUOTES = "'‘’"
 
+# The longest short heading, and the longest heading phrase of a longer text.
 SHORT_HEADER = 50
 LONG_HEADER = 60
 
@@ -126,6 +127,7 @@ def without_label(text: Column) -> Column:
     return F.when(n > 0, F.regexp_replace(F.substring(text, n + 1, F.length(text)), rf"^{WS}+", "")).otherwise(text)
 
 
+# Fixed value: the phrase at the start of a long text that may be its heading.
 HEADER = r"^([A-Z][^.!?:]*(?:\s+[A-Z][^.!?:]*)*)([.:]?)(?:\s|$)"
 
 
@@ -161,7 +163,7 @@ def without_header(text: Column, head: Column) -> Column:
     return F.when(F.coalesce(head, F.lit("")) == "", text).otherwise(out.otherwise(text))
 
 
-# Inline tags.
+# Inline tags. The tags of each kind.
 
 TAG_PATTERNS = {
     "formatting": r"</?[biu]>",

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions.formatting import changed_properties, property_diff
 
+# Least similarities of paragraphs, of blocks and of moves, and the fewest words of a move.
 PARAGRAPH_SIMILARITY = 0.25
 BLOCK_SIMILARITY = 0.5
 MOVE_SIMILARITY = 0.8

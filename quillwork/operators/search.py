@@ -53,13 +53,14 @@ def grep_each(paragraphs: DataFrame, patterns: Sequence[str], whole_word: bool =
     return paragraphs.select("doc_id", "para_idx", F.posexplode(found).alias("match_idx", "match_text"))
 
 
-# Fixed names of the stages, in order.
+# The tags that matching looks through, and the names of its stages in order.
+MATCH_TAGS = r'</?[biu]>|<a\s+href="[^"]*">|</a>|</?highlight(?:ing)?>'
 STAGES = ("exact", "clean", "quote_normalized", "flexible_whitespace", "quote_optional")
 
 
 def stage_texts(text: Column) -> list[Column]:
     """A text as each stage sees it: as it is, without tags, with straight quotes, with single spaces, without quotes."""
-    clean = F.regexp_replace(text, r'</?[biu]>|<a\s+href="[^"]*">|</a>|</?highlight(?:ing)?>', "")
+    clean = F.regexp_replace(text, MATCH_TAGS, "")
     quotes = X.straight_quotes(clean)
     spaces = F.regexp_replace(quotes, X.WS + "+", " ")
     return [text, clean, quotes, spaces, X.without_quotes(spaces)]
@@ -89,7 +90,7 @@ def unique_match(text: Column, needle: Column) -> Column:
     return out.otherwise(none)
 
 
-_TAGS = re.compile(r'</?[biu]>|<a\s+href="[^"]*">|</a>|</?highlight(?:ing)?>')
+_TAGS = re.compile(MATCH_TAGS)
 
 
 def _mapped(text: str, stage: int) -> tuple[str, list[int], list[int]]:
