@@ -24,7 +24,9 @@ SPACE = 0x2581
 LITERAL = 0x110000
 UNKNOWN_PENALTY = 10.0
 #: Words whose pieces a task remembers between batches, at most.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
+#: Characters of new words that are searched together; a longer word is searched alone.
+AT_ONCE = 100_000
 #: A longer word is searched alone, position by position.
 LONG_WORD = 512
 
@@ -192,6 +194,27 @@ class Encoder:
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int64)
 
+    def _learn(self, cps: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Segment new words, a bounded number of characters at a time, and remember them."""
+        size = ends - starts
+        group = np.cumsum(size) // AT_ONCE
+        cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        places, sizes, flats, base = [], [], [self.flat], len(self.flat)
+        for a, b in zip(cuts, np.append(cuts[1:], len(size))):
+            n = size[a:b]
+            own = np.cumsum(n) - n
+            chars = cps[np.arange(int(n.sum())) + np.repeat(starts[a:b] - own, n)]
+            flat, offs = segment_words(chars, own, n, self.pieces)
+            places.append(base + offs[:-1])
+            sizes.append(np.diff(offs))
+            flats.append(flat)
+            base += len(flat)
+        known = np.concatenate([self.known, keys])
+        order = np.argsort(known, kind="stable")
+        self.place = np.concatenate([self.place, *places])[order]
+        self.size = np.concatenate([self.size, *sizes])[order]
+        self.known, self.flat = known[order], np.concatenate(flats)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat piece ids of all texts, and the offsets of the texts in them."""
         n = len(offsets) - 1
@@ -216,17 +239,7 @@ class Encoder:
         slot = np.minimum(np.searchsorted(self.known, uniq), max(len(self.known) - 1, 0))
         new = self.known[slot] != uniq if len(self.known) else np.ones(len(uniq), bool)
         if new.any():
-            s, e = starts[one[new]], ends[one[new]]
-            size = e - s
-            own = np.cumsum(size) - size
-            chars = cps[np.arange(int(size.sum())) + np.repeat(s - own, size)]
-            flat, offs = segment_words(chars, own, size, self.pieces)
-            known = np.concatenate([self.known, uniq[new]])
-            order = np.argsort(known, kind="stable")
-            self.place = np.concatenate([self.place, len(self.flat) + offs[:-1]])[order]
-            self.size = np.concatenate([self.size, np.diff(offs)])[order]
-            self.known = known[order]
-            self.flat = np.concatenate([self.flat, flat])
+            self._learn(cps, uniq[new], starts[one[new]], ends[one[new]])
         slot = np.searchsorted(self.known, uniq)[which]
         size = self.size[slot]
         total = np.concatenate([[0], np.cumsum(size)])
@@ -260,7 +273,7 @@ def tokens(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(sent.value)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 data, offsets = column_bytes(part.column("text"))
                 ids, at = encoder.encode(data, offsets)
                 back, back_at = encoder.decode(ids, at)

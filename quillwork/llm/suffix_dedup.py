@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._anchors import SPAN, anchors
 from ._store import stored
 from ._suffix import permuted_prefixes, suffix_array
-from ._text import column_bytes, mixed, prefix_hash, slices, span_hash
+from ._text import column_bytes, give_back, mixed, prefix_hash, slices, span_hash
 
 #: An anchor that holds more than this share of all anchors is split into its single strings.
 #: By counting there are at most HOT_SHARE such anchors, so the list can be sent to every task.
@@ -114,6 +114,8 @@ def _repeated(found: DataFrame) -> DataFrame:
         cols = [np.concatenate(x) for x in zip(told, more)]
         for s in range(0, len(kind), 200_000):
             yield pa.record_batch([pa.array(c[s : s + 200_000]) for c in (kind, *cols)], ["kind", "id", "th", "at", "h", "n"])
+        del got, told, more, cols, kind, uniq, inverse, total, keep, h, id_, th, at, n, known, met
+        give_back()
 
     return found.repartition("key").mapInArrow(run, "kind byte, id long, th long, at long, h long, n long")
 
@@ -270,6 +272,8 @@ def _intervals(sent: DataFrame) -> DataFrame:
         cols = [np.concatenate(x) for x in zip(*out)]
         for s in range(0, len(cols[0]), 200_000):
             yield pa.record_batch([pa.array(c[s : s + 200_000].astype(np.int64)) for c in cols], names)
+        del body, out, again, cols, order, key, id_, th, first, last
+        give_back()
 
     return sent.repartition("key").mapInArrow(run, "id long, th long, start long, stop long")
 
