@@ -15,7 +15,7 @@ from ._text import mixed, prefix_hash, slices, span_hash, word_spans
 #: Hashed word features of a model; the weights are all that is sent to the executors.
 FEATURE_BITS = 18
 #: Labelled rows that the chain is fitted on, at most; the scoring covers every row.
-FIT_ROWS = 5000
+FIT_ROWS = 6000
 FOLDS = 4
 #: Word starts that are features beside whole words, in bytes.
 STEMS = (4, 5)

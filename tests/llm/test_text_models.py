@@ -57,6 +57,12 @@ def test_toxic_query_and_stage(spark, docs, empty, repeated, tables):
     assert toxicity.score_chain(empty, chain).count() == 0 and toxicity.score_chain(repeated, chain).count() == 2 * docs.count()
 
 
+def test_chain_sample_takes_3000_of_each_class(spark):
+    docs = spark.range(6300).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    got, flags = toxicity.labelled_sample(docs, docs.selectExpr("doc_id", "int(doc_id % 3 = 0) AS junk", "int(doc_id % 2) AS toxic"), ("junk", "toxic"))
+    assert len(got) == 6000 and flags[:, 1].sum() == 3000
+
+
 def test_cut_points_are_exact(spark):
     rows = spark.range(5000).selectExpr("id % 3 AS g", "id * id AS k", "1L AS w")
     cuts = cut_points(rows, F.col("g"), F.col("k"), F.col("w"), {0: (0, 4999**2, 1000.0), 1: (0, 4999**2, 10.0)})
