@@ -90,6 +90,36 @@ def unique_match(text: Column, needle: Column) -> Column:
     return out.otherwise(none)
 
 
+#: Whole words within an item by which documents are looked up.
+ANCHOR_WORDS = 4
+
+
+def match_candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, head) of every pair of ``docs`` (doc_id, text) and ``items`` (item_id, needle) that a stage may match.
+
+    A hit holds all words of the item but the first and the last as whole words, so four
+    of these join; both texts are cut into words as they are and as the last stage sees
+    them, which all stages but the first lead to. An item of fewer than six words in
+    either form is looked for in every document. Pairs that share the item's first four
+    words are returned too, and ``head`` tells them.
+    """
+    forms = lambda c: F.array(F.col(c), stage_texts(F.col(c))[-1])
+    said = lambda c: F.transform(forms(c), X.words)
+    key = lambda w, i: F.xxhash64(F.slice(w, i, ANCHOR_WORDS))
+    known = items.where("needle <> ''").select("item_id", forms("needle").alias("forms"), said("needle").alias("ws"))
+    short = F.exists("ws", lambda w: F.size(w) < ANCHOR_WORDS + 2)
+    inner = known.where(~short).select("item_id", F.lit(False).alias("head"), F.explode(F.transform("ws", lambda w: key(w, 2))).alias("anchor"))
+    heads = known.where(F.size(F.col("ws")[0]) >= ANCHOR_WORDS).select("item_id", F.lit(True).alias("head"), key(F.col("ws")[0], 1).alias("anchor"))
+    anchors = inner.unionByName(heads).distinct()
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - ANCHOR_WORDS + 1), lambda i: key(w, i))
+    cut = docs.select("doc_id", F.explode(F.array_distinct(said("text"))).alias("w")).where(F.size("w") >= ANCHOR_WORDS)
+    long = cut.select("doc_id", F.explode(grams(F.col("w"))).alias("anchor")).join(anchors, "anchor").select("doc_id", "item_id", "head")
+    own = docs.select("doc_id", forms("text").alias("texts"))
+    holds = F.contains(F.col("texts")[0], F.col("forms")[0]) | F.contains(F.col("texts")[1], F.col("forms")[1])
+    pairs = long.unionByName(own.join(known.where(short), holds).select("doc_id", "item_id", F.lit(False).alias("head")))
+    return pairs.groupBy("doc_id", "item_id").agg(F.bool_or("head").alias("head"))
+
+
 _TAGS = re.compile(MATCH_TAGS)
 
 

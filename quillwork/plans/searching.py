@@ -120,13 +120,22 @@ def paragraph_identity(spark, sf_dir):
 
 
 def _needles(spark, sf_dir):
-    """Documents that hold the first five words of a benchmark item, with the item."""
+    """Documents that hold the first four words of a benchmark item, with the item."""
     heads = corpus.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("head"))
     grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 4), " "))))
     docs = corpus.table(spark, sf_dir, "documents").select("doc_id", "text", F.split(F.regexp_replace("text", r"\s+", " "), " ").alias("w"))
     return docs.select("doc_id", "text", grams.alias("head")).join(heads, "head").select("doc_id", "item_id", "text", "needle")
 
 
+def _all_needles(spark, sf_dir):
+    """Every document and benchmark item of which a stage finds the item, or that share its first four words."""
+    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = corpus.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
+    pairs = search.match_candidates(docs, items)
+    rows = pairs.join(docs, "doc_id").join(items, "item_id").withColumn("m", search.unique_match(F.col("text"), F.col("needle")))
+    return rows.where("head OR m.status <> 'not_found'")
+
+
 @query("unique_match_status", r"""
 WITH heads AS (SELECT item_id, text AS needle, array_to_string(string_split(text, ' ')[1:4], ' ') AS head FROM benchmark),
 grams AS (SELECT DISTINCT doc_id, text, array_to_string(w[i + 1:i + 4], ' ') AS head FROM
@@ -141,9 +150,15 @@ def unique_match_status(spark, sf_dir):
     return rows.select("doc_id", "item_id", "m.status", "m.mode")
 
 
+@query("unique_match_status_all")
+def unique_match_status_all(spark, sf_dir):
+    """``unique_match_status`` of every pair; its SQL knows only those that share the first four words."""
+    return _all_needles(spark, sf_dir).select("doc_id", "item_id", "m.status", "m.mode")
+
+
 @query("unique_match_span")
 def unique_match_span(spark, sf_dir):
-    rows = _needles(spark, sf_dir).withColumn("s", search.unique_span(F.col("text"), F.col("needle")))
+    rows = _all_needles(spark, sf_dir).withColumn("s", search.unique_span(F.col("text"), F.col("needle")))
     return rows.select("doc_id", "item_id", "s.start", "s.stop")
 
 
