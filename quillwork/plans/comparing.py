@@ -69,11 +69,15 @@ def self_compare(spark, sf_dir):
 
 
 def _moved(spark, sf_dir) -> DataFrame:
-    """The first two paragraphs of documents, where the third moves from the end of one to the end of the other."""
-    lines = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.split("text", "\n").alias("l")).where(F.size("l") > 2)
-    at = lambda i: F.get("l", F.lit(i))
-    joined = lambda i: F.concat(at(i), F.lit(" "), at(2))
-    return lines.select("pair_id", F.array(joined(0), at(1)).alias("original"), F.array(at(0), joined(1)).alias("revised"))
+    """All paragraphs of each document, where every third moves from the end of the one two before to the end of the one before.
+
+    A document of one or two paragraphs has nothing that moves and is compared with itself.
+    """
+    lines = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.split("text", "\n").alias("l"))
+    at = lambda i: F.get("l", i)
+    taken = lambda i, by: F.when((i % 3 == 2 - by) & (i + by < F.size("l")), F.concat(at(i), F.lit(" "), at(i + by)))
+    side = lambda by: F.filter(F.transform(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.when((i % 3 == 2), F.lit(None)).otherwise(F.coalesce(taken(i, by), at(i)))), lambda x: x.isNotNull())
+    return lines.where("l is not null").select("pair_id", side(2).alias("original"), side(1).alias("revised"))
 
 
 @query("moves")

@@ -48,6 +48,15 @@ def test_unique_matches_are_those_of_brute_force(spark, tmp_path):
     assert spans.keys() == got.keys() and all(spans[r.doc_id, r.item_id] == (r.s.start, r.s.stop) for r in every)
 
 
+def test_moves_hold_all_paragraphs(spark, tmp_path):
+    from quillwork.plans.comparing import _moved
+
+    texts = ["a", "a\nb", "a\nb\nc", "a\nb\nc\nd\ne\nf\ng", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.pair_id: (r.original, r.revised) for r in _moved(spark, str(tmp_path)).collect()}
+    assert got == {0: (["a"], ["a"]), 1: (["a", "b"], ["a", "b"]), 2: (["a c", "b"], ["a", "b c"]), 3: (["a c", "b", "d f", "e", "g"], ["a", "b c", "d", "e f", "g"]), 4: ([""], [""])}
+
+
 def test_lcs_tie_goes_to_the_shorter_revision():
     assert G.lcs("ab", "ba") == [(1, 0)]
 
