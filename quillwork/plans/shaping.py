@@ -93,6 +93,16 @@ def counter_formats(spark, sf_dir):
     return corpus.table(spark, sf_dir, "orders").where(n.between(1, 702)).select(n.alias("n"), C.ordinal(n).alias("ordinal"), C.letters(n).alias("letters"))
 
 
+@query("counter_formats_all", """
+SELECT o_orderkey AS n, CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN o_orderkey % 10 = 1 THEN 'st' WHEN o_orderkey % 10 = 2 THEN 'nd' WHEN o_orderkey % 10 = 3 THEN 'rd' ELSE 'th' END AS ordinal,
+  (WITH RECURSIVE spelt(rest, letters) AS (SELECT o_orderkey, '' UNION ALL SELECT (rest - 1) // 26, chr(CAST(97 + (rest - 1) % 26 AS INTEGER)) || letters FROM spelt WHERE rest > 0)
+   SELECT letters FROM spelt WHERE rest <= 0) AS letters FROM orders""")
+def counter_formats_all(spark, sf_dir):
+    """``counter_formats`` of every order; the SQL of that query ends at two letters."""
+    n = F.col("o_orderkey")
+    return corpus.table(spark, sf_dir, "orders").select(n.alias("n"), C.ordinal(n).alias("ordinal"), C.letters(n).alias("letters"))
+
+
 _NUMBERS = [(1, "I", "one", "first"), (4, "IV", "four", "fourth"), (12, "XII", "twelve", "twelfth"), (13, "XIII", "thirteen", "13th"), (20, "XX", "twenty", "20th"), (42, "XLII", "forty-two", "42nd"), (99, "XCIX", "ninety-nine", "99th"), (100, "C", "100", "100th"), (1994, "MCMXCIV", "1994", "1994th")]
 
 
