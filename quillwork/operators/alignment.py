@@ -311,6 +311,58 @@ def candidate_pairs(texts: DataFrame, least: float = 0.5) -> DataFrame:
     return rows.where(F.col("shared") >= F.col("total") * least)
 
 
+def word_set_classes(texts: DataFrame) -> DataFrame:
+    """(id, representative) of every text (id, text) with words: the smallest id whose word set is the same."""
+    sets = texts.select("id", F.array_sort(F.array_distinct(X.words(F.lower("text")))).alias("ws")).where(F.size("ws") > 0)
+    reps = sets.groupBy("ws").agg(F.min("id").alias("representative"))
+    return sets.join(reps, "ws").select("id", "representative")
+
+
+def class_links(texts: DataFrame) -> DataFrame:
+    """(a, b) of every text b and the representative a of its class, where the two are different texts."""
+    rows = word_set_classes(texts).where("id <> representative")
+    own, first = texts.toDF("b", "tb"), texts.toDF("a", "ta")
+    return rows.toDF("b", "a").join(own, "b").join(first, "a").where("ta <> tb").select("a", "b")
+
+
+def best_partners(texts: DataFrame, least: float = 0.5) -> DataFrame:
+    """(id, partner, score) of every text (id, text) with a partner: the most similar other one, the smallest id of a tie.
+
+    Texts whose word sets are equal, copies too, have each other; the others look at both sides of ``candidate_pairs``.
+    """
+    classes = word_set_classes(texts)
+    second = classes.where("id <> representative").groupBy("representative").agg(F.min("id").alias("second"))
+    members = classes.join(second, "representative").select("id", F.when(F.col("id") == F.col("representative"), F.col("second")).otherwise(F.col("representative")).alias("partner"), F.lit(1.0).alias("score"))
+    pairs = candidate_pairs(texts, least)
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("partner")), F.struct(F.col("b").alias("id"), F.col("a").alias("partner")))).alias("x"), "shared", "total").select("x.*", "shared", "total")
+    alone = both.join(members.select("id"), "id", "left_anti")
+    return members.unionByName(best_match(alone, "id", "partner", F.col("shared") / F.col("total")))
+
+
+def similar_across(items: DataFrame, texts: DataFrame, least: float = 0.5) -> DataFrame:
+    """Pairs (item, id, shared, total) of ``items`` and ``texts`` (both id, text) whose word sets agree to ``least``.
+
+    The prefix filter of ``candidate_pairs`` over two tables. Word sets that are equal
+    are compared once on each side; every text of a set then has its row.
+    """
+    words = lambda t: t.select("id", F.array_sort(F.array_distinct(X.words(F.lower("text")))).alias("ws")).where(F.size("ws") > 0)
+    known, own = words(items), words(texts)
+    left, right = (t.groupBy("ws").agg(F.min("id").alias("rep")) for t in (known, own))
+    often = left.select(F.explode("ws").alias("w")).unionAll(right.select(F.explode("ws").alias("w"))).groupBy("w").agg(F.count("*").alias("n"))
+
+    def keys(reps: DataFrame) -> DataFrame:
+        said = reps.select("rep", F.explode("ws").alias("w")).join(often, "w")
+        ranked = said.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("ws")).withColumn("size", F.size("ws"))
+        first = F.slice("ws", F.lit(1), (F.floor(F.col("size") * (1 - least) + 1e-9) + 1).cast("int"))
+        return ranked.select("rep", "size", F.explode(first).alias("w"))
+
+    fits = F.least("na", "nb") >= F.greatest("na", "nb") * least
+    pairs = keys(left).toDF("a", "na", "w").join(keys(right).toDF("b", "nb", "w"), "w").where(fits).select("a", "b").distinct()
+    rows = pairs.join(left.toDF("wa", "a"), "a").join(right.toDF("wb", "b"), "b")
+    rows = rows.select("wa", "wb", F.size(F.array_intersect("wa", "wb")).alias("shared"), F.size(F.array_union("wa", "wb")).alias("total")).where(F.col("shared") >= F.col("total") * least)
+    return rows.join(known.toDF("item", "wa"), "wa").join(own.toDF("id", "wb"), "wb").select("item", "id", "shared", "total")
+
+
 def best_match(pairs: DataFrame, left: str, right: str, score: Column) -> DataFrame:
     """The best right side of each left one; the first wins a tie."""
     return pairs.groupBy(left).agg(F.max_by(right, F.struct(score.alias("s"), (-F.col(right)).alias("o"))).alias(right), F.max(score).alias("score"))

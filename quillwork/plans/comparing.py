@@ -132,6 +132,35 @@ def best_similar(spark, sf_dir):
     return found.select("a", "b", F.round("score", 6).alias("score"))
 
 
+def _items(spark, sf_dir) -> DataFrame:
+    return corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+
+
+@query("word_set_classes")
+def word_set_classes(spark, sf_dir):
+    """The class of each item; ``similar_texts`` has pairs of their representatives."""
+    return G.word_set_classes(_items(spark, sf_dir))
+
+
+@query("class_links")
+def class_links(spark, sf_dir):
+    """Different items with the same words, which ``similar_texts`` folds."""
+    return G.class_links(_items(spark, sf_dir))
+
+
+@query("best_partners")
+def best_partners(spark, sf_dir):
+    """The best partner of each item on either side; ``best_similar`` and its SQL look at greater ids only."""
+    return G.best_partners(_items(spark, sf_dir), 0.12).select("id", "partner", F.round("score", 6).alias("score"))
+
+
+@query("similar_documents")
+def similar_documents(spark, sf_dir):
+    """Benchmark items against documents."""
+    docs = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return G.similar_across(_items(spark, sf_dir), docs, 0.12).select(F.col("item").alias("item_id"), F.col("id").alias("doc_id"), "shared", "total")
+
+
 @query("tracked_markup", f"WITH {_PAIRS} SELECT CAST(pair_id AS VARCHAR) AS doc_id, TRUE AS same FROM pairs")
 def tracked_markup(spark, sf_dir):
     """The markup of each comparison, parsed again: what it keeps when accepted is the revision."""

@@ -48,6 +48,23 @@ def test_unique_matches_are_those_of_brute_force(spark, tmp_path):
     assert spans.keys() == got.keys() and all(spans[r.doc_id, r.item_id] == (r.s.start, r.s.stop) for r in every)
 
 
+def test_similar_texts_are_those_of_brute_force(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("alpha beta gamma delta eps zeta".split()) for _ in range(rng.randrange(1, 7))) for _ in range(40)]
+    texts += ["one two three", "three two one", "one two three", "", "  ", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = {i: frozenset(t.split()) for i, t in enumerate(texts) if t and t.split()}
+    score = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert {r.id: r.representative for r in G.word_set_classes(df).collect()} == {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    links = {(r.a, r.b) for r in G.class_links(df).collect()}
+    assert (40, 41) in links and (40, 42) not in links
+    best = {i: max(((score(i, j), -j) for j in sets if j != i)) for i in sets}
+    got = {r.id: (r.score, -r.partner) for r in G.best_partners(df, 0.5).collect()}
+    assert got == {i: v for i, v in best.items() if v[0] >= 0.5}
+    across = [(r.item, r.id) for r in G.similar_across(df.where("id % 3 = 0"), df, 0.5).collect()]
+    assert sorted(across) == sorted((i, j) for i in sets if i % 3 == 0 for j in sets if score(i, j) >= 0.5)
+
+
 def test_moves_hold_all_paragraphs(spark, tmp_path):
     from quillwork.plans.comparing import _moved
 
