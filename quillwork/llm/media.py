@@ -179,7 +179,7 @@ def decode_frames(files: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(frames, 576) samples of all files and the number of frames of each.
 
     All frames are decoded in step: block k of every frame, then block k + 1.
-    Frames are expected to have flat blocks, which is what ``encode_frames`` writes.
+    Frames must have flat blocks, which is what ``encode_frames`` writes; any other block raises ValueError.
     """
     scans, counts, tables, head = [], [], None, None
     for data in files:
@@ -210,9 +210,12 @@ def decode_frames(files: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out = np.empty((FRAME, len(scans)), np.uint8)
     for k in range(FRAME):
         code = (window[bit >> 3] >> (16 - (bit & 7)).astype(np.uint32)) & np.uint32(0xFFFF)
+        step = length[code]
+        if not step.all():
+            raise ValueError("a block that is not flat")
         level += value[code]
         out[k] = level
-        bit += length[code]
+        bit += step
     return np.ascontiguousarray(out.T), np.array(counts)
 
 

@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pytest
 
 from quillwork.llm import media
 from quillwork.llm.media import clip_rows, decode_frames, encode_frames, op6_avi_mjpeg, read_avi, shot_starts, to_media, write_avi
@@ -26,6 +27,11 @@ def test_frames_round_trip():
     assert files[1][start : start + 2] == b"\xff\xd8" and files[1][start + n - 2 : start + n] == b"\xff\xd9"
 
 
+def test_blocks_that_are_not_flat_raise():
+    with pytest.raises(ValueError, match="not flat"):
+        decode_frames([write_avi([b"\xfe" * 500])])
+
+
 def test_shots_follow_the_histogram():
     s = np.zeros((12, 576), np.uint8)
     s[4:8], s[8:] = 100, 200
