@@ -1,13 +1,16 @@
 """SentencePiece encoding and decoding by a Viterbi search in batches of equal-length words.
 
-The segmentation is the one with the greatest sum of piece scores (the unigram
-rule) over the pieces and scores of a model file; characters without a piece fall
-back to byte pieces. A longer first piece wins a tie.
+The path scores depend on the kind of model. Of a unigram model, the best path has the
+greatest sum of piece scores, and a longer last piece wins a tie. Of a merge model, a
+step from one piece to the next scores 0 where merging leaves the two apart and minus
+infinity where it does not, so the one path of score 0 is what replaying the merges
+gives. Characters without a piece fall back to byte pieces.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import column_bytes, prefix_hash, slices, span_hash
+from ._text import BASE, column_bytes, prefix_hash, slices, span_hash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
@@ -26,11 +29,101 @@ UNKNOWN_PENALTY = 10.0
 #: Words whose pieces a task remembers between batches, at most.
 CACHED_WORDS = 300_000
 #: Characters of new words that are searched together; a longer word is searched alone.
-AT_ONCE = 100_000
+AT_ONCE = 200_000
+#: Pairs of pieces whose look-up is remembered: two to this power.
+SEEN_BITS = 19
 #: A longer word is searched alone, position by position.
 LONG_WORD = 512
 
 
+class Merges:
+    """Which two pieces of a merge model can stand side by side, told by the order of its merges.
+
+    Pieces are numbered in the order in which merging makes them, single characters
+    first. ``left`` and ``right`` are the two pieces that a piece is last merged from,
+    itself for a character.
+    """
+
+    def __init__(self, ranked: list[str], ids: list[int]):
+        number = {p: i for i, p in enumerate(ranked)}
+        n = len(ranked)
+        self.number = np.full(max(ids, default=-1) + 1, -1, np.int64)
+        self.number[ids] = np.arange(n)
+        left, right = list(range(n)), list(range(n))
+        joined: dict[tuple[int, int], int] = {}
+        self.unmade: list[int] = []
+        for i, piece in enumerate(ranked):
+            for cut in range(len(piece) - 1, 0, -1):
+                a, b = number.get(piece[:cut], n), number.get(piece[cut:], n)
+                if a < i and b < i and _stay_apart(a, b, joined, left, right):
+                    joined[a, b], left[i], right[i] = i, a, b
+                    break
+            else:
+                if len(piece) > 1:
+                    self.unmade.append(ids[i])  # no order of merges ends in this piece
+        self.left, self.right = np.array(left, np.int64), np.array(right, np.int64)
+        pairs = sorted((a * n + b, i) for (a, b), i in joined.items())
+        self.pair = np.array([x for x, _ in pairs] or [-1], np.int64)
+        self.into = np.array([x for _, x in pairs] or [n], np.int64)
+        self.seen: tuple[np.ndarray, np.ndarray] | None = None
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether merging leaves the pieces ``a`` and ``b`` (their ids, -1: a lone character) side by side.
+
+        A table of fixed size remembers the pairs last looked at.
+        """
+        if self.seen is None:
+            self.seen = np.full(1 << SEEN_BITS, -1, np.int64), np.zeros(1 << SEEN_BITS, bool)
+        seen, told = self.seen
+        n = len(self.left)
+        lone = (a < 0) | (b < 0)
+        x, y = self.number[a], self.number[b]
+        pair = x * n + y
+        slot = ((pair.view(np.uint64) * BASE) >> np.uint64(64 - SEEN_BITS)).view(np.int64)
+        out = told[slot] | lone
+        new = np.flatnonzero((seen[slot] != pair) & ~lone)
+        if len(new):
+            out[new] = self._looked_at(x[new], y[new])
+            seen[slot[new]] = pair[new]
+            told[slot[new]] = out[new]
+        return out
+
+    def _looked_at(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """``apart`` by numbers: the two are taken apart again, the later made of them first; a merge
+        across the seam that comes before the pieces on both sides of it were made joins them."""
+        n = len(self.left)
+        out = np.ones(len(x), bool)
+        on = np.arange(len(x))
+        limit = np.full(len(on), n)
+        while len(on):
+            key = x * n + y
+            slot = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            joins = (self.pair[slot] == key) & (self.into[slot] < limit)
+            out[on[joins]] = False
+            base_x, base_y = self.right[x] == x, self.left[y] == y
+            take_x = ~base_x & ((x > y) | base_y)
+            go = ~joins & ~(base_x & base_y)
+            limit = np.where(take_x, x, y + 1)
+            x, y = np.where(take_x, self.right[x], x), np.where(take_x, y, self.left[y])
+            on, x, y, limit = on[go], x[go], y[go], limit[go]
+        return out
+
+
+def _stay_apart(x: int, y: int, joined: dict[tuple[int, int], int], left: list[int], right: list[int]) -> bool:
+    """``Merges.apart`` for one pair of numbers, while the tables are made."""
+    limit = len(left)
+    while True:
+        if joined.get((x, y), limit) < limit:
+            return False
+        base_x, base_y = right[x] == x, left[y] == y
+        if base_x and base_y:
+            return True
+        if not base_x and (x > y or base_y):
+            limit, x = x, right[x]
+        else:
+            limit, y = y + 1, left[y]
+
+
 @dataclass
 class Pieces:
     """A model's pieces as sorted hash keys for each length, and their bytes by id."""
@@ -42,6 +135,49 @@ class Pieces:
     byte_ids: np.ndarray
     table: np.ndarray
     offsets: np.ndarray
+    #: None for a unigram model.
+    merges: Merges | None
+    #: Pieces that are runs of spaces, by length: id and score. Merge models make them after all others.
+    blanks: dict[int, tuple[int, float]]
+
+    def blank_run(self, n: int) -> list[int]:
+        """The pieces of ``n`` spaces that nothing else takes in: merged best score first, then leftmost."""
+        size, after = [1] * n, list(range(1, n + 1))
+        before = list(range(-1, n - 1))
+        heap = []
+
+        def offer(i: int) -> None:
+            j = after[i] if i >= 0 else n
+            if i >= 0 and j < n and size[i] + size[j] in self.blanks:
+                heapq.heappush(heap, (-self.blanks[size[i] + size[j]][1], i, size[i], size[j]))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i] if size[i] else n
+            if size[i] != a or j >= n or size[j] != b:
+                continue
+            size[i], size[j], after[i] = a + b, 0, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        return [self.blanks[x][0] for x in size if x]
+
+
+def merge_order(pieces: dict[str, tuple[int, float]]) -> Merges | None:
+    """The merges of a model whose scores are the order of its merges; None for a unigram model.
+
+    Trained merge models number their merges by whole scores, 0, -1, -2 and so on, each
+    used once; only runs of spaces may share one.
+    """
+    made = [p for p in pieces if len(p) > 1 and p.strip(chr(SPACE))]
+    scores = {pieces[p][1] for p in made}
+    if not made or len(scores) < len(made) or any(x != int(x) for x in scores):
+        return None
+    ranked = [p for p in pieces if len(p) == 1] + sorted(made, key=lambda p: -pieces[p][1])
+    return Merges(ranked, [pieces[p][0] for p in ranked])
 
 
 def load_pieces(path: str = MODEL) -> Pieces:
@@ -50,19 +186,28 @@ def load_pieces(path: str = MODEL) -> Pieces:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.vocab_size()
-    by: dict[int, list[tuple[int, int, float]]] = {}
     body, byte_ids, lowest = [b""] * n, np.full(256, -1, np.int64), 0.0
+    pieces: dict[str, tuple[int, float]] = {}
     for i in range(n):
         piece = model.id_to_piece(i)
         if model.is_byte(i):
             byte_ids[int(piece[3:5], 16)] = i
             body[i] = bytes([int(piece[3:5], 16)])
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-            cps = np.array([ord(c) for c in piece], np.int64)
-            key = int(span_hash(prefix_hash(cps), np.array([0]), np.array([len(cps)]))[0])
-            by.setdefault(len(cps), []).append((key, i, model.get_score(i)))
+            pieces[piece] = (i, model.get_score(i))
             body[i] = piece.replace(chr(SPACE), " ").encode()
             lowest = min(lowest, model.get_score(i))
+    merges = merge_order(pieces)
+    blanks = {len(p): v for p, v in pieces.items() if not p.strip(chr(SPACE))}
+    left_out = set() if merges is None else set(merges.unmade) | {i for k, (i, _) in blanks.items() if k > 1}
+    by: dict[int, list[tuple[int, int, float]]] = {}
+    for piece, (i, score) in pieces.items():
+        if i not in left_out:
+            cps = np.array([ord(c) for c in piece], np.int64)
+            key = int(span_hash(prefix_hash(cps), np.array([0]), np.array([len(cps)]))[0])
+            by.setdefault(len(cps), []).append((key, i, score if merges is None else 0.0))
+    if merges is not None and any(chr(SPACE) in p.lstrip(chr(SPACE)) for p in pieces):
+        raise ValueError("a piece goes on after a space, so words cannot be encoded apart")
     longest = max(by)
     lists = [sorted(by.get(k, [])) for k in range(1, longest + 1)]
     sizes = np.array([len(b) for b in body])
@@ -70,10 +215,12 @@ def load_pieces(path: str = MODEL) -> Pieces:
         [np.array([x[0] for x in one], np.uint64) for one in lists],
         [np.array([x[1] for x in one], np.int64) for one in lists],
         [np.array([x[2] for x in one], np.float64) for one in lists],
-        lowest - UNKNOWN_PENALTY,
+        lowest - UNKNOWN_PENALTY if merges is None else 0.0,
         byte_ids,
         np.frombuffer(b"".join(body), np.uint8),
         np.concatenate([[0], np.cumsum(sizes)]),
+        merges,
+        blanks,
     )
 
 
@@ -106,7 +253,7 @@ def segment_words(cps: np.ndarray, starts: np.ndarray, lengths: np.ndarray, piec
     place = np.arange(n)
     left = (starts + lengths)[word] - place  # characters from here to the end of the word
     longest = len(pieces.keys)
-    score = np.full((longest, n), -np.inf)
+    score = np.full((longest, n), -np.inf, np.float64 if pieces.merges is None else np.float32)
     found = np.full((longest, n), -1, np.int32)
     for k in range(1, longest + 1):
         at = np.flatnonzero(left >= k)
@@ -130,18 +277,27 @@ def segment_words(cps: np.ndarray, starts: np.ndarray, lengths: np.ndarray, piec
         words = np.flatnonzero(lengths == size)
         if size > LONG_WORD:
             for w in words:
-                take(*_one_long(int(w), int(starts[w]), int(size), score))
+                take(*_one_long(int(w), int(starts[w]), int(size), score, found, pieces))
             continue
         for group in np.array_split(words, max(1, len(words) * int(size) // 2_000_000)):
             best = np.full((size + 1, len(group)), -np.inf)
             back = np.zeros((size + 1, len(group)), np.int64)
             best[0] = 0.0
+            first = starts[group]
             for j in range(1, size + 1):
+                open_ = np.arange(len(group))  # of a merge model, one last piece scores 0 and ends the search
                 for k in range(min(j, longest), 0, -1):  # the longest first: it wins ties
-                    cand = best[j - k] + score[k - 1, starts[group] + j - k]
-                    better = cand > best[j]
-                    best[j] = np.where(better, cand, best[j])
-                    back[j] = np.where(better, k, back[j])
+                    here = first[open_] + j - k
+                    cand = best[j - k, open_] + score[k - 1, here]
+                    better = np.flatnonzero(cand > best[j, open_])
+                    if pieces.merges is not None and j > k and len(better):
+                        used, at = back[j - k, open_[better]], here[better]
+                        better = better[pieces.merges.apart(found[used - 1, at - used], found[k - 1, at])]
+                    if len(better):
+                        best[j, open_[better]] = cand[better]
+                        back[j, open_[better]] = k
+                        if pieces.merges is not None:
+                            open_ = np.delete(open_, better)
             end = np.full(len(group), size)
             on = np.arange(len(group))
             while len(on):
@@ -163,16 +319,26 @@ def segment_words(cps: np.ndarray, starts: np.ndarray, lengths: np.ndarray, piec
     return i, np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(starts)))])
 
 
-def _one_long(word: int, start: int, size: int, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same search for one long word, over its table of scores."""
+def _one_long(word: int, start: int, size: int, score: np.ndarray, found: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same search for one long word, over its table of scores; pairs of pieces are looked at once each."""
     longest = len(score)
-    table = score[:, start : start + size].T.tolist()
-    best, back = [0.0] + [-np.inf] * size, [0] * (size + 1)
-    for p in range(size):
-        base, row = best[p], table[p]
-        for k in range(min(longest, size - p)):
-            if base + row[k] > best[p + k + 1]:
-                best[p + k + 1], back[p + k + 1] = base + row[k], k + 1
+    best, back, apart = [0.0] + [-np.inf] * size, [0] * (size + 1), {}
+    block = 1 << 16  # places whose table is held as lists
+    for s in range(0, size, block):
+        here = slice(start + s, start + min(s + block, size))
+        table, names = score[:, here].T.tolist(), found[:, here].T.tolist()
+        for p, (row, name) in enumerate(zip(table, names), s):
+            base, used = best[p], back[p]
+            last = found[used - 1, start + p - used] if used else -1
+            for k in range(min(longest, size - p) - 1, -1, -1):
+                if base + row[k] > best[p + k + 1] or (base + row[k] == best[p + k + 1] > -np.inf and k + 1 > back[p + k + 1]):
+                    if pieces.merges is not None and last >= 0 and name[k] >= 0:
+                        pair = (int(last), name[k])
+                        if pair not in apart:
+                            apart[pair] = bool(pieces.merges.apart(np.array([pair[0]]), np.array([pair[1]]))[0])
+                        if not apart[pair]:
+                            continue
+                    best[p + k + 1], back[p + k + 1] = base + row[k], k + 1
     ends, used, e = [], [], size
     while e:
         ends.append(e)
@@ -193,6 +359,31 @@ class Encoder:
         self.place = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int64)
+        self.spelt = np.zeros(0, np.int64)  # where the characters of each word stand
+        self.wide = np.zeros(0, np.int64)
+        self.chars = np.zeros(0, np.int32)
+
+    def _segment(self, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of words (flat) and their offsets; spaces before a word's own are merged after it."""
+        size = ends - starts
+        lead = np.zeros(len(starts), np.int64)
+        if self.pieces.merges is not None:
+            two = np.flatnonzero((size > 1) & (cps[np.minimum(starts + 1, len(cps) - 1)] == SPACE))
+            for w in two.tolist():
+                own = cps[starts[w] : ends[w]]
+                other = np.flatnonzero(own != SPACE)
+                lead[w] = (other[0] if len(other) else len(own)) - 1
+        n = size - lead
+        at = np.cumsum(n) - n
+        chars = cps[np.arange(int(n.sum())) + np.repeat(starts + lead - at, n)]
+        flat, offs = segment_words(chars, at, n, self.pieces)
+        if not lead.any():
+            return flat, offs
+        out, bare = np.split(flat, offs[1:-1]), self.pieces.blanks[1][0]
+        for w in np.flatnonzero(lead).tolist():
+            free = out[w][0] == bare
+            out[w] = np.concatenate([self.pieces.blank_run(int(lead[w] + free)), out[w][int(free) :]]).astype(np.int64)
+        return np.concatenate(out), np.concatenate([[0], np.cumsum([len(x) for x in out])])
 
     def _learn(self, cps: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Segment new words, a bounded number of characters at a time, and remember them."""
@@ -201,16 +392,17 @@ class Encoder:
         cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         places, sizes, flats, base = [], [], [self.flat], len(self.flat)
         for a, b in zip(cuts, np.append(cuts[1:], len(size))):
-            n = size[a:b]
-            own = np.cumsum(n) - n
-            chars = cps[np.arange(int(n.sum())) + np.repeat(starts[a:b] - own, n)]
-            flat, offs = segment_words(chars, own, n, self.pieces)
+            flat, offs = self._segment(cps, starts[a:b], ends[a:b])
             places.append(base + offs[:-1])
             sizes.append(np.diff(offs))
             flats.append(flat)
             base += len(flat)
         known = np.concatenate([self.known, keys])
         order = np.argsort(known, kind="stable")
+        letters = np.cumsum(size) - size
+        self.spelt = np.concatenate([self.spelt, len(self.chars) + letters])[order]
+        self.wide = np.concatenate([self.wide, size])[order]
+        self.chars = np.concatenate([self.chars, cps[np.arange(int(size.sum())) + np.repeat(starts - letters, size)].astype(np.int32)])
         self.place = np.concatenate([self.place, *places])[order]
         self.size = np.concatenate([self.size, *sizes])[order]
         self.known, self.flat = known[order], np.concatenate(flats)
@@ -244,6 +436,15 @@ class Encoder:
         size = self.size[slot]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.arange(int(total[-1])) + np.repeat(self.place[slot] - total[:-1], size)]
+        letters = np.minimum(np.arange(len(cps)) + np.repeat(self.spelt[slot] - starts, ends - starts), len(self.chars) - 1)
+        other = np.flatnonzero(self.chars[letters] != cps) if len(cps) else letters
+        odd = np.unique(np.append(np.searchsorted(starts, other, "right") - 1, np.flatnonzero(self.wide[slot] != ends - starts)))
+        if len(odd):  # words of one hash that are not one word
+            own, own_at = self._segment(cps, starts[odd], ends[odd])
+            parts = np.split(ids, total[1:-1])
+            for i, w in enumerate(odd.tolist()):
+                parts[w] = own[own_at[i] : own_at[i + 1]]
+            ids, total = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         words = np.searchsorted(starts, first)
         return ids, total[words]
 
@@ -262,8 +463,8 @@ def tokens(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col:
     """Encode every whole text and decode it again.
 
     Returns id, n_bytes, n_tokens, ids_sha256 (ids as little-endian 32-bit integers),
-    decoded_sha256 (of the decoded UTF-8), round_trip, and token_ids if asked for.
-    Defined cases: a null or empty text has no tokens; a literal U+2581 is kept by byte
+    decoded_sha256 (of the decoded UTF-8), round_trip, and token_ids if asked for. With a
+    merge model the ids are those of the model's own encoder. Defined cases: a null or empty text has no tokens; a literal U+2581 is kept by byte
     pieces; runs of spaces and spaces at either end are kept; repeated rows each give
     a row; an empty table gives none; other columns are not looked at.
     """
@@ -299,6 +500,10 @@ def op10_batched_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the token ids of every document, with its id, language and source."""
-    out = tokens(docs).where("round_trip").select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "ids_sha256", "token_ids")
-    return out
+    """Last pipeline stage: the token ids of every document, and whether they decode to its text.
+
+    Every row of the stage before gives a row: a null or empty text one without tokens,
+    a null id one with a null id, a very long text one as any other, repeated rows one
+    each; an empty table gives none; other columns are not looked at.
+    """
+    return tokens(docs).select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "ids_sha256", "round_trip", "token_ids")

@@ -1,12 +1,13 @@
 import hashlib
 import os
+import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from quillwork.llm import pieces
-from quillwork.llm._text import column_bytes
+from quillwork.llm._text import column_bytes, prefix_hash, span_hash
 from quillwork.llm.pieces import MODEL, Encoder, code_points, load_pieces, op10_batched_viterbi, tokens
 
 pytestmark = pytest.mark.skipif(not os.path.exists(MODEL), reason="no tokenizer files")
@@ -16,41 +17,88 @@ pytestmark = pytest.mark.skipif(not os.path.exists(MODEL), reason="no tokenizer
 def model():
     import sentencepiece
 
-    m = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    skip = lambda i: m.is_byte(i) or m.is_control(i) or m.is_unknown(i)
-    return {m.id_to_piece(i): (m.get_score(i), i) for i in range(m.vocab_size()) if not skip(i)}
+    return sentencepiece.SentencePieceProcessor(model_file=MODEL)
 
 
-def brute(text, model, unknown):
+def brute(text, pieces, unknown):
+    """A plain search for the path with the greatest sum of scores."""
     if not text:
         return []
-    s = "▁" + "".join("\U0010ffff" if c == "▁" else "▁" if c == " " else c for c in text)
+    s = "▁" + text.replace(" ", "▁")
     best, back = [0.0] + [-np.inf] * len(s), [None] * (len(s) + 1)
     for j in range(1, len(s) + 1):
         for k in range(min(16, j), 0, -1):
-            found = model.get(s[j - k : j]) or ((unknown, -1) if k == 1 else None)
-            if found and best[j - k] + found[0] > best[j]:
-                best[j], back[j] = best[j - k] + found[0], (k, found[1])
+            found = pieces.get(s[j - k : j]) or ((-1, unknown) if k == 1 else None)
+            if found and best[j - k] + found[1] > best[j]:
+                best[j], back[j] = best[j - k] + found[1], (k, found[0])
     out, j = [], len(s)
     while j:
         k, i = back[j]
-        out += [i] if i >= 0 else [3 + b for b in reversed(("▁" if s[j - 1] == "\U0010ffff" else s[j - 1]).encode())]
+        out += [i] if i >= 0 else [3 + b for b in reversed(s[j - 1].encode())]
         j -= k
     return out[::-1]
 
 
-def test_ids_match_brute_force(model, texts, monkeypatch):
-    monkeypatch.setattr(pieces, "CACHED_WORDS", 50)
-    p = load_pieces()
-    encoder = Encoder(p)
-    some = [(t or "")[:3000] for _, t in texts] + [" ", "  a  b ", "▁x ▁▁", "<s> </s> <0x0A>", "\n\t\0", "x" * 1200 + " y"]
+def encoded(encoder, part):
+    data, offsets = column_bytes(pa.array(part))
+    ids, at = encoder.encode(data, offsets)
+    back, where = encoder.decode(ids, at)
+    raw = back.tobytes()
+    assert [raw[a:b].decode() for a, b in zip(where, where[1:])] == part
+    return [ids[a:b].tolist() for a, b in zip(at, at[1:])]
+
+
+def odd_texts(model, n, seed=3):
+    """Pieces, letters that repeat, spaces and rare signs put together at random."""
+    rng = random.Random(seed)
+    body = [model.id_to_piece(i).replace("▁", " ") for i in range(259, model.vocab_size())]
+    joined = ["".join(rng.choice(body) for _ in range(rng.randint(1, 6))) for _ in range(n)]
+    return joined + ["".join(rng.choice("aaabbe  oxé日\n🎉") for _ in range(rng.randint(1, 40))) for _ in range(n)]
+
+
+def test_ids_are_those_of_the_models_encoder(model, texts, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHED_WORDS", 500)
+    encoder = Encoder(load_pieces())
+    some = [(t or "").replace("▁", "_") for _, t in texts] + [" ", "  a  b ", "<s> </s> <0x0A>", "\n\t\0", "x" * 1200 + " y", "ab" * 3000, "the" * 700]
+    some += [" " * k + "x" + " " * j for k in range(36) for j in range(3)] + odd_texts(model, 1500)
     for part in (some[:10], some[10:], some):
-        data, offsets = column_bytes(pa.array(part))
-        ids, at = encoder.encode(data, offsets)
-        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [brute(t, model, p.unknown) for t in part]
-        back, where = encoder.decode(ids, at)
-        raw = back.tobytes()
-        assert [raw[a:b].decode() for a, b in zip(where, where[1:])] == part
+        assert encoded(encoder, part) == model.encode(part)
+    assert encoded(encoder, ["▁x ▁▁"])  # kept by byte pieces, where the library takes it for a space
+
+
+def test_words_of_one_hash_are_told_apart(model, monkeypatch):
+    monkeypatch.setattr(pieces, "span_hash", lambda prefix, a, b: real(prefix, a, np.minimum(a + 3, b)) if len(a) and weak[0] else real(prefix, a, b))
+    real, weak = span_hash, [False]
+    encoder = Encoder(load_pieces())
+    segment = encoder._segment
+
+    def strong(*args):
+        weak[0] = False
+        out = segment(*args)
+        weak[0] = True
+        return out
+
+    encoder._segment = strong
+    weak[0] = True
+    part = ["willow willows wild", "will willing"]
+    assert encoded(encoder, part) == model.encode(part)
+
+
+def test_unigram_models_take_the_greatest_sum(model):
+    p = load_pieces()
+    rng = random.Random(5)
+    words = {w: (i, -rng.random() * len(w)) for i, w in enumerate(["▁", "a", "b", "c", "ab", "bc", "▁a", "abc", "▁ab", "ca", "cab", "bca"], 300)}
+    by = {}
+    for w, (i, score) in words.items():
+        cps = np.array([ord(c) for c in w], np.int64)
+        by.setdefault(len(w), []).append((int(span_hash(prefix_hash(cps), np.array([0]), np.array([len(w)]))[0]), i, score))
+    lists = [sorted(by[k]) for k in sorted(by)]
+    p.keys, p.ids, p.scores = ([np.array([x[n] for x in one], t) for one in lists] for n, t in enumerate((np.uint64, np.int64, np.float64)))
+    p.merges, p.unknown = None, -9.0
+    some = ["".join(rng.choice("abcab cé") for _ in range(rng.randint(1, 30))) for _ in range(300)] + ["abcab" * 150]
+    data, offsets = column_bytes(pa.array(some))
+    ids, at = Encoder(p).encode(data, offsets)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [brute(t, words, p.unknown) for t in some]
 
 
 def test_code_points():
