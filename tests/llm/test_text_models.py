@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -116,13 +118,50 @@ def brute_leaks(texts, items):
 
 def test_leaks_match_brute_force(spark, docs, texts, tables):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
-    small = [(i, t) for i, t in texts if t is None or len(t) < 20_000]
-    want = brute_leaks(small, items)
+    want = brute_leaks(texts, items)
     assert (10, 1) in want and (11, 1) in want and (5, 3) in want
-    got = {(r.id, r.item_id) for r in leaks(docs.where("doc_id is null or doc_id <> 6"), spark.read.parquet(f"{tables}/benchmark.parquet")).collect()}
+    got = {(r.id, r.item_id) for r in leaks(docs, spark.read.parquet(f"{tables}/benchmark.parquet")).collect()}
     assert got == want
 
 
+def edited(rng, words, vocabulary):
+    """A copy of the words with up to two changed, or moved by up to three words."""
+    out = list(words)
+    for _ in range(rng.choice([0, 1, 1, 2])):
+        out[rng.randrange(len(out))] = rng.choice(vocabulary)
+    shift = rng.choice([0, 0, 1, 2, 3])
+    return out[shift:] + [rng.choice(vocabulary) for _ in range(shift)]
+
+
+def test_index_finds_all_within_the_radius_and_little_else():
+    rng = np.random.default_rng(3)
+    items = make_items(range(400), [prose(i, 30) for i in range(400)])
+    index = Index(items)
+    own = index.fingerprints
+    fps = np.concatenate([rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2), *[own ^ np.bitwise_or.reduce([np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64) for _ in range(k)]) for k in (3, 9, 14, 18, 20)]])
+    window, item = index.near(30, fps)
+    close = np.argwhere(np.bitwise_count(fps[:, None] ^ own[None, :]) <= decontam.RADIUS)
+    assert sorted(zip(window.tolist(), item.tolist())) == sorted(map(tuple, close.tolist())) and len(close) > 1000
+    looked = sum(int((np.searchsorted(keys, key, "right") - np.searchsorted(keys, key, "left")).sum()) for b, (keys, _) in enumerate(index.blocks) for key in [((fps[:300] >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int32)])
+    assert looked < 0.15 * 300 * 400
+
+
+@pytest.mark.parametrize("gate", [True, False])
+def test_recall_at_the_bound(gate):
+    """Of edited items whose exact similarity is 0.8 or more, at least nine in ten are found, near the bound too."""
+    rng = random.Random(6)
+    items = [prose(i, 16 + i) for i in range(40)]
+    vocabulary = prose(1234, 400).split()
+    index = Index(make_items(range(40), items))
+    texts, want = [], set()
+    for i, t in enumerate(items):
+        for _ in range(9):
+            texts.append(prose(rng.randrange(1 << 30), 8) + " " + " ".join(edited(rng, t.split(), vocabulary)) + " " + prose(rng.randrange(1 << 30), 8))
+    want = brute_leaks(list(enumerate(texts)), list(enumerate(items)))
+    got = {(r, i) for r, i, *_ in leaks_in(pa.array(texts, pa.large_string()), index, gate=gate)}
+    assert got <= want and len(want) > 100 and len(got) >= 0.97 * len(want)
+
+
 def test_edited_passages_are_found():
     item = prose(3, 80)
     words = item.split()
@@ -136,7 +175,7 @@ def test_edited_passages_are_found():
 
 def test_benchmark_in_blocks(spark, docs, empty, repeated, tables, monkeypatch):
     whole = {tuple(r) for r in op5_simhash_windows(spark, tables).collect()}
-    monkeypatch.setattr(decontam.item_blocks, "__defaults__", (2,))
+    monkeypatch.setattr(decontam.item_blocks, "__defaults__", (2, 1 << 20))
     assert {tuple(r) for r in op5_simhash_windows(spark, tables).collect()} == whole
     bench = spark.read.parquet(f"{tables}/benchmark.parquet")
     assert leaks(empty, bench).count() == 0 and leaks(docs, bench.limit(0)).count() == 0
