@@ -27,9 +27,11 @@ SPACE = 0x2581
 LITERAL = 0x110000
 UNKNOWN_PENALTY = 10.0
 #: Words whose pieces a task remembers between batches, at most.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 #: Characters of new words that are searched together; a longer word is searched alone.
 AT_ONCE = 200_000
+#: Ids of a substring that is no piece, and of a character without one.
+NO_PIECE, LONE = -1, -2
 #: Pairs of pieces whose look-up is remembered: two to this power.
 SEEN_BITS = 19
 #: A longer word is searched alone, position by position.
@@ -68,16 +70,16 @@ class Merges:
         self.seen: tuple[np.ndarray, np.ndarray] | None = None
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether merging leaves the pieces ``a`` and ``b`` (their ids, -1: a lone character) side by side.
+        """Whether merging leaves the pieces ``a`` and ``b`` (their ids, under 0: a lone character) side by side.
 
         A table of fixed size remembers the pairs last looked at.
         """
-        if self.seen is None:
+        if self.seen is None:  # made where it is used, not sent
             self.seen = np.full(1 << SEEN_BITS, -1, np.int64), np.zeros(1 << SEEN_BITS, bool)
         seen, told = self.seen
         n = len(self.left)
         lone = (a < 0) | (b < 0)
-        x, y = self.number[a], self.number[b]
+        x, y = self.number[np.where(lone, 0, a)], self.number[np.where(lone, 0, b)]
         pair = x * n + y
         slot = ((pair.view(np.uint64) * BASE) >> np.uint64(64 - SEEN_BITS)).view(np.int64)
         out = told[slot] | lone
@@ -126,7 +128,7 @@ def _stay_apart(x: int, y: int, joined: dict[tuple[int, int], int], left: list[i
 
 @dataclass
 class Pieces:
-    """A model's pieces as sorted hash keys for each length, and their bytes by id."""
+    """A model's pieces and their beginnings as sorted hash keys for each length, and the pieces' bytes by id."""
 
     keys: list[np.ndarray]
     ids: list[np.ndarray]
@@ -180,6 +182,19 @@ def merge_order(pieces: dict[str, tuple[int, float]]) -> Merges | None:
     return Merges(ranked, [pieces[p][0] for p in ranked])
 
 
+def piece_keys(pieces: dict[str, tuple[int, float]]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Sorted hash keys, ids and scores of pieces and of their beginnings, by length; a mere beginning has the id -1."""
+    by: list[dict[int, tuple[int, float]]] = [{} for _ in range(max(map(len, pieces)))]
+    for piece in sorted(pieces, key=len):
+        cps = np.array([ord(c) for c in piece], np.int64)
+        prefix, none = prefix_hash(cps), np.zeros(len(cps), np.int64)
+        for k, key in enumerate(span_hash(prefix, none, np.arange(1, len(cps) + 1)).tolist()):
+            by[k].setdefault(key, (-1, -np.inf))
+        by[k][key] = pieces[piece]
+    lists = [sorted((key, i, score) for key, (i, score) in one.items()) for one in by]
+    return tuple([np.array([x[n] for x in one], t) for one in lists] for n, t in enumerate((np.uint64, np.int32, np.float64)))  # type: ignore[return-value]
+
+
 def load_pieces(path: str = MODEL) -> Pieces:
     """Read a model file; the driver reads it and sends the tables, whose size is the model's."""
     import sentencepiece
@@ -200,21 +215,15 @@ def load_pieces(path: str = MODEL) -> Pieces:
     merges = merge_order(pieces)
     blanks = {len(p): v for p, v in pieces.items() if not p.strip(chr(SPACE))}
     left_out = set() if merges is None else set(merges.unmade) | {i for k, (i, _) in blanks.items() if k > 1}
-    by: dict[int, list[tuple[int, int, float]]] = {}
-    for piece, (i, score) in pieces.items():
-        if i not in left_out:
-            cps = np.array([ord(c) for c in piece], np.int64)
-            key = int(span_hash(prefix_hash(cps), np.array([0]), np.array([len(cps)]))[0])
-            by.setdefault(len(cps), []).append((key, i, score if merges is None else 0.0))
+    kept = {p: (i, score if merges is None else 0.0) for p, (i, score) in pieces.items() if i not in left_out}
     if merges is not None and any(chr(SPACE) in p.lstrip(chr(SPACE)) for p in pieces):
         raise ValueError("a piece goes on after a space, so words cannot be encoded apart")
-    longest = max(by)
-    lists = [sorted(by.get(k, [])) for k in range(1, longest + 1)]
+    keys, ids, scores = piece_keys(kept)
     sizes = np.array([len(b) for b in body])
     return Pieces(
-        [np.array([x[0] for x in one], np.uint64) for one in lists],
-        [np.array([x[1] for x in one], np.int64) for one in lists],
-        [np.array([x[2] for x in one], np.float64) for one in lists],
+        keys,
+        ids,
+        scores,
         lowest - UNKNOWN_PENALTY if merges is None else 0.0,
         byte_ids,
         np.frombuffer(b"".join(body), np.uint8),
@@ -243,29 +252,33 @@ def utf8_of(cp: int) -> bytes:
 def segment_words(cps: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of every word (flat), and the offsets of the words in them.
 
-    Every substring up to the longest piece is hashed and looked up in the sorted
-    keys of its length; then words of one length advance together, position by
-    position, and keep the best score and the length of its last piece.
+    Substrings are hashed and looked up in the sorted keys of their length, as long as
+    a piece begins like them; then words of one length advance together, place by
+    place, and keep the best score and the length of its last piece.
     """
     n = len(cps)
     prefix = prefix_hash(cps)
     word = np.repeat(np.arange(len(starts)), lengths)
-    place = np.arange(n)
-    left = (starts + lengths)[word] - place  # characters from here to the end of the word
+    left = (starts + lengths)[word] - np.arange(n)  # characters from here to the end of the word
     longest = len(pieces.keys)
-    score = np.full((longest, n), -np.inf, np.float64 if pieces.merges is None else np.float32)
-    found = np.full((longest, n), -1, np.int32)
+    found = np.full((longest, n), NO_PIECE, np.int32)
+    score = None if pieces.merges is not None else np.full((longest, n), -np.inf)
+    at = np.arange(n)
     for k in range(1, longest + 1):
-        at = np.flatnonzero(left >= k)
-        if not len(at) or not len(pieces.keys[k - 1]):
-            continue
+        at = at[left[at] >= k]
+        if not len(at):
+            break
         h = span_hash(prefix, at, at + k)
         slot = np.minimum(np.searchsorted(pieces.keys[k - 1], h), len(pieces.keys[k - 1]) - 1)
-        hit = np.flatnonzero(pieces.keys[k - 1][slot] == h)
-        score[k - 1, at[hit]] = pieces.scores[k - 1][slot[hit]]
-        found[k - 1, at[hit]] = pieces.ids[k - 1][slot[hit]]
-    alone = found[0] < 0
-    score[0, alone] = pieces.unknown
+        begun = pieces.keys[k - 1][slot] == h
+        at, slot = at[begun], slot[begun]
+        found[k - 1, at] = pieces.ids[k - 1][slot]
+        if score is not None:
+            score[k - 1, at] = pieces.scores[k - 1][slot]
+    alone = found[0] == NO_PIECE
+    found[0, alone] = LONE
+    if score is not None:
+        score[0, alone] = pieces.unknown
     got_word, got_end, got_id = [], [], []
 
     def take(words: np.ndarray, ends: np.ndarray, used: np.ndarray) -> None:
@@ -279,29 +292,23 @@ def segment_words(cps: np.ndarray, starts: np.ndarray, lengths: np.ndarray, piec
             for w in words:
                 take(*_one_long(int(w), int(starts[w]), int(size), score, found, pieces))
             continue
-        for group in np.array_split(words, max(1, len(words) * int(size) // 2_000_000)):
-            best = np.full((size + 1, len(group)), -np.inf)
-            back = np.zeros((size + 1, len(group)), np.int64)
-            best[0] = 0.0
-            first = starts[group]
-            for j in range(1, size + 1):
-                open_ = np.arange(len(group))  # of a merge model, one last piece scores 0 and ends the search
-                for k in range(min(j, longest), 0, -1):  # the longest first: it wins ties
-                    here = first[open_] + j - k
-                    cand = best[j - k, open_] + score[k - 1, here]
-                    better = np.flatnonzero(cand > best[j, open_])
-                    if pieces.merges is not None and j > k and len(better):
-                        used, at = back[j - k, open_[better]], here[better]
-                        better = better[pieces.merges.apart(found[used - 1, at - used], found[k - 1, at])]
-                    if len(better):
-                        best[j, open_[better]] = cand[better]
-                        back[j, open_[better]] = k
-                        if pieces.merges is not None:
-                            open_ = np.delete(open_, better)
+        for group in np.array_split(words, max(1, len(words) * int(size) // 200_000)):
+            places = np.arange(size)[:, None] + starts[group]
+            if score is None:
+                back = _joined_paths(found[:, places], pieces.merges)
+            else:
+                best, back = np.full((size + 1, len(group)), -np.inf), np.zeros((size + 1, len(group)), np.int8)
+                best[0] = 0.0
+                for j in range(1, size + 1):
+                    for k in range(min(j, longest), 0, -1):  # the longest first: it wins ties
+                        cand = best[j - k] + score[k - 1, places[j - k]]
+                        better = cand > best[j]
+                        best[j] = np.where(better, cand, best[j])
+                        back[j] = np.where(better, k, back[j])
             end = np.full(len(group), size)
             on = np.arange(len(group))
             while len(on):
-                used = back[end[on], on]
+                used = back[end[on], on].astype(np.int64)
                 take(group[on], end[on].copy(), used)
                 end[on] -= used
                 on = on[end[on] > 0]
@@ -319,21 +326,47 @@ def segment_words(cps: np.ndarray, starts: np.ndarray, lengths: np.ndarray, piec
     return i, np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(starts)))])
 
 
-def _one_long(word: int, start: int, size: int, score: np.ndarray, found: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _joined_paths(found: np.ndarray, merges: Merges) -> np.ndarray:
+    """The length of the last piece on the best path to each place; ``found`` has pieces by length, place and word.
+
+    Of a merge model a path scores 0 or minus infinity, and one path to each place
+    scores 0, so the maximum over the last piece is the first found that scores 0.
+    """
+    longest, size, n = found.shape
+    back = np.zeros((size + 1, n), np.int8)
+    last = np.full((size + 1, n), LONE, np.int32)
+    for j in range(1, size + 1):
+        open_ = np.ones(n, bool)
+        for k in range(min(j, longest), 0, -1):
+            piece = found[k - 1, j - k]
+            on = np.flatnonzero(open_ & (piece != NO_PIECE))
+            if len(on) and j > k:
+                on = on[merges.apart(last[j - k, on], piece[on])]
+            if len(on):
+                back[j, on] = k
+                last[j, on] = piece[on]
+                open_[on] = False
+                if len(on) == n:
+                    break
+    return back
+
+
+def _one_long(word: int, start: int, size: int, score: np.ndarray | None, found: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same search for one long word, over its table of scores; pairs of pieces are looked at once each."""
-    longest = len(score)
+    longest = len(found)
     best, back, apart = [0.0] + [-np.inf] * size, [0] * (size + 1), {}
     block = 1 << 16  # places whose table is held as lists
     for s in range(0, size, block):
         here = slice(start + s, start + min(s + block, size))
-        table, names = score[:, here].T.tolist(), found[:, here].T.tolist()
+        names = found[:, here].T.tolist()
+        table = (np.where(found[:, here] == NO_PIECE, -np.inf, 0.0) if score is None else score[:, here]).T.tolist()
         for p, (row, name) in enumerate(zip(table, names), s):
             base, used = best[p], back[p]
-            last = found[used - 1, start + p - used] if used else -1
+            last = int(found[used - 1, start + p - used]) if used else LONE
             for k in range(min(longest, size - p) - 1, -1, -1):
                 if base + row[k] > best[p + k + 1] or (base + row[k] == best[p + k + 1] > -np.inf and k + 1 > back[p + k + 1]):
                     if pieces.merges is not None and last >= 0 and name[k] >= 0:
-                        pair = (int(last), name[k])
+                        pair = (last, name[k])
                         if pair not in apart:
                             apart[pair] = bool(pieces.merges.apart(np.array([pair[0]]), np.array([pair[1]]))[0])
                         if not apart[pair]:

@@ -7,8 +7,8 @@ import pyarrow as pa
 import pytest
 
 from quillwork.llm import pieces
-from quillwork.llm._text import column_bytes, prefix_hash, span_hash
-from quillwork.llm.pieces import MODEL, Encoder, code_points, load_pieces, op10_batched_viterbi, tokens
+from quillwork.llm._text import column_bytes, span_hash
+from quillwork.llm.pieces import MODEL, Encoder, code_points, load_pieces, op10_batched_viterbi, piece_keys, tokens
 
 pytestmark = pytest.mark.skipif(not os.path.exists(MODEL), reason="no tokenizer files")
 
@@ -88,12 +88,7 @@ def test_unigram_models_take_the_greatest_sum(model):
     p = load_pieces()
     rng = random.Random(5)
     words = {w: (i, -rng.random() * len(w)) for i, w in enumerate(["▁", "a", "b", "c", "ab", "bc", "▁a", "abc", "▁ab", "ca", "cab", "bca"], 300)}
-    by = {}
-    for w, (i, score) in words.items():
-        cps = np.array([ord(c) for c in w], np.int64)
-        by.setdefault(len(w), []).append((int(span_hash(prefix_hash(cps), np.array([0]), np.array([len(w)]))[0]), i, score))
-    lists = [sorted(by[k]) for k in sorted(by)]
-    p.keys, p.ids, p.scores = ([np.array([x[n] for x in one], t) for one in lists] for n, t in enumerate((np.uint64, np.int64, np.float64)))
+    p.keys, p.ids, p.scores = piece_keys(words)
     p.merges, p.unknown = None, -9.0
     some = ["".join(rng.choice("abcab cé") for _ in range(rng.randint(1, 30))) for _ in range(300)] + ["abcab" * 150]
     data, offsets = column_bytes(pa.array(some))
