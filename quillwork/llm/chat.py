@@ -22,32 +22,58 @@ def unescaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
-def reply_paths(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
+def _known_parents(nodes: DataFrame) -> DataFrame:
+    """The nodes, with null for a parent that is not in its tree."""
+    known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
+    kept = nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return stored(kept)
+
+
+def _twice(jump: DataFrame) -> DataFrame:
+    """Jumps of double length."""
+    far = jump.select("tree", F.col("node").alias("above"), F.col("above").alias("top"))
+    return stored(jump.join(far, ["tree", "above"]).select("tree", "node", F.col("top").alias("above")))
+
+
+def _rounds(kept: DataFrame) -> int:
+    """Doublings after which only nodes that lead into a cycle still have something above them."""
+    return int(kept.groupBy("tree").count().agg(F.max("count")).first()[0] or 0).bit_length()
+
+
+def endless(nodes: DataFrame) -> DataFrame:
+    """(tree, node) of the nodes whose parents lead into a cycle; they have no root and are on no path."""
+    kept = _known_parents(nodes.withColumn("score", F.lit(0.0)))
+    jump = kept.select("tree", "node", F.col("parent").alias("above")).where("above is not null")
+    for _ in range(_rounds(kept)):
+        jump = _twice(jump)
+        if jump.isEmpty():
+            break
+    return jump.select("tree", "node")
+
+
+def reply_paths(nodes: DataFrame) -> DataFrame:
     """Every root-to-leaf path of the reply trees in ``nodes`` (tree, node, parent, score).
 
     Iterative self-joins: round k joins each row with the node 2**k replies above, so
     a path of n turns takes log2(n) rounds. Rows of paths are keyed by tree and node,
     so a tree of any size is spread over all tasks. A parent that is not in its tree
-    counts as none (the node is a root); nodes on a cycle reach no root and give no
-    path. ``max_rounds`` bounds the rounds that a cycle would otherwise never end.
+    counts as none (the node is a root); nodes that lead into a cycle reach no root
+    and are on no path (``endless`` tells them).
     Returns tree, leaf, node, up (0 at the leaf), score.
     """
-    known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    kept = nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    kept = stored(kept)
+    kept = _known_parents(nodes)
     inner = kept.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
     paths = kept.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up"))
     paths = stored(paths)
     jump = kept.select("tree", "node", F.col("parent").alias("above")).where("above is not null")
-    for k in range(max_rounds):
+    for k in range(_rounds(kept)):
         more = paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         paths = stored(paths.unionByName(more))
-        far = jump.select("tree", F.col("node").alias("above"), F.col("above").alias("top"))
-        jump = stored(jump.join(far, ["tree", "above"]).select("tree", "node", F.col("top").alias("above")))
+        jump = _twice(jump)
         if jump.isEmpty():
             break
     else:
-        raise ValueError("the parents form a cycle")
+        paths = paths.join(jump.select("tree", F.col("node").alias("leaf")), ["tree", "leaf"], "left_anti")
     return paths.join(kept.select("tree", "node", "score"), ["tree", "node"])
 
 
@@ -59,8 +85,9 @@ def format_trees(nodes: DataFrame, branches: int | None = None) -> DataFrame:
     one string of marked turns and the spans of it that are assistant texts.
 
     Defined cases: a null role or text counts as empty; a null score as 0; an empty
-    table gives no rows; other columns are not looked at. Nodes must be unique in
-    their tree. Returns tree, leaf, rank, formatted, loss_spans (start from 0, length;
+    table gives no rows; other columns are not looked at; very long texts are formatted
+    whole, a conversation being one cell. Nodes must be unique in their tree; those
+    that lead into a cycle are on no path. Returns tree, leaf, rank, formatted, loss_spans (start from 0, length;
     code points of ``formatted``).
     """
     paths = reply_paths(nodes.select("tree", "node", "parent", F.col("score").cast("double").alias("score")))
@@ -74,17 +101,11 @@ def format_trees(nodes: DataFrame, branches: int | None = None) -> DataFrame:
     piece = F.concat(F.lit(OPEN), escaped(F.col("role")), F.lit(MIDDLE), escaped(F.col("text")), F.lit(CLOSE))
     head = F.length(F.concat(F.lit(OPEN), escaped(F.col("role")), F.lit(MIDDLE)))
     turns = turns.select("tree", "leaf", (-F.col("up")).alias("at"), piece.alias("piece"), F.length(piece).alias("n"), head.alias("head"), F.length(escaped(F.col("text"))).alias("body"), (F.col("role") == "assistant").alias("loss"))
-    told = turns.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("at", "piece", "n", "head", "body", "loss"))).alias("turns"))
-    start = F.struct(F.lit(0).alias("from"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    walked = F.aggregate(
-        "turns",
-        start,
-        lambda a, t: F.struct(
-            (a["from"] + t["n"]).alias("from"),
-            F.when(t["loss"], F.concat(a["spans"], F.array(F.struct((a["from"] + t["head"]).alias("start"), t["body"].alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-    )
-    told = told.select("tree", "leaf", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), walked["spans"].alias("loss_spans"))
+    so_far = Window.partitionBy("tree", "leaf").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("from", F.coalesce(F.sum("n").over(so_far), F.lit(0)).cast("int"))
+    span = F.when(F.col("loss"), F.struct((F.col("from") + F.col("head")).alias("start"), F.col("body").alias("length")))
+    told = turns.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("turns"), F.array_sort(F.collect_list(span)).alias("loss_spans"))
+    told = told.select("tree", "leaf", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), "loss_spans")
     return told.join(ranked.select("tree", "leaf", "rank"), ["tree", "leaf"])
 
 
@@ -96,9 +117,12 @@ def read_back(formatted: Column) -> Column:
 
 
 def threads(conversations: DataFrame) -> DataFrame:
-    """Rows by turn as reply trees: each row answers the row before it; equal turns stand by role, then text."""
+    """Rows by turn as reply trees: each row answers the row before it; null turns come first, equal ones stand by role, then text.
+
+    ``tree`` is a struct of the id, so rows without one are a conversation too.
+    """
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
-    rows = conversations.select(F.col("conv_id").alias("tree"), "turn", "role", "text").withColumn("node", F.row_number().over(order))
+    rows = conversations.select(F.struct("conv_id").alias("tree"), "turn", "role", "text").withColumn("node", F.row_number().over(order))
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 
@@ -113,7 +137,7 @@ def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.withColumn("loss", F.array_join(texts, ""))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
-        F.col("tree").alias("conv_id"),
+        F.col("tree.conv_id").alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
@@ -132,9 +156,9 @@ WITH rows_ AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum({len(OPEN) + len(MIDDLE) + len(CLOSE)} + length({_sql_escaped('role')}) + length({_sql_escaped('text')})) AS BIGINT) AS formatted_chars
 FROM rows_ GROUP BY conv_id
 """

@@ -1,10 +1,9 @@
 import hashlib
 
 import duckdb
-import pytest
 from pyspark.sql import functions as F
 
-from quillwork.llm.chat import OP8_SQL, escaped, format_trees, op8_reply_trees, read_back, reply_paths, unescaped
+from quillwork.llm.chat import OP8_SQL, endless, escaped, format_trees, op8_reply_trees, read_back, reply_paths, unescaped
 
 NODES = "tree long, node long, parent long, score double, role string, text string"
 
@@ -32,12 +31,14 @@ def test_long_chains_and_cycles(spark):
     chain = spark.range(1, 301).selectExpr("1L AS tree", "id AS node", "nullif(id - 1, 0) AS parent", "0D AS score")
     paths = reply_paths(chain)
     assert paths.count() == 300 and paths.agg(F.max("up")).first()[0] == 299
-    with pytest.raises(ValueError):
-        reply_paths(spark.createDataFrame([(1, 1, None, 0.0), (1, 2, 3, 0.0), (1, 3, 2, 0.0)], "tree long, node long, parent long, score double"), max_rounds=5)
+    looped = spark.createDataFrame([(1, 1, None, 0.0), (1, 2, 3, 0.0), (1, 3, 2, 0.0), (1, 4, 3, 0.0), (1, 5, 1, 0.0), (2, 1, 1, 0.0), (3, 1, None, 0.0)], "tree long, node long, parent long, score double")
+    assert {(r.tree, r.leaf, r.node, r.up) for r in reply_paths(looped).collect()} == {(1, 5, 5, 0), (1, 5, 1, 1), (3, 1, 1, 0)}
+    assert {tuple(r) for r in endless(looped).collect()} == {(1, 2), (1, 3), (1, 4), (2, 1)} and endless(chain).count() == 0
 
 
 def test_query_matches_sql(spark, sf_dir):
     rows = [(c, t, r, x) for c in range(20) for t, (r, x) in enumerate([("system", None), ("user", f"<|end|> {c} \\"), ("assistant", "🎉é" * c), (None, "odd"), ("assistant", "")][: 1 + c % 5])]
+    rows += [(60, None, "assistant", "no turn"), (60, 3, "user", "long " * 60_000), (60, 1, "assistant", None), (None, 1, "user", "no id")]
     rows += [(50, 0, "user", "tie"), (50, 0, "user", "also"), (50, 1, "assistant", "x")]
     conv = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, node string")
     path = sf_dir(conversations=conv)
