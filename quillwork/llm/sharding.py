@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._quantile import cut_points
+from ._quantile import cut_points, small_table
 from ._store import stored
 
 #: A key is 16 bits of a metadata coordinate, 20 bits of the text's hash, 24 bits of the id's hash:
 #: rows with equal metadata are dealt by text, equal texts stay neighbours, and any group can still be cut.
 _COORD, _TEXT, _ID = 16, 20, 24
+#: A cut falls between texts, not among copies of one, where that costs its sides no more than this share
+#: of a leaf; only a group that weighs over twice as much can be cut.
+WHOLE_SHARE = 0.02
 _ROWS_PER_RUN = 50_000
 
 
@@ -43,33 +46,43 @@ def kd_shards(
     dimension until leaves reach ``target_bytes`` (or until there are
     ``n_shards``); a node of k leaves gives floor(k/2) of them to its lower side.
     Medians come from histograms summed on the executors; rows are never sorted
-    or moved to find them, and a node's hottest value can be cut anywhere.
+    or moved to find them. Copies of a text share the least metadata among them, so
+    they are neighbours in every order. A cut falls between two texts unless that
+    would put it off its median by over WHOLE_SHARE of a leaf, so a group of copies
+    lies in one shard unless it weighs more than twice that and a median falls in it.
 
     Defined cases: a null text weighs ``overhead`` bytes and has the checksum of
-    the empty text; a null or absent dimension value sorts lowest; repeated rows
-    are separate rows; an empty table gives no rows; columns other than those
-    named are not looked at. Returns id, size, text_crc32, shard, slot (gapless
-    from 0 in each shard).
+    the empty text; a null or absent dimension value sorts lowest; very long texts
+    weigh what they are; repeated rows are separate rows; an empty table gives no
+    rows; columns other than those named are not looked at. Returns id, size,
+    text_crc32, shard, slot (gapless from 0 in each shard).
     """
+    spark = df.sparkSession
     body = F.coalesce(df[text_col].cast("string"), F.lit("")).cast("binary")
     numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
-    ranged = [d for d in dims if d in numeric]
+    names = [f"d{i}" for i in range(len(dims))]
     size = F.octet_length(body).cast("long") + F.lit(overhead)
-    base = stored(df.select(df[id_col].alias("id"), size.alias("size"), F.crc32(body).alias("crc"), F.xxhash64(body).alias("h"), *[(df[d].cast("double") if d in numeric else df[d].cast("string")).alias(f"d{i}") for i, d in enumerate(dims)]))
-    ends = base.agg(F.count("*").alias("n"), F.sum("size").alias("w"), *[f(f"d{dims.index(d)}").alias(f"{s}{d}") for d in ranged for f, s in ((F.min, "lo_"), (F.max, "hi_"))]).first()
+    base = stored(df.select(df[id_col].alias("id"), size.alias("size"), F.crc32(body).alias("crc"), F.xxhash64(body).alias("h"), *[(df[d].cast("double") if d in numeric else df[d].cast("string")).alias(n) for d, n in zip(dims, names)]))
+    copies = base.groupBy("h").agg(*[F.min(n).alias(f"g_{n}") for n in names], *[F.max(n).alias(f"t_{n}") for n in names], *[F.count(n).alias(f"n_{n}") for n in names], F.count("*").alias("n"))
+    differ = " or ".join(f"g_{n} < t_{n} or (n_{n} > 0 and n_{n} < n)" for n in names)
+    copies = copies.where(differ).select("h", F.lit(True).alias("mixed"), *[f"g_{n}" for n in names])  # copies whose metadata differ
+    base = base.join(copies, "h", "left").select("id", "size", "crc", "h", *[F.when(F.col("mixed"), F.col(f"g_{n}")).otherwise(F.col(n)).alias(n) for n in names])
+    ranged = [n for d, n in zip(dims, names) if d in numeric]
+    ends = base.agg(F.count("*").alias("n"), F.sum("size").alias("w"), *[f(n).alias(f"{s}{n}") for n in ranged for f, s in ((F.min, "lo_"), (F.max, "hi_"))]).first()
     total, n_rows = float(ends.w or 0), ends.n
     leaves = n_shards or max(1, round(total / target_bytes))
     tie = F.shiftleft(F.shiftrightunsigned("h", 64 - _TEXT), _ID) + F.shiftrightunsigned(F.xxhash64("id", "h"), 64 - _ID)
     keys = []
-    for i, d in enumerate(dims):
-        low, high = (ends[f"lo_{d}"] or 0.0, ends[f"hi_{d}"] or 0.0) if d in ranged else (None, None)
-        keys.append((F.shiftleft(_coordinate(base, f"d{i}", low, high), _TEXT + _ID) + tie).alias(f"k{i}"))
-    rows = stored(base.select("id", "size", "crc", F.lit(1).cast("long").alias("v"), *keys))
+    for n in names:
+        low, high = (ends[f"lo_{n}"] or 0.0, ends[f"hi_{n}"] or 0.0) if n in ranged else (None, None)
+        keys.append(F.shiftleft(_coordinate(base, n, low, high), _TEXT + _ID) + tie)
+    rows = stored(base.select("id", "size", "crc", F.lit(1).cast("long").alias("v"), F.array(*keys).alias("k")))
     nodes = {1: (0, leaves, total)}  # node: first leaf, leaves, weight; the children of v are 2v and 2v + 1
+    least = total / leaves * WHOLE_SHARE
     while n_rows and (wide := {v for v, (_, k, _) in nodes.items() if k > 1}):
-        spans = rows.groupBy("v").agg(*[f(f"k{i}").alias(f"{s}{i}") for i in range(len(dims)) for f, s in ((F.min, "lo"), (F.max, "hi"))])
+        ends_of = [f(F.col("k")[i]).alias(f"{s}{i}") for i in range(len(dims)) for f, s in ((F.min, "lo"), (F.max, "hi"))]
         wanted, by = {}, {}
-        for r in spans.collect():  # a row for each node
+        for r in rows.groupBy("v").agg(*ends_of).collect():  # a row for each node
             if r.v in wide:
                 _, k, w = nodes[r.v]
                 width = [(r[f"hi{i}"] >> (_TEXT + _ID)) - (r[f"lo{i}"] >> (_TEXT + _ID)) for i in range(len(dims))]
@@ -77,23 +90,25 @@ def kd_shards(
                 wanted[r.v] = (r[f"lo{dim}"], r[f"hi{dim}"], w * (k // 2) / k)
         if not wanted:
             break
-        key = F.lit(None).cast("long")
-        for v, dim in by.items():
-            key = F.when(F.col("v") == F.lit(v), F.col(f"k{dim}")).otherwise(key)
-        found = cut_points(rows, F.col("v"), key, F.col("size"), wanted, {v: total / leaves * 1e-4 for v in wanted})
-        child = F.col("v")
-        for v, (cut, below) in found.items():
+        along = rows.join(small_table(spark, list(by.items()), "v", "dim"), "v")
+        key = F.col("k")[F.col("dim").cast("int")]
+        between = cut_points(along, F.col("v"), F.shiftrightunsigned(key, _ID), F.col("size"), {v: (lo >> _ID, hi >> _ID, w) for v, (lo, hi, w) in wanted.items()})
+        found = {v: (cut << _ID, below) for v, (cut, below) in between.items()}
+        off = {v: wanted[v] for v, (_, below) in found.items() if abs(below - wanted[v][2]) > least}
+        if off:
+            found |= cut_points(along, F.col("v"), key, F.col("size"), off, dict.fromkeys(off, least / 100))
+        for v, (_, below) in found.items():
             first, k, w = nodes.pop(v)
             nodes[2 * v], nodes[2 * v + 1] = (first, k // 2, below), (first + k // 2, k - k // 2, w - below)
-            child = F.when(F.col("v") == F.lit(v), F.lit(2 * v) + (F.col(f"k{by[v]}") >= F.lit(cut)).cast("long")).otherwise(child)
-        rows = stored(rows.withColumn("v", child))
+        cuts = small_table(spark, [(v, by[v], cut) for v, (cut, _) in found.items()], "v", "dim", "cut")
+        below = F.col("k")[F.col("dim").cast("int")] >= F.col("cut")
+        rows = stored(rows.join(cuts, "v", "left").select("id", "size", "crc", F.when(F.col("cut").isNull(), F.col("v")).otherwise(F.col("v") * 2 + below.cast("long")).alias("v"), "k"))
         nodes = {v: x for v, x in nodes.items() if v not in wide or v in wanted}
 
-    leaf = F.lit(0)
-    for v, (first, _, _) in nodes.items():
-        leaf = F.when(F.col("v") == F.lit(v), F.lit(first)).otherwise(leaf)
+    leaf = small_table(spark, [(v, first) for v, (first, _, _) in nodes.items()], "v", "first")
+    rows = rows.join(leaf, "v", "left")
     runs = max(1, -(-n_rows // _ROWS_PER_RUN))
-    dealt = rows.select("id", F.col("size"), F.col("crc").alias("text_crc32"), leaf.cast("int").alias("shard"), F.pmod(F.xxhash64("id", "k0"), F.lit(runs)).cast("int").alias("run"))
+    dealt = rows.select("id", F.col("size"), F.col("crc").alias("text_crc32"), F.coalesce("first", F.lit(0)).cast("int").alias("shard"), F.pmod(F.xxhash64("id", "k"), F.lit(runs)).cast("int").alias("run"))
     counts = dealt.groupBy("shard", "run").agg(F.count("*").alias("in_run"))
     before = counts.select("shard", "run", (F.sum("in_run").over(Window.partitionBy("shard").orderBy("run")) - F.col("in_run")).alias("before"))
     in_run = F.row_number().over(Window.partitionBy("shard", "run").orderBy("id", "text_crc32", "size"))
