@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import mixed, prefix_hash, slices, span_hash, word_spans
+from ._text import mixed, prefix_hash, row_runs, slices, span_hash, word_spans
 
 #: Hashed word features of a model; the weights are all that is sent to the executors.
 FEATURE_BITS = 18
@@ -37,15 +38,10 @@ def word_features(column: pa.Array, bits: int = FEATURE_BITS) -> tuple[np.ndarra
     return (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def fit_features(texts: Sequence[str | None], bits: int = FEATURE_BITS, at_once: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """The features of all texts that more than one has, in 32 bits; a few texts at a time are expanded."""
-    parts = []
-    for s in range(0, len(texts), at_once):
-        row, bucket = word_features(pa.array(texts[s : s + at_once], pa.large_string()), bits)
-        parts.append(((row + s).astype(np.int32), bucket.astype(np.int32)))
-    row, bucket = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (list(zip(*parts)) or ((), ())))
+def shared_features(row: np.ndarray, bucket: np.ndarray, bits: int = FEATURE_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The features that more than one text has, in 32 bits."""
     shared = np.bincount(bucket, minlength=1 << bits)[bucket] > 1
-    return row[shared], bucket[shared]
+    return row[shared].astype(np.int32), bucket[shared].astype(np.int32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -116,7 +112,12 @@ def fit_chain(texts: Sequence[str | None], labels: np.ndarray, categories: tuple
     The earlier probabilities of each row come from a model that has not seen the row,
     as they will for new rows. A category with one class only gets a constant model.
     """
-    row, bucket = fit_features(texts, bits)
+    return fit_features(*word_features(pa.array(texts, pa.large_string()), bits), labels, categories, bits, folds)
+
+
+def fit_features(row: np.ndarray, bucket: np.ndarray, labels: np.ndarray, categories: tuple[str, ...], bits: int = FEATURE_BITS, folds: int = FOLDS) -> Chain:
+    """``fit_chain`` from the features of the texts."""
+    row, bucket = shared_features(row, bucket, bits)
     n = len(labels)
     fold = np.arange(n) % folds
     chain, seen = Chain(categories, bits), np.zeros((n, 0))
@@ -136,19 +137,35 @@ def fit_chain(texts: Sequence[str | None], labels: np.ndarray, categories: tuple
     return chain
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], most: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """At most ``most`` labelled texts, half of them from each class of the last category.
+def labelled_sample(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], most: int = FIT_ROWS, bits: int = FEATURE_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features (row, bucket) and labels of at most ``most`` labelled texts, half of them from each class of the last category.
 
     Rows are taken in the order of a hash of their id, so the sample does not depend
-    on how the tables are laid out. Rows with a null label are left out.
+    on how the tables are laid out. Labels that repeat an id count by the greatest of
+    each category; of documents that repeat one, the text with the least hash counts.
+    Rows with a null label and null texts are left out. Texts stay on the executors:
+    the driver gets their distinct features, at most ``2**bits`` numbers a text.
     """
-    flags = labels.select("doc_id", *categories).dropna().dropDuplicates(["doc_id"])
+    flags = labels.select("doc_id", *categories).dropna().groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
     flags = flags.withColumn("turn", F.xxhash64("doc_id"))
     parts = [flags.where(F.col(categories[-1]) == v).orderBy("turn", "doc_id").limit(most // 2) for v in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # most rows at most
-    rows = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").dropDuplicates(["doc_id"])
-    got = sorted(rows.select("doc_id", "text", *categories, "turn").collect(), key=lambda r: (r.turn, r.doc_id))
-    return [r.text for r in got], np.array([[r[c] for c in categories] for r in got], float).reshape(-1, len(categories))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(chosen, "doc_id")
+    one = rows.groupBy("doc_id", "turn", *categories).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    names = ["turn", "doc_id", *categories, "features"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                row, bucket = word_features(part.column("text"), bits)
+                lists = pa.ListArray.from_arrays(pa.array(row_runs(row, part.num_rows).astype(np.int32)), pa.array(bucket.astype(np.int32)))
+                yield pa.record_batch([part.column("turn"), pc.cast(part.column("doc_id"), pa.string()), *[pc.cast(part.column(c), pa.float64()) for c in categories], lists], names)
+
+    told = one.select("turn", "doc_id", *categories, F.col("least.text").alias("text")).mapInArrow(run, "turn long, doc_id string, " + "".join(f"`{c}` double, " for c in categories) + "features array<int>")
+    got = told.toArrow().combine_chunks().sort_by([("turn", "ascending"), ("doc_id", "ascending")])
+    lists = got.column("features").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    row = np.repeat(np.arange(got.num_rows), np.diff(lists.offsets.to_numpy()) if got.num_rows else 0)
+    return row, lists.flatten().to_numpy(), np.column_stack([got.column(c).to_numpy() for c in categories]).reshape(-1, len(categories))
 
 
 def score_chain(docs: DataFrame, chain: Chain, columns: Sequence[str] = ("doc_id",), text_col: str = "text", prefix: str = "p_") -> DataFrame:
@@ -178,7 +195,7 @@ def fitted(spark: SparkSession, sf_dir: str) -> Chain:
     """The chain junk -> toxic fitted on a bounded sample of ``labels``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
-    return fit_chain(*labelled_sample(docs, labels, CATEGORIES), CATEGORIES)
+    return fit_features(*labelled_sample(docs, labels, CATEGORIES), CATEGORIES)
 
 
 def op9_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,6 +214,11 @@ def decided(scored: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the chain does not call toxic, with their columns."""
+    """Pipeline stage: the documents that the chain does not call toxic, with their columns.
+
+    Null, empty and wordless texts are not toxic and stay; very long texts are scored
+    whole; each row is judged by its own text, so repeated rows stay or go together; an
+    empty table gives none; other columns, whatever their names, are passed on.
+    """
     scored = score_chain(docs, fitted(spark, sf_dir), docs.columns, prefix="__p_")
     return scored.where(F.col("__p_toxic") <= TOXIC_FROM).select(docs.columns)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from quillwork.llm import decontam, toxicity
 from quillwork.llm._quantile import cut_points
 from quillwork.llm.decontam import Index, drop_leaks, leaks, leaks_in, make_items, op5_simhash_windows
-from quillwork.llm.resampling import gumbel_top, op2_importance_resampling, resample
+from quillwork.llm.resampling import gumbel_top, ngram_buckets, op2_importance_resampling, resample
 from quillwork.llm.toxicity import drop_toxic, fit_chain, op9_classifier_chain, word_features
 
 from .conftest import prose
@@ -61,8 +62,49 @@ def test_toxic_query_and_stage(spark, docs, empty, repeated, tables):
 
 def test_chain_sample_takes_3000_of_each_class(spark):
     docs = spark.range(6300).selectExpr("id AS doc_id", "concat('text ', id) AS text")
-    got, flags = toxicity.labelled_sample(docs, docs.selectExpr("doc_id", "int(doc_id % 3 = 0) AS junk", "int(doc_id % 2) AS toxic"), ("junk", "toxic"))
-    assert len(got) == 6000 and flags[:, 1].sum() == 3000
+    row, bucket, flags = toxicity.labelled_sample(docs, docs.selectExpr("doc_id", "int(doc_id % 3 = 0) AS junk", "int(doc_id % 2) AS toxic"), ("junk", "toxic"))
+    assert len(flags) == 6000 and flags[:, 1].sum() == 3000 and row.max() == 5999 and len(row) == len(bucket)
+
+
+def test_sample_of_repeated_ids_does_not_depend_on_the_layout(spark):
+    docs = spark.createDataFrame([(1, "one text"), (1, "other words here"), (1, None), (2, "two"), (2, "two"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, 0, 1), (2, None, 1), (3, 0, 0), (None, 1, 1)], "doc_id long, junk int, toxic int")
+    both = [toxicity.labelled_sample(d, labels.repartition(n), ("junk", "toxic")) for d, n in ((docs.repartition(3), 2), (docs.coalesce(1), 1))]
+    for a, b in zip(*both):
+        assert np.array_equal(a, b)
+    assert sorted(map(tuple, both[0][2].tolist())) == [(0.0, 1.0), (1.0, 0.0)]
+
+
+def plain_logistic(x, dense, y, steps=100, rate=0.05, decay=1e-4):
+    """The same model over a full matrix: class ratios as feature values, balanced log loss, Adam."""
+    n1, n0 = max(y.sum(), 1.0), max((1 - y).sum(), 1.0)
+    used = np.flatnonzero(x.sum(0) > 1)
+    with_, ones = x.sum(0)[used], (x * y[:, None]).sum(0)[used]
+    ratio = np.log((ones + 2) / (n1 + 4)) - np.log((with_ - ones + 2 * n0 / n1) / (n0 + 4 * n0 / n1))
+    full = np.column_stack([x[:, used] * ratio, dense, np.ones(len(y))])
+    theta, m, v = np.zeros(full.shape[1]), 0.0, 0.0
+    weight = np.where(y > 0, 0.5 / n1, 0.5 / n0)
+    for t in range(1, steps + 1):
+        grad = full.T @ (weight * (1 / (1 + np.exp(-full @ theta)) - y)) + decay * np.append(theta[:-1], 0)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        theta = theta - rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return lambda x, dense: 1 / (1 + np.exp(-np.column_stack([x[:, used] * ratio, dense, np.ones(len(x))]) @ theta))
+
+
+def test_chain_equals_a_plain_fit():
+    """Both models, their out-of-fold inputs and the predictions against full matrices."""
+    texts, toxic, junk = labelled(120)
+    row, bucket = word_features(pa.array(texts, pa.large_string()), 10)
+    x = np.zeros((120, 1 << 10))
+    x[row, bucket] = 1
+    y = np.column_stack([junk, toxic]).astype(float)
+    none, fold, seen = np.zeros((120, 0)), np.arange(120) % 4, np.zeros(120)
+    for f in range(4):
+        seen[fold == f] = plain_logistic(x[fold != f], none[fold != f], y[fold != f, 0])(x[fold == f], none[fold == f])
+    first, second = plain_logistic(x, none, y[:, 0]), plain_logistic(x, seen[:, None], y[:, 1])
+    p = first(x, none)
+    got = fit_chain(texts, y, ("junk", "toxic"), bits=10).predict(row, bucket, 120)
+    assert np.allclose(got[:, 0], p, atol=1e-3) and np.allclose(got[:, 1], second(x, p[:, None]), atol=1e-3)
 
 
 def test_cut_points_are_exact(spark):
@@ -81,6 +123,38 @@ def test_gumbel_top_share(spark):
     assert gumbel_top(rows, 1.0).count() == 2000
 
 
+def test_resampling_equals_brute_force(spark, docs, tables):
+    """Ratios, noise and the selection of the whole query against plain counting."""
+    from collections import Counter
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{tables}/labels.parquet").where("quality is not null").collect()}
+    grams = [ngram_buckets(pa.array([t or ""], pa.large_string()))[1].tolist() for _, t in rows]
+    raw, target = Counter(), Counter()
+    for (i, _), g in zip(rows, grams):
+        raw.update(g)
+        if labels.get(i) == 1:
+            target.update(g)
+    size, all_raw, all_target = 1 << 16, sum(raw.values()), sum(target.values())
+    log = lambda c, n: math.log((c + 1) / (n + size))
+    ratio = {i: sum(log(target[b], all_target) - log(raw[b], all_raw) for b in g) for (i, _), g in zip(rows, grams)}
+    ids = spark.createDataFrame([(i,) for i, _ in rows], "id long").selectExpr("id", "xxhash64(id, 17) AS h").collect()
+    noise = {r.id: -math.log(-math.log((((r.h & ((1 << 64) - 1)) >> 11) + 0.5) / (1 << 53))) for r in ids}
+    share = sum(labels.values()) / len(labels)
+    best = sorted(ratio, key=lambda i: -(ratio[i] + noise[i]))[: round(share * len(rows))]
+    got = {r.doc_id: r for r in op2_importance_resampling(spark, tables).collect()}
+    assert set(got) == set(best)
+    assert all(abs(r.log_ratio - ratio[i]) < 1e-6 and abs(r.gumbel_key - ratio[i] - noise[i]) < 1e-6 for i, r in got.items())
+
+
+def test_ties_at_the_threshold_and_extreme_ratios(spark):
+    rows = spark.range(100).selectExpr("id % 20 AS id", "0D AS log_ratio")
+    kept = gumbel_top(rows, 0.5)
+    assert kept.count() == 50 and kept.groupBy("id").count().where("count <> 5").count() == 0
+    rows = spark.range(100).selectExpr("id", "if(id % 2 = 0, 1e12, -1e12) AS log_ratio")
+    assert {r.id % 2 for r in gumbel_top(rows, 0.5).collect()} == {0}
+
+
 def test_resampling_prefers_the_target(spark, docs, empty, repeated, tables):
     out = op2_importance_resampling(spark, tables)
     assert out.columns == ["doc_id", "log_ratio", "gumbel_key"]
