@@ -9,7 +9,8 @@ from ._text import prefix_hash, span_hash
 SPAN = 100
 #: Bytes of an anchor. Equal strings of SPAN bytes have equal anchors at equal places.
 GRAM = 40
-_PLACE = np.uint64(28)
+#: Low bits that hold a place; the hash's high bits stand above them, and of equal ones the leftmost is taken.
+_PLACE = np.uint64(32)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:

@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_cleaned: set[str] = set()
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` where it is set.
 
-    Only an unset value (tests on one machine) is replaced by a local folder.
+    Only on one machine, as in tests, an unset value is replaced by a local folder; a
+    cluster without a shared folder raises. The folder goes when the program ends.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.path.join(tempfile.gettempdir(), f"quillwork-{spark.sparkContext.applicationId}")
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = os.path.join(tempfile.gettempdir(), "quillwork")
+    folder = f"{root.rstrip('/')}/{context.applicationId}"
+    if folder not in _cleaned:
+        _cleaned.add(folder)
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        atexit.register(_drop, files, path)
+    return folder
+
+
+def _drop(files, path) -> None:
+    with contextlib.suppress(Exception):  # the gateway may be gone
+        files.delete(path, True)
 
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:

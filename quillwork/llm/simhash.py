@@ -216,11 +216,19 @@ def op7_tiled_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest id of each near-duplicate group stays.
+    """Pipeline stage: one row of each near-duplicate group stays, with its columns.
 
-    Of rows with one id one stays; rows without an id have no name to be kept by and all stay.
+    That is the row with the smallest id; rows without an id come last, and rows with
+    one id (or none) stand by the hash of all their columns, so each is judged by its
+    own text. Null, empty and blank texts are near-duplicates of each other; very long
+    texts count whole; of repeated rows one stays; an empty table gives none; other
+    columns are passed on.
     """
-    found = near_duplicates(docs)
-    kept = found.where("id <=> component_id").select(F.col("id").alias("doc_id")).distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.where("n > 1 or doc_id is null").isEmpty():
+        kept = near_duplicates(docs).where("id = component_id").select(F.col("id").alias("doc_id"))
+        return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    every = F.xxhash64(*[docs[c] for c in docs.columns])
+    name = F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"].alias("id"), every.alias("h"))
+    kept = near_duplicates(docs.select(name.alias("name"), docs["text"]), "name").where("id = component_id").select(F.col("id").alias("__name")).distinct()
+    return docs.withColumn("__name", name).join(kept, "__name", "left_semi").dropDuplicates(["__name"]).select(docs.columns)

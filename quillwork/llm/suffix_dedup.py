@@ -28,10 +28,12 @@ from ._store import stored
 from ._suffix import permuted_prefixes, suffix_array
 from ._text import column_bytes, give_back, mixed, prefix_hash, slices, span_hash
 
-#: An anchor that holds more than this share of all anchors is split into its single strings.
-#: By counting there are at most HOT_SHARE such anchors, so the list can be sent to every task.
+#: An anchor with more than a HOT_SHARE-th of all anchors, or with more than HOT_MOST, is split into its
+#: single strings. By counting there are at most HOT_SHARE such anchors, or one in HOT_MOST of all (8 bytes
+#: for every 17 MB of text), so the list can be sent to every task.
 HOT_SHARE = 50_000
 HOT_LEAST = 1_000
+HOT_MOST = 1_000_000
 #: Anchors or contexts that a task gathers before it folds equal ones together.
 GATHER = 1 << 19
 #: Bytes of contexts in one suffix array.
@@ -297,9 +299,9 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     told = stored(_repeated(_anchor_rows(unique)))
     _release(spark)
     total = told.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-    hot = [r.h for r in told.where((F.col("kind") == 1) & (F.col("n") > max(HOT_LEAST, total // HOT_SHARE))).select("h").collect()]
+    hot = told.where((F.col("kind") == 1) & (F.col("n") > max(HOT_LEAST, min(total // HOT_SHARE, HOT_MOST)))).select("h").toArrow()
     ats = told.where("kind = 0").groupBy("id", "th").agg(F.collect_list("at").alias("ats"))
-    sent = _contexts(unique.join(ats, ["id", "th"]), np.array(hot, np.int64).view(np.uint64))
+    sent = _contexts(unique.join(ats, ["id", "th"]), hot.column("h").to_numpy().view(np.uint64))
     found = stored(_intervals(sent))
     del sent, ats
     _release(spark)
@@ -367,7 +369,11 @@ def op3_suffix_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document without its repeated strings, ``n_chars`` counted anew.
 
-    Characters that were cut in part go too. A document of which nothing is left goes.
+    Characters that were cut in part go too. A document of which nothing is left goes;
+    null and empty texts have nothing to cut and stay; very long texts are cut whole; a
+    null id is smaller than any other; of different texts under one id that with the
+    smaller hash is earlier, and repeated rows are one text, cut alike; an empty table
+    gives none; other columns are passed on.
     """
     spans, id_, th = removed_spans(docs)
     kinds = docs.schema

@@ -3,7 +3,7 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from .test_simhash import brute_components, brute_fingerprint  # noqa: E402
-from .test_suffix import brute  # noqa: E402
+from .test_suffix import brute, brute_covers  # noqa: E402
 from .test_text_models import brute_leaks, labelled, tables  # noqa: E402, F401
 
 
@@ -23,13 +23,14 @@ def test_each_stage_matches_brute_force(spark, tables):  # noqa: F811
     whole = {i for i, t in left.items() if t and spans[low if i is None else i][1] == len(t.encode())}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, tables).collect()}
-    assert set(out) <= set(left) - whole
-    gone = set(left) - whole - set(out)
-    clean = {i: left[i] for i in gone if i is not None and len(left[i]) < 20_000}
-    assert {i for i, _ in brute_leaks(list(clean.items()), items)} >= set(clean) - {i for i in clean if spans[i][1]}
-    for i, r in out.items():
-        n, cut, _, _ = spans[low if i is None else i]
-        assert r.n_bytes <= n - cut and r.n_bytes >= n - cut - 6 and len(r.token_ids) == r.n_tokens
+    covers = brute_covers([(low if i is None else i, (t or "").encode()) for i, t in left.items()])
+    cut = {}
+    for i, t in left.items():
+        if i not in whole:
+            cut[i] = bytes(b for b, c in zip((t or "").encode(), covers[low if i is None else i]) if not c).decode(errors="ignore")
+    leaking = {i for i, _ in brute_leaks(list(cut.items()), items)}
+    assert set(out) == set(cut) - leaking
+    assert all(r.round_trip and r.n_bytes == len(cut[i].encode()) and len(r.token_ids) == r.n_tokens for i, r in out.items())
 
 
 def test_empty_tables(spark, tables, sf_dir, tmp_path):  # noqa: F811

@@ -99,3 +99,12 @@ def test_one_of_each_group_stays(spark, docs, repeated, texts):
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
     assert len(ids) == len(set(ids)) and 7 in ids and 8 not in ids and 1 in ids and 2 not in ids and 16 not in ids
+
+
+def test_each_row_is_judged_by_its_own_text(spark):
+    """Different texts under one id, and rows without an id, stand or fall one by one."""
+    far = ["the quiet harbor wind carried lantern light", "seven grey stones marked the old ferry road", "nobody in town remembered the glass willow"]
+    rows = [(1, far[0]), (1, far[1]), (1, far[1]), (2, far[0]), (None, far[2]), (None, far[2]), (None, far[0]), (3, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in keep_one_of_each_group(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(1, far[0]), (1, far[1]), (None, far[2]), (3, "")], key=str)

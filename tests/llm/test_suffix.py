@@ -12,14 +12,22 @@ from quillwork.llm.suffix_dedup import cut_repeats, op3_suffix_spans, repeated_b
 from .conftest import prose
 
 
-def brute(rows, span=100):
+def brute_covers(rows, span=100):
+    """1 for every byte of each text that a string covers which starts earlier too."""
     seen, out = set(), {}
     for i, t in sorted(rows):
-        cover = bytearray(len(t))
+        cover = out[i] = bytearray(len(t))
         for s in range(len(t) - span + 1):
             if t[s : s + span] in seen:
                 cover[s : s + span] = b"\1" * span
             seen.add(t[s : s + span])
+    return out
+
+
+def brute(rows, span=100):
+    out, covers = {}, brute_covers(rows, span)
+    for i, t in rows:
+        cover = covers[i]
         kept = bytes(c for c, r in zip(t, cover) if not r)
         runs = sum(1 for j in range(len(t)) if cover[j] and (j == 0 or not cover[j - 1]))
         out[i] = (len(t), sum(cover), runs, hashlib.sha256(kept).hexdigest())
