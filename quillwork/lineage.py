@@ -11,9 +11,15 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame) -> DataFrame:
     """A checkpoint of ``df`` in the shared folder that the session names; it survives lost executors.
 
-    Only where no folder is named (tests on one machine) a local one is set.
+    Only on one machine, as in tests, a local folder stands in for an unset one; a
+    cluster without a shared folder raises.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"quillwork-{context.applicationId}"))
+        root = context.getConf().get("spark.checkpoint.dir")
+        if not root:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            root = os.path.join(tempfile.gettempdir(), f"quillwork-{context.applicationId}")
+        context.setCheckpointDir(root)
     return df.checkpoint()

@@ -12,11 +12,17 @@ from ..functions import text as X
 from ..lineage import settled
 
 
-def threads(comments: DataFrame, max_depth: int = 1000) -> DataFrame:
+def _rounds(rows: DataFrame) -> int:
+    """Doublings after which nothing but a cycle can be left of a climb within one document."""
+    return int(rows.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0).bit_length()
+
+
+def threads(comments: DataFrame) -> DataFrame:
     """Adds root_id and depth to comments (doc_id, comment_id, parent_id), by rounds of self-joins.
 
-    A missing parent makes a comment a root. Threads up to ``max_depth`` deep are followed
-    to their root in log2 rounds.
+    A missing parent makes a comment a root. Each round doubles the distance climbed, so
+    a thread of any depth takes log2 rounds. Comments whose parents lead into a cycle
+    have no root: their root_id and depth are null.
     """
     known = comments.select("doc_id", F.col("comment_id").alias("parent_id"), F.lit(True).alias("__known"))
     rows = comments.join(known, ["doc_id", "parent_id"], "left")
@@ -24,7 +30,7 @@ def threads(comments: DataFrame, max_depth: int = 1000) -> DataFrame:
     top = rows.where("parent_id is null").select("doc_id", "comment_id", F.col("comment_id").alias("root_id"), F.lit(0).alias("depth"))
     up = rows.where("parent_id is not null").select("doc_id", "comment_id", F.col("parent_id").alias("above"), F.lit(1).alias("depth"))
     found, up = settled(top), settled(up)
-    for _ in range(max(1, max_depth.bit_length())):  # each round doubles the distance to the comment above
+    for _ in range(_rounds(comments)):
         if up.isEmpty():
             break
         at_root = found.select("doc_id", F.col("comment_id").alias("above"), "root_id", F.col("depth").alias("__more"))
@@ -32,7 +38,7 @@ def threads(comments: DataFrame, max_depth: int = 1000) -> DataFrame:
         far = up.select("doc_id", F.col("comment_id").alias("above"), F.col("above").alias("__top"), F.col("depth").alias("__more"))
         up = settled(up.join(far, ["doc_id", "above"]).select("doc_id", "comment_id", F.col("__top").alias("above"), (F.col("depth") + F.col("__more")).alias("depth")))
         found = settled(found.unionByName(reached))
-    return rows.join(found, ["doc_id", "comment_id"])
+    return rows.join(found, ["doc_id", "comment_id"], "left")
 
 
 def replies(comments: DataFrame) -> DataFrame:
@@ -41,20 +47,21 @@ def replies(comments: DataFrame) -> DataFrame:
     return comments.join(kids, ["doc_id", "comment_id"], "left").withColumn("replies", F.coalesce("replies", F.array().cast("array<bigint>")))
 
 
-def descendants_sql(comments: str, doomed: str) -> str:
-    """SQL for all rows of ``comments`` under those of ``doomed`` (doc_id, comment_id), themselves included."""
-    return f"""
-    WITH RECURSIVE gone(doc_id, comment_id) AS (
-      SELECT doc_id, comment_id FROM {doomed}
-      UNION ALL
-      SELECT c.doc_id, c.comment_id FROM {comments} c JOIN gone g ON c.doc_id = g.doc_id AND c.parent_id = g.comment_id)
-    SELECT DISTINCT doc_id, comment_id FROM gone"""
-
-
 def delete_comments(comments: DataFrame, doomed: DataFrame) -> DataFrame:
-    """Comments without those named and all replies below them."""
-    gone = comments.sparkSession.sql(descendants_sql("{c}", "{d}"), c=comments, d=doomed)
-    return comments.join(gone, ["doc_id", "comment_id"], "left_anti")
+    """Comments without those named and all replies below them, at any depth.
+
+    Each round looks twice as far up, so every comment has one row at all times and
+    replies on a cycle end too.
+    """
+    named = doomed.select("doc_id", "comment_id").distinct().withColumn("__named", F.lit(True))
+    state = comments.select("doc_id", "comment_id", F.col("parent_id").alias("above")).join(named, ["doc_id", "comment_id"], "left")
+    state = settled(state.select("doc_id", "comment_id", "above", F.col("__named").isNotNull().alias("gone")))
+    for _ in range(_rounds(comments)):
+        if state.where("above is not null and not gone").isEmpty():
+            break
+        upper = state.select("doc_id", F.col("comment_id").alias("above"), F.col("above").alias("__top"), F.col("gone").alias("__gone"))
+        state = settled(state.join(upper, ["doc_id", "above"], "left").select("doc_id", "comment_id", F.col("__top").alias("above"), (F.col("gone") | F.coalesce("__gone", F.lit(False))).alias("gone")))
+    return comments.join(state.where("gone").select("doc_id", "comment_id"), ["doc_id", "comment_id"], "left_anti")
 
 
 def add_comments(comments: DataFrame, new: DataFrame) -> DataFrame:
@@ -109,11 +116,14 @@ def unresolved(texts: DataFrame, defined: DataFrame, pattern: str = r"(?:REF|PAG
 
 
 def part_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Parts (part_uri, sha, size) of two archives: only_in_left, only_in_right, same or different."""
-    a = left.select("part_uri", F.col("sha").alias("left_sha"), F.col("size").alias("left_size"))
-    b = right.select("part_uri", F.col("sha").alias("right_sha"), F.col("size").alias("right_size"))
+    """Parts (doc_id, part_uri, sha, size) of pairs of archives: only_in_left, only_in_right, same or different.
+
+    Parts meet within their document, so pairs of any number are compared at once.
+    """
+    a = left.select("doc_id", "part_uri", F.col("sha").alias("left_sha"), F.col("size").alias("left_size"))
+    b = right.select("doc_id", "part_uri", F.col("sha").alias("right_sha"), F.col("size").alias("right_size"))
     status = F.when(F.col("right_sha").isNull(), "only_in_left").when(F.col("left_sha").isNull(), "only_in_right").when((F.col("left_sha") == F.col("right_sha")) & (F.col("left_size") == F.col("right_size")), "same").otherwise("different")
-    return a.join(b, "part_uri", "full_outer").withColumn("status", status)
+    return a.join(b, ["doc_id", "part_uri"], "full_outer").withColumn("status", status)
 
 
 def copy_missing(own: DataFrame, other: DataFrame, used: DataFrame, key: list[str]) -> DataFrame:
@@ -144,20 +154,24 @@ def wrapper_errors(wrappers: DataFrame) -> DataFrame:
 # Styles.
 
 
-def style_chains(style_defs: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(doc_id, style_id, depth, ancestor): each style, then what it is based on; a cycle ends the chain."""
-    return style_defs.sparkSession.sql(
-        """
-        WITH RECURSIVE chain(doc_id, style_id, ancestor, next, depth, seen) AS (
-          SELECT doc_id, style_id, style_id, based_on, 0, array(style_id) FROM {s}
-          UNION ALL
-          SELECT c.doc_id, c.style_id, s.style_id, s.based_on, c.depth + 1, concat(c.seen, array(s.style_id))
-          FROM chain c JOIN {s} s ON s.doc_id = c.doc_id AND s.style_id = c.next
-          WHERE NOT array_contains(c.seen, s.style_id) AND c.depth < {most})
-        SELECT doc_id, style_id, depth, ancestor FROM chain""",
-        s=style_defs,
-        most=max_depth,
-    )
+def style_chains(style_defs: DataFrame) -> DataFrame:
+    """(doc_id, style_id, depth, ancestor): each style, then what it is based on; a cycle ends the chain.
+
+    Each round doubles the distance climbed. A style that comes again, further up, is on
+    a cycle, so the least depth of each ancestor is its place in the chain.
+    """
+    known = style_defs.select("doc_id", F.col("style_id").alias("above"))
+    jump = style_defs.select("doc_id", "style_id", F.col("based_on").alias("above")).join(known, ["doc_id", "above"], "left_semi")
+    jump = settled(jump.select("doc_id", "style_id", "above"))
+    chain, n, step = settled(style_defs.select("doc_id", "style_id", F.col("style_id").alias("ancestor"), F.lit(0).alias("depth"))), -1, 1
+    while (now := chain.count()) != n:
+        n = now
+        up = jump.select("doc_id", F.col("style_id").alias("ancestor"), "above")
+        more = chain.join(up, ["doc_id", "ancestor"]).select("doc_id", "style_id", F.col("above").alias("ancestor"), (F.col("depth") + step).alias("depth"))
+        chain = settled(chain.unionByName(more).groupBy("doc_id", "style_id", "ancestor").agg(F.min("depth").alias("depth")))
+        far = jump.select("doc_id", F.col("style_id").alias("above"), F.col("above").alias("__top"))
+        jump, step = settled(jump.join(far, ["doc_id", "above"]).select("doc_id", "style_id", F.col("__top").alias("above"))), 2 * step
+    return chain.select("doc_id", "style_id", "depth", "ancestor")
 
 
 def inherited(style_defs: DataFrame, columns: list[str]) -> DataFrame:
@@ -214,11 +228,11 @@ def table_metadata(cells: DataFrame) -> DataFrame:
 
 
 def extract_tables(cells: DataFrame, headers: list[list[str]] | None = None, reject_merged: bool = True, trim: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows, diagnostics): body rows of tables as maps from header to text.
+    """(rows, diagnostics): body rows of tables as maps from header to text, and their cells as they stand (texts).
 
     A table with merged cells or with a header twice is left out and told in the
     diagnostics. ``headers`` keeps only tables with one of these exact header lists.
-    Cells beyond the headers are dropped; missing ones are empty.
+    In the map, cells beyond the headers are left out and missing ones are empty.
     """
     text = F.trim("text") if trim else F.col("text")
     by_row = cells.groupBy("doc_id", "table_idx", "row_idx").agg(
@@ -235,7 +249,7 @@ def extract_tables(cells: DataFrame, headers: list[list[str]] | None = None, rej
     if headers is not None:
         kept = kept.where(F.col("head").isin(*[F.array(*map(F.lit, h)) for h in headers]))
     padded = F.transform(F.sequence(F.lit(1), F.size("head")), lambda i: F.coalesce(F.try_element_at("texts", i), F.lit("")))
-    return kept.select("doc_id", "table_idx", "row_idx", F.when(~twice, F.map_from_arrays("head", padded)).alias("row")), told
+    return kept.select("doc_id", "table_idx", "row_idx", F.when(~twice, F.map_from_arrays("head", padded)).alias("row"), "texts"), told
 
 
 # Rendering.

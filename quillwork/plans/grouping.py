@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import groups
 from ..registry import query
 from ..sources import corpus
-from .sql import PARAGRAPHS, values
+from .sql import PARAGRAPHS
 
 _NODES = f"""nodes AS (SELECT doc_id, para_idx, text, '_bk_' || left(sha1(doc_id || ':' || para_idx), 12) AS para_id,
   CAST(length(text) % 4 - 1 AS INTEGER) AS list_level, length(text) % 2 AS left_indent, 0 AS first_indent,
@@ -150,13 +150,13 @@ def most_uncovered(spark, sf_dir):
     return groups.most_uncovered(rows, 20)
 
 
-_RATCHET = [("core", 84.97, 84.9), ("server", 87.0, 87.07), ("bundle", 70.0, 75.5)]
-
-
-@query("coverage_ratchet", f"WITH {values('r', 'name, percent, baseline', _RATCHET)} SELECT name, CAST(percent AS DOUBLE) AS percent, CAST(baseline AS DOUBLE) AS baseline FROM r WHERE percent - baseline < -0.1")
+@query("coverage_ratchet", """
+WITH r AS (SELECT o_orderpriority AS name, round(count(*) FILTER (o_orderstatus = 'F') * 100 / count(*), 2) AS percent, round(count(*) FILTER (o_orderstatus = 'O') * 100 / count(*), 2) AS baseline FROM orders GROUP BY 1)
+SELECT * FROM r WHERE round(percent - baseline, 6) < -0.1""")
 def coverage_ratchet(spark, sf_dir):
-    rows = spark.createDataFrame(_RATCHET, "name string, percent double, baseline double")
-    return groups.ratchet(rows.select("name", "percent"), rows.select("name", F.col("baseline").alias("percent")))
+    share = lambda s: F.round(F.count_if(F.col("o_orderstatus") == s) * 100 / F.count("*"), 2)
+    orders = corpus.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("name"))
+    return groups.ratchet(orders.agg(share("F").alias("percent")), orders.agg(share("O").alias("percent")))
 
 
 @query("story_metrics", """

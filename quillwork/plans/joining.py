@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import relations as R
 from ..registry import query
 from ..sources import corpus
-from .sql import values
+from .sql import PARAGRAPHS
 
 
 @query("comment_threads", """
@@ -97,32 +97,46 @@ def hyperlinks(spark, sf_dir):
 
 
 @query("part_diff", """
-WITH l AS (SELECT 'p' || doc_id AS part_uri, sha256(text) AS sha, strlen(text) AS size FROM documents WHERE doc_id % 3 < 2),
-r AS (SELECT 'p' || doc_id AS part_uri, sha256(CASE WHEN doc_id % 2 = 0 THEN text ELSE text || '!' END) AS sha, strlen(text) AS size FROM documents WHERE doc_id % 3 > 0)
-SELECT part_uri, CASE WHEN r.sha IS NULL THEN 'only_in_left' WHEN l.sha IS NULL THEN 'only_in_right' WHEN l.sha = r.sha AND l.size = r.size THEN 'same' ELSE 'different' END AS status FROM l FULL JOIN r USING (part_uri)""")
+WITH l AS (SELECT source AS doc_id, 'p' || doc_id AS part_uri, sha256(text) AS sha, strlen(text) AS size FROM documents),
+r AS (SELECT source AS doc_id, 'p' || d.doc_id AS part_uri, sha256(CASE WHEN toxic = 1 THEN text || '!' ELSE text END) AS sha, strlen(text) AS size FROM documents d JOIN labels USING (doc_id)
+  UNION ALL SELECT role, 'p' || conv_id || '-' || turn, sha256(text), strlen(text) FROM conversations)
+SELECT doc_id, part_uri, CASE WHEN r.sha IS NULL THEN 'only_in_left' WHEN l.sha IS NULL THEN 'only_in_right' WHEN l.sha = r.sha AND l.size = r.size THEN 'same' ELSE 'different' END AS status FROM l FULL JOIN r USING (doc_id, part_uri)""")
 def part_diff(spark, sf_dir):
-    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("part_uri"), "text", F.octet_length("text").alias("size"))
-    left = docs.where("doc_id % 3 < 2").withColumn("sha", F.sha2("text", 256))
-    right = docs.where("doc_id % 3 > 0").withColumn("sha", F.sha2(F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit("!"))), 256))
-    return R.part_diff(left, right).select("part_uri", "status")
+    """Documents by source on the left; on the right the labelled ones, changed where toxic, and turns."""
+    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.octet_length("text").alias("size"))
+    uri = F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("part_uri")
+    left = docs.select(F.col("source").alias("doc_id"), uri, F.sha2("text", 256).alias("sha"), "size")
+    marked = docs.join(corpus.table(spark, sf_dir, "labels"), "doc_id").select(F.col("source").alias("doc_id"), uri, F.sha2(F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha"), "size")
+    turns = corpus.table(spark, sf_dir, "conversations").select(F.col("role").alias("doc_id"), F.concat(F.lit("p"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("part_uri"), F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size"))
+    return R.part_diff(left, marked.unionByName(turns)).select("doc_id", "part_uri", "status")
 
 
 @query("copy_missing", """
-WITH own AS (SELECT doc_id AS num_id, 'own' AS origin FROM documents WHERE doc_id % 2 = 0), other AS (SELECT doc_id AS num_id, 'other' AS origin FROM documents), used AS (SELECT DISTINCT doc_id AS num_id FROM labels)
+WITH own AS (SELECT doc_id AS num_id, 'own' AS origin FROM documents WHERE lang = 'en'), other AS (SELECT doc_id AS num_id, 'other' AS origin FROM documents), used AS (SELECT DISTINCT doc_id AS num_id FROM labels)
 SELECT * FROM own UNION ALL SELECT * FROM other WHERE num_id NOT IN (SELECT num_id FROM own) AND num_id IN (SELECT num_id FROM used)""")
 def copy_missing(spark, sf_dir):
-    ids = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("num_id"))
+    docs = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("num_id"), "lang")
     used = corpus.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("num_id"))
-    return R.copy_missing(ids.where("num_id % 2 = 0").withColumn("origin", F.lit("own")), ids.withColumn("origin", F.lit("other")), used, ["num_id"])
+    return R.copy_missing(docs.where("lang = 'en'").select("num_id", F.lit("own").alias("origin")), docs.select("num_id", F.lit("other").alias("origin")), used, ["num_id"])
 
 
-_SECTIONS = [(1, 9, 9, "body", "r1"), (2, 3, 9, "body", "r1"), (2, 9, 9, "body", ""), (3, 9, 9, "tbl", "r7"), (4, 9, 9, "body", "r8")]
-_RELS = [(1, "r1"), (2, "r1"), (3, "r1")]
+_PARENT = "CASE o_orderpriority WHEN '1-URGENT' THEN 'body' WHEN '3-MEDIUM' THEN 'tbl' ELSE 'pPr' END"
 
 
-@query("section_rules", f"WITH {values('e', 'doc_id, rule', [(2, 'more than one body section'), (2, 'body section is not last'), (2, 'missing id'), (3, 'invalid parent'), (3, 'dangling id')])} SELECT CAST(doc_id AS BIGINT) AS doc_id, rule FROM e")
+@query("section_rules", f"""
+WITH s AS (SELECT o_custkey AS doc_id, o_orderkey AS child_idx, max(o_orderkey) OVER (PARTITION BY o_custkey) AS last_idx, {_PARENT} AS parent, CASE o_orderstatus WHEN 'P' THEN '' ELSE o_orderstatus END AS rid FROM orders),
+r AS (SELECT DISTINCT o_custkey AS doc_id, o_orderstatus AS rid FROM orders WHERE o_totalprice > 300000),
+e AS (SELECT doc_id, 'more than one body section' AS rule FROM s WHERE parent = 'body' GROUP BY doc_id HAVING count(DISTINCT child_idx) > 1
+  UNION ALL SELECT doc_id, 'body section is not last' FROM s WHERE parent = 'body' AND child_idx <> last_idx
+  UNION ALL SELECT doc_id, 'invalid parent' FROM s WHERE parent NOT IN ('body', 'pPr')
+  UNION ALL SELECT doc_id, 'missing id' FROM s WHERE rid = ''
+  UNION ALL SELECT doc_id, 'dangling id' FROM s WHERE rid <> '' AND doc_id IN (SELECT doc_id FROM r) AND NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = s.doc_id AND r.rid = s.rid))
+SELECT DISTINCT doc_id, rule FROM e""")
 def section_rules(spark, sf_dir):
-    return R.section_errors(spark.createDataFrame(_SECTIONS, "doc_id long, child_idx int, last_idx int, parent string, rid string"), spark.createDataFrame(_RELS, "doc_id long, rid string"))
+    orders = corpus.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("child_idx"), F.expr(_PARENT).alias("parent"), F.col("o_orderstatus").alias("rid"), "o_totalprice")
+    last = orders.groupBy("doc_id").agg(F.max("child_idx").alias("last_idx"))
+    sections = orders.join(last, "doc_id").withColumn("rid", F.when(F.col("rid") == "P", "").otherwise(F.col("rid")))
+    return R.section_errors(sections, orders.where("o_totalprice > 300000").select("doc_id", "rid").distinct())
 
 
 @query("wrapper_warnings", """
@@ -133,86 +147,98 @@ def wrapper_warnings(spark, sf_dir):
     return R.wrapper_errors(rows)
 
 
-_STYLES = [(1, "Base", None, "left", 10, None, 0), (1, "Body", "Base", None, None, "superscript", None), (1, "Quote", "Body", "center", None, None, 6), (1, "LoopA", "LoopB", None, 8, None, None), (1, "LoopB", "LoopA", "right", None, None, None)]
-_STYLE_SCHEMA = "doc_id long, style_id string, based_on string, align string, size int, vert_align string, position int"
-
-
-def _styles(spark):
-    return spark.createDataFrame(_STYLES, _STYLE_SCHEMA)
-
-
-_STYLE_SQL = values("s", "doc_id, style_id, based_on, align, size, vert_align, position", _STYLES)
+#: Parts as styles: a hundred a document, each based on the one before it; those over the sixtieth lead into a cycle of six.
+_STYLE_SQL = """s AS (SELECT p_partkey // 100 AS doc_id, 's' || p_partkey AS style_id, CASE p_partkey % 100 WHEN 0 THEN NULL WHEN 60 THEN 's' || (p_partkey + 5) ELSE 's' || (p_partkey - 1) END AS based_on,
+  CASE p_size % 4 WHEN 0 THEN 'left' WHEN 1 THEN 'center' END AS align, CASE WHEN p_size % 3 = 0 THEN p_size END AS size,
+  CASE p_size % 7 WHEN 0 THEN 'superscript' WHEN 1 THEN 'baseline' END AS vert_align, CASE WHEN p_size % 5 = 0 THEN p_size - 20 END AS position,
+  CASE WHEN p_size % 6 = 0 THEN 'direct' END AS run_align, CASE WHEN p_size % 2 = 0 THEN p_size - 10 END AS run_position FROM part)"""
 _CHAIN_SQL = f"""
 WITH RECURSIVE {_STYLE_SQL}, chain AS (
-  SELECT style_id, style_id AS ancestor, based_on AS nxt, 0 AS depth, [style_id] AS seen FROM s
-  UNION ALL SELECT c.style_id, s.style_id, s.based_on, c.depth + 1, list_append(c.seen, s.style_id) FROM chain c JOIN s ON s.style_id = c.nxt WHERE NOT list_contains(c.seen, s.style_id))"""
+  SELECT doc_id, style_id, style_id AS ancestor, based_on AS nxt, 0 AS depth, [style_id] AS seen FROM s
+  UNION ALL SELECT c.doc_id, c.style_id, s.style_id, s.based_on, c.depth + 1, list_append(c.seen, s.style_id) FROM chain c JOIN s ON s.doc_id = c.doc_id AND s.style_id = c.nxt WHERE NOT list_contains(c.seen, s.style_id)),
+up AS (SELECT c.style_id, c.depth, a.align, a.size, a.vert_align, a.position FROM chain c JOIN s a ON a.doc_id = c.doc_id AND a.style_id = c.ancestor)"""
+
+
+def styles(spark, sf_dir):
+    """Parts as style definitions, with direct formatting of one run each."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    name = lambda k: F.concat(F.lit("s"), k.cast("string"))
+    return corpus.table(spark, sf_dir, "part").select(
+        F.floor(key / 100).alias("doc_id"), name(key).alias("style_id"), F.when(key % 100 == 0, None).when(key % 100 == 60, name(key + 5)).otherwise(name(key - 1)).alias("based_on"),
+        F.when(size % 4 == 0, "left").when(size % 4 == 1, "center").alias("align"), F.when(size % 3 == 0, size).alias("size"),
+        F.when(size % 7 == 0, "superscript").when(size % 7 == 1, "baseline").alias("vert_align"), F.when(size % 5 == 0, size - 20).alias("position"),
+        F.when(size % 6 == 0, "direct").alias("run_align"), F.when(size % 2 == 0, size - 10).alias("run_position"),
+    )
 
 
 @query("style_chain", _CHAIN_SQL + " SELECT style_id, CAST(depth AS INTEGER) AS depth, ancestor FROM chain")
 def style_chain(spark, sf_dir):
-    return R.style_chains(_styles(spark)).select("style_id", "depth", "ancestor")
+    return R.style_chains(styles(spark, sf_dir)).select("style_id", "depth", "ancestor")
 
 
-@query("style_inherited", _CHAIN_SQL + """ SELECT c.style_id, arg_min(s.align, c.depth) FILTER (s.align IS NOT NULL) AS align, CAST(arg_min(s.size, c.depth) FILTER (s.size IS NOT NULL) AS INTEGER) AS size
-FROM chain c JOIN s ON s.style_id = c.ancestor GROUP BY c.style_id""")
+@query("style_inherited", _CHAIN_SQL + " SELECT style_id, arg_min(align, depth) FILTER (align IS NOT NULL) AS align, arg_min(size, depth) FILTER (size IS NOT NULL) AS size FROM up GROUP BY style_id")
 def style_inherited(spark, sf_dir):
-    return R.inherited(_styles(spark), ["align", "size"]).select("style_id", "align", "size")
+    return R.inherited(styles(spark, sf_dir), ["align", "size"]).select("style_id", "align", "size")
 
 
-@query("effective_formatting", _CHAIN_SQL + """, f AS (SELECT c.style_id, arg_min(struct_pack(a := s.align, z := s.size), c.depth) FILTER (s.align IS NOT NULL OR s.size IS NOT NULL) AS o FROM chain c JOIN s ON s.style_id = c.ancestor GROUP BY c.style_id)
-SELECT style_id, coalesce(CASE WHEN style_id = 'Body' THEN 'direct' END, o.a) AS align, CAST(o.z AS INTEGER) AS size FROM f""")
+@query("effective_formatting", _CHAIN_SQL + """, f AS (SELECT style_id, arg_min(struct_pack(a := align, z := size), depth) AS o FROM up WHERE align IS NOT NULL OR size IS NOT NULL GROUP BY style_id)
+SELECT f.style_id, coalesce(s.run_align, f.o.a) AS align, f.o.z AS size FROM f JOIN s USING (style_id)""")
 def effective_formatting(spark, sf_dir):
-    first = R.first_run_style(_styles(spark), ["align", "size"])
-    rows = first.select("style_id", F.struct(F.when(F.col("style_id") == "Body", "direct").alias("align"), F.lit(None).cast("int").alias("size")).alias("run"), F.struct("align", "size").alias("style"))
-    return rows.select("style_id", *R.effective(["align", "size"], "run", "style"))
+    rows = styles(spark, sf_dir)
+    first = R.first_run_style(rows, ["align", "size"]).select("style_id", F.struct("align", "size").alias("style"))
+    runs = rows.select("style_id", F.struct(F.col("run_align").alias("align"), F.lit(None).cast("int").alias("size")).alias("run"))
+    return runs.join(first, "style_id").select("style_id", *R.effective(["align", "size"], "run", "style"))
 
 
-@query("double_elevation", f"WITH {values('r', 'style_id, position', [('Quote', 0), ('Body', 0), ('Base', 0)])} SELECT style_id, CAST(position AS INTEGER) AS position FROM r")
+@query("double_elevation", _CHAIN_SQL + """, n AS (SELECT style_id, arg_min(vert_align, depth) FILTER (vert_align IS NOT NULL) AS v, arg_min(position, depth) FILTER (position IS NOT NULL) AS p FROM up GROUP BY style_id)
+SELECT style_id, CASE WHEN n.v = 'superscript' AND coalesce(s.run_position, n.p, 0) > 0 THEN 0 ELSE s.run_position END AS position FROM s JOIN n USING (style_id)""")
 def double_elevation(spark, sf_dir):
-    runs = spark.createDataFrame([(1, "Quote", None, 6), (1, "Body", None, 4), (1, "Base", None, 0)], "doc_id long, style_id string, vert_align string, position int")
-    return R.raised(_styles(spark), runs).select("style_id", "position")
+    rows = styles(spark, sf_dir)
+    runs = rows.select("doc_id", "style_id", F.lit(None).cast("string").alias("vert_align"), F.col("run_position").alias("position"))
+    return R.raised(rows, runs).select("style_id", "position")
+
+
+#: Three paragraphs of a document are a table, its sentences are the cells; some are merged.
+_CELLS = f"""c AS (SELECT doc_id, para_idx // 3 AS table_idx, para_idx % 3 AS row_idx, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS cell_idx, unnest(p) AS text FROM (SELECT doc_id, para_idx, string_split(text, '. ') AS p FROM {PARAGRAPHS})),
+k AS (SELECT *, CASE length(text) % 23 WHEN 0 THEN 2 WHEN 1 THEN 0 END AS grid_span, CASE WHEN length(text) % 41 = 3 THEN 'restart' END AS v_merge FROM c)"""
 
 
-_CELLS = [
-    (1, 0, 0, 0, "Name", 1, None, None), (1, 0, 0, 1, " Value ", 1, None, None), (1, 0, 1, 0, "a", 1, None, None), (1, 0, 1, 1, "1", 1, None, None), (1, 0, 2, 0, "b", None, None, None),
-    (1, 1, 0, 0, "X", 2, None, None), (1, 1, 1, 0, "y", 1, None, None), (1, 1, 1, 1, "z", 0, None, None),
-    (2, 0, 0, 0, "K", 1, None, None), (2, 0, 0, 1, "K", 1, None, None), (2, 0, 1, 0, "k", 1, None, None),
-    (3, 0, 0, 0, "P", 1, None, None), (3, 0, 1, 0, "q", 1, None, None), (3, 0, 1, 1, "extra", 1, None, None),
-]
-_CELL_COLUMNS = "doc_id, table_idx, row_idx, cell_idx, text, grid_span, h_merge, v_merge"
+def cells(spark, sf_dir):
+    parts = corpus.paragraphs(spark, sf_dir).select("doc_id", F.floor(F.col("para_idx") / 3).cast("int").alias("table_idx"), (F.col("para_idx") % 3).alias("row_idx"), F.posexplode(F.split("text", r"\. ")).alias("cell_idx", "text"))
+    n = F.length("text")
+    return parts.withColumns({"grid_span": F.when(n % 23 == 0, 2).when(n % 23 == 1, 0), "h_merge": F.lit(None).cast("string"), "v_merge": F.when(n % 41 == 3, "restart")})
 
 
-def cells(spark):
-    return spark.createDataFrame(_CELLS, "doc_id long, table_idx int, row_idx int, cell_idx int, text string, grid_span int, h_merge string, v_merge string")
+_TABLES = f"""WITH {_CELLS},
+t AS (SELECT doc_id, table_idx, bool_or(v_merge IS NOT NULL OR coalesce(grid_span, 1) > 1) AS merged, count(*) FILTER (row_idx = 0) > count(DISTINCT trim(text)) FILTER (row_idx = 0) AS twice FROM k GROUP BY doc_id, table_idx)"""
 
 
-@query("table_extract", f"""WITH {values('c', _CELL_COLUMNS, _CELLS)},
-bad AS (SELECT doc_id, table_idx FROM c GROUP BY ALL HAVING bool_or(coalesce(grid_span, 1) > 1) OR count(*) FILTER (row_idx = 0) > count(DISTINCT trim(text)) FILTER (row_idx = 0)),
-h AS (SELECT doc_id, table_idx, cell_idx, trim(text) AS header FROM c WHERE row_idx = 0),
-r AS (SELECT DISTINCT doc_id, table_idx, row_idx FROM c WHERE row_idx > 0)
-SELECT CAST(r.doc_id AS BIGINT) AS doc_id, CAST(r.row_idx AS INTEGER) AS row_idx, h.header, coalesce(trim(c.text), '') AS text FROM r JOIN h USING (doc_id, table_idx) LEFT JOIN c ON c.doc_id = r.doc_id AND c.table_idx = r.table_idx AND c.row_idx = r.row_idx AND c.cell_idx = h.cell_idx
-WHERE (r.doc_id, r.table_idx) NOT IN (SELECT (doc_id, table_idx) FROM bad)""")
+@query("table_extract", _TABLES + """,
+h AS (SELECT doc_id, table_idx, cell_idx, trim(text) AS header FROM k WHERE row_idx = 0),
+r AS (SELECT doc_id, table_idx, row_idx, count(*) AS cells FROM k WHERE row_idx > 0 GROUP BY ALL)
+SELECT r.doc_id, r.table_idx, r.row_idx, h.header, coalesce(trim(k.text), '') AS text, CAST(r.cells AS INTEGER) AS cells FROM r JOIN t USING (doc_id, table_idx) JOIN h USING (doc_id, table_idx)
+LEFT JOIN k ON k.doc_id = r.doc_id AND k.table_idx = r.table_idx AND k.row_idx = r.row_idx AND k.cell_idx = h.cell_idx WHERE NOT merged AND NOT twice""")
 def table_extract(spark, sf_dir):
-    rows, _ = R.extract_tables(cells(spark))
-    return rows.select("doc_id", "row_idx", F.explode("row").alias("header", "text"))
+    rows, _ = R.extract_tables(cells(spark, sf_dir))
+    return rows.select("doc_id", "table_idx", "row_idx", F.size("texts").alias("cells"), F.explode("row").alias("header", "text"))
 
 
-@query("table_diagnostics", f"WITH {values('d', 'doc_id, table_idx, why', [(1, 1, 'merged cells'), (2, 0, 'duplicate headers')])} SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(table_idx AS INTEGER) AS table_idx, why FROM d")
+@query("table_diagnostics", _TABLES + " SELECT doc_id, table_idx, CASE WHEN merged THEN 'merged cells' ELSE 'duplicate headers' END AS why FROM t WHERE merged OR twice")
 def table_diagnostics(spark, sf_dir):
-    return R.extract_tables(cells(spark))[1]
+    return R.extract_tables(cells(spark, sf_dir))[1]
 
 
-@query("table_metadata", f"""WITH {values('c', _CELL_COLUMNS, _CELLS)}, r AS (SELECT doc_id, table_idx, row_idx, sum(greatest(coalesce(grid_span, 1), 1)) AS cols FROM c GROUP BY ALL)
-SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(table_idx AS INTEGER) AS table_idx, count(*) AS n_rows, CAST(max(cols) AS BIGINT) AS n_cols FROM r GROUP BY doc_id, table_idx""")
+@query("table_metadata", f"""WITH {_CELLS}, r AS (SELECT doc_id, table_idx, row_idx, sum(greatest(coalesce(grid_span, 1), 1)) AS cols FROM k GROUP BY ALL),
+h AS (SELECT doc_id, table_idx, string_agg(text, '|' ORDER BY cell_idx, i) AS headers FROM k, unnest(range(greatest(coalesce(grid_span, 1), 1))) AS u(i) WHERE row_idx = 0 GROUP BY ALL)
+SELECT doc_id, table_idx, count(*) AS n_rows, CAST(max(cols) AS BIGINT) AS n_cols, any_value(sha1(headers)) AS headers FROM r JOIN h USING (doc_id, table_idx) GROUP BY doc_id, table_idx""")
 def table_metadata(spark, sf_dir):
-    return R.table_metadata(cells(spark)).drop("headers")
+    return R.table_metadata(cells(spark, sf_dir)).withColumn("headers", F.sha1(F.array_join("headers", "|")))
 
 
-@query("cell_columns", f"""WITH {values('c', _CELL_COLUMNS, _CELLS)}
-SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(table_idx AS INTEGER) AS table_idx, CAST(row_idx AS INTEGER) AS row_idx, CAST(cell_idx AS INTEGER) AS cell_idx,
- CAST(coalesce(sum(greatest(coalesce(grid_span, 1), 1)) OVER (PARTITION BY doc_id, table_idx, row_idx ORDER BY cell_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS grid_col FROM c""")
+@query("cell_columns", f"""WITH {_CELLS}
+SELECT doc_id, table_idx, row_idx, cell_idx, CAST(coalesce(sum(greatest(coalesce(grid_span, 1), 1)) OVER (PARTITION BY doc_id, table_idx, row_idx ORDER BY cell_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS grid_col FROM k""")
 def cell_columns(spark, sf_dir):
-    return R.cell_columns(cells(spark)).select("doc_id", "table_idx", "row_idx", "cell_idx", "grid_col")
+    return R.cell_columns(cells(spark, sf_dir)).select("doc_id", "table_idx", "row_idx", "cell_idx", "grid_col")
 
 
 @query("rendered_view", """

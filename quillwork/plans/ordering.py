@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import ordered as O
 from ..registry import query
 from ..sources import corpus
-from .sql import PARAGRAPHS, values
+from .sql import PARAGRAPHS
 
 _ATOMS = "atoms AS (SELECT conv_id, turn, text, CASE role WHEN 'user' THEN 'Deleted' WHEN 'assistant' THEN CASE WHEN length(text) % 2 = 0 THEN 'Deleted' ELSE 'Inserted' END ELSE 'Equal' END AS status FROM conversations)"
 
@@ -47,22 +47,32 @@ def noop_pairs(spark, sf_dir):
     return O.without_noops(rows, ["conv_id"], "turn").select("conv_id", "turn")
 
 
-_BLANKS = [(1, 0, "a", "Deleted"), (1, 1, " ", "Equal"), (1, 2, "b", "Inserted"), (1, 3, " ", "Equal"), (1, 4, "c", "Equal")]
+_CHANGES = "CASE event_type WHEN 'view' THEN 'Deleted' WHEN 'click' THEN 'Inserted' ELSE 'Equal' END"
 
 
-@query("blank_on_both_sides", f"WITH {values('v', 'turn, status', [(0, 'Deleted'), (1, 'Deleted'), (1, 'Inserted'), (2, 'Inserted'), (3, 'Equal'), (4, 'Equal')])} SELECT CAST(turn AS INTEGER) AS turn, status FROM v")
+@query("blank_on_both_sides", f"""
+WITH a AS (SELECT user_id, event_id, {_CHANGES} AS status, value < 30 AS blank FROM events),
+l AS (SELECT *, lag(status) OVER w AS p, lead(status) OVER w AS n FROM a WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id AS doc_id, event_id AS turn, unnest(CASE WHEN status = 'Equal' AND blank AND p <> 'Equal' AND n <> 'Equal' THEN ['Deleted', 'Inserted'] ELSE [status] END) AS status FROM l""")
 def blank_on_both_sides(spark, sf_dir):
-    rows = spark.createDataFrame(_BLANKS, "conv_id long, turn int, text string, status string")
-    return O.blank_on_both_sides(rows, ["conv_id"], "turn").select("turn", "status")
+    rows = corpus.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("turn"), F.expr(_CHANGES).alias("status"), F.when(F.col("value") < 30, " ").otherwise("x").alias("text"))
+    return O.blank_on_both_sides(rows, ["doc_id"], "turn").select("doc_id", "turn", "status")
 
 
-_WRAPPERS = [(1, 0, "ins", "a", "d", "x"), (1, 1, "text", None, None, " "), (1, 2, "ins", "a", "d", "y"), (1, 3, "text", None, None, "z"), (1, 4, "ins", "a", "d", "w"), (1, 5, "del", "a", "d", "q"), (1, 6, "text", None, None, " "), (1, 7, "del", "a", "d", "r")]
+_KINDS = "CASE event_type WHEN 'view' THEN 'ins' WHEN 'click' THEN 'del' WHEN 'error' THEN 'moveTo' ELSE 'text' END"
 
 
-@query("bridged_wrappers", f"WITH {values('v', 'turn, wrapper', [(0, 1), (1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (6, 5), (7, 6)])} SELECT CAST(turn AS INTEGER) AS turn, CAST(wrapper AS BIGINT) AS wrapper FROM v")
+@query("bridged_wrappers", f"""
+WITH a AS (SELECT user_id, event_id, {_KINDS} AS k, CASE WHEN {_KINDS} <> 'text' THEN 'a' || length(props) END AS a, value < 60 AS blank FROM events),
+l AS (SELECT *, lag(k) OVER w AS pk, lag(a) OVER w AS pa, lead(k) OVER w AS nk, lead(a) OVER w AS na FROM a WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+b AS (SELECT *, coalesce(k = 'text' AND blank AND pk IN ('ins', 'moveTo') AND pk = nk AND pa = na, FALSE) AS inside FROM l),
+c AS (SELECT user_id, event_id, CASE WHEN inside THEN pk ELSE k END AS k, CASE WHEN inside THEN pa ELSE a END AS a FROM b),
+d AS (SELECT *, k IS DISTINCT FROM lag(k) OVER w OR a IS DISTINCT FROM lag(a) OVER w AS opens FROM c WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id AS doc_id, event_id AS turn, CAST(sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS wrapper FROM d""")
 def bridged_wrappers(spark, sf_dir):
-    rows = spark.createDataFrame(_WRAPPERS, "doc_id long, turn int, kind string, author string, date string, text string")
-    return O.bridged(rows, ["doc_id"], "turn").select("turn", "wrapper")
+    kind = F.expr(_KINDS)
+    rows = corpus.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("turn"), kind.alias("kind"), F.when(kind != "text", F.concat(F.lit("a"), F.length("props").cast("string"))).alias("author"), F.lit("d").alias("date"), F.when(F.col("value") < 60, " ").otherwise("x").alias("text"))
+    return O.bridged(rows, ["doc_id"], "turn").select("doc_id", "turn", "wrapper")
 
 
 @query("punctuation_attached", r"""
@@ -75,21 +85,29 @@ def punctuation_attached(spark, sf_dir):
     return O.punctuation_attached(rows, ["item_id"], "i").select("item_id", "i", "text")
 
 
-_FIELDS = [(1, 0, None, "a"), (1, 1, "begin", ""), (1, 2, None, "CODE"), (1, 3, "separate", ""), (1, 4, None, "7"), (1, 5, "end", ""), (1, 6, None, "b"), (2, 0, "end", ""), (2, 1, "begin", ""), (2, 2, None, "x"), (3, 0, "begin", ""), (3, 1, "end", "")]
+_MARK = "CASE event_type WHEN 'signup' THEN 'begin' WHEN 'click' THEN 'separate' WHEN 'error' THEN 'end' END"
+#: Rows of the events of each user as the marks of nested fields, with the running depth of each.
+FIELDS = f"""m AS (SELECT user_id AS doc_id, event_id AS turn, {_MARK} AS mark, CASE WHEN {_MARK} IS NULL THEN event_type || ' ' ELSE '' END AS text FROM events),
+r AS (SELECT *, sum(CASE mark WHEN 'begin' THEN 1 WHEN 'end' THEN -1 ELSE 0 END) OVER w AS raw, last_value(mark IGNORE NULLS) OVER w AS state FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT *, raw - least(min(raw) OVER w, 0) AS depth, coalesce(mark = 'end', FALSE) AND raw < coalesce(least(min(raw) OVER (PARTITION BY doc_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS excess
+  FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY turn ROWS UNBOUNDED PRECEDING))"""
 
 
-def _fields(spark):
-    return spark.createDataFrame(_FIELDS, "doc_id long, turn int, mark string, text string")
+def fields(spark, sf_dir):
+    """Events as marks and texts of nested fields."""
+    return corpus.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("turn"), F.expr(_MARK).alias("mark"), F.expr(f"CASE WHEN {_MARK} IS NULL THEN event_type || ' ' ELSE '' END").alias("text"))
 
 
-@query("visible_runs", f"WITH {values('v', 'doc_id, turn, text, is_field_result', [(1, 0, 'a', False), (1, 4, '7', True), (1, 6, 'b', False)])} SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(turn AS INTEGER) AS turn, text, is_field_result FROM v")
+@query("visible_runs", f"WITH {FIELDS} SELECT doc_id, turn, text, depth > 0 AS is_field_result FROM d WHERE mark IS NULL AND NOT (depth > 0 AND coalesce(state = 'begin', FALSE))")
 def visible_runs(spark, sf_dir):
-    return O.visible_runs(_fields(spark), ["doc_id"], "turn").select("doc_id", "turn", "text", "is_field_result")
+    return O.visible_runs(fields(spark, sf_dir), ["doc_id"], "turn").select("doc_id", "turn", "text", "is_field_result")
 
 
-@query("field_errors", f"WITH {values('v', 'doc_id, excess_ends, open_at_end', [(2, 1, 1)])} SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(excess_ends AS BIGINT) AS excess_ends, CAST(open_at_end AS BIGINT) AS open_at_end FROM v")
+@query("field_errors", f"""
+WITH {FIELDS}, e AS (SELECT doc_id, count(*) FILTER (excess) AS excess_ends, CAST(arg_max(depth, turn) AS BIGINT) AS open_at_end FROM d GROUP BY doc_id)
+SELECT * FROM e WHERE excess_ends > 0 OR open_at_end > 0""")
 def field_errors(spark, sf_dir):
-    return O.field_errors(_fields(spark), ["doc_id"], "turn")
+    return O.field_errors(fields(spark, sf_dir), ["doc_id"], "turn")
 
 
 @query("empty_context", f"""
@@ -147,13 +165,15 @@ def marked_texts(spark, sf_dir):
     return O.with_markers(corpus.table(spark, sf_dir, "benchmark"), marks).select("item_id", "text")
 
 
-_HEADS = [(1, 0, True, False, False, "Term"), (1, 1, True, True, False, "ination."), (1, 2, False, False, False, " Body"), (2, 0, True, False, False, "No stop"), (2, 1, False, False, False, "."), (3, 0, False, False, True, "Under:")]
-
-
-@query("run_in_headers", f"WITH {values('v', 'doc_id, header, chars', [(1, 'Termination.', 12), (3, 'Under:', 6)])} SELECT CAST(doc_id AS BIGINT) AS doc_id, header, CAST(chars AS BIGINT) AS chars, FALSE AS italic FROM v")
+@query("run_in_headers", rf"""
+WITH w AS (SELECT doc_id, para_idx, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i FROM {PARAGRAPHS}),
+f AS (SELECT *, min(CASE WHEN regexp_matches(word, '^[A-Z]') OR right(word, 1) = ',' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, para_idx ORDER BY i) AS head FROM w),
+g AS (SELECT doc_id, para_idx, trim(string_agg(word || ' ', '' ORDER BY i)) AS header, CAST(sum(length(word) + 1) AS BIGINT) AS chars, arg_min(length(word) % 2 = 0, i) AS italic FROM f WHERE head = 1 GROUP BY doc_id, para_idx)
+SELECT * FROM g WHERE right(header, 1) IN ('.', ':', '-')""")
 def run_in_headers(spark, sf_dir):
-    rows = spark.createDataFrame(_HEADS, "doc_id long, turn int, bold boolean, italic boolean, underline boolean, text string")
-    return O.run_in_header(rows, ["doc_id"], "turn")
+    words = corpus.paragraphs(spark, sf_dir).select("doc_id", "para_idx", F.posexplode(F.split("text", " ")).alias("turn", "word"))
+    rows = words.select("doc_id", "para_idx", "turn", F.regexp_like("word", F.lit("^[A-Z]")).alias("bold"), (F.length("word") % 2 == 0).alias("italic"), F.endswith("word", F.lit(",")).alias("underline"), F.concat("word", F.lit(" ")).alias("text"))
+    return O.run_in_header(rows, ["doc_id", "para_idx"], "turn")
 
 
 @query("nearest_header", f"""
@@ -182,18 +202,26 @@ def merged_runs(spark, sf_dir):
     return O.merged_runs(rows, ["conv_id"], "turn", ["bold"])
 
 
-_ITEMS = [(1, 1, i, lv) for i, lv in enumerate([0, 0, 1, 1, 2, 1, 0, 1])] + [(2, 1, 0, 1), (2, 1, 1, 0)]
-_LABELS = ["1.", "2.", "2.a", "2.b", "2.b.i", "2.c", "3.", "3.a"]
+def list_items(spark, sf_dir):
+    """Paragraphs as items of one list a document, three levels deep by their length."""
+    rows = corpus.paragraphs(spark, sf_dir).select("doc_id", F.lit(1).cast("long").alias("num_id"), "para_idx", (F.length("text") % 3).cast("int").alias("level"))
+    return rows.withColumns({"starts": F.array(F.lit(1), F.lit(1), F.lit(1)), "formats": F.array(F.lit("decimal"), F.lit("ordinal"), F.lit("decimal")), "templates": F.array(F.lit("%1."), F.lit("%1.%2"), F.lit("%1.%2.(%3)"))})
 
 
-def _items(spark):
-    rows = spark.createDataFrame(_ITEMS, "doc_id long, num_id long, para_idx int, level int")
-    return rows.withColumns({"starts": F.array(*[F.lit(1)] * 3), "formats": F.array(F.lit("decimal"), F.lit("lowerLetter"), F.lit("lowerRoman")), "templates": F.array(F.lit("%1."), F.lit("%1.%2"), F.lit("%1.%2.%3"))})
+def _ordinal(n: str) -> str:
+    return f"({n} || CASE WHEN {n} % 100 BETWEEN 11 AND 13 THEN 'th' WHEN {n} % 10 = 1 THEN 'st' WHEN {n} % 10 = 2 THEN 'nd' WHEN {n} % 10 = 3 THEN 'rd' ELSE 'th' END)"
 
 
-@query("list_counters", f"WITH {values('v', 'doc_id, para_idx, label', [(1, i, x) for i, x in enumerate(_LABELS)] + [(2, 0, '1.a'), (2, 1, '2.')])} SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(para_idx AS INTEGER) AS para_idx, label FROM v")
+@query("list_counters", f"""
+WITH i AS (SELECT doc_id, para_idx, length(text) % 3 AS level FROM {PARAGRAPHS}),
+a AS (SELECT *, count(*) FILTER (level = 0) OVER w AS n0, count(*) FILTER (level <= 1) OVER w AS g1, first_value(level) OVER w AS f0 FROM i WINDOW w AS (PARTITION BY doc_id ORDER BY para_idx ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, n0 + CASE WHEN f0 > 0 THEN 1 ELSE 0 END AS c0,
+  count(*) FILTER (level = 1) OVER s + CASE WHEN first_value(CASE WHEN level > 0 THEN level END IGNORE NULLS) OVER s = 2 THEN 1 ELSE 0 END AS c1,
+  count(*) FILTER (level = 2) OVER (PARTITION BY doc_id, g1 ORDER BY para_idx ROWS UNBOUNDED PRECEDING) AS c2
+  FROM a WINDOW s AS (PARTITION BY doc_id, n0 ORDER BY para_idx ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, para_idx, c0 || '.' || CASE WHEN level > 0 THEN {_ordinal('c1')} ELSE '' END || CASE WHEN level > 1 THEN '.(' || c2 || ')' ELSE '' END AS label FROM b""")
 def list_counters(spark, sf_dir):
-    return O.list_labels(_items(spark)).select("doc_id", "para_idx", "label")
+    return O.list_labels(list_items(spark, sf_dir)).select("doc_id", "para_idx", "label")
 
 
 @query("flat_counters", "SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS para_idx, '(' || (turn + 1) || ')' AS label FROM conversations")
