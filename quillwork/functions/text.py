@@ -183,12 +183,17 @@ def has_tags(text: Column, kind: str) -> Column:
     return F.regexp_like(text, F.lit(TAG_PATTERNS[kind]))
 
 
-def merged_tags(text: Column, rounds: int = 4) -> Column:
-    """Adjacent equal tags joined: ``</b><b>`` and the like vanish, until none is left."""
-    for _ in range(rounds):
-        for tag in ("b", "i", "u", "highlight"):
-            text = F.replace(text, F.lit(f"</{tag}><{tag}>"), F.lit(""))
-    return text
+def merged_tags(text: Column) -> Column:
+    """Adjacent equal tags joined until none is left: ``</b><b>`` and the like, and fonts with the same attributes.
+
+    Tags that touch vanish from the inside out, so as many rounds do as the longest run
+    of closing tags has.
+    """
+    pair, font = r"</(b|i|u|highlight)><\1>", r"(<font [^>]*>)([^<]*)</font>\1"
+    runs = F.regexp_extract_all(text, F.lit(r"((?:</(?:b|i|u|highlight|font)>)+)<"), 1)
+    rounds = F.coalesce(F.array_max(F.transform(runs, lambda r: F.regexp_count(r, F.lit("</")))), F.lit(0))
+    step = lambda t, _: F.regexp_replace(F.regexp_replace(t, pair, ""), font, "$1$2")
+    return F.when(rounds == 0, text).otherwise(F.aggregate(F.sequence(F.lit(0), rounds), text, step))
 
 
 def escaped_xml(text: Column) -> Column:

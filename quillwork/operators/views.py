@@ -15,7 +15,10 @@ from ..functions import text as X
 # Elements that hold revisions, and those that are leaves of a comparison.
 WRAPPERS = ("ins", "del", "moveFrom", "moveTo")
 PROPERTY_CHANGES = ("rPrChange", "pPrChange", "sectPrChange", "tblPrChange", "trPrChange", "tcPrChange")
-LEAVES = ("t", "delText", "tab", "br", "cr", "sym", "drawing", "object", "pict", "footnoteReference", "endnoteReference", "fldChar", "instrText", "noBreakHyphen", "softHyphen")
+LEAVES = (
+    "t", "br", "cr", "tab", "sym", "softHyphen", "noBreakHyphen", "fldChar", "instrText", "delText", "dayShort", "dayLong", "monthShort", "monthLong", "yearShort", "yearLong", "annotationRef", "footnoteRef",
+    "endnoteRef", "footnoteReference", "endnoteReference", "separator", "continuationSeparator", "pgNum", "drawing", "pict", "object", "AlternateContent",
+)
 
 
 def document_view(paragraphs: DataFrame, style_of: Column | None = None) -> DataFrame:
@@ -52,18 +55,19 @@ def has_revisions(tags: Column) -> Column:
     return F.arrays_overlap(tags, F.array(*map(F.lit, WRAPPERS + PROPERTY_CHANGES)))
 
 
-def all_within(tags: Column, *kinds: str) -> Column:
-    """Whether there is content and all of it stands in wrappers of these kinds; properties and marks do not count."""
-    content = F.filter(tags, lambda t: ~t.isin("pPr", "bookmarkStart", "bookmarkEnd", "proofErr"))
-    return (F.size(content) > 0) & F.forall(content, lambda t: t.isin(*kinds))
+def _entirely(tags: Column, mark: Column | None, sign: str, inside: tuple[str, ...], outside: tuple[str, ...]) -> Column:
+    """Whether the mark of the paragraph itself says so, or there is content inside and none outside; other tags do not count."""
+    own = F.arrays_overlap(tags, F.array(*map(F.lit, inside))) & ~F.arrays_overlap(tags, F.array(*map(F.lit, outside)))
+    return own if mark is None else F.coalesce(F.array_contains(mark, sign), F.lit(False)) | own
 
 
-def entirely_inserted(tags: Column) -> Column:
-    return all_within(tags, "ins", "moveTo")
+def entirely_inserted(tags: Column, mark: Column | None = None) -> Column:
+    """``tags``: what stands in the paragraph; ``mark``: what stands in the run properties of its paragraph mark."""
+    return _entirely(tags, mark, "ins", ("ins", "moveTo"), ("r", "del", "moveFrom"))
 
 
-def entirely_deleted(tags: Column) -> Column:
-    return all_within(tags, "del", "moveFrom")
+def entirely_deleted(tags: Column, mark: Column | None = None) -> Column:
+    return _entirely(tags, mark, "del", ("del", "moveFrom"), ("r", "ins", "moveTo"))
 
 
 def is_leaf(tag: Column) -> Column:
@@ -100,45 +104,86 @@ def paragraph_groups(atoms: DataFrame, most: int = 50) -> DataFrame:
 # Tagged text.
 
 
-def tagged(runs: DataFrame, group: list[str], order: str) -> DataFrame:
-    """Runs (bold, italic, underline, text) as one text a group with inline tags; equal neighbours share theirs."""
-    from .ordered import merged_runs
+_FLAGS = ("bold", "italic", "underline", "highlight")
 
-    rows = merged_runs(runs, group, order, ["bold", "italic", "underline"])
-    piece = F.col("text")
-    for tag, flag in (("u", "underline"), ("i", "italic"), ("b", "bold")):
-        piece = F.when(F.col(flag), F.concat(F.lit(f"<{tag}>"), piece, F.lit(f"</{tag}>"))).otherwise(piece)
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), piece.alias("p")))), lambda x: x["p"]), "")
-    return rows.groupBy(*group).agg(line.alias("tagged"))
 
+def tagged(runs: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Runs as one text a group with inline tags; neighbours that look alike share theirs.
 
-_TOKEN = re.compile(r"<(/?)(b|i|u|highlight)>|([^<]+|<)")
-SEGMENTS = T.StructType([T.StructField("segments", T.ArrayType(T.StructType([T.StructField(n, T.BooleanType()) for n in ("b", "i", "u", "highlight")] + [T.StructField("text", T.StringType())]))), T.StructField("error", T.StringType())])
+    Besides text, runs may have bold, italic, underline, highlight, color, size, font and
+    href; ``is_header`` runs get no tags. base_bold, base_italic and base_underline are
+    what is usual in the group: where one is given, only runs that differ from it, by
+    having what it lacks, are tagged. Tags open as a, font, b, i, u, highlight and close
+    the other way round.
+    """
+    from .ordered import islands
+
+    have = set(runs.columns)
+    plain = F.coalesce(F.col("is_header"), F.lit(False)) if "is_header" in have else F.lit(False)
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in have else F.lit(False)
+    text = lambda c: F.when(~plain, F.col(c).cast("string")) if c in have else F.lit(None).cast("string")
+    shown = {c: ~plain & flag(c) & (~F.coalesce(F.col(f"base_{c}"), F.lit(False)) if f"base_{c}" in have else F.lit(True)) for c in _FLAGS}
+    attributes = F.concat_ws(" ", *[F.concat(F.lit(f'{name}="'), text(c), F.lit('"')) for name, c in (("color", "color"), ("size", "size"), ("face", "font"))])
+    wraps = [(F.concat(F.lit('<a href="'), X.escaped_attribute(text("href")), F.lit('">')), "</a>"), (F.when(attributes != "", F.concat(F.lit("<font "), attributes, F.lit(">"))), "</font>")]
+    wraps += [(F.when(shown[c], F.lit(f"<{tag}>")), f"</{tag}>") for c, tag in zip(_FLAGS, ("b", "i", "u", "highlight"))]
+    opened = F.concat_ws("", *[o for o, _ in wraps])
+    closed = F.concat_ws("", *[F.when(o.isNotNull(), F.lit(c)) for o, c in reversed(wraps)])
+    rows = islands(runs.where("text <> ''").withColumns({"__open": opened, "__close": closed}), group, order, ["__open"])
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).alias("t")))), lambda x: x["t"]), "")
+    one = rows.groupBy(*group, "island", "__open", "__close").agg(F.min(order).alias(order), joined("text").alias("text"))
+    return one.withColumn("__piece", F.concat("__open", "text", "__close")).groupBy(*group).agg(joined("__piece").alias("tagged"))
+
+
+#: Tags of replacement texts, by the kind that they switch on.
+_KINDS = {"b": "bold", "i": "italic", "u": "underline", "highlight": "highlight", "highlighting": "highlight", "header": "header", "RunInHeader": "header", "font": "font"}
+_TOKEN = re.compile(r"""<(/?)(b|i|u|highlighting|highlight|header|RunInHeader|font)((?: (?:[^>"']|"[^"]*"|'[^']*')*)?)>|([^<]+|<)""")
+_ATTRIBUTE = re.compile(r"""(\w+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+_LOOK = ("bold", "italic", "underline", "highlight", "header")
+_FONT = ("color", "half_points", "font")
+SEGMENTS = T.StructType(
+    [T.StructField("segments", T.ArrayType(T.StructType([T.StructField(n, T.BooleanType()) for n in _LOOK] + [T.StructField("color", T.StringType()), T.StructField("half_points", T.IntegerType()), T.StructField("font", T.StringType()), T.StructField("text", T.StringType())]))), T.StructField("error", T.StringType())]
+)
+
+
+def _font(attributes: str, above: tuple) -> tuple:
+    """(color, half-points, font) inside a font tag: what it names, else what holds around it."""
+    named = {k: a or b for k, a, b in _ATTRIBUTE.findall(attributes)}
+    try:
+        size = round(2 * float(named["size"])) if "size" in named else above[1]
+    except ValueError:
+        size = above[1]
+    return named.get("color", above[0]), size, named.get("face", above[2])
 
 
 def segments_of(text: str) -> tuple[list[tuple], str | None]:
-    """(b, i, u, highlight, text) segments of tagged text; an unbalanced kind of tag is an error."""
-    depth, out = dict.fromkeys(("b", "i", "u", "highlight"), 0), []
-    for close, tag, plain in _TOKEN.findall(text):
+    """Segments (the flags of _LOOK, those of _FONT, text) of tagged text; an unbalanced kind of tag is an error.
+
+    Signs that open no known tag are text. Segments that look alike are one.
+    """
+    depth, fonts, out = dict.fromkeys((*_LOOK, "font"), 0), [(None, None, None)], []
+    for close, tag, attributes, plain in _TOKEN.findall(text):
         if tag:
-            depth[tag] += -1 if close else 1
-            if depth[tag] < 0:
-                return [], f"unbalanced <{tag}>"
+            kind = _KINDS[tag]
+            depth[kind] += -1 if close else 1
+            if depth[kind] < 0:
+                return [], f"unbalanced {kind} tags"
+            if kind == "font":
+                fonts = fonts[:-1] if close else [*fonts, _font(attributes, fonts[-1])]
             continue
-        now = tuple(v > 0 for v in depth.values())
-        if out and out[-1][:4] == now:
-            out[-1] = (*now, out[-1][4] + plain)
+        now = (*(depth[k] > 0 for k in _LOOK), *fonts[-1])
+        if out and out[-1][:-1] == now:
+            out[-1] = (*now, out[-1][-1] + plain)
         else:
             out.append((*now, plain))
-    open_ = next((t for t, v in depth.items() if v), None)
-    return ([], f"unbalanced <{open_}>") if open_ else (out, None)
+    open_ = next((k for k, v in depth.items() if v), None)
+    return ([], f"unbalanced {open_} tags") if open_ else (out, None)
 
 
 @F.pandas_udf(SEGMENTS)
 def parse_tagged(text: pd.Series) -> pd.DataFrame:
     """Tagged text as styled segments, or the error that keeps it from being parsed."""
     found = [segments_of(t or "") for t in text]
-    names = ("b", "i", "u", "highlight", "text")
+    names = (*_LOOK, *_FONT, "text")
     return pd.DataFrame({"segments": [[dict(zip(names, s)) for s in x[0]] for x in found], "error": [x[1] for x in found]})
 
 

@@ -208,7 +208,8 @@ def list_items(spark, sf_dir):
     return rows.withColumns({"starts": F.array(F.lit(1), F.lit(1), F.lit(1)), "formats": F.array(F.lit("decimal"), F.lit("ordinal"), F.lit("decimal")), "templates": F.array(F.lit("%1."), F.lit("%1.%2"), F.lit("%1.%2.(%3)"))})
 
 
-def _ordinal(n: str) -> str:
+def ordinal_sql(n: str) -> str:
+    """SQL for a number with its English ending."""
     return f"({n} || CASE WHEN {n} % 100 BETWEEN 11 AND 13 THEN 'th' WHEN {n} % 10 = 1 THEN 'st' WHEN {n} % 10 = 2 THEN 'nd' WHEN {n} % 10 = 3 THEN 'rd' ELSE 'th' END)"
 
 
@@ -219,7 +220,7 @@ b AS (SELECT *, n0 + CASE WHEN f0 > 0 THEN 1 ELSE 0 END AS c0,
   count(*) FILTER (level = 1) OVER s + CASE WHEN first_value(CASE WHEN level > 0 THEN level END IGNORE NULLS) OVER s = 2 THEN 1 ELSE 0 END AS c1,
   count(*) FILTER (level = 2) OVER (PARTITION BY doc_id, g1 ORDER BY para_idx ROWS UNBOUNDED PRECEDING) AS c2
   FROM a WINDOW s AS (PARTITION BY doc_id, n0 ORDER BY para_idx ROWS UNBOUNDED PRECEDING))
-SELECT doc_id, para_idx, c0 || '.' || CASE WHEN level > 0 THEN {_ordinal('c1')} ELSE '' END || CASE WHEN level > 1 THEN '.(' || c2 || ')' ELSE '' END AS label FROM b""")
+SELECT doc_id, para_idx, c0 || '.' || CASE WHEN level > 0 THEN {ordinal_sql('c1')} ELSE '' END || CASE WHEN level > 1 THEN '.(' || c2 || ')' ELSE '' END AS label FROM b""")
 def list_counters(spark, sf_dir):
     return O.list_labels(list_items(spark, sf_dir)).select("doc_id", "para_idx", "label")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import counters as C
@@ -14,7 +16,8 @@ from ..registry import query
 from ..sources import archives as A
 from ..sources import corpus
 from ..sources import reports
-from .sql import PARAGRAPHS, normalised, values, words
+from .ordering import ordinal_sql
+from .sql import PARAGRAPHS, normalised, words
 
 
 @query("word_counts", f"SELECT doc_id, CAST(len({words('text')}) AS INTEGER) AS words FROM documents")
@@ -32,15 +35,22 @@ def word_tokens(spark, sf_dir):
     return corpus.table(spark, sf_dir, "benchmark").select("item_id", X.word_and_space_tokens(F.col("text")).alias("tokens"))
 
 
-_LABELLED = ["Section 3.1(a) Scope", "Article IV Terms", "1.2. Heading", "7) seven", "(12) twelve", "(iv) roman", "(i) letter", "(b)  text", "plain", "sectional view", "", "(ABC) three"]
-_LABEL_ROWS = [(0, "Section 3.1(a)", "SECTION", "Scope"), (1, "Article IV", "ARTICLE", "Terms"), (2, "1.2.", "NUMBERED_HEADING", "Heading"), (3, "7)", "NUMBERED_HEADING", "seven"), (4, "(12)", "NUMBER", "twelve"), (5, "(iv)", "ROMAN", "roman"), (6, "(i)", "LETTER", "letter"), (7, "(b)", "LETTER", "text"), (8, None, None, "plain"), (9, None, None, "sectional view"), (10, None, None, ""), (11, "(ABC)", "LETTER", "three")]
+#: Paragraphs behind a label of one of twelve kinds, or none, by their length.
+LABELLED = """CASE length(text) % 13 WHEN 0 THEN 'Section 3.1(a) ' WHEN 1 THEN 'ARTICLE IV ' WHEN 2 THEN '1.2. ' WHEN 3 THEN '7) ' WHEN 4 THEN '(12)  ' WHEN 5 THEN '(iv) ' WHEN 6 THEN '(i) ' WHEN 7 THEN '(B)' WHEN 8 THEN '(ABC) '
+ WHEN 9 THEN 'section ' WHEN 10 THEN '3.1 ' WHEN 11 THEN ' (a) ' ELSE '' END || text"""
+_LABEL_SQL = [("SECTION", r"^(?i:section)\s+[\d.]+(\([a-zA-Z]\))?"), ("ARTICLE", r"^(?i:article)\s+[\dIVXLCDMivxlcdm.]+"), ("NUMBERED_HEADING", r"^\d+(\.\d+)*[.)]\s*"), ("NUMBER", r"^\(\d+\)\s*"), ("ROMAN", r"^\([ivxlcdmIVXLCDM]{2,}\)\s*"), ("LETTER", r"^\([a-zA-Z]+\)\s*")]
+
 
+LABEL_PARTS = f"CASE {' '.join(f"WHEN regexp_matches(text, '{p}') THEN '{k}'" for k, p in _LABEL_SQL)} END AS kind, CASE {' '.join(f"WHEN regexp_matches(text, '{p}') THEN regexp_extract(text, '{p}')" for _, p in _LABEL_SQL)} ELSE '' END AS hit"
 
-@query("list_labels", f"WITH {values('v', 'n, label, kind, rest', _LABEL_ROWS)} SELECT CAST(n AS INTEGER) AS n, label, kind, rest FROM v")
+
+@query("list_labels", rf"""
+WITH p AS (SELECT doc_id, para_idx, {LABELLED} AS text FROM {PARAGRAPHS}), m AS (SELECT *, {LABEL_PARTS} FROM p)
+SELECT doc_id, para_idx, nullif(regexp_replace(hit, '\s+$', ''), '') AS label, kind, CASE WHEN hit <> '' THEN regexp_replace(substr(text, length(hit) + 1), '^\s+', '') ELSE text END AS rest FROM m""")
 def list_labels(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(_LABELLED)), "n int, text string")
     t = F.col("text")
-    return rows.select("n", X.label(t).alias("label"), X.label_type(t).alias("kind"), X.without_label(t).alias("rest"))
+    rows = corpus.paragraphs(spark, sf_dir).select("doc_id", "para_idx", F.expr(LABELLED).alias("text"))
+    return rows.select("doc_id", "para_idx", X.label(t).alias("label"), X.label_type(t).alias("kind"), X.without_label(t).alias("rest"))
 
 
 @query("labelled_paragraphs", f"SELECT doc_id, para_idx FROM {PARAGRAPHS} WHERE regexp_matches(text, '^\\d+(\\.\\d+)*[.)]|^\\(([a-zA-Z]+|\\d+)\\)|^(?i:section)\\s+[\\d.]+|^(?i:article)\\s+[\\dIVXLCDMivxlcdm.]+')")
@@ -48,13 +58,19 @@ def labelled_paragraphs(spark, sf_dir):
     return corpus.paragraphs(spark, sf_dir).where(X.label(F.col("text")).isNotNull()).select("doc_id", "para_idx")
 
 
-_HEADED = [("Scope", "Scope: all work", "all work"), ("Term", "term. Two years", "Two years"), ("None", "Other text", "Other text"), ("", "x", "x")]
+#: What may be the heading of a paragraph: its first word, without the stop at its end, or something else.
+_HEAD = "CASE length(text) % 4 WHEN 0 THEN lower(split_part(text, ' ', 1)) WHEN 1 THEN regexp_replace(split_part(text, ' ', 1), '[.,]+$', '') WHEN 2 THEN '' ELSE 'nothing' END"
 
 
-@query("without_header", f"WITH {values('v', 'text, rest', [(t, r) for _, t, r in _HEADED])} SELECT * FROM v")
+@query("without_header", rf"""
+WITH p AS (SELECT doc_id, para_idx, text, {_HEAD} AS head FROM {PARAGRAPHS}), k AS (SELECT *, lower(trim(head)) AS key, lower(text) AS low FROM p)
+SELECT doc_id, para_idx, CASE WHEN head = '' THEN text {' '.join(rf"WHEN starts_with(low, key || '{m}') THEN regexp_replace(substr(text, length(key || '{m}') + 1), '^\s+', '')" for m in (':', '.', '-', ';', ''))} ELSE text END AS rest FROM k""")
 def without_header(spark, sf_dir):
-    rows = spark.createDataFrame(_HEADED, "head string, text string, want string")
-    return rows.select("text", X.without_header(F.col("text"), F.col("head")).alias("rest"))
+    first = F.split_part("text", F.lit(" "), F.lit(1))
+    n = F.length("text") % 4
+    head = F.when(n == 0, F.lower(first)).when(n == 1, F.regexp_replace(first, "[.,]+$", "")).when(n == 2, "").otherwise("nothing")
+    rows = corpus.paragraphs(spark, sf_dir).select("doc_id", "para_idx", "text", head.alias("head"))
+    return rows.select("doc_id", "para_idx", X.without_header(F.col("text"), F.col("head")).alias("rest"))
 
 
 @query("strip_tags", r"""
@@ -72,19 +88,37 @@ def escaped_text(spark, sf_dir):
     return corpus.table(spark, sf_dir, "pages").select("page_id", F.sha1(X.escaped_attribute(F.col("url"))).alias("escaped"))
 
 
-_QUOTED = [(0, "He said “hi” and ‘no’", "\"new\" (\"x\") 'y'", "“new” (“x”) ‘y’"), (1, "plain", "\"as is\"", "\"as is\""), (2, "only ’ here", "it's \"q\"", "it’s \"q\"")]
+#: Quotes put around and into each paragraph, and the style of its document.
+_QUOTED = """'"' || text || '" ("x") ''y'' it''s' """
+_QUOTE_OF = """CASE length(text) % 4 WHEN 0 THEN '“hi” ‘no’' WHEN 1 THEN 'plain' WHEN 2 THEN 'only ’ here' ELSE '„x“' END"""
+
 
+def _styled_sql(text: str, plain: str, left: str, right: str) -> str:
+    opening = f"CASE WHEN contains(q, '{left}') THEN '{left}' WHEN contains(q, '{right}') THEN '{right}' ELSE '{plain}' END"
+    closing = f"CASE WHEN contains(q, '{right}') THEN '{right}' WHEN contains(q, '{left}') THEN '{left}' ELSE '{plain}' END"
+    return rf"replace(replace(regexp_replace({text}, '(^|[\s(\[{{]){plain}', '\1' || chr(1), 'g'), '{plain}', {closing}), chr(1), {opening})"
 
-@query("quote_style", f"WITH {values('v', 'n, styled', [(n, w) for n, _, _, w in _QUOTED])} SELECT CAST(n AS INTEGER) AS n, styled FROM v")
+
+@query("quote_style", f"""
+WITH p AS (SELECT doc_id, para_idx, {_QUOTED} AS t, {_QUOTE_OF} AS q FROM {PARAGRAPHS})
+SELECT doc_id, para_idx, {_styled_sql(_styled_sql('t', '"', '“', '”'), "''", '‘', '’')} AS styled FROM p""")
 def quote_style(spark, sf_dir):
-    rows = spark.createDataFrame(_QUOTED, "n int, doc string, text string, want string")
-    return rows.select("n", X.in_quote_style(F.col("doc"), F.col("text")).alias("styled"))
+    rows = corpus.paragraphs(spark, sf_dir).select("doc_id", "para_idx", F.concat(F.lit('"'), F.col("text"), F.lit("\" (\"x\") 'y' it's")).alias("t"), F.expr(_QUOTE_OF).alias("q"))
+    return rows.select("doc_id", "para_idx", X.in_quote_style(F.col("q"), F.col("t")).alias("styled"))
 
 
-@query("merged_tags", f"WITH {values('v', 'n, merged', [(0, '<b>ab</b>'), (1, '<i>x</i> <i>y</i>'), (2, '<b><i>ab</i></b>')])} SELECT CAST(n AS INTEGER) AS n, merged FROM v")
+@query("merged_tags", f"""
+WITH w AS (SELECT doc_id, para_idx, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM {PARAGRAPHS}),
+f AS (SELECT *, length(w) % 2 = 0 AS b, length(w) % 3 = 0 AS u FROM w),
+g AS (SELECT *, lag(b) OVER o AS pb, lead(b) OVER o AS nb, lag(u) OVER o AS pu, lead(u) OVER o AS nu FROM f WINDOW o AS (PARTITION BY doc_id, para_idx ORDER BY i))
+SELECT doc_id, para_idx, string_agg(CASE WHEN b AND NOT coalesce(pb, FALSE) THEN '<b>' ELSE '' END || CASE WHEN u AND NOT coalesce(pu AND pb = b, FALSE) THEN '<i>' ELSE '' END || w ||
+  CASE WHEN u AND NOT coalesce(nu AND nb = b, FALSE) THEN '</i>' ELSE '' END || CASE WHEN b AND NOT coalesce(nb, FALSE) THEN '</b>' ELSE '' END, '' ORDER BY i) AS merged FROM g GROUP BY ALL""")
 def merged_tags(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "<b>a</b><b>b</b>"), (1, "<i>x</i> <i>y</i>"), (2, "<b><i>a</i></b><b><i>b</i></b>")], "n int, text string")
-    return rows.select("n", X.merged_tags(F.col("text")).alias("merged"))
+    """Words of each paragraph in tags of their own, then with tags that touch joined."""
+    w = F.split("text", " ")
+    put = lambda tag, on, t: F.when(on, F.concat(F.lit(f"<{tag}>"), t, F.lit(f"</{tag}>"))).otherwise(t)
+    tagged = F.array_join(F.transform(w, lambda x: put("b", F.length(x) % 2 == 0, put("i", F.length(x) % 3 == 0, x))), "")
+    return corpus.paragraphs(spark, sf_dir).select("doc_id", "para_idx", X.merged_tags(tagged).alias("merged"))
 
 
 @query("counter_formats", "SELECT o_orderkey AS n, CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN o_orderkey % 10 = 1 THEN 'st' WHEN o_orderkey % 10 = 2 THEN 'nd' WHEN o_orderkey % 10 = 3 THEN 'rd' ELSE 'th' END AS ordinal, CASE WHEN o_orderkey <= 26 THEN chr(CAST(96 + o_orderkey AS INTEGER)) WHEN o_orderkey <= 702 THEN chr(CAST(96 + (o_orderkey - 1) // 26 AS INTEGER)) || chr(CAST(97 + (o_orderkey - 1) % 26 AS INTEGER)) END AS letters FROM orders WHERE o_orderkey BETWEEN 1 AND 702")
@@ -103,33 +137,68 @@ def counter_formats_all(spark, sf_dir):
     return corpus.table(spark, sf_dir, "orders").select(n.alias("n"), C.ordinal(n).alias("ordinal"), C.letters(n).alias("letters"))
 
 
-_NUMBERS = [(1, "I", "one", "first"), (4, "IV", "four", "fourth"), (12, "XII", "twelve", "twelfth"), (13, "XIII", "thirteen", "13th"), (20, "XX", "twenty", "20th"), (42, "XLII", "forty-two", "42nd"), (99, "XCIX", "ninety-nine", "99th"), (100, "C", "100", "100th"), (1994, "MCMXCIV", "1994", "1994th")]
+def _pick(values: list[str], index: str) -> str:
+    return "([" + ", ".join(f"'{v}'" for v in values) + f"])[CAST({index} AS INTEGER)]"
+
 
+_ROMAN_SQL = "repeat('M', CAST(n // 1000 AS INTEGER))" + "".join(" || " + _pick(["", *(x.replace("I", a).replace("V", b).replace("x", c) for x in ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "Ix"))], f"(n // {d}) % 10 + 1") for d, a, b, c in ((100, "C", "D", "M"), (10, "X", "L", "C"), (1, "I", "V", "X")))
 
-@query("number_words", f"WITH {values('v', 'n, roman, cardinal, ordinal', _NUMBERS)} SELECT CAST(n AS INTEGER) AS n, roman, cardinal, ordinal FROM v")
+
+@query("number_words", f"""
+WITH o AS (SELECT o_orderkey, o_custkey % 120 + o_orderkey % 3 * 1000 AS n FROM orders)
+SELECT o_orderkey, {_ROMAN_SQL} AS roman,
+  CASE WHEN n BETWEEN 1 AND 19 THEN {_pick(C.ONES, 'n')} WHEN n BETWEEN 20 AND 99 THEN {_pick(C.TENS, 'n // 10 - 1')} || CASE WHEN n % 10 > 0 THEN '-' || {_pick(C.ONES, 'n % 10')} ELSE '' END ELSE CAST(n AS VARCHAR) END AS cardinal,
+  CASE WHEN n BETWEEN 1 AND 12 THEN {_pick(C.ORDINALS, 'n')} ELSE {ordinal_sql('n')} END AS ordinal FROM o""")
 def number_words(spark, sf_dir):
     n = F.col("n")
-    return spark.createDataFrame([(x[0],) for x in _NUMBERS], "n int").select("n", C.formatted(n, F.lit("upperRoman")).alias("roman"), C.formatted(n, F.lit("cardinalText")).alias("cardinal"), C.formatted(n, F.lit("ordinalText")).alias("ordinal"))
+    rows = corpus.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 120 + F.col("o_orderkey") % 3 * 1000).alias("n"))
+    return rows.select("o_orderkey", C.formatted(n, F.lit("upperRoman")).alias("roman"), C.formatted(n, F.lit("cardinalText")).alias("cardinal"), C.formatted(n, F.lit("ordinalText")).alias("ordinal"))
 
 
-@query("legal_numbering", f"WITH {values('v', 'plain, legal', [('II.c', '2.3')])} SELECT * FROM v")
+@query("legal_numbering", f"""
+WITH l AS (SELECT l_orderkey, l_linenumber AS n, CAST(l_quantity AS INTEGER) AS q, l_returnflag = 'R' AS legal FROM lineitem)
+SELECT l_orderkey, n AS line, q AS quantity, CASE WHEN legal THEN n || '.' || q ELSE {_pick(['I', 'II', 'III', 'IV', 'V', 'VI', 'VII'], 'n')} || '.' || CASE WHEN q > 26 THEN chr(CAST(96 + (q - 1) // 26 AS INTEGER)) ELSE '' END || chr(CAST(97 + (q - 1) % 26 AS INTEGER)) END AS label FROM l""")
 def legal_numbering(spark, sf_dir):
-    made = lambda legal: C.expanded(F.lit("%1.%2"), F.array(F.lit(2), F.lit(3)), F.array(F.lit("upperRoman"), F.lit("lowerLetter")), F.array(F.lit(False), F.lit(legal)))
-    return spark.range(1).select(made(False).alias("plain"), made(True).alias("legal"))
+    rows = corpus.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("int").alias("quantity"), (F.col("l_returnflag") == "R").alias("legal"))
+    label = C.expanded(F.lit("%1.%2"), F.array("line", "quantity"), F.array(F.lit("upperRoman"), F.lit("lowerLetter")), F.array(F.lit(False), F.col("legal")))
+    return rows.select("l_orderkey", "line", "quantity", label.alias("label"))
 
 
-@query("formatting_units", f"WITH {values('v', 'n, points, indent, align, bold', [(0, 12.5, -18.0, 'JUSTIFY', True), (1, 0.0, 36.0, 'CENTER', False), (2, None, 0.0, 'LEFT', None)])} SELECT CAST(n AS INTEGER) AS n, CAST(points AS DOUBLE) AS points, CAST(indent AS DOUBLE) AS indent, align, bold FROM v")
+@query("formatting_units", """
+WITH l AS (SELECT o_orderkey, o_custkey % 1500 AS tw, CASE o_orderstatus WHEN 'F' THEN o_custkey % 900 END AS fl, CASE o_orderstatus WHEN 'O' THEN o_custkey % 700 END AS hg, CASE left(o_orderpriority, 1) WHEN '1' THEN 'both' WHEN '2' THEN 'center' WHEN '3' THEN 'right' WHEN '4' THEN 'start' END AS jc, o_orderstatus <> 'P' AS has, CASE left(o_orderpriority, 1) WHEN '1' THEN '0' WHEN '2' THEN 'OFF' WHEN '3' THEN '1' END AS val FROM orders)
+SELECT o_orderkey, (tw + 1) // 2 / 10.0 AS points, CASE WHEN hg IS NOT NULL THEN (0 - (hg + 1) // 2) / 10.0 WHEN fl IS NOT NULL THEN (fl + 1) // 2 / 10.0 ELSE 0.0 END AS indent,
+  CASE jc WHEN 'both' THEN 'JUSTIFY' WHEN 'center' THEN 'CENTER' WHEN 'right' THEN 'RIGHT' ELSE 'LEFT' END AS align, CASE WHEN has THEN coalesce(lower(val) NOT IN ('0', 'off'), TRUE) END AS bold FROM l""")
 def formatting_units(spark, sf_dir):
-    rows = spark.createDataFrame([(0, 250, None, 360, "both", True, None), (1, 0, 720, None, "center", True, "0"), (2, None, None, None, None, False, None)], "n int, tw int, fl int, hg int, jc string, has boolean, val string")
-    return rows.select("n", S.points(F.col("tw")).cast("double").alias("points"), S.first_line_indent(F.col("fl"), F.col("hg")).cast("double").alias("indent"), S.alignment(F.col("jc")).alias("align"), S.toggle(F.col("has"), F.col("val")).alias("bold"))
+    key, status, first = F.col("o_custkey"), F.col("o_orderstatus"), F.left("o_orderpriority", F.lit(1))
+    indent = S.first_line_indent(F.when(status == "F", key % 900), F.when(status == "O", key % 700))
+    align = S.alignment(F.try_element_at(F.create_map(*map(F.lit, ("1", "both", "2", "center", "3", "right", "4", "start"))), first))
+    bold = S.toggle(status != "P", F.try_element_at(F.create_map(*map(F.lit, ("1", "0", "2", "OFF", "3", "1"))), first))
+    return corpus.table(spark, sf_dir, "orders").select("o_orderkey", S.points(key % 1500).cast("double").alias("points"), indent.cast("double").alias("indent"), align.alias("align"), bold.alias("bold"))
+
 
+def _diff_sql(when: str) -> str:
+    """SQL for the sorted plain names of the properties of a row for which ``when`` holds (o and n: old and new value)."""
+    pairs = (("bold", "b_old", "b_new"), ("fontSize", "s_old", "s_new"), ("italic", "i_old", "i_new"), ("verticalAlign", "v_old", "v_new"))
+    return "list_filter([" + ", ".join(f"CASE WHEN {when.format(o=o, n=n)} THEN '{name}' END" for name, o, n in pairs) + "], lambda x: x IS NOT NULL)"
 
-@query("property_set_diff", "SELECT ['italic'] AS added, ['bold'] AS removed, ['fontSize'] AS changed_names, ['bold', 'fontSize', 'italic'] AS names")
+
+_PROPERTIES = (
+    "CASE WHEN o_orderstatus <> 'F' THEN '1' END AS b_old", "CASE WHEN o_orderpriority > '3' THEN '1' END AS b_new", "CASE o_custkey % 3 WHEN 0 THEN '20' WHEN 1 THEN '22' ELSE '24' END AS s_old", "CASE o_orderkey % 3 WHEN 0 THEN '20' WHEN 1 THEN '22' ELSE '24' END AS s_new",
+    "CASE WHEN o_totalprice > 200000 THEN 'x' END AS i_old", "CASE WHEN o_orderstatus = 'O' THEN 'y' END AS i_new", "CASE WHEN o_orderpriority < '3' THEN o_orderstatus END AS v_old", "CASE WHEN o_totalprice < 300000 THEN 'F' END AS v_new",
+)
+
+
+@query("property_set_diff", f"""
+WITH p AS (SELECT o_orderkey, {', '.join(_PROPERTIES)} FROM orders)
+SELECT o_orderkey, array_to_string({_diff_sql('{o} IS NULL AND {n} IS NOT NULL')}, ',') AS added, array_to_string({_diff_sql('{o} IS NOT NULL AND {n} IS NULL')}, ',') AS removed,
+  array_to_string({_diff_sql('{o} <> {n}')}, ',') AS changed, array_to_string({_diff_sql('{o} IS DISTINCT FROM {n}')}, ',') AS names FROM p""")
 def property_set_diff(spark, sf_dir):
-    old, new = F.create_map(F.lit("w:b"), F.lit("1"), F.lit("w:sz"), F.lit("20")), F.create_map(F.lit("w:i"), F.lit("1"), F.lit("w:sz"), F.lit("24"))
-    d = S.property_diff(old, new)
-    name = lambda c: F.transform(c, lambda k: F.element_at(F.create_map(*[F.lit(x) for p in S.PROPERTY_NAMES.items() for x in p]), k))
-    return spark.range(1).select(name(d["added"]).alias("added"), name(d["removed"]).alias("removed"), name(d["changed"]).alias("changed_names"), S.changed_properties(old, new).alias("names"))
+    names = {"w:b": "b", "w:sz": "s", "w:i": "i", "w:vertAlign": "v"}
+    rows = corpus.table(spark, sf_dir, "orders").selectExpr("o_orderkey", *_PROPERTIES)
+    side = lambda which: F.map_filter(F.create_map(*[x for k, c in names.items() for x in (F.lit(k), F.col(f"{c}_{which}"))]), lambda k, v: v.isNotNull())
+    rows = rows.select("o_orderkey", side("old").alias("old"), side("new").alias("new")).withColumn("d", S.property_diff(F.col("old"), F.col("new")))
+    plain = lambda c: F.array_join(F.array_sort(F.transform(c, lambda k: F.element_at(F.create_map(*[F.lit(x) for p in S.PROPERTY_NAMES.items() for x in p]), k))), ",")
+    return rows.select("o_orderkey", plain(F.col("d.added")).alias("added"), plain(F.col("d.removed")).alias("removed"), plain(F.col("d.changed")).alias("changed"), F.array_join(S.changed_properties(F.col("old"), F.col("new")), ",").alias("names"))
 
 
 @query("common_affixes", """
@@ -141,11 +210,24 @@ def common_affixes(spark, sf_dir):
     return rows.join(after, "item_id").select("item_id", X.common_prefix(F.col("text"), F.col("y")).alias("prefix"))
 
 
-@query("text_compare", r"""
-SELECT doc_id, text = text || ' ' AS identical, TRUE AS normalised_identical, CAST(NULL AS INTEGER) AS first_difference FROM documents""")
+def _alike(x: str) -> str:
+    for pattern, to in (("\\r\\n?", "\\n"), ("\\t", " "), (" +", " "), (" *\\n *", "\\n"), ("\\n{2,}", "\\n")):
+        x = f"regexp_replace({x}, '{pattern}', {'chr(10)' if to != ' ' else repr(to)}, 'g')"
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("text_compare", f"""
+WITH p AS (SELECT a.item_id, a.text AS x, CASE WHEN length(a.text) % 3 = 0 THEN replace(a.text, ' ', chr(9) || ' ') || chr(13) || chr(10) WHEN length(a.text) % 3 = 1 THEN a.text ELSE b.text END AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
+n AS (SELECT *, {_alike('x')} AS nx, {_alike('y')} AS ny FROM p)
+SELECT item_id, x = y AS identical, nx = ny AS normalised_identical,
+ CASE WHEN nx <> ny THEN CAST(coalesce((SELECT max(i) FROM range(1, 2000) t(i) WHERE i <= least(length(nx), length(ny)) AND left(nx, CAST(i AS INTEGER)) = left(ny, CAST(i AS INTEGER))), 0) AS INTEGER) END AS first_difference FROM n""")
 def text_compare(spark, sf_dir):
-    rows = corpus.table(spark, sf_dir, "documents").select("doc_id", X.compared(F.col("text"), F.concat("text", F.lit(" "))).alias("c"))
-    return rows.select("doc_id", "c.identical", "c.normalised_identical", "c.first_difference")
+    """Each benchmark item against itself with other blanks, itself as it is, or the next item."""
+    rows = corpus.table(spark, sf_dir, "benchmark")
+    n = F.length("text") % 3
+    other = F.when(n == 0, F.concat(F.replace("text", F.lit(" "), F.lit("\t ")), F.lit("\r\n"))).when(n == 1, F.col("text")).otherwise(F.col("after"))
+    rows = rows.join(rows.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("after")), "item_id").select("item_id", X.compared(F.col("text"), other).alias("c"))
+    return rows.select("item_id", "c.identical", "c.normalised_identical", "c.first_difference")
 
 
 @query("placeholder_leaks", "SELECT doc_id FROM documents WHERE regexp_matches(text, '\\{[A-Za-z_][A-Za-z0-9_]*\\}') OR regexp_matches(text, '\\[[^\\]]*\\]|«[^»]*»')")
@@ -163,23 +245,28 @@ def canonical_view(spark, sf_dir):
 # Edits.
 
 
-@query("edit_apply", """
-WITH e AS (SELECT doc_id, text, substr(text, 1, 12) AS old FROM documents WHERE length(text) > 60),
-c AS (SELECT *, (SELECT count(*) FROM range(0, length(text) - 11) t(i) WHERE substr(text, CAST(i AS INTEGER) + 1, 12) = old) AS n FROM e)
-SELECT doc_id, sha1(CASE WHEN n = 1 THEN 'REPLACED' || substr(text, 13) ELSE text END) AS after, CASE WHEN n = 1 THEN 'unique' ELSE 'multiple' END AS status FROM c""")
-def edit_apply(spark, sf_dir):
-    rows = corpus.table(spark, sf_dir, "documents").where(F.length("text") > 60).select("doc_id", "text", F.substring("text", 1, 12).alias("old"), F.lit("REPLACED").alias("new"))
-    return E.replace_unique(rows).select("doc_id", F.sha1("after").alias("after"), "status")
+_OLD = "CASE length(text) % 5 WHEN 0 THEN 'zq' || left(text, 10) ELSE left(text, 12) END"
 
 
-_EDITS = [(0, "The quick brown fox", "quick brown", "quick red", "The quick red fox", "brown", "red"), (1, "a a", "a", "b", "a a", None, None), (2, "He said “go”", '"go"', '"stay"', "He said “stay”", "go", "stay")]
+@query("edit_apply", f"""
+WITH e AS (SELECT doc_id, text, {_OLD} AS old FROM documents),
+c AS (SELECT *, CASE WHEN old = '' THEN 0 ELSE (SELECT count(*) FROM range(0, greatest(length(text) - length(old) + 1, 0)) t(i) WHERE substr(text, CAST(i AS INTEGER) + 1, length(old)) = old) END AS n FROM e)
+SELECT doc_id, sha1(CASE WHEN n = 1 THEN 'REPLACED' || substr(text, length(old) + 1) ELSE text END) AS after, CASE WHEN n = 1 THEN 'unique' WHEN n = 0 THEN 'not_found' ELSE 'multiple' END AS status FROM c""")
+def edit_apply(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(_OLD).alias("old"), F.lit("REPLACED").alias("new"))
+    return E.replace_unique(rows).select("doc_id", F.sha1("after").alias("after"), "status")
 
 
-@query("minimal_edits", f"WITH {values('v', 'n, after, changed_old, changed_new', [(x[0], *x[4:]) for x in _EDITS])} SELECT CAST(n AS INTEGER) AS n, after, changed_old, changed_new FROM v")
+@query("minimal_edits", """
+WITH c AS (SELECT c_custkey, c_mktsegment AS m, CASE WHEN c_acctbal < 0 THEN c_mktsegment || ' ' || c_mktsegment ELSE c_name || ' ' || c_mktsegment END AS text FROM customer)
+SELECT c_custkey, CASE WHEN text LIKE 'Customer%' THEN left(text, length(text) - length(m)) || left(m, 3) || 'x' || right(m, 2) ELSE text END AS after,
+  CASE WHEN text LIKE 'Customer%' THEN substr(m, 4, length(m) - 5) END AS changed_old, CASE WHEN text LIKE 'Customer%' THEN 'x' END AS changed_new FROM c""")
 def minimal_edits(spark, sf_dir):
-    rows = spark.createDataFrame([x[:4] for x in _EDITS], "n int, text string, old string, new string")
-    out = E.replace_unique(rows)
-    return out.select("n", "after", "changed_old", F.when(F.col("changed_old").isNotNull(), F.col("changed_new")).alias("changed_new"))
+    m = F.col("c_mktsegment")
+    text = F.when(F.col("c_acctbal") < 0, F.concat_ws(" ", m, m)).otherwise(F.concat_ws(" ", "c_name", m))
+    new = F.concat(F.left(m, F.lit(3)), F.lit("x"), F.right(m, F.lit(2)))
+    out = E.replace_unique(corpus.table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"), m.alias("old"), new.alias("new")))
+    return out.select("c_custkey", "after", "changed_old", F.when(F.col("changed_old").isNotNull(), F.col("changed_new")).alias("changed_new"))
 
 
 @query("inserted_paragraphs", """
@@ -198,10 +285,15 @@ def spacing_updates(spark, sf_dir):
     return E.updated(rows, rows.where("para_idx = 1").withColumn("before", F.lit(12)), ["doc_id", "para_idx"], ["before"])[0]
 
 
-@query("layout_errors", f"WITH {values('v', 'n, error', [(0, 'before is negative'), (1, 'unknown rule'), (2, 'nothing to change')])} SELECT CAST(n AS INTEGER) AS n, error FROM v")
+@query("layout_errors", """
+WITH l AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_custkey % 5 - 1 END AS before, CASE WHEN o_totalprice > 250000 THEN o_custkey % 7 - 1 END AS after, CASE o_orderpriority WHEN '1-URGENT' THEN 'odd' WHEN '2-HIGH' THEN 'exact' WHEN '5-LOW' THEN NULL ELSE 'auto' END AS rule FROM orders)
+SELECT o_orderkey, 'before is negative' AS error FROM l WHERE before < 0 UNION ALL SELECT o_orderkey, 'after is negative' FROM l WHERE after < 0 UNION ALL SELECT o_orderkey, 'unknown rule' FROM l WHERE rule = 'odd'
+UNION ALL SELECT o_orderkey, 'nothing to change' FROM l WHERE before IS NULL AND after IS NULL""")
 def layout_errors(spark, sf_dir):
-    rows = spark.createDataFrame([(0, -1, 2, "auto"), (1, 1, 2, "odd"), (2, None, None, "exact"), (3, 1, None, "exact")], "n int, before int, after int, rule string")
-    return E.layout_errors(rows).select("n", F.explode("errors").alias("error"))
+    key, p = F.col("o_custkey"), F.col("o_orderpriority")
+    rule = F.when(p == "1-URGENT", "odd").when(p == "2-HIGH", "exact").when(p != "5-LOW", "auto")
+    rows = corpus.table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", key % 5 - 1).alias("before"), F.when(F.col("o_totalprice") > 250000, key % 7 - 1).alias("after"), rule.alias("rule"))
+    return E.layout_errors(rows).select("o_orderkey", F.explode("errors").alias("error"))
 
 
 @query("cleared_formatting", "SELECT conv_id, turn, length(text) % 2 = 0 AS bold, CAST(NULL AS VARCHAR) AS color FROM conversations")
@@ -223,49 +315,100 @@ def note_edits(spark, sf_dir):
 
 # Plans.
 
-_PLANS = [
-    (0, "A", 3, '[{"step_id":"s1","operation":"replace_text","target_paragraph_id":"p1","old_string":"brown","new_string":"red","range":{"start":0,"end":5}},{"operation":"insert_paragraph","positional_anchor_node_id":"p2","position":"AFTER","new_string":"x"}]'),
-    (1, "B", 4, '[{"step_id":"s1","op":"Replace_Text","target_paragraph_id":"p1","old_string":"fox","new_string":"cat","range":{"start":4,"end":9}},{"operation":"insert_paragraph","positional_anchor_node_id":"p2","position":"after","new_string":"y"},{"operation":"replace_text","target_paragraph_id":"p3","old_string":"q","new_string":"r"}]'),
-    (2, "C", None, '[{"operation":"replace_text","target_paragraph_id":"p3","old_string":"z","new_string":"r","range":{"start":5,"end":5}},{"operation":"dance"}]'),
-]
+#: Each order is a plan of two steps for its customer's document, which has four paragraphs.
+_STEPS = """st AS (SELECT o_custkey AS doc_id, CAST(o_orderkey AS INTEGER) AS plan_index, CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 4 END AS base_revision, 0 AS step_index,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN 's1' ELSE 'auto_' || (o_orderkey + 1) || '_1' END AS step_id, 'replace_text' AS operation, CAST(left(o_orderpriority, 1) AS INTEGER) - 1 AS k,
+    CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderkey % 40 AS INTEGER) END AS start, CASE o_orderstatus WHEN 'F' THEN '#' WHEN 'O' THEN 'U' ELSE '-' END AS old_string, '+' || o_orderstatus AS new_string, CAST(NULL AS VARCHAR) AS position FROM orders
+  UNION ALL SELECT o_custkey, CAST(o_orderkey AS INTEGER), CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 4 END, 1, 'auto_' || (o_orderkey + 1) || '_2', CASE WHEN o_totalprice > 450000 THEN 'dance' ELSE 'insert_paragraph' END, CAST(left(o_orderpriority, 1) AS INTEGER) - 1,
+    NULL, NULL, 'new ' || o_orderkey || chr(10) || chr(10) || 'more', CASE o_orderstatus WHEN 'F' THEN 'BEFORE' WHEN 'O' THEN 'AFTER' END FROM orders)"""
+_PARAS = "pa AS (SELECT c_custkey AS doc_id, [c_name, c_mktsegment, '-' || c_mktsegment, c_name || '#' || c_mktsegment] AS t FROM customer)"
 
 
-def _steps(spark):
-    return P.steps(spark.createDataFrame(_PLANS, "plan_index int, plan_id string, base_revision int, steps string"))
+def plans(spark, sf_dir):
+    """Orders as plans of two steps: a replacement and an insertion."""
+    status, key, para = F.col("o_orderstatus"), F.col("o_orderkey"), F.concat(F.lit("p"), (F.left("o_orderpriority", F.lit(1)).cast("int") - 1).cast("string"))
+    text = lambda **by: reduce(lambda c, x: F.when(status == x[0], x[1]).otherwise(c), by.items(), F.lit(None).cast("string"))
+    none = F.lit(None).cast("string")
+    spot = F.struct((key % 40).cast("int").alias("start"), (key % 40 + 6).cast("int").alias("end"))
+    replace = F.struct(F.when(F.col("o_orderpriority") == "1-URGENT", "s1").alias("step_id"), F.lit(" Replace_Text ").alias("op"), none.alias("operation"), para.alias("target_paragraph_id"), none.alias("positional_anchor_node_id"), none.alias("position"), text(F="#", O="U", P="-").alias("old_string"), F.concat(F.lit("+"), status).alias("new_string"), F.when(F.col("o_custkey") % 2 == 0, spot).alias("range"))
+    insert = F.struct(none.alias("step_id"), none.alias("op"), F.when(F.col("o_totalprice") > 450000, "dance").otherwise("insert_paragraph").alias("operation"), none.alias("target_paragraph_id"), para.alias("positional_anchor_node_id"), text(F="before", O="AFTER").alias("position"), none.alias("old_string"), F.concat(F.lit("new "), key.cast("string"), F.lit("\n\nmore")).alias("new_string"), F.lit(None).cast(spark.range(1).select(spot_type()).schema[0].dataType).alias("range"))
+    return corpus.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), key.cast("int").alias("plan_index"), F.concat(F.lit("plan"), key.cast("string")).alias("plan_id"), F.when(status == "F", 3).when(status == "O", 4).alias("base_revision"), F.to_json(F.array(replace, insert)).alias("steps"))
 
 
-@query("plan_steps", f"WITH {values('v', 'plan_index, step_index, step_id, operation', [(0, 0, 's1', 'replace_text'), (0, 1, 'auto_1_2', 'insert_paragraph'), (1, 0, 's1', 'replace_text'), (1, 1, 'auto_2_2', 'insert_paragraph'), (1, 2, 'auto_2_3', 'replace_text'), (2, 0, 'auto_3_1', 'replace_text'), (2, 1, 'auto_3_2', 'dance')])} SELECT CAST(plan_index AS INTEGER) AS plan_index, CAST(step_index AS INTEGER) AS step_index, step_id, operation FROM v")
-def plan_steps(spark, sf_dir):
-    return _steps(spark).select("plan_index", "step_index", "step_id", "operation")
+def spot_type():
+    return F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
 
 
-@query("plan_conflicts", f"WITH {values('v', 'code, subject, n', [('DUPLICATE_STEP_ID', 's1', 2), ('OVERLAPPING_REPLACE_RANGE', 'p1', 2), ('UNKNOWN_REPLACE_RANGE', 'p3', 2), ('INSERT_SLOT_COLLISION', 'p2::AFTER', 2), ('BASE_REVISION_CONFLICT', '3, 4', 0)])} SELECT code, subject, CAST(n AS INTEGER) AS n FROM v")
-def plan_conflicts(spark, sf_dir):
-    return P.conflicts(_steps(spark)).select("code", "subject", F.size("refs").alias("n"))
+def plan_steps_of(spark, sf_dir):
+    return P.steps(plans(spark, sf_dir))
 
 
-_PARAS = [("p1", "The brown fox"), ("p2", "second"), ("p3", "q z q")]
+def plan_paragraphs(spark, sf_dir):
+    """Four paragraphs for each customer."""
+    name, m = F.col("c_name"), F.col("c_mktsegment")
+    texts = F.array(name, m, F.concat(F.lit("-"), m), F.concat(name, F.lit("#"), m))
+    rows = corpus.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.posexplode(texts).alias("para_idx", "text"))
+    return rows.withColumn("para_id", F.concat(F.lit("p"), F.col("para_idx").cast("string")))
 
 
-@query("plan_validation", f"WITH {values('v', 'step_id, error', [('auto_2_3', 'old text: multiple'), ('auto_3_2', 'unknown operation'), ('auto_3_2', 'no new text')])} SELECT * FROM v")
-def plan_validation(spark, sf_dir):
-    paras = spark.createDataFrame(_PARAS, "para_id string, text string")
-    return P.step_errors(_steps(spark), paras).select("step_id", F.explode("errors").alias("error"))
+@query("plan_steps", f"WITH {_STEPS} SELECT doc_id, plan_index, CAST(step_index AS INTEGER) AS step_index, step_id, operation, position, start FROM st")
+def plan_steps(spark, sf_dir):
+    return plan_steps_of(spark, sf_dir).select("doc_id", "plan_index", "step_index", "step_id", "operation", "position", "start")
 
 
-@query("plan_apply", f"WITH {values('v', 'para_id, text, done, failed_step', [('p1', 'The red cat', 2, None), ('p3', 'q z q', 0, 'auto_2_3')])} SELECT para_id, text, CAST(done AS INTEGER) AS done, failed_step FROM v")
-def plan_apply(spark, sf_dir):
-    return P.applied(_steps(spark), spark.createDataFrame(_PARAS, "para_id string, text string"))
+_CONFLICTS = f"""WITH {_STEPS},
+ed AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (start IS NULL) OVER w AS unknown FROM st WHERE operation = 'replace_text' WINDOW w AS (PARTITION BY doc_id, k)),
+sw AS (SELECT *, max(start + 6) OVER (PARTITION BY doc_id, k ORDER BY start, plan_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM ed WHERE n > 1 AND unknown = 0),
+co AS (SELECT doc_id, 'DUPLICATE_STEP_ID' AS code, step_id AS subject, count(*) AS n FROM st GROUP BY doc_id, step_id HAVING count(*) > 1
+  UNION ALL SELECT doc_id, 'UNKNOWN_REPLACE_RANGE', 'p' || k, count(*) FROM ed WHERE n > 1 AND unknown > 0 GROUP BY doc_id, k
+  UNION ALL SELECT doc_id, 'OVERLAPPING_REPLACE_RANGE', 'p' || k, 2 FROM sw WHERE far > start
+  UNION ALL SELECT doc_id, 'INSERT_SLOT_COLLISION', 'p' || k || '::' || position, count(*) FROM st WHERE operation = 'insert_paragraph' AND position IS NOT NULL GROUP BY doc_id, k, position HAVING count(*) > 1
+  UNION ALL SELECT doc_id, 'BASE_REVISION_CONFLICT', string_agg(DISTINCT CAST(base_revision AS VARCHAR), ', ' ORDER BY CAST(base_revision AS VARCHAR)), 0 FROM st WHERE base_revision IS NOT NULL GROUP BY doc_id HAVING count(DISTINCT base_revision) > 1)"""
+
+
+@query("plan_conflicts", _CONFLICTS + " SELECT doc_id, code, subject, CAST(n AS INTEGER) AS n FROM co")
+def plan_conflicts(spark, sf_dir):
+    return P.conflicts(plan_steps_of(spark, sf_dir)).select("doc_id", "code", "subject", F.size("refs").alias("n"))
 
 
-@query("merged_plan", "SELECT * FROM (VALUES (CAST(7 AS BIGINT), CAST(7 AS BIGINT))) v(n, n_orders)")
+@query("merged_plan", _CONFLICTS + " SELECT doc_id, step_id, CAST(plan_index AS BIGINT) * 4294967296 + step_index AS place FROM st WHERE doc_id NOT IN (SELECT doc_id FROM co)")
 def merged_plan(spark, sf_dir):
-    return P.merged(_steps(spark)).agg(F.count("*").alias("n"), F.count_distinct("order").alias("n_orders"))
+    return P.merged(plan_steps_of(spark, sf_dir)).select("doc_id", "step_id", F.col("order").alias("place"))
+
+
+_COUNT = "CASE WHEN pa.t IS NULL OR st.k > 3 THEN NULL ELSE length(pa.t[st.k + 1]) - length(replace(pa.t[st.k + 1], old_string, '')) END"
+
+
+@query("plan_validation", f"""
+WITH {_STEPS}, {_PARAS}, v AS (SELECT st.*, {_COUNT} AS n FROM st LEFT JOIN pa USING (doc_id))
+SELECT doc_id, step_id, 'unknown operation' AS error FROM v WHERE operation = 'dance' UNION ALL SELECT doc_id, step_id, 'unknown paragraph' FROM v WHERE k > 3
+UNION ALL SELECT doc_id, step_id, 'no position' FROM v WHERE operation = 'insert_paragraph' AND position IS NULL
+UNION ALL SELECT doc_id, step_id, 'old text: ' || CASE WHEN n = 0 THEN 'not_found' ELSE 'multiple' END FROM v WHERE operation = 'replace_text' AND k <= 3 AND n <> 1""")
+def plan_validation(spark, sf_dir):
+    return P.step_errors(plan_steps_of(spark, sf_dir), plan_paragraphs(spark, sf_dir)).select("doc_id", "step_id", F.explode("errors").alias("error"))
+
+
+@query("plan_apply", f"""
+WITH RECURSIVE {_STEPS}, {_PARAS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY plan_index, step_index) AS i FROM st),
+run AS (SELECT doc_id, t, CAST(0 AS BIGINT) AS done, CAST(NULL AS VARCHAR) AS failed, CAST(NULL AS VARCHAR) AS why FROM pa
+  UNION ALL SELECT doc_id, CASE WHEN why IS NULL AND operation = 'replace_text' THEN list_transform(t, lambda x, j: CASE WHEN j = k + 1 THEN replace(x, old_string, new_string) ELSE x END) ELSE t END,
+    CASE WHEN why IS NULL THEN done + 1 ELSE done END, CASE WHEN why IS NOT NULL THEN step_id END, why FROM (
+    SELECT run.doc_id, run.t, run.done, o.*, CASE WHEN operation = 'dance' THEN 'unknown operation' WHEN k > 3 THEN 'unknown paragraph' WHEN operation = 'insert_paragraph' AND position IS NULL THEN 'no position'
+      WHEN operation = 'replace_text' AND length(t[k + 1]) - length(replace(t[k + 1], old_string, '')) <> 1 THEN 'old text does not match once' END AS why FROM run JOIN o ON o.doc_id = run.doc_id AND o.i = run.done + 1 WHERE run.failed IS NULL)),
+fin AS (SELECT doc_id, arg_max(t, (done, failed IS NOT NULL)) AS t, max(done) AS done, max(failed) AS failed, max(why) AS why FROM run GROUP BY doc_id),
+ins AS (SELECT o.*, unnest(['new ' || plan_index, 'more']) AS text, unnest([1, 2]) AS part FROM o JOIN fin USING (doc_id) WHERE o.i <= fin.done AND o.operation = 'insert_paragraph'),
+li AS (SELECT doc_id, k, CASE position WHEN 'BEFORE' THEN 0 ELSE 2 END AS side, CASE position WHEN 'BEFORE' THEN i ELSE -i END AS place, part, text FROM ins
+  UNION ALL SELECT doc_id, unnest(range(4)), 1, 0, 0, unnest(t) FROM fin)
+SELECT doc_id, string_agg(text, chr(10) ORDER BY k, side, place, part) AS text, CAST(any_value(done) AS INTEGER) AS completed, any_value(failed) AS failed_step, any_value(why) AS error FROM li JOIN fin USING (doc_id) GROUP BY doc_id""")
+def plan_apply(spark, sf_dir):
+    out = P.applied(plan_steps_of(spark, sf_dir), plan_paragraphs(spark, sf_dir))
+    return out.select("doc_id", F.array_join(F.transform("paragraphs", lambda p: p["text"]), "\n").alias("text"), "completed", "failed_step", "error")
 
 
-@query("plan_init", "SELECT 'plan_' || left(sha1('draft:7'), 12) AS plan_context_id, CAST(7 AS INTEGER) AS base_revision")
+@query("plan_init", "SELECT c_custkey, 'plan_' || left(sha1(c_name || ':' || c_nationkey), 12) AS plan_context_id, c_nationkey AS base_revision FROM customer")
 def plan_init(spark, sf_dir):
-    return P.opened(spark, 7, "draft")
+    rows = corpus.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_nationkey").alias("revision"))
+    return P.opened(rows).select("c_custkey", "plan_context_id", "base_revision")
 
 
 # Archives and reports.
@@ -286,13 +429,16 @@ def archive_guard(spark, sf_dir):
     return A.guarded(A.entries(_archives(spark, sf_dir), with_content=False)).where("violation IS NULL OR violation IS NOT NULL").select("doc_id", "entries")
 
 
-_ENTRIES = [("a", f"f{i}", False, 10, 100) for i in range(3)] + [("b", "bomb", False, 1, 1000), ("c", "big", False, 60 << 20, 60 << 20)] + [("d", f"e{i}", False, 1, 1) for i in range(2001)]
+#: Line items as entries of one archive a part: sizes by price, directories none.
+_ENTRIES = "l_partkey AS k, 'f' || l_orderkey AS part_uri, CAST(l_quantity AS BIGINT) AS packed, CAST(floor(l_extendedprice * l_quantity * CASE WHEN l_discount > 0.09 THEN 20 ELSE 0.002 END) AS BIGINT) AS size"
 
 
-@query("archive_limits", f"WITH {values('v', 'doc_id, violation', [('a', None), ('b', 'compression ratio too high'), ('c', 'entry too large'), ('d', 'too many entries')])} SELECT * FROM v")
+@query("archive_limits", f"""
+WITH e AS (SELECT {_ENTRIES} FROM lineitem)
+SELECT CAST(k AS VARCHAR) AS doc_id, CASE WHEN count(*) > 2000 THEN 'too many entries' WHEN max(size) > 52428800 THEN 'entry too large' WHEN sum(size) > 209715200 THEN 'archive too large' WHEN max(size / greatest(packed, 1)) > 200 THEN 'compression ratio too high' END AS violation FROM e GROUP BY k""")
 def archive_limits(spark, sf_dir):
-    rows = spark.createDataFrame(_ENTRIES, "doc_id string, part_uri string, is_directory boolean, compressed_bytes long, uncompressed_bytes long")
-    return A.guarded(rows).select("doc_id", "violation")
+    rows = corpus.table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS k", "'f' || l_orderkey AS part_uri", "CAST(l_quantity AS BIGINT) AS compressed_bytes", "CAST(floor(l_extendedprice * l_quantity * CASE WHEN l_discount > 0.09D THEN 20D ELSE 0.002D END) AS BIGINT) AS uncompressed_bytes")
+    return A.guarded(rows.select(F.col("k").cast("string").alias("doc_id"), "part_uri", F.lit(False).alias("is_directory"), "compressed_bytes", "uncompressed_bytes")).select("doc_id", "violation")
 
 
 @query("part_manifest", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'word/document.xml' AS part_uri FROM documents")
@@ -310,13 +456,17 @@ def missing_part(spark, sf_dir):
     return A.part(A.entries(_archives(spark, sf_dir)), A.PARTS[1]).select("doc_id", "error")
 
 
-_MARKDOWN = ["# First", "| a | b |", "| --- | --- |", "| 1 | 2 |", "text", "## Second", "| 3 | 4 |"]
+#: Paragraphs as lines of one markdown file a document: every fifth a heading, the others rows of a table or text.
+_MARKDOWN = "CASE WHEN para_idx % 5 = 0 THEN '## ' || left(text, 20) WHEN length(text) % 7 = 0 THEN '| --- | --- |' WHEN length(text) % 2 = 0 THEN '| ' || replace(left(text, 15), '|', '') || ' | ' || length(text) || ' |' ELSE text END"
 
 
-@query("markdown_rows", f"WITH {values('v', 'line_no, heading, first', [(1, 'First', 'a'), (3, 'First', '1'), (6, 'Second', '3')])} SELECT CAST(line_no AS INTEGER) AS line_no, heading, first FROM v")
+@query("markdown_rows", rf"""
+WITH l AS (SELECT doc_id, para_idx, {_MARKDOWN} AS line FROM {PARAGRAPHS}),
+h AS (SELECT *, last_value(nullif(regexp_extract(line, '^#+\s+(.*)$', 1), '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY para_idx ROWS UNBOUNDED PRECEDING) AS heading FROM l)
+SELECT CAST(doc_id AS VARCHAR) AS file, para_idx AS line_no, heading, trim(string_split(regexp_replace(line, '^\s*\||\|\s*$', '', 'g'), '|')[1]) AS first FROM h WHERE regexp_matches(line, '^\s*\|.*\|\s*$') AND NOT regexp_matches(line, '^[\s|:-]+$')""")
 def markdown_rows(spark, sf_dir):
-    lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(_MARKDOWN)], "file string, line_no int, line string")
-    return reports.markdown_rows(lines).select("line_no", "heading", F.get("cells", F.lit(0)).alias("first"))
+    lines = corpus.paragraphs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file"), F.col("para_idx").alias("line_no"), F.expr(_MARKDOWN).alias("line"))
+    return reports.markdown_rows(lines).select("file", "line_no", "heading", F.get("cells", F.lit(0)).alias("first"))
 
 
 @query("markdown_report", "SELECT '| role | n |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || role || ' | ' || n || ' |', chr(10) ORDER BY role) AS report FROM (SELECT role, count(*) AS n FROM conversations GROUP BY role)")
@@ -325,6 +475,8 @@ def markdown_report(spark, sf_dir):
     return reports.markdown_report(rows, ["role", "n"], "role")
 
 
-@query("missing_files", f"WITH {values('v', 'name', [('b',)])} SELECT * FROM v")
+@query("missing_files", "SELECT DISTINCT split_part(name, '/', 1) AS folder, name FROM (SELECT o_orderstatus || '/' || o_custkey AS name FROM orders) WHERE name NOT IN (SELECT 'F/' || c_custkey FROM customer WHERE c_acctbal > 0)")
 def missing_files(spark, sf_dir):
-    return reports.missing_files(spark.createDataFrame([("a",), ("b",)], "name string"), spark.createDataFrame([("a",)], "name string"))
+    manifest = corpus.table(spark, sf_dir, "orders").select(F.concat_ws("/", "o_orderstatus", F.col("o_custkey").cast("string")).alias("name")).distinct()
+    files = corpus.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.concat(F.lit("F/"), F.col("c_custkey").cast("string")).alias("name"))
+    return reports.missing_files(manifest, files).select(F.split_part("name", F.lit("/"), F.lit(1)).alias("folder"), "name")

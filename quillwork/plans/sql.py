@@ -10,9 +10,3 @@ def normalised(x: str) -> str:
 
 def words(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
-
-
-def values(name: str, columns: str, rows: list[tuple]) -> str:
-    """A CTE of literal rows."""
-    lit = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ")"

@@ -28,8 +28,8 @@ def archives(spark: SparkSession, path: str) -> DataFrame:
 def entries(files: DataFrame, with_content: bool = True) -> DataFrame:
     """A row for each entry of each archive; a file that is no archive gives one row with an error.
 
-    An entry larger than the limit is told without its content, so that a small file
-    cannot unfold into more than a task can hold.
+    An entry larger than the limit is told without its content and with an error, so that
+    a small file cannot unfold into more than a task can hold.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,7 +40,8 @@ def entries(files: DataFrame, with_content: bool = True) -> DataFrame:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         for e in z.infolist():
                             fits = with_content and not e.is_dir() and e.file_size <= MAX_ENTRY_BYTES
-                            rows.append((doc, e.filename, e.is_dir(), max(e.compress_size, 0), max(e.file_size, 0), z.read(e) if fits else None, None))
+                            over = with_content and e.file_size > MAX_ENTRY_BYTES
+                            rows.append((doc, e.filename, e.is_dir(), max(e.compress_size, 0), max(e.file_size, 0), z.read(e) if fits else None, "entry too large" if over else None))
                 except (zipfile.BadZipFile, TypeError, OSError) as error:
                     rows = [(doc, None, None, None, None, None, str(error))]
                 yield pd.DataFrame(rows, columns=["doc_id", "part_uri", "is_directory", "compressed_bytes", "uncompressed_bytes", "content", "error"])
@@ -51,8 +52,9 @@ def entries(files: DataFrame, with_content: bool = True) -> DataFrame:
 def part(rows: DataFrame, uri: str, required: bool = True) -> DataFrame:
     """(doc_id, text, error) of one part of each archive; a required part that is missing is an error."""
     docs = rows.select("doc_id").distinct()
-    own = rows.where(F.col("part_uri") == uri).select("doc_id", F.col("content").cast("string").alias("text"))
-    return docs.join(own, "doc_id", "left").withColumn("error", F.when(F.col("text").isNull() & F.lit(required), F.lit(f"missing part: {uri}")))
+    own = rows.where(F.col("part_uri") == uri).select("doc_id", F.col("content").cast("string").alias("text"), F.col("error").alias("__why"))
+    error = F.when(F.col("__why").isNotNull(), F.concat(F.col("__why"), F.lit(f": {uri}"))).when(F.col("text").isNull() & F.lit(required), F.lit(f"missing part: {uri}"))
+    return docs.join(own, "doc_id", "left").select("doc_id", "text", error.alias("error"))
 
 
 def guarded(rows: DataFrame) -> DataFrame:

@@ -8,9 +8,12 @@ from pyspark.sql.window import Window
 
 
 def plan_files(spark: SparkSession, path: str) -> DataFrame:
-    """(plan_index, plan_id, base_revision, steps) of JSON plan files, indexed by a hash of their path: each a list of steps, of at most 1 MiB."""
+    """(doc_id, plan_index, plan_id, base_revision, steps) of JSON plan files for one document, indexed by a hash of their path.
+
+    All files are rows; ``planning.plan_errors`` tells those that are refused.
+    """
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("plan_id"), F.col("value").alias("steps"))
-    return files.where(F.octet_length("steps") <= 1 << 20).select(F.crc32(F.col("plan_id").cast("binary")).alias("plan_index"), "plan_id", F.lit(None).cast("int").alias("base_revision"), "steps")
+    return files.select(F.lit(0).cast("long").alias("doc_id"), F.crc32(F.col("plan_id").cast("binary")).alias("plan_index"), "plan_id", F.lit(None).cast("int").alias("base_revision"), "steps")
 
 
 def discovered(spark: SparkSession, path: str, pattern: str = "*.docx") -> DataFrame:
