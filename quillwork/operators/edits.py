@@ -29,17 +29,22 @@ def replace_unique(edits: DataFrame) -> DataFrame:
     ``changed_old`` and ``changed_new`` lack their common start and end. Quotes of the
     replacement take the style of the text.
     """
-    found = unique_match(F.col("text"), F.col("old"))
-    span = unique_span(F.col("text"), F.col("old"))
-    rows = edits.withColumn("found", found).withColumn("span", F.when(F.col("found.status") == "unique", span))
-    new = X.in_quote_style(F.col("text"), F.col("new"))
-    rows = rows.withColumn("match", F.substring("text", F.col("span.start") + 1, F.col("span.stop") - F.col("span.start"))).withColumn("new", new)
-    head = X.common_prefix(F.col("match"), F.col("new"))
-    rows = rows.withColumn("__head", head).withColumn("__tail", X.common_suffix(F.col("match"), F.col("new"), F.col("__head")))
+    settle = lambda df, name, value: df.withColumn(name, F.explode(F.array(value)))  # noqa: E731  (a value used often is computed once)
+    rows = settle(edits, "found", unique_match(F.col("text"), F.col("old")))
+    unique, exact = F.col("found.status") == "unique", F.col("found.mode") == "exact"
+    at = F.instr("text", F.col("old")) - 1
+    mapped = unique_span(F.when(unique & ~exact, F.col("text")), F.col("old"))  # only what later stages find goes to Python
+    rows = rows.withColumn("__mapped", mapped)
+    rows = settle(rows, "span", F.when(unique & exact, F.struct(at.alias("start"), (at + F.length("old")).alias("stop"))).when(unique, F.col("__mapped")))
+    match = F.substring("text", F.col("span.start") + 1, F.col("span.stop") - F.col("span.start"))
+    rows = settle(rows, "__two", F.struct(match.alias("match"), F.when(F.col("span").isNotNull(), X.in_quote_style(F.col("text"), F.col("new"))).otherwise(F.col("new")).alias("new")))
+    rows = rows.withColumn("match", F.col("__two.match")).withColumn("new", F.col("__two.new"))
+    rows = settle(rows, "__head", X.common_prefix(F.col("match"), F.col("new")))
+    rows = settle(rows, "__tail", X.common_suffix(F.col("match"), F.col("new"), F.col("__head")))
     inner = lambda c: F.substring(c, F.col("__head") + 1, F.length(c) - F.col("__head") - F.col("__tail"))
     after = F.concat(F.substring("text", F.lit(1), F.col("span.start")), F.col("new"), F.substring("text", F.col("span.stop") + 1, F.length("text")))
     rows = rows.withColumn("changed_old", inner("match")).withColumn("changed_new", inner("new"))
-    return rows.withColumn("after", F.when(F.col("span").isNotNull(), after).otherwise(F.col("text"))).withColumns({"status": F.col("found.status"), "mode": F.col("found.mode")}).drop("found", "span", "__head", "__tail")
+    return rows.withColumn("after", F.when(F.col("span").isNotNull(), after).otherwise(F.col("text"))).withColumns({"status": F.col("found.status"), "mode": F.col("found.mode")}).drop("found", "span", "__mapped", "__two", "__head", "__tail")
 
 
 def insert_paragraphs(paragraphs: DataFrame, new: DataFrame) -> DataFrame:

@@ -146,14 +146,34 @@ def _mapped(text: str, stage: int) -> tuple[str, list[int], list[int]]:
     return "".join(x[0] for x in chars), [x[1] for x in chars], [x[2] for x in chars]
 
 
+_STRAIGHT = str.maketrans({**dict.fromkeys(X.DOUBLE_QUOTES, '"'), **dict.fromkeys(X.SINGLE_QUOTES, "'")})
+_NO_QUOTES = str.maketrans("", "", "\"'")
+
+
+def _staged(text: str) -> list[str]:
+    """The text as each stage sees it; what ``_mapped`` gives, without the places."""
+    clean = _TAGS.sub("", text)
+    straight = clean.translate(_STRAIGHT)
+    spaces = re.sub(r"\s+", " ", straight)
+    return [text, clean, straight, spaces, spaces.translate(_NO_QUOTES)]
+
+
 def match_span(text: str | None, needle: str | None) -> tuple[int, int] | None:
-    """Where a unique match stands in the source text, from 0, end exclusive; else null."""
-    for stage in range(5 if text and needle else 0):
-        t, starts, ends = _mapped(text, stage)
-        n = _mapped(needle, stage)[0]
+    """Where a unique match stands in the source text, from 0, end exclusive; else null.
+
+    Only the stage that finds the needle maps its place back, character by character.
+    """
+    if not text or not needle:
+        return None
+    for stage, (t, n) in enumerate(zip(_staged(text), _staged(needle))):
         at = t.find(n) if n else -1
         if at >= 0:
-            return None if t.find(n, at + 1) >= 0 else (starts[at], ends[at + len(n) - 1])
+            if t.find(n, at + 1) >= 0:
+                return None
+            if not stage:
+                return at, at + len(n)
+            _, starts, ends = _mapped(text, stage)
+            return starts[at], ends[at + len(n) - 1]
     return None
 
 

@@ -250,7 +250,7 @@ _OLD = "CASE length(text) % 5 WHEN 0 THEN 'zq' || left(text, 10) ELSE left(text,
 
 @query("edit_apply", f"""
 WITH e AS (SELECT doc_id, text, {_OLD} AS old FROM documents),
-c AS (SELECT *, CASE WHEN old = '' THEN 0 ELSE (SELECT count(*) FROM range(0, greatest(length(text) - length(old) + 1, 0)) t(i) WHERE substr(text, CAST(i AS INTEGER) + 1, length(old)) = old) END AS n FROM e)
+c AS (SELECT *, CASE WHEN old = '' OR NOT contains(text, old) THEN 0 WHEN contains(substr(text, instr(text, old) + 1), old) THEN 2 ELSE 1 END AS n FROM e)
 SELECT doc_id, sha1(CASE WHEN n = 1 THEN 'REPLACED' || substr(text, length(old) + 1) ELSE text END) AS after, CASE WHEN n = 1 THEN 'unique' WHEN n = 0 THEN 'not_found' ELSE 'multiple' END AS status FROM c""")
 def edit_apply(spark, sf_dir):
     rows = corpus.table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(_OLD).alias("old"), F.lit("REPLACED").alias("new"))
