@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -40,12 +42,22 @@ def _last_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def lcs(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     """Index pairs of a longest common subsequence.
 
-    Rows of the table are numpy vectors. Walking back, a tie goes to the shorter
-    ``b``. A table over TABLE_CELLS is split at the middle of ``a`` instead, which
-    keeps the length and bounds the memory.
+    What both end with is matched first; so is what both start with as long as it
+    stands once on either side, where no other match can be. Only the middle needs a
+    table. Its rows are numpy vectors. Walking back, a tie goes to the shorter ``b``. A
+    table over TABLE_CELLS is split at the middle of ``a`` instead, which keeps the
+    length and bounds the memory.
     """
-    x, y = _ids(a, b)
-    return _lcs(x, y)
+    n, m, tail, head = len(a), len(b), 0, 0
+    while tail < min(n, m) and a[n - 1 - tail] == b[m - 1 - tail]:
+        tail += 1
+    if tail < min(n, m) and a[0] == b[0]:
+        often = Counter(a[: n - tail]), Counter(b[: m - tail])
+        while head < min(n, m) - tail and a[head] == b[head] and often[0][a[head]] == often[1][a[head]] == 1:
+            head += 1
+    x, y = _ids(a[head : n - tail], b[head : m - tail])
+    middle = [(i + head, j + head) for i, j in _lcs(x, y)]
+    return [(i, i) for i in range(head)] + middle + [(n - k, m - k) for k in range(tail, 0, -1)]
 
 
 def _lcs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
@@ -105,15 +117,12 @@ def normalise(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+_TOKEN = re.compile(r"\s+|\S+")
+
+
 def tokenise(text: str) -> list[str]:
     """Words and white space, both kept."""
-    out, word = [], ""
-    for c in text:
-        if word and c.isspace() != word[-1].isspace():
-            out.append(word)
-            word = ""
-        word += c
-    return [*out, word] if word else out
+    return _TOKEN.findall(text)
 
 
 def compare_texts(original: Sequence[str], revised: Sequence[str], least: float = PARAGRAPH_SIMILARITY) -> list[tuple[str, int, int, str]]:
@@ -167,19 +176,24 @@ def compare_pairs(pairs: DataFrame, least: float = PARAGRAPH_SIMILARITY) -> Data
     """Atoms of each pair (pair_id, original array<string>, revised array<string>); pairs run apart.
 
     The alignment of a pair is dynamic programming, so a pair is one row of a Python
-    kernel; its memory is bounded by the kernel's table.
+    kernel; its memory is bounded by the kernel's table. Few bytes can be much work, so
+    pairs are spread over all cores by number, not by size. A null side is a document
+    without paragraphs, a null paragraph an empty one.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples(index=False):
-                atoms = compare_texts(list(r.original), list(r.revised), least)
+                sides = ([t or "" for t in (() if x is None else x)] for x in (r.original, r.revised))
+                atoms = compare_texts(*sides, least)
                 out = pd.DataFrame(atoms, columns=["status", "orig_para", "rev_para", "text"])
                 out.insert(0, "pair_id", r.pair_id)
                 out.insert(1, "atom_idx", range(len(out)))
                 yield out
 
-    return pairs.select("pair_id", "original", "revised").mapInPandas(run, ATOMS)
+    spark = pairs.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return pairs.select("pair_id", "original", "revised").repartition(tasks, "pair_id").mapInPandas(run, ATOMS)
 
 
 def blocks(atoms: DataFrame) -> DataFrame:
@@ -239,20 +253,32 @@ def format_changes(atoms: DataFrame) -> DataFrame:
     return rows.where(F.size("names") > 0).withColumns({k: diff[k] for k in ("added", "removed", "changed")}).withColumn("status", F.lit("FormatChanged"))
 
 
+_SIDES = {True: (("Equal", "Inserted", "MovedDestination"), "rev_para"), False: (("Equal", "Deleted", "MovedSource"), "orig_para")}
+
+
 def side_text(atoms: DataFrame, accept: bool) -> DataFrame:
     """The revised (accept) or original text of each pair; paragraphs are joined by line ends."""
-    status, para = (("Equal", "Inserted", "MovedDestination"), "rev_para") if accept else (("Equal", "Deleted", "MovedSource"), "orig_para")
-    rows = atoms.where(F.col("status").isin(*status)).groupBy("pair_id", para).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("atom_idx", "text"))), lambda x: x["text"]), "").alias("t"))
-    return rows.groupBy("pair_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(para).alias("p"), "t"))), lambda x: x["t"]), "\n").alias("text"))
+    status, para = _SIDES[accept]
+    return _joined(atoms.where(F.col("status").isin(*status)), F.lit(accept), para).select("pair_id", "text")
+
+
+def _joined(atoms: DataFrame, accept: Column, para: str) -> DataFrame:
+    """(pair_id, accept, text): the texts of atoms in order, paragraph by paragraph."""
+    parts = lambda at: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("o"), "text"))), lambda x: x["text"]), "" if at == "atom_idx" else "\n")
+    rows = atoms.groupBy("pair_id", accept.alias("accept"), F.col(para).alias("p")).agg(parts("atom_idx").alias("text"))
+    return rows.groupBy("pair_id", "accept").agg(parts("p").alias("text"))
 
 
 def round_trip(atoms: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Whether accepting all gives the revision and rejecting all the original, for each pair."""
-    accepted = side_text(atoms, True).withColumnRenamed("text", "accepted")
-    rejected = side_text(atoms, False).withColumnRenamed("text", "rejected")
-    rows = pairs.join(accepted, "pair_id", "left").join(rejected, "pair_id", "left")
-    same = lambda a, b: F.coalesce(F.col(a), F.lit("")) == F.array_join(b, "\n")
-    return rows.select("pair_id", same("accepted", "revised").alias("accepts"), same("rejected", "original").alias("rejects"))
+    """Whether accepting all gives the revision and rejecting all the original, for each pair.
+
+    Each atom is dealt to the sides that hold it, so the comparison runs once.
+    """
+    sides = F.array_compact(F.array(*[F.when(F.col("status").isin(*status), F.struct(F.lit(accept).alias("accept"), F.col(para).alias("para"))) for accept, (status, para) in _SIDES.items()]))
+    dealt = atoms.select("pair_id", "atom_idx", "text", F.explode(sides).alias("s")).select("pair_id", "atom_idx", "text", "s.*")
+    texts = _joined(dealt, F.col("accept"), "para").groupBy("pair_id").agg(F.max(F.when(F.col("accept"), F.col("text"))).alias("accepted"), F.max(F.when(~F.col("accept"), F.col("text"))).alias("rejected"))
+    same = lambda a, b: F.coalesce(F.col(a), F.lit("")) == F.coalesce(F.array_join(F.transform(b, lambda t: F.coalesce(t, F.lit(""))), "\n"), F.lit(""))
+    return pairs.join(texts, "pair_id", "left").select("pair_id", same("accepted", "revised").alias("accepts"), same("rejected", "original").alias("rejects"))
 
 
 def revisions(atoms: DataFrame) -> DataFrame:

@@ -83,9 +83,10 @@ def unique_match(text: Column, needle: Column) -> Column:
     """struct(status, mode, n): the first stage with a hit decides; more than one hit is ``multiple``."""
     out = None
     for mode, t, n in zip(STAGES, stage_texts(text), stage_texts(needle)):
-        hits = F.when(F.contains(t, n), overlap_count(t, n)).otherwise(0)
+        found = (n != "") & F.contains(t, n)
+        hits = overlap_count(t, n)
         made = F.struct(F.when(hits == 1, "unique").otherwise("multiple").alias("status"), F.lit(mode).alias("mode"), hits.cast("int").alias("n"))
-        out = F.when(hits > 0, made) if out is None else out.when(hits > 0, made)
+        out = F.when(found, made) if out is None else out.when(found, made)
     none = F.struct(F.lit("not_found").alias("status"), F.lit(None).cast("string").alias("mode"), F.lit(0).alias("n"))
     return out.otherwise(none)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..lineage import settled
 from ..operators import alignment as G
 from ..operators import edits as E
 from ..operators import groups
@@ -20,7 +21,7 @@ _PAIRS = """pairs AS (SELECT doc_id AS pair_id, prev AS original_id FROM
 
 def pairs(spark, sf_dir) -> DataFrame:
     """Each document and the one before it with the same first line: (pair_id, original, revised) paragraphs."""
-    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
     heads = docs.select("doc_id", F.sha1(F.get(F.split("text", "\n"), F.lit(0))).alias("head"))
     before = heads.select("doc_id", F.lag("doc_id").over(Window.partitionBy("head").orderBy("doc_id")).alias("original_id")).where("original_id is not null")
     lines = docs.select("doc_id", F.split("text", "\n").alias("lines"))
@@ -87,7 +88,7 @@ def moves(spark, sf_dir):
 
 @query("moved_atoms")
 def moved_atoms(spark, sf_dir):
-    atoms = G.compare_pairs(_moved(spark, sf_dir))
+    atoms = settled(G.compare_pairs(_moved(spark, sf_dir)))  # used for blocks, moves and the atoms themselves
     return G.with_moves(atoms, G.moves(atoms)).groupBy("pair_id", "status").agg(F.count("*").alias("n"))
 
 
