@@ -313,6 +313,23 @@ def paragraph_operations(original: Sequence[str], revised: Sequence[str], least:
     return out + [("deleted", k, -1) for k in range(told, len(a)) if k not in pairs]
 
 
+def compare_paragraphs(pairs: DataFrame, least: float = BLOCK_SIMILARITY) -> DataFrame:
+    """(pair_id, place, op, orig_para, rev_para) of each pair (pair_id, original, revised): what was done to each paragraph, in order."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                sides = ([t or "" for t in (() if x is None else x)] for x in (r.original, r.revised))
+                out = pd.DataFrame(paragraph_operations(*sides, least), columns=["op", "orig_para", "rev_para"])
+                out.insert(0, "pair_id", r.pair_id)
+                out.insert(1, "place", range(len(out)))
+                yield out
+
+    spark = pairs.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return pairs.select("pair_id", "original", "revised").repartition(tasks, "pair_id").mapInPandas(run, "pair_id long, place int, op string, orig_para int, rev_para int")
+
+
 def candidate_pairs(texts: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs (a, b, shared, total) of texts (id, text) whose word sets agree to ``least``.
 

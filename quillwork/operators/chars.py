@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .alignment import lcs
+from .alignment import lcs, tokenise
 
 # Fixed values of an operation.
 DELETE, EQUAL, INSERT = -1, 0, 1
@@ -77,6 +77,35 @@ def diff_ops(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([[{"op": o, "text": t} for o, t in character_diff(x or "", y or "")] for x, y in zip(a, b)])
 
 
+@F.pandas_udf(_OPS)
+def word_ops(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The operations between two columns of texts, word by word; neighbours of one kind are one. Null counts as empty."""
+    return pd.Series([[{"op": o, "text": t} for o, t in word_diff(x or "", y or "")] for x, y in zip(a, b)])
+
+
+def word_diff(a: str, b: str) -> list[tuple[int, str]]:
+    """Operations that turn one text into another, over words and the white space between them."""
+    x, y = tokenise(a), tokenise(b)
+    out: list[tuple[int, str]] = []
+
+    def add(op: int, tokens: list[str]) -> None:
+        if tokens:
+            out.append((op, "".join(tokens)))
+
+    p = q = 0
+    same: list[str] = []
+    for i, j in [*lcs(x, y), (len(x), len(y))]:
+        if i > p or j > q:
+            add(EQUAL, same)
+            same = []
+            add(DELETE, x[p:i])
+            add(INSERT, y[q:j])
+        same += x[i : i + 1]
+        p, q = i + 1, j + 1
+    add(EQUAL, same)
+    return out
+
+
 def change_counts(ops: Column) -> Column:
     """struct(inserted, deleted, equal): characters by kind of operation."""
     n = lambda k: F.aggregate(F.filter(ops, lambda o: o["op"] == k), F.lit(0), lambda s, o: s + F.length(o["text"]))

@@ -119,46 +119,32 @@ def paragraph_identity(spark, sf_dir):
     return identities(corpus.paragraphs(spark, sf_dir).select("doc_id", "para_idx", "text")).select("doc_id", "para_idx", "para_id")
 
 
-def _needles(spark, sf_dir):
-    """Documents that hold the first four words of a benchmark item, with the item."""
-    heads = corpus.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("head"))
-    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 4), " "))))
-    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", "text", F.split(F.regexp_replace("text", r"\s+", " "), " ").alias("w"))
-    return docs.select("doc_id", "text", grams.alias("head")).join(heads, "head").select("doc_id", "item_id", "text", "needle")
-
-
-def _all_needles(spark, sf_dir):
-    """Every document and benchmark item of which a stage finds the item, or that share its first four words."""
+def _matches(spark, sf_dir):
+    """Every document and benchmark item of which a stage finds the item."""
     docs = corpus.table(spark, sf_dir, "documents").select("doc_id", "text")
     items = corpus.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
     pairs = search.match_candidates(docs, items)
     rows = pairs.join(docs, "doc_id").join(items, "item_id").withColumn("m", F.explode(F.array(search.unique_match(F.col("text"), F.col("needle")))))  # computed once
-    return rows.where("head OR m.status <> 'not_found'")
-
-
-@query("unique_match_status", r"""
-WITH heads AS (SELECT item_id, text AS needle, array_to_string(string_split(text, ' ')[1:4], ' ') AS head FROM benchmark),
-grams AS (SELECT DISTINCT doc_id, text, array_to_string(w[i + 1:i + 4], ' ') AS head FROM
-  (SELECT doc_id, text, w, unnest(range(0, greatest(len(w) - 3, 1))) AS i FROM (SELECT doc_id, text, string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS w FROM documents))),
-pairs AS (SELECT doc_id, item_id, text, needle FROM grams JOIN heads USING (head)),
-counts AS (SELECT doc_id, item_id, length(text) - length(replace(text, needle, substr(needle, 2))) AS exact,
-  len(string_split(regexp_replace(text, '\s+', ' ', 'g'), regexp_replace(needle, '\s+', ' ', 'g'))) - 1 AS loose FROM pairs)
-SELECT doc_id, item_id, CASE WHEN exact = 1 OR (exact = 0 AND loose = 1) THEN 'unique' WHEN exact + loose > 0 THEN 'multiple' ELSE 'not_found' END AS status,
-  CASE WHEN exact > 0 THEN 'exact' WHEN loose > 0 THEN 'flexible_whitespace' END AS mode FROM counts""")
-def unique_match_status(spark, sf_dir):
-    rows = _needles(spark, sf_dir).withColumn("m", search.unique_match(F.col("text"), F.col("needle")))
-    return rows.select("doc_id", "item_id", "m.status", "m.mode")
+    return rows.where("m.status <> 'not_found'")
 
 
-@query("unique_match_status_all")
-def unique_match_status_all(spark, sf_dir):
-    """``unique_match_status`` of every pair; its SQL knows only those that share the first four words."""
-    return _all_needles(spark, sf_dir).select("doc_id", "item_id", "m.status", "m.mode")
+_CLEAN = f"regexp_replace(text, '{search.MATCH_TAGS}', '', 'g')"
+_STRAIGHT = f"regexp_replace(regexp_replace({_CLEAN}, '[“”«»‹›]', '\"', 'g'), '[‘’]', '''', 'g')"
+_SPACED = f"regexp_replace({_STRAIGHT}, '\\s+', ' ', 'g')"
+_SEEN = f"[text, {_CLEAN}, {_STRAIGHT}, {_SPACED}, regexp_replace({_SPACED}, '[\"'']', '', 'g')]"
+
+
+@query("unique_match_status", f"""
+WITH d AS (SELECT doc_id, {_SEEN} AS t FROM documents), i AS (SELECT item_id, {_SEEN} AS n FROM benchmark),
+f AS (SELECT doc_id, item_id, t, n, list_position(list_transform(range(1, 6), lambda k: n[k] <> '' AND contains(t[k], n[k])), TRUE) AS k FROM d, i)
+SELECT doc_id, item_id, CASE WHEN contains(substr(t[k], instr(t[k], n[k]) + 1), n[k]) THEN 'multiple' ELSE 'unique' END AS status, {list(search.STAGES)}[k] AS mode FROM f WHERE k > 0""")
+def unique_match_status(spark, sf_dir):
+    return _matches(spark, sf_dir).select("doc_id", "item_id", "m.status", "m.mode")
 
 
 @query("unique_match_span")
 def unique_match_span(spark, sf_dir):
-    rows = _all_needles(spark, sf_dir).withColumn("s", search.unique_span(F.col("text"), F.col("needle")))
+    rows = _matches(spark, sf_dir).withColumn("s", search.unique_span(F.col("text"), F.col("needle")))
     return rows.select("doc_id", "item_id", "s.start", "s.stop")
 
 
