@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.formatting import changed_properties, property_diff
+from ..lineage import settled
 
 # Least similarities of paragraphs, of blocks and of moves, and the fewest words of a move.
 PARAGRAPH_SIMILARITY = 0.25
@@ -196,6 +198,38 @@ def compare_pairs(pairs: DataFrame, least: float = PARAGRAPH_SIMILARITY) -> Data
     return pairs.select("pair_id", "original", "revised").repartition(tasks, "pair_id").mapInPandas(run, ATOMS)
 
 
+def unified_index(atoms: DataFrame) -> DataFrame:
+    """Adds para_idx: the paragraphs of the merged output in its order, from 0, those of both sides zipped together."""
+    first = atoms.withColumn("__first", F.min("atom_idx").over(Window.partitionBy("pair_id", "orig_para", "rev_para")))
+    return first.withColumn("para_idx", F.dense_rank().over(Window.partitionBy("pair_id").orderBy("__first")) - 1).drop("__first")
+
+
+#: Least similarities of paragraphs that are tried in turn.
+PASSES = (0.25, 0.35, 0.5, 0.75)
+
+
+def compare_documents(pairs: DataFrame, passes: Sequence[float] = PASSES) -> tuple[DataFrame, DataFrame]:
+    """(atoms, report) of pairs (pair_id, original, revised): each pair by the first pass that survives the round trip.
+
+    A pass is safe for a pair if accepting all its changes gives the revision and
+    rejecting all gives the original. Pairs that no pass is safe for are rebuilt: all
+    their old paragraphs are deleted and the new ones inserted. The report has pair_id,
+    mode (aligned or rebuilt) and the number of the pass, from 1.
+    """
+    todo, kept, told = pairs.select("pair_id", "original", "revised"), [], []
+    for n, least in enumerate((*passes, 2.0), 1):
+        rebuilt = n > len(passes)
+        atoms = settled(compare_pairs(todo, least))
+        ok = round_trip(atoms, todo).where(F.lit(rebuilt) | (F.col("accepts") & F.col("rejects"))).select("pair_id")
+        ok = settled(ok)
+        kept.append(atoms.join(ok, "pair_id", "left_semi"))
+        told.append(ok.withColumn("mode", F.lit("rebuilt" if rebuilt else "aligned")).withColumn("pass", F.lit(n)))
+        todo = todo.join(ok, "pair_id", "left_anti")
+        if todo.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, kept), reduce(DataFrame.unionByName, told)
+
+
 def blocks(atoms: DataFrame) -> DataFrame:
     """Deleted and inserted blocks of each pair, over the original's atoms and then the revision's."""
     from .ordered import islands
@@ -330,6 +364,17 @@ def compare_paragraphs(pairs: DataFrame, least: float = BLOCK_SIMILARITY) -> Dat
     return pairs.select("pair_id", "original", "revised").repartition(tasks, "pair_id").mapInPandas(run, "pair_id long, place int, op string, orig_para int, rev_para int")
 
 
+def paragraph_changes(pairs: DataFrame, least: float = BLOCK_SIMILARITY) -> DataFrame:
+    """``compare_paragraphs`` with the text before and after, and for modified paragraphs the operations between them by character."""
+    from .chars import diff_ops
+
+    at = lambda c, i: F.when(F.col(i) >= 0, F.coalesce(F.get(c, F.col(i)), F.lit("")))
+    rows = compare_paragraphs(pairs, least).join(pairs.select("pair_id", "original", "revised"), "pair_id")
+    rows = rows.select("pair_id", "place", "op", "orig_para", "rev_para", at("original", "orig_para").alias("before"), at("revised", "rev_para").alias("after"))
+    changed = F.col("op") == "modified"
+    return rows.withColumn("ops", diff_ops(F.when(changed, F.col("before")), F.when(changed, F.col("after"))))
+
+
 def candidate_pairs(texts: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs (a, b, shared, total) of texts (id, text) whose word sets agree to ``least``.
 

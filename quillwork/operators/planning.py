@@ -15,6 +15,7 @@ from .search import match_span
 
 STEP = "struct<step_id:string,operation:string,op:string,target_paragraph_id:string,positional_anchor_node_id:string,position:string,old_string:string,new_string:string,range:struct<start:int,`end`:int>>"
 PLAN_BYTES = 1 << 20
+LIST = r"^\s*\["
 
 
 def steps(plans: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def steps(plans: DataFrame) -> DataFrame:
     A step without an id is named after its place. A range counts only if it is not
     empty and not negative. Plans without steps here are told by ``plan_errors``.
     """
-    parsed = F.from_json(F.when(F.octet_length("steps") <= PLAN_BYTES, F.col("steps")), f"array<{STEP}>")
+    parsed = F.from_json(F.when((F.octet_length("steps") <= PLAN_BYTES) & F.regexp_like("steps", F.lit(LIST)), F.col("steps")), f"array<{STEP}>")
     rows = plans.select("doc_id", "plan_index", "plan_id", "base_revision", F.posexplode(parsed).alias("step_index", "s"))
     auto = F.concat(F.lit("auto_"), (F.col("plan_index") + 1).cast("string"), F.lit("_"), (F.col("step_index") + 1).cast("string"))
     op = F.lower(F.trim(F.coalesce("s.operation", "s.op")))
@@ -41,7 +42,7 @@ def plan_errors(plans: DataFrame) -> DataFrame:
     """Plans that are refused, with the reason: over 1 MiB, or no list of steps."""
     over = F.octet_length("steps") > PLAN_BYTES
     parsed = F.from_json(F.when(~over, F.col("steps")), f"array<{STEP}>")
-    why = F.when(over, "plan file over 1 MiB").when(parsed.isNull() | ~F.regexp_like("steps", F.lit(r"^\s*\[")), "not a list of steps")
+    why = F.when(over, "plan file over 1 MiB").when(parsed.isNull() | ~F.regexp_like("steps", F.lit(LIST)), "not a list of steps")
     return plans.withColumn("error", why).where("error is not null").select("doc_id", "plan_index", "plan_id", "error")
 
 

@@ -201,6 +201,37 @@ def paragraph_operations(spark, sf_dir):
     return G.compare_paragraphs(comparing.pairs(spark, sf_dir))
 
 
+@query("paragraph_changes", f"WITH {comparing._PAIRS} SELECT pair_id, sha1(o.text) AS original, sha1(r.text) AS revised, TRUE AS adds_up FROM pairs JOIN documents r ON r.doc_id = pair_id JOIN documents o ON o.doc_id = original_id")
+def paragraph_changes(spark, sf_dir):
+    """Both texts of each pair put together again from what was done to its paragraphs."""
+    rows = G.paragraph_changes(comparing.pairs(spark, sf_dir))
+    n = C.change_counts(F.col("ops"))
+    fits = (F.col("op") != "modified") | ((n["equal"] + n["deleted"] == F.length("before")) & (n["equal"] + n["inserted"] == F.length("after")))
+    text = lambda at, t: F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(at) >= 0, F.struct(at, t)))), lambda x: x[t]), "\n"))
+    return rows.groupBy("pair_id").agg(text("orig_para", "before").alias("original"), text("rev_para", "after").alias("revised"), F.bool_and(fits).alias("adds_up"))
+
+
+@query("compared_documents", f"WITH {comparing._PAIRS} SELECT pair_id, 'aligned' AS mode, CAST(1 AS INTEGER) AS pass FROM pairs")
+def compared_documents(spark, sf_dir):
+    return G.compare_documents(comparing.pairs(spark, sf_dir))[1]
+
+
+@query("unified_paragraphs")
+def unified_paragraphs(spark, sf_dir):
+    """The place of each paragraph of a comparison in the merged output."""
+    return G.unified_index(G.compare_pairs(comparing.pairs(spark, sf_dir))).select("pair_id", "orig_para", "rev_para", "para_idx").distinct()
+
+
+@query("saved_variants", f"""WITH {comparing._PAIRS} SELECT CAST(pair_id AS VARCHAR) AS doc_id, sha1(text) AS clean, TRUE AS tracked_accepts FROM pairs JOIN documents ON doc_id = pair_id""")
+def saved_variants(spark, sf_dir):
+    """The clean archive of each comparison read back, and whether the tracked one, accepted, holds the same words."""
+    files = A.variants(G.compare_pairs(comparing.pairs(spark, sf_dir)), "reviewer", "2020-01-01T00:00:00Z")
+    clean = A.document_text(A.paragraphs(A.entries(files.where("variant = 'clean'")))).select("doc_id", F.col("text").alias("clean"))
+    runs = A.runs(A.entries(files.where("variant = 'tracked'"))).where("coalesce(rev_tag, '') <> 'del'")
+    tracked = runs.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "run_idx", "text"))), lambda x: x["text"]), "").alias("t"))
+    return clean.join(tracked, "doc_id", "left").select("doc_id", F.sha1("clean").alias("clean"), (F.replace("clean", F.lit("\n"), F.lit("")) == F.coalesce("t", F.lit(""))).alias("tracked_accepts"))
+
+
 @query("cleared_identities", f"SELECT doc_id, para_idx, sha1(text) AS hash FROM {PARAGRAPHS}")
 def cleared_identities(spark, sf_dir):
     rows = groups.identities(corpus.paragraphs(spark, sf_dir).select("doc_id", "para_idx", "text"))

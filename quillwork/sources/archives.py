@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # The namespace of the markup and the parts that are read.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -293,3 +294,20 @@ def tracked_xml(atoms: DataFrame, author: str, date: str) -> DataFrame:
     paras = paras.select("doc_id", F.col("para_idx").alias("o"), F.concat(F.lit("<w:p>"), "inner", F.lit("</w:p>")).alias("p"))
     xml = F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{ns}"><w:body>'), joined("p"), F.lit("</w:body></w:document>"))
     return paras.groupBy("doc_id").agg(xml.cast("binary").alias("content")).withColumn("part_uri", F.lit(PARTS[0]))
+
+
+def variants(atoms: DataFrame, author: str, date: str) -> DataFrame:
+    """(doc_id, variant, content): each comparison (pair_id, orig_para, rev_para, atom_idx, status, text) as two archives, clean and tracked."""
+    from ..operators.alignment import side_text
+
+    clean = side_text(atoms, True).select(F.col("pair_id").cast("string").alias("doc_id"), F.split("text", "\n").alias("paragraphs"))
+    # a paragraph that was deleted whole stands where it was, before what follows it
+    first = F.min("atom_idx").over(Window.partitionBy("pair_id", "orig_para", "rev_para"))
+    rows = atoms.select(F.col("pair_id").cast("string").alias("doc_id"), first.alias("para_idx"), "atom_idx", "status", "text")
+    told = lambda df, name: packed(df).select("doc_id", F.lit(name).alias("variant"), "content")
+    return told(document_xml(clean), "clean").unionByName(told(tracked_xml(rows, author, date), "tracked"))
+
+
+def save(files: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Write archives (doc_id, variant, content) by variant; what stands there already is kept unless told otherwise."""
+    files.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("variant").parquet(path)

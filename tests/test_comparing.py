@@ -186,6 +186,26 @@ def test_paragraph_operations(spark):
     assert {(r.pair_id, r.place): (r.op, r.orig_para, r.rev_para) for r in QUERIES["paragraph_operations"](spark, SF).collect()} == want and len(want) > 20
 
 
+def test_unified_paragraphs(spark, compared):
+    want = set()
+    for i, atoms in compared.items():
+        for n, key in enumerate(dict.fromkeys((a, b) for _, a, b, _ in atoms)):
+            want.add((i, *key, n))
+    assert {tuple(r) for r in QUERIES["unified_paragraphs"](spark, SF).collect()} == want
+
+
+def test_unsafe_pairs_are_rebuilt(spark, monkeypatch):
+    """Where no alignment survives the round trip, the old paragraphs go and the new ones come."""
+    from quillwork.operators import alignment
+
+    real = alignment.compare_texts
+    monkeypatch.setattr(alignment, "compare_texts", lambda a, b, least: real(a, b, least) if least > 1 or "sound" in a[0] else real(a, b, least)[:-1])
+    rows = spark.createDataFrame([(1, ["sound one", "b"], ["sound one", "c"]), (2, ["other", "b"], ["other", "c"])], "pair_id long, original array<string>, revised array<string>")
+    atoms, report = alignment.compare_documents(rows, (0.25, 0.5))
+    assert {tuple(r) for r in report.collect()} == {(1, "aligned", 1), (2, "rebuilt", 3)}
+    assert all(r.accepts and r.rejects for r in alignment.round_trip(atoms, rows).collect())
+
+
 def test_nulls_do_not_stop_a_comparison(spark):
     from quillwork.operators import alignment
 

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from quillwork.operators import planning as P
@@ -58,3 +60,27 @@ def test_continued_numbering(spark):
     rows = spark.createDataFrame([(1, 1, 0, 0), (1, 1, 1, 1), (1, 1, 2, 0)], "doc_id long, num_id long, para_idx int, level int")
     rows = rows.withColumns({"starts": F.array(F.lit(4), F.lit(5)), "formats": F.array(F.lit("decimal"), F.lit("decimal")), "templates": F.array(F.lit("%1."), F.lit("%1.%2"))})
     assert [r.label for r in continued_labels(rows).orderBy("para_idx").collect()] == ["4.", "5.", "5."]
+
+
+def test_saved_archives_are_not_overwritten(spark, tmp_path):
+    from quillwork.operators import alignment
+
+    rows = spark.createDataFrame([(1, ["one", "two"], ["one", "three"])], "pair_id long, original array<string>, revised array<string>")
+    files = A.variants(alignment.compare_pairs(rows), "a", "2020-01-01T00:00:00Z")
+    A.save(files, f"{tmp_path}/out")
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        A.save(files, f"{tmp_path}/out")
+    A.save(files, f"{tmp_path}/out", overwrite=True)
+    assert {r.variant for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"clean", "tracked"}
+
+
+def test_oversized_parts_and_plans_are_told(spark, monkeypatch):
+    from quillwork.operators import planning
+
+    monkeypatch.setattr(A, "MAX_ENTRY_BYTES", 10)
+    texts = spark.createDataFrame([("1", ["far too long a paragraph"])], "doc_id string, paragraphs array<string>")
+    rows = A.entries(A.packed(A.document_xml(texts)))
+    assert [r.error for r in rows.collect()] == ["entry too large"] and "too large" in A.part(rows, A.PARTS[0]).first().error
+    plans = spark.createDataFrame([(1, 0, "a", 1, "[" + " " * (1 << 20) + "]"), (1, 1, "b", 1, '{"steps": 1}'), (1, 2, "c", 1, '[{"operation": "insert_paragraph"}]')], "doc_id long, plan_index int, plan_id string, base_revision int, steps string")
+    assert {(r.plan_id, r.error) for r in planning.plan_errors(plans).collect()} == {("a", "plan file over 1 MiB"), ("b", "not a list of steps")}
+    assert [r.plan_id for r in planning.steps(plans).collect()] == ["c"]
