@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import settled
 from .search import match_span
 
 STEP = "struct<step_id:string,operation:string,op:string,target_paragraph_id:string,positional_anchor_node_id:string,position:string,old_string:string,new_string:string,range:struct<start:int,`end`:int>>"
@@ -57,6 +58,7 @@ def conflicts(all_steps: DataFrame, shared_revision: bool = True) -> DataFrame:
     start: each that begins before the furthest end so far is told once, with the step
     that reaches that far, so a paragraph with many edits gives no pairs of them all.
     """
+    all_steps = settled(all_steps)  # parsed once for all rules
     ref = F.struct(*REF)
     told = lambda df, code, subject, refs: df.select("doc_id", F.lit(code).alias("code"), subject.cast("string").alias("subject"), refs.alias("refs"))
     refs = F.array_sort(F.collect_list(ref)).alias("refs")

@@ -381,18 +381,23 @@ def plan_validation(spark, sf_dir):
     return P.step_errors(plan_steps_of(spark, sf_dir), plan_paragraphs(spark, sf_dir)).select("doc_id", "step_id", F.explode("errors").alias("error"))
 
 
+_AT_K = "CASE k WHEN 0 THEN t0 WHEN 1 THEN t1 WHEN 2 THEN t2 WHEN 3 THEN t3 END"
+_PUT = ", ".join(f"CASE WHEN why IS NULL AND operation = 'replace_text' AND k = {n} THEN replace(t{n}, old_string, new_string) ELSE t{n} END AS t{n}" for n in range(4))
+
+
 @query("plan_apply", f"""
-WITH RECURSIVE {_STEPS}, {_PARAS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY plan_index, step_index) AS i FROM st),
-run AS (SELECT doc_id, t, CAST(0 AS BIGINT) AS done, CAST(NULL AS VARCHAR) AS failed, CAST(NULL AS VARCHAR) AS why FROM pa
-  UNION ALL SELECT doc_id, CASE WHEN why IS NULL AND operation = 'replace_text' THEN list_transform(t, lambda x, j: CASE WHEN j = k + 1 THEN replace(x, old_string, new_string) ELSE x END) ELSE t END,
-    CASE WHEN why IS NULL THEN done + 1 ELSE done END, CASE WHEN why IS NOT NULL THEN step_id END, why FROM (
-    SELECT run.doc_id, run.t, run.done, o.*, CASE WHEN operation = 'dance' THEN 'unknown operation' WHEN k > 3 THEN 'unknown paragraph' WHEN operation = 'insert_paragraph' AND position IS NULL THEN 'no position'
-      WHEN operation = 'replace_text' AND length(t[k + 1]) - length(replace(t[k + 1], old_string, '')) <> 1 THEN 'old text does not match once' END AS why FROM run JOIN o ON o.doc_id = run.doc_id AND o.i = run.done + 1 WHERE run.failed IS NULL)),
-fin AS (SELECT doc_id, arg_max(t, (done, failed IS NOT NULL)) AS t, max(done) AS done, max(failed) AS failed, max(why) AS why FROM run GROUP BY doc_id),
-ins AS (SELECT o.*, unnest(['new ' || plan_index, 'more']) AS text, unnest([1, 2]) AS part FROM o JOIN fin USING (doc_id) WHERE o.i <= fin.done AND o.operation = 'insert_paragraph'),
-li AS (SELECT doc_id, k, CASE position WHEN 'BEFORE' THEN 0 ELSE 2 END AS side, CASE position WHEN 'BEFORE' THEN i ELSE -i END AS place, part, text FROM ins
-  UNION ALL SELECT doc_id, unnest(range(4)), 1, 0, 0, unnest(t) FROM fin)
-SELECT doc_id, string_agg(text, chr(10) ORDER BY k, side, place, part) AS text, CAST(any_value(done) AS INTEGER) AS completed, any_value(failed) AS failed_step, any_value(why) AS error FROM li JOIN fin USING (doc_id) GROUP BY doc_id""")
+WITH RECURSIVE {_STEPS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY plan_index, step_index) AS i FROM st),
+run AS (SELECT c_custkey AS doc_id, c_name AS t0, c_mktsegment AS t1, '-' || c_mktsegment AS t2, c_name || '#' || c_mktsegment AS t3, CAST(0 AS BIGINT) AS done, CAST(NULL AS VARCHAR) AS failed, CAST(NULL AS VARCHAR) AS reason FROM customer
+  UNION ALL SELECT doc_id, {_PUT}, CASE WHEN why IS NULL THEN done + 1 ELSE done END, CASE WHEN why IS NOT NULL THEN step_id END, why FROM (
+    SELECT run.doc_id, run.t0, run.t1, run.t2, run.t3, run.done, o.k, o.operation, o.old_string, o.new_string, o.step_id, CASE WHEN o.operation = 'dance' THEN 'unknown operation' WHEN o.k > 3 THEN 'unknown paragraph' WHEN o.operation = 'insert_paragraph' AND o.position IS NULL THEN 'no position'
+      WHEN o.operation = 'replace_text' AND length({_AT_K}) - length(replace({_AT_K}, o.old_string, '')) <> 1 THEN 'old text does not match once' END AS why FROM run JOIN o ON o.doc_id = run.doc_id AND o.i = run.done + 1 WHERE run.failed IS NULL)),
+last AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY done DESC, failed IS NOT NULL DESC) AS r FROM run),
+fin AS (SELECT * FROM last WHERE r = 1),
+ins AS (SELECT o.doc_id, o.k, CASE o.position WHEN 'BEFORE' THEN 0 ELSE 2 END AS side, CASE o.position WHEN 'BEFORE' THEN o.i ELSE -o.i END AS place, o.plan_index FROM o JOIN fin ON fin.doc_id = o.doc_id WHERE o.i <= fin.done AND o.operation = 'insert_paragraph'),
+li AS (SELECT doc_id, k, side, place, 1 AS part, 'new ' || plan_index AS text FROM ins UNION ALL SELECT doc_id, k, side, place, 2, 'more' FROM ins
+  UNION ALL SELECT doc_id, 0, 1, 0, 0, t0 FROM fin UNION ALL SELECT doc_id, 1, 1, 0, 0, t1 FROM fin UNION ALL SELECT doc_id, 2, 1, 0, 0, t2 FROM fin UNION ALL SELECT doc_id, 3, 1, 0, 0, t3 FROM fin),
+tx AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY k, side, place, part) AS text FROM li GROUP BY doc_id)
+SELECT tx.doc_id, tx.text, CAST(fin.done AS INTEGER) AS completed, fin.failed AS failed_step, fin.reason AS error FROM tx JOIN fin ON fin.doc_id = tx.doc_id""")
 def plan_apply(spark, sf_dir):
     out = P.applied(plan_steps_of(spark, sf_dir), plan_paragraphs(spark, sf_dir))
     return out.select("doc_id", F.array_join(F.transform("paragraphs", lambda p: p["text"]), "\n").alias("text"), "completed", "failed_step", "error")

@@ -32,6 +32,7 @@ def test_lcs(monkeypatch, cells):
 
 
 def test_unique_matches_are_those_of_brute_force(spark, tmp_path):
+    from quillwork import plans  # noqa: F401
     from quillwork.registry import QUERIES
 
     docs = ["Thing.\nErlyeash went  over the hill today", "so “one two three four five six” said", "x <b>one</b> two three four five sixth", "short item, short item", "pre(one two three four five six", "one two three four and no more", "a b", "", None]
@@ -41,7 +42,7 @@ def test_unique_matches_are_those_of_brute_force(spark, tmp_path):
         spark.createDataFrame(list(enumerate(texts)), f"{key} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
     pairs = spark.createDataFrame([(d, i, t, n) for d, t in enumerate(docs) for i, n in enumerate(items)], "doc_id long, item_id long, text string, needle string")
     every = pairs.select("doc_id", "item_id", S.unique_match(F.col("text"), F.col("needle")).alias("m"), S.unique_span(F.col("text"), F.col("needle")).alias("s")).where("m.status <> 'not_found'").collect()
-    got = {(r.doc_id, r.item_id): r.status for r in QUERIES["unique_match_status_all"](spark, str(tmp_path)).collect()}
+    got = {(r.doc_id, r.item_id): r.status for r in QUERIES["unique_match_status"](spark, str(tmp_path)).collect()}
     hits = {(r.doc_id, r.item_id): r.m.status for r in every}
     assert {k: v for k, v in got.items() if v != "not_found"} == hits and (0, 0) in hits and (4, 1) in hits and (3, 3) in hits
     spans = {(r.doc_id, r.item_id): (r.start, r.stop) for r in QUERIES["unique_match_span"](spark, str(tmp_path)).collect()}
