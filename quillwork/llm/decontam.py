@@ -15,8 +15,8 @@ from ._text import mixed, powers, prefix_hash, row_runs, slices, span_hash, word
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Differing bits up to which a window is compared. Texts whose shingles agree to 0.8 differ in about
-#: 10 of 64 bits, with a deviation of 3; of edited benchmark items with a similarity of 0.80 to 0.82 all
-#: 1,052 measured were within 17 bits.
+#: 10 of 64 bits, with a deviation of 3. Of 5,551 edited benchmark items measured with a similarity from
+#: 0.8 to under 1, three were not within 17 bits; of the 1,052 from 0.80 to 0.82, all were.
 RADIUS = 17
 #: Blocks of a fingerprint, of 16 bits each.
 BLOCKS = 4
