@@ -21,11 +21,11 @@ LONG_HEADER = 60
 # Label rules in the order in which they are tried.
 LABEL_RULES = (
     ("SECTION", r"^(?i:Section)\s+[\d.]+(?:\((?i:[a-z])\))?"),
-    ("ARTICLE", r"^(?i:Article)\s+[\dIVXLCDMivxlcdm.]+"),
+    ("ARTICLE", r"^(?i:Article)\s+(?i:[\dIVXLCDM.])+"),
     ("NUMBERED_HEADING", r"^\d+(?:\.\d+)*[.)]\s*"),
     ("NUMBER", r"^\(\d+\)\s*"),
-    ("ROMAN", r"^\([ivxlcdmIVXLCDM]{2,}\)\s*"),
-    ("LETTER", r"^\([a-zA-Z]+\)\s*"),
+    ("ROMAN", r"^\((?i:[ivxlcdm]){2,}\)\s*"),
+    ("LETTER", r"^\((?i:[a-z])+\)\s*"),
 )
 
 
@@ -131,6 +131,9 @@ def without_label(text: Column) -> Column:
 HEADER = r"^([A-Z][^.!?:]*(?:\s+[A-Z][^.!?:]*)*)([.:]?)(?:\s|$)"
 
 
+# The styles of a heading, title_with_period, title_with_colon and title_bare.
+
+
 def header(text: Column) -> Column:
     """struct(text, style) of a heading at the start of a text; null without one.
 

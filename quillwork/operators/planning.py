@@ -48,6 +48,8 @@ def plan_errors(plans: DataFrame) -> DataFrame:
 
 
 REF = ("plan_index", "step_index", "step_id")
+# The codes of conflicts.
+DUPLICATE_ID, UNKNOWN_RANGE, OVERLAP, SLOT, REVISION = "DUPLICATE_STEP_ID", "UNKNOWN_REPLACE_RANGE", "OVERLAPPING_REPLACE_RANGE", "INSERT_SLOT_COLLISION", "BASE_REVISION_CONFLICT"
 
 
 def conflicts(all_steps: DataFrame, shared_revision: bool = True) -> DataFrame:
@@ -70,11 +72,11 @@ def conflicts(all_steps: DataFrame, shared_revision: bool = True) -> DataFrame:
     clear = edits.join(by.where("n > 1 AND unknown = 0").select("doc_id", "para_id"), ["doc_id", "para_id"], "left_semi").select("doc_id", "para_id", "start", "stop", ref.alias("r"))
     before = Window.partitionBy("doc_id", "para_id").orderBy("start", "r").rowsBetween(Window.unboundedPreceding, -1)
     swept = clear.withColumn("far", F.max(F.struct("stop", "r")).over(before)).where("far.stop > start")
-    found = [told(ids, "DUPLICATE_STEP_ID", F.col("step_id"), F.col("refs")), told(unknown, "UNKNOWN_REPLACE_RANGE", F.col("para_id"), F.col("refs")), told(swept, "OVERLAPPING_REPLACE_RANGE", F.col("para_id"), F.array("far.r", "r")), told(slots, "INSERT_SLOT_COLLISION", F.col("slot"), F.col("refs"))]
+    found = [told(ids, DUPLICATE_ID, F.col("step_id"), F.col("refs")), told(unknown, UNKNOWN_RANGE, F.col("para_id"), F.col("refs")), told(swept, OVERLAP, F.col("para_id"), F.array("far.r", "r")), told(slots, SLOT, F.col("slot"), F.col("refs"))]
     if shared_revision:
         revs = all_steps.groupBy("doc_id").agg(F.array_sort(F.collect_set("base_revision")).alias("revs")).where(F.size("revs") > 1)
         none = F.array().cast(all_steps.select(F.array(ref)).schema[0].dataType)
-        found.append(told(revs, "BASE_REVISION_CONFLICT", F.array_join("revs", ", "), none))
+        found.append(told(revs, REVISION, F.array_join("revs", ", "), none))
     return reduce(DataFrame.unionByName, found)
 
 
