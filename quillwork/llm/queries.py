@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from .chat import OP8_SQL, op8_reply_trees
+from .crosstok import op12_cross_tokenizer
 from .decontam import op5_simhash_windows
+from .langid import op13_byte_network
 from .media import op6_avi_mjpeg
+from .merkle import op11_merkle_manifest
 from .pieces import op10_batched_viterbi
 from .resampling import op2_importance_resampling
 from .sharding import op1_kd_shards
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_reply_trees": op8_reply_trees,
     "op9_classifier_chain": op9_classifier_chain,
     "op10_batched_viterbi": op10_batched_viterbi,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_cross_tokenizer": op12_cross_tokenizer,
+    "op13_byte_network": op13_byte_network,
 }
 
 ORACLE_SQL = {
