@@ -50,6 +50,16 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_prefix(df: DataFrame, end: str = "") -> str:
+    """More underscores than any column of ``df`` begins with, and ``end``: no name that starts so clashes with a column."""
+    return "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in df.columns), default=0)) + end
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with a prefix that keeps them apart from the columns of ``df``."""
+    return [free_prefix(df) + n for n in names]
+
+
 def own_names(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; extra columns cannot clash with what an operator adds."""
     return df.select(*[df[n] for n in names])

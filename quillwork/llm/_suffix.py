@@ -89,6 +89,20 @@ def _by_doubling(names: np.ndarray) -> np.ndarray:
         k *= 2
 
 
+def _alike(text: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each substring but the first equals the one before it; hashes choose those that are compared value by value."""
+    out = (h[1:] == h[:-1]) & (size[1:] == size[:-1])
+    on = np.flatnonzero(out)
+    n = size[on]
+    first = np.cumsum(n) - n
+    for a in range(0, len(on), 1 << 16):  # a bounded number of values at a time
+        part = slice(a, a + (1 << 16))
+        shift = np.arange(int(n[part].sum())) - np.repeat(first[part] - first[a], n[part])
+        differs = text[np.repeat(start[on[part]], n[part]) + shift] != text[np.repeat(start[on[part] + 1], n[part]) + shift]
+        out[on[part]] = ~np.logical_or.reduceat(differs, first[part] - first[a])
+    return out
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The suffix array of ``text``, whose last value must be its one least value, 0.
 
@@ -115,7 +129,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     which = number[ordered]
     h, size = span_hash(prefix, leftmost, ends)[which], (ends - leftmost)[which]
     name = np.empty(len(leftmost), np.int64)
-    name[which] = np.append(0, np.cumsum((h[1:] != h[:-1]) | (size[1:] != size[:-1])))
+    name[which] = np.append(0, np.cumsum(~_alike(text, leftmost[which], size, h)))
     if name.max() + 1 < len(name):
         leftmost = leftmost[suffix_array(name)]
     else:

@@ -97,11 +97,12 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, id_
     hash of their id. ``share`` of all rows is kept; where None, the share of good rows
     among the labelled ones.
 
-    Defined cases: a null or wordless text scores 0; repeated rows are scored alike
-    and kept or dropped together; without labels every row is kept; an empty table
+    Defined cases: a null or wordless text scores 0; labels that repeat an id count by
+    the greatest quality; repeated rows are scored alike and kept or dropped together;
+    different texts under one id, and all without an id, share their noise; without labels every row is kept; an empty table
     gives no rows; other columns are not looked at.
     """
-    flags = labels.select("doc_id", "quality").dropna().dropDuplicates(["doc_id"])
+    flags = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.max("quality").alias("quality"))
     seen = flags.agg(F.count("*").alias("n"), F.sum("quality").alias("good")).first()
     if share is None:
         share = (seen.good or 0) / seen.n if seen.n else 1.0

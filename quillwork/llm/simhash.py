@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components, local_forest
-from ._store import stored
+from ._store import free_names, stored
 from ._text import column_bytes, slices
 from ._xxh64 import xxh64_spans
 
@@ -230,5 +230,6 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
         return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
     every = F.xxhash64(*[docs[c] for c in docs.columns])
     name = F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"].alias("id"), every.alias("h"))
-    kept = near_duplicates(docs.select(name.alias("name"), docs["text"]), "name").where("id = component_id").select(F.col("id").alias("__name")).distinct()
-    return docs.withColumn("__name", name).join(kept, "__name", "left_semi").dropDuplicates(["__name"]).select(docs.columns)
+    own = free_names(docs, "name")[0]
+    kept = near_duplicates(docs.select(name.alias("name"), docs["text"]), "name").where("id = component_id").select(F.col("id").alias(own)).distinct()
+    return docs.withColumn(own, name).join(kept, own, "left_semi").dropDuplicates([own]).select(docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._anchors import SPAN, anchors
-from ._store import stored
+from ._store import free_names, stored
 from ._suffix import permuted_prefixes, suffix_array
 from ._text import column_bytes, give_back, mixed, prefix_hash, slices, span_hash
 
@@ -126,7 +126,7 @@ def _contexts(texts: DataFrame, hot: np.ndarray) -> DataFrame:
     """(key, id, th, first, last, bytes): what each repeated anchor sends to its shard.
 
     ``bytes`` holds all strings that start from ``first`` to ``last``. Equal bytes in a
-    task are sent once, for the earliest; the later ones are repeats for certain and
+    task are sent once, for the earliest (hashes bring them together, the bytes decide); the later ones are repeats for certain and
     are told with null bytes, those that touch as one, under a key of their own text. Strings of a hot anchor
     are sent one by one, by their own hash.
     """
@@ -137,7 +137,8 @@ def _contexts(texts: DataFrame, hot: np.ndarray) -> DataFrame:
         bodies = [b for x in held for b in x[6]]
         order = np.lexsort((first, th, id_, code, key))
         again = np.zeros(len(order), bool)
-        again[1:] = (key[order][1:] == key[order][:-1]) & (code[order][1:] == code[order][:-1])
+        same = np.flatnonzero((key[order][1:] == key[order][:-1]) & (code[order][1:] == code[order][:-1]))
+        again[1 + same] = [bodies[a] == bodies[b] for a, b in zip(order[same].tolist(), order[same + 1].tolist())]
         later = np.zeros(len(order), bool)
         later[order] = again
         names = ["key", "id", "th", "first", "last", "bytes"]
@@ -376,17 +377,17 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gives none; other columns are passed on.
     """
     spans, id_, th = removed_spans(docs)
-    kinds = docs.schema
+    kinds, (own_id, own_th, own_spans) = docs.schema, free_names(docs, "id", "th", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                text, runs = part.column("text"), _merged(part.column("__spans"))
+                text, runs = part.column("text"), _merged(part.column(own_spans))
                 cut = [t if not r else _cut(t.encode(), r).decode(errors="ignore") for t, r in zip(text.to_pylist(), runs)]
                 cols = [pa.array(cut, pa.string()) if n == "text" else part.column(n) for n in kinds.names]
                 out = pa.record_batch(cols, kinds.names)
                 yield out.filter(pa.array([not r or t != "" for t, r in zip(cut, runs)], pa.bool_()))
 
-    joined = docs.withColumns({"__id": id_, "__th": th}).join(spans.toDF("__id", "__th", "__spans"), ["__id", "__th"], "left")
-    cut = joined.select(*kinds.names, "__spans").mapInArrow(run, kinds)
+    joined = docs.withColumns({own_id: id_, own_th: th}).join(spans.toDF(own_id, own_th, own_spans), [own_id, own_th], "left")
+    cut = joined.select(*kinds.names, own_spans).mapInArrow(run, kinds)
     return cut.withColumn("n_chars", F.length("text").cast(kinds["n_chars"].dataType)) if "n_chars" in kinds.names else cut

@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._store import free_names, free_prefix
 from ._text import mixed, prefix_hash, row_runs, slices, span_hash, word_spans
 
 #: Hashed word features of a model; the weights are all that is sent to the executors.
@@ -180,7 +181,7 @@ def score_chain(docs: DataFrame, chain: Chain, columns: Sequence[str] = ("doc_id
                 p = model.predict(*word_features(part.column(text), model.bits), part.num_rows)
                 yield pa.record_batch([part.column(c) for c in columns] + [pa.array(x) for x in p.T], names)
 
-    text = text_col if text_col in columns else "__text"
+    text = text_col if text_col in columns else free_names(docs.select(*columns), "text")[0]
     rows = docs.select(*[docs[c] for c in columns], *[docs[text_col].alias(text)] * (text_col not in columns))
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
     return rows.mapInArrow(run, schema + "".join(f", {prefix}{c} double" for c in chain.categories))
@@ -220,5 +221,6 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole; each row is judged by its own text, so repeated rows stay or go together; an
     empty table gives none; other columns, whatever their names, are passed on.
     """
-    scored = score_chain(docs, fitted(spark, sf_dir), docs.columns, prefix="__p_")
-    return scored.where(F.col("__p_toxic") <= TOXIC_FROM).select(docs.columns)
+    prefix = free_prefix(docs, "p_")
+    scored = score_chain(docs, fitted(spark, sf_dir), docs.columns, prefix=prefix)
+    return scored.where(F.col(f"{prefix}toxic") <= TOXIC_FROM).select(docs.columns)

@@ -37,3 +37,23 @@ def test_empty_tables(spark, tables, sf_dir, tmp_path):  # noqa: F811
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tables}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+#: Names that stages might use, or used, for columns of their own.
+CLASHING = ["__p_toxic", "__p_junk", "p_toxic", "__spans", "__id", "__th", "__name", "__text", "_id", "_th", "_spans", "_name", "_p_toxic", "___id", "id", "h", "name", "fp", "root", "spans", "__place", "row", "component_id"]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:4]], ids=lambda f: f.__name__)
+def test_stages_pass_clashing_columns_on(spark, tables, stage):  # noqa: F811
+    """The same rows stay whatever other columns are called, with their values, also where ids repeat."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.unionByName(docs.where("doc_id = 8"))
+    more = docs.withColumns({n: F.lit(f"own {n}") for n in CLASHING}).repartition(3)
+    out = stage(spark, more, tables)
+    assert out.columns == more.columns
+    kept = out.collect()
+    assert all(r[n] == f"own {n}" for r in kept for n in CLASHING)
+    plain = stage(spark, docs, tables).select("doc_id", "text")
+    assert sorted(repr((r.doc_id, r.text)) for r in kept) == sorted(repr((r.doc_id, r.text)) for r in plain.collect())

@@ -257,3 +257,12 @@ def test_benchmark_in_blocks(spark, docs, empty, repeated, tables, monkeypatch):
     kept = drop_leaks(spark, docs, tables)
     ids = {r.doc_id for r in kept.collect()}
     assert kept.columns == docs.columns and 10 not in ids and 11 not in ids and {1, 2, 7, None} <= ids
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_repeated_labels_have_one_meaning(spark, docs, parts):
+    """Labels that repeat an id with both qualities give the same rows however they are laid out."""
+    labels = spark.createDataFrame([(i, q) for i in range(1, 16) for q in ((0, 1) if i % 3 else (0,))] + [(3, None), (None, 1)], "doc_id long, quality int")
+    once = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(1, 16)] + [(None, 1)], "doc_id long, quality int")
+    told = [sorted(map(repr, resample(docs, x).collect())) for x in (labels.repartition(parts), labels.orderBy("quality"), once)]
+    assert told[0] == told[1] == told[2]
