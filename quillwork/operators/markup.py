@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..lineage import settled
+from .ordered import merged_runs, punctuation_attached
+from .views import LEAVES, leaf_text
 
 KEY = ["doc_id", "part_uri"]
 
@@ -24,6 +26,7 @@ _TOKEN = r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|</?[^\s<>/!?](?:[^<>"'
 RANGES = ("w:moveFromRangeStart", "w:moveFromRangeEnd", "w:moveToRangeStart", "w:moveToRangeEnd")
 CHANGES = ("w:rPrChange", "w:pPrChange", "w:sectPrChange", "w:tblPrChange", "w:trPrChange", "w:tcPrChange")
 DELETED, INSERTED = ("w:del", "w:moveFrom"), ("w:ins", "w:moveTo")
+STATUS_OF = {"w:ins": "Inserted", "w:del": "Deleted", "w:moveFrom": "MovedSource", "w:moveTo": "MovedDestination"}
 BOOKMARKS = ("w:bookmarkStart", "w:bookmarkEnd")
 
 
@@ -137,14 +140,14 @@ def _moved_bookmarks(rows: DataFrame, doomed: DataFrame) -> DataFrame:
     elements = rows.where(F.col("kind").isin("open", "empty"))
     marked = doomed.select(*KEY, "pos", F.lit(True).alias("gone"))
     beside = elements.join(marked, [*KEY, "pos"], "left")
-    by = Window.partitionBy(*KEY, "parent").orderBy("pos")
     kept = (F.col("tag") == "w:p") & F.col("gone").isNull()
-    ahead, behind = by.rowsBetween(1, Window.unboundedFollowing), by.rowsBetween(Window.unboundedPreceding, -1)
+    # running frames from either end; a frame that shrinks would be read anew for each row
+    behind, ahead = (Window.partitionBy(*KEY, "parent").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("pos", F.desc("pos")))
     near = F.struct("pos", F.coalesce("gone", F.lit(False)).alias("gone"))
     solid = F.when(~F.col("tag").isin(*BOOKMARKS), near)
     beside = beside.withColumns({
-        "target": F.coalesce(F.first(F.when(kept, F.col("pos")), True).over(ahead), F.last(F.when(kept, F.col("pos")), True).over(behind)),
-        "next": F.first(solid, True).over(ahead),
+        "target": F.coalesce(F.last(F.when(kept, F.col("pos")), True).over(ahead), F.last(F.when(kept, F.col("pos")), True).over(behind)),
+        "next": F.last(solid, True).over(ahead),
         "last": F.last(solid, True).over(behind),
     })
     targets = beside.where("gone and target is not null").select(*KEY, F.col("pos").alias("owner"), "target")
@@ -194,6 +197,133 @@ def reject_markup(parts: DataFrame) -> DataFrame:
     return joined(stays.select(*KEY, "at", "turn", "pos", raw.alias("raw")).unionByName(put).unionByName(shut))
 
 
+def unescaped(text: Column) -> Column:
+    """Text with its references resolved, and CDATA as it stands."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|&[^;&<]{1,10};|[^&<]+|."), 0)
+    wide = lambda hexes: F.decode(F.unhex(F.lpad(hexes, 8, "0")), "UTF-32")
+    plain = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+
+    def one(p: Column) -> Column:
+        out = F.when(F.startswith(p, F.lit("<![CDATA[")), F.substring(p, F.lit(10), F.length(p) - 12))
+        for name, sign in plain.items():
+            out = out.when(p == name, sign)
+        out = out.when(F.regexp_like(p, F.lit(r"^&#x[0-9A-Fa-f]{1,6};$")), wide(F.substring(p, F.lit(4), F.length(p) - 4)))
+        return out.when(F.regexp_like(p, F.lit(r"^&#[0-9]{1,7};$")), wide(F.hex(F.substring(p, F.lit(3), F.length(p) - 3).cast("long")))).otherwise(p)
+
+    return F.when(F.contains(text, F.lit("&")) | F.contains(text, F.lit("<")), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+
+def innermost(rows: DataFrame, tags: Sequence[str], name: str) -> DataFrame:
+    """Adds ``name``: the place of the nearest open element of these tags around each event (its own for an opening tag), and ``name``_depth: how many are open."""
+    by = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    mine = F.col("tag").isin(*tags)
+    step = F.when(mine & (F.col("kind") == "open"), 1).when(mine & (F.col("kind") == "close"), -1).otherwise(0)
+    rows = rows.withColumn(f"{name}_depth", F.sum(F.coalesce(step, F.lit(0))).over(by))
+    level = Window.partitionBy(*KEY, f"{name}_depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    opened = F.last(F.when(mine & (F.col("kind") == "open"), F.col("pos")), True).over(level)
+    return rows.withColumn(name, F.when(F.col(f"{name}_depth") > 0, opened))
+
+
+def atoms_of_parts(parts: DataFrame) -> DataFrame:
+    """(doc_id, part_uri, atom_idx, para_idx, run, tag, text, mark, status, author, date, look): the leaves of each part in order.
+
+    A leaf within a leaf (text within a drawing) is part of it. The nearest revision
+    wrapper decides the status and gives author and date; ``para_idx`` counts the
+    outermost paragraphs that have leaves; ``run`` is the place of the nearest run and
+    ``look`` its properties as markup, without records of their changes; ``mark`` is begin,
+    separate or end for the characters of a field.
+    """
+    leaves = [f"w:{t}" for t in LEAVES if t != "AlternateContent"] + ["mc:AlternateContent"]
+    rows = events(parts)
+    for tags, name in ((list(STATUS_OF), "wrapper"), (["w:p"], "p"), (["w:r"], "run"), (leaves, "leaf"), (["w:rPr"], "props"), (["w:rPrChange"], "record")):
+        rows = innermost(rows, tags, name)
+    by = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = settled(rows.withColumn("para", F.when(F.col("p_depth") > 0, F.last(F.when((F.col("tag") == "w:p") & (F.col("kind") == "open") & (F.col("p_depth") == 1), F.col("pos")), True).over(by))))
+    body = rows.where("kind = 'text' and leaf_depth = 1").groupBy(*KEY, F.col("parent").alias("pos")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), "").alias("inner"))
+    inside = rows.where("props_depth > 0 and record_depth = 0 and pos <> props").where("tag is null or tag not in ('w:rPr', 'w:rPrChange')")
+    props = rows.where("tag = 'w:rPr' and kind = 'open'").select(*KEY, F.col("pos").alias("props"), F.col("parent").alias("run"))
+    look = inside.drop("run").join(props, [*KEY, "props"]).groupBy(*KEY, "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), "").alias("look"))
+    starts = (F.col("kind") == "open") & (F.col("leaf_depth") == 1) | (F.col("kind") == "empty") & (F.col("leaf_depth") == 0)
+    found = rows.where(F.col("tag").isin(*leaves) & starts)
+    who = rows.where(F.col("tag").isin(*STATUS_OF) & (F.col("kind") == "open")).select(*KEY, F.col("pos").alias("wrapper"), F.col("tag").alias("around"), attribute(F.col("raw"), "w:author").alias("author"), attribute(F.col("raw"), "w:date").alias("date"))
+    found = found.join(body, [*KEY, "pos"], "left").join(look, [*KEY, "run"], "left").join(who, [*KEY, "wrapper"], "left")
+    name = F.substring_index("tag", ":", -1)
+    status = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in STATUS_OF.items() for x in p]), F.col("around")), F.lit("Equal"))
+    order = Window.partitionBy(*KEY).orderBy("pos")
+    para = F.dense_rank().over(Window.partitionBy(*KEY).orderBy(F.col("para").asc_nulls_first())) - 1
+    para = F.when(F.col("para").isNotNull(), para - F.max(F.when(F.col("para").isNull(), 1).otherwise(0)).over(Window.partitionBy(*KEY)))
+    return found.select(*KEY, (F.row_number().over(order) - 1).alias("atom_idx"), para.alias("para_idx"), "run", name.alias("tag"), leaf_text(name, unescaped(F.coalesce("inner", F.lit("")))).alias("text"), F.when(name == "fldChar", attribute(F.col("raw"), "w:fldCharType")).alias("mark"), status.alias("status"), "author", "date", F.coalesce("look", F.lit("")).alias("look"))
+
+
+def field_spans(marks: DataFrame, group: list[str], order: str) -> DataFrame:
+    """(group, start, separate, stop, depth, outer): the fields of (mark: begin, separate, end) rows, nested at any depth.
+
+    A mark belongs to the innermost field open at its place: the marks of one depth
+    follow each other as begin, separate, end, so neighbours in that order are one
+    field. ``outer`` is the start of the field around. Ends and separators outside any
+    field count for nothing; a field that does not end has a null stop.
+    """
+    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = marks.where(F.col("mark").isin("begin", "separate", "end")).select(*group, order, "mark")
+    step = F.when(F.col("mark") == "begin", 1).when(F.col("mark") == "end", -1).otherwise(0)
+    raw = F.sum(step).over(w)
+    rows = rows.withColumn("raw", raw).withColumn("low", F.least(F.min("raw").over(w), F.lit(0)))
+    below = F.coalesce(F.lag("low").over(Window.partitionBy(*group).orderBy(order)), F.lit(0))
+    rows = rows.withColumn("below", below).where("not (mark = 'end' and raw < below)")  # an end of nothing
+    rows = rows.withColumn("depth", (F.col("raw") - F.col("low") + F.when(F.col("mark") == "end", 1).otherwise(0)).cast("int")).where("depth > 0")
+    level = Window.partitionBy(*group, "depth").orderBy(order)
+    rows = rows.withColumn("nth", F.sum((F.col("mark") == "begin").cast("int")).over(level.rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda m: F.min(F.when(F.col("mark") == m, F.col(order)))
+    one = rows.groupBy(*group, "depth", "nth").agg(at("begin").alias("start"), at("separate").alias("separate"), at("end").alias("stop"))
+    both = F.array(F.struct((F.col("depth") - 1).alias("level"), F.lit(None).cast(one.schema["start"].dataType).alias("opened")), F.struct(F.col("depth").alias("level"), F.col("start").alias("opened")))
+    two = one.withColumn("two", F.explode(both))
+    up = Window.partitionBy(*group, "two.level").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    return two.withColumn("outer", F.last("two.opened", True).over(up)).where("two.opened is null").select(*group, "start", "separate", "stop", "depth", "outer")
+
+
+def collapse_fields(atoms: DataFrame) -> DataFrame:
+    """Atoms of parts, where each field within one paragraph is one atom with the text of its result.
+
+    A field over several paragraphs, such as a table of contents, is left open: its
+    marks and its code stay as they are, and fields in its result are looked at anew. A
+    field within one that is collapsed goes with it; one that does not end is none.
+    """
+    by = Window.partitionBy(*KEY).orderBy("pos")
+    turns = F.coalesce(~F.col("para_idx").eqNullSafe(F.lag("para_idx").over(by)), F.lit(True)).cast("int")
+    rows = atoms.withColumnRenamed("atom_idx", "pos").withColumn("turn", turns)
+    rows = settled(rows.withColumn("turn", F.sum("turn").over(by.rowsBetween(Window.unboundedPreceding, 0))))
+    at = lambda name, to: rows.select(*KEY, F.col("pos").alias(name), F.col("turn").alias(to))
+    fields = field_spans(rows, KEY, "pos").where("stop is not null").join(at("start", "a"), [*KEY, "start"]).join(at("stop", "b"), [*KEY, "stop"])
+    single = F.col("a") == F.col("b")
+    closed = fields.select(*KEY, F.col("start").alias("pos"), F.when(single, F.col("stop")).otherwise(F.coalesce("separate", "stop")).alias("close"), F.lit(1).alias("weight"), F.when(single, F.struct("start", "separate", "stop")).alias("field"))
+    rows = within(rows, closed, "inside").join(closed.select(*KEY, "pos", "field"), [*KEY, "pos"], "left")
+    # one that nothing but itself closes in is collapsed; these lie apart, so the last begun is the one an atom is in
+    last = F.last(F.when(F.col("inside") == 1, F.col("field")), True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("f", last).withColumn("f", F.when(F.col("pos") <= F.col("f.stop"), F.col("f")))
+    shown = F.when(F.col("f").isNull() | (F.col("tag").isin("t") & (F.col("pos") > F.coalesce("f.separate", F.lit(-1)))), F.col("text")).otherwise("")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", shown.alias("t")))), lambda x: x["t"]), "")
+    first = {c: F.min_by(c, "pos").alias(c) for c in ("para_idx", "tag", "status", "look")}
+    return rows.groupBy(*KEY, F.coalesce("f.start", "pos").alias("atom_idx"), F.col("f").isNotNull().alias("is_field")).agg(text.alias("text"), *first.values())
+
+
+def comparison_atoms(parts: DataFrame) -> DataFrame:
+    """Atoms as a comparison takes them: (doc_id, part_uri, place, para_idx, status, look, text, is_field).
+
+    Fields of one paragraph are one atom with the text of their result; then neighbours
+    of one paragraph, status and look are put together, cut into words and white space,
+    and signs go to the word before them.
+    """
+    rows = collapse_fields(atoms_of_parts(parts))
+    alone = F.col("is_field") | ~F.col("tag").isin("t", "delText")
+    rows = merged_runs(rows, [*KEY, "para_idx"], "atom_idx", ["status", "look", "is_field"], alone)
+    words = F.when(F.col("is_field"), F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(r"\s+|\S+"), 0))
+    rows = rows.where("is_field or text <> ''").select(*KEY, "atom_idx", "para_idx", "status", "look", "is_field", F.posexplode(words).alias("nth", "text"))
+    # a field or another status is another revision for the signs behind it
+    rows = rows.select(*KEY, "para_idx", F.struct("atom_idx", "nth").alias("place"), "text", F.struct("status", F.when(F.col("is_field"), F.col("atom_idx")).alias("field")).alias("rev_tag"), F.struct("look").alias("rpr_hash"))
+    rows = punctuation_attached(rows, [*KEY, "para_idx"], "place")
+    return rows.select(*KEY, (F.row_number().over(Window.partitionBy(*KEY).orderBy("place")) - 1).alias("place"), "para_idx", "rev_tag.status", "rpr_hash.look", "text", F.col("rev_tag.field").isNotNull().alias("is_field"))
+
+
 def undeclared_uses(parts: DataFrame) -> DataFrame:
     """(doc_id, part_uri, pos, prefix, local): tags and attributes whose prefix no declaration around them covers.
 

@@ -183,7 +183,8 @@ def nearest(rows: DataFrame, group: list[str], order: str, wanted: Column, withi
     own = F.when(wanted, F.col(order))
     rows = rows.withColumn("__own", own)
     before = F.last("__own", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("__own", True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy(*group).orderBy(F.desc(order))  # from the end, so that a running frame does
+    after = F.last("__own", True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("__before", before).withColumn("__after", after)
     a, b = F.col(order) - F.col("__before"), F.col("__after") - F.col(order)
     pick = F.when((a <= within) & (a <= F.coalesce(b, a)), F.col("__before")).when(b <= within, F.col("__after"))

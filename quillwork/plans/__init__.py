@@ -1,3 +1,3 @@
 """Queries over the driver's tables; importing this package registers them."""
 
-from . import auditing, comparing, diffing, grouping, joining, ordering, overlaying, searching, shaping, viewing  # noqa: F401
+from . import auditing, comparing, diffing, grouping, joining, marking, ordering, overlaying, searching, shaping, viewing  # noqa: F401

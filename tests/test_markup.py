@@ -3,7 +3,7 @@
 import random
 from xml.dom import minidom
 
-from quillwork.operators.markup import accept_markup, events, reject_markup, undeclared_uses
+from quillwork.operators.markup import accept_markup, atoms_of_parts, collapse_fields, comparison_atoms, events, field_spans, reject_markup, undeclared_uses
 
 NS = 'xmlns:w="urn:w"'
 KIND = "doc_id int, part_uri string, text string"
@@ -194,3 +194,153 @@ def test_prefixes_hold_for_their_element_only(spark):
     text = '<r xmlns:a="1"><a:x/><b:y a:k="1" c:k="2"/><z xmlns:b="2"><b:in xmlns:b="3"><b:deep/></b:in><b:still/></z><b:out xml:lang="en"/><q xmlns:c="1" c:own="x"/></r>'
     got = sorted((r.prefix, r.local) for r in undeclared_uses(spark.createDataFrame([(1, "x", text), (2, "x", '<r xmlns:b="1"><b:y/></r>')], KIND)).collect())
     assert got == [("b", "out"), ("b", "y"), ("c", "k")]
+
+
+LEAVES = {f"w:{t}" for t in ("t", "br", "cr", "tab", "sym", "softHyphen", "noBreakHyphen", "fldChar", "instrText", "delText", "footnoteReference", "drawing", "pict", "object")} | {"mc:AlternateContent"}
+STATUS = {"w:ins": "Inserted", "w:del": "Deleted", "w:moveFrom": "MovedSource", "w:moveTo": "MovedDestination"}
+
+
+def leaf_atoms(text):
+    """(para, tag, text, mark, status, look) of the leaves of a tree, in order."""
+    out, paras = [], {}
+
+    def walk(e, above):
+        if e.tagName in LEAVES:
+            p = next((a for a in above if a.tagName == "w:p"), None)
+            run = next((a for a in reversed(above) if a.tagName == "w:r"), None)
+            wrapper = next((a for a in reversed(above) if a.tagName in STATUS), None)
+            look = ""
+            for c in children(run) if run else ():
+                if c.tagName == "w:rPr":
+                    look = "".join(x.toxml() for x in c.childNodes if getattr(x, "tagName", "") != "w:rPrChange")
+            name = e.tagName.split(":")[1]
+            own = "".join(t.data for t in e.childNodes if t.nodeType in (3, 4))
+            shown = own if name in ("t", "delText") else {"br": "\n", "cr": "\n", "tab": "\t"}.get(name, "")
+            out.append((None if p is None else paras.setdefault(id(p), len(paras)), name, shown, e.getAttribute("w:fldCharType") or None if name == "fldChar" else None, STATUS.get(wrapper.tagName if wrapper else "", "Equal"), look))
+            return
+        for c in children(e):
+            walk(c, [*above, e])
+
+    walk(minidom.parseString(text).documentElement, [])
+    return out
+
+
+def leafy(n, seed):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        paras = []
+        for _ in range(rng.randrange(4)):
+            runs = []
+            for _ in range(rng.randrange(5)):
+                look = rng.choice(["", "<w:rPr><w:b/></w:rPr>", '<w:rPr><w:b/><w:rPrChange w:id="1"><w:rPr><w:i/></w:rPr></w:rPrChange></w:rPr>', "<w:rPr></w:rPr>"])
+                leaf = "".join(rng.choice(["<w:t>a, b</w:t>", "<w:t>.</w:t>", "<w:t>c &lt; &#233;&#x1F389;</w:t>", "<w:t><![CDATA[x<y]]></w:t>", "<w:tab/>", "<w:br/>", "<w:t/>", '<w:fldChar w:fldCharType="begin"/>', '<w:fldChar w:fldCharType="separate"/>', '<w:fldChar w:fldCharType="end"/>', "<w:instrText>PAGE</w:instrText>", "<w:drawing><w:txbx><w:p><w:r><w:t>in</w:t></w:r></w:p></w:txbx></w:drawing>", "<w:lastRendered/>"]) for _ in range(rng.randrange(1, 3)))
+                run_ = f"<w:r>{look}{leaf}</w:r>"
+                wrap = rng.choice([None, None, "ins", "del", "moveTo"])
+                runs.append(run_ if wrap is None else f'<w:{wrap} w:author="me" w:date="d">{run_}</w:{wrap}>')
+            paras.append(f"<w:p>{''.join(runs)}</w:p>")
+        out.append((i, "word/document.xml", f"<w:document {NS}><w:body>{''.join(paras)}<w:r><w:t>bare</w:t></w:r></w:body></w:document>"))
+    return out
+
+
+def test_atoms_match_a_tree(spark):
+    rows = leafy(150, 5) + made(60, 6)
+    got = {}
+    for r in atoms_of_parts(spark.createDataFrame([(i if n < 150 else 1000 + i, u, t) for n, (i, u, t) in enumerate(rows)], KIND).repartition(4)).orderBy("doc_id", "atom_idx").collect():
+        got.setdefault(r.doc_id, []).append((r.para_idx, r.tag, r.text, r.mark, r.status, r.look))
+        assert (r.status == "Equal") == (r.author is None)
+    assert got == {i if n < 150 else 1000 + i: a for n, (i, _, t) in enumerate(rows) if (a := leaf_atoms(t))}
+
+
+def test_fields_match_a_stack(spark):
+    rng = random.Random(7)
+    rows, want = [], []
+    for d in range(200):
+        stack, done = [], []
+        for k in range(rng.randrange(25)):
+            m = rng.choice(["begin", "begin", "separate", "end", "end", None])
+            rows.append((d, k, m))
+            if m == "begin":
+                stack.append([k, None, None, len(stack) + 1, stack[-1][0] if stack else None])
+                done.append(stack[-1])
+            elif m == "separate" and stack and stack[-1][1] is None:
+                stack[-1][1] = k
+            elif m == "end" and stack:
+                stack.pop()[2] = k
+        want += [(d, *f) for f in done]
+    got = field_spans(spark.createDataFrame(rows, "doc int, k int, mark string").repartition(4), ["doc"], "k").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def collapsed(atoms):
+    """(idx, text, is_field, para) of atoms (para, tag, text, mark, ...) with a stack of one level."""
+    out, i = [], 0
+    while i < len(atoms):
+        idx, (para, tag, text, mark, *_) = atoms[i]
+        depth, j, sep = 1, i + 1, None
+        if mark == "begin":
+            while j < len(atoms) and depth:
+                m = atoms[j][1][3]
+                depth += (m == "begin") - (m == "end")
+                if m == "separate" and depth == 1 and sep is None:
+                    sep = j
+                j += 1
+        if mark != "begin" or depth:  # a field that does not end is none
+            out.append((idx, text, False, para))
+            i += 1
+            continue
+        own = atoms[i:j]
+        if len({a[1][0] for a in own}) > 1:
+            cut = j if sep is None else sep + 1
+            out += [(k, a[2], False, a[0]) for k, a in atoms[i:cut]]
+            if sep is not None:
+                out += collapsed(atoms[cut : j - 1]) + [(atoms[j - 1][0], atoms[j - 1][1][2], False, atoms[j - 1][1][0])]
+        else:
+            out.append((idx, "".join(a[2] for k, a in (own if sep is None else atoms[sep + 1 : j - 1]) if a[1] == "t"), True, para))
+        i = j
+    return out
+
+
+def test_collapsed_fields_match_a_stack(spark):
+    rows = leafy(900, 8)
+    atoms = atoms_of_parts(spark.createDataFrame(rows, KIND).repartition(4))
+    got = {}
+    for r in collapse_fields(atoms).orderBy("doc_id", "atom_idx").collect():
+        got.setdefault(r.doc_id, []).append((r.atom_idx, r.text, r.is_field, r.para_idx))
+    want = {i: collapsed(list(enumerate(leaf_atoms(t)))) for i, _, t in rows}
+    assert got == want and sum(f for o in want.values() for _, _, f, _ in o) > 20
+
+
+def test_comparison_atoms_keep_all_text(spark):
+    """Fields of one paragraph give their result once, words and signs stand together, and nothing else is lost."""
+    field = '<w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:instrText>REF x</w:instrText></w:r><w:r><w:fldChar w:fldCharType="separate"/></w:r><w:r><w:t>on page</w:t></w:r><w:r><w:t> nine</w:t></w:r><w:r><w:fldChar w:fldCharType="end"/></w:r>'
+    text = f'<w:document {NS}><w:body><w:p><w:r><w:t>See, Sec</w:t></w:r><w:r><w:t>tion</w:t></w:r><w:r><w:rPr><w:b/></w:rPr><w:t> 4 .</w:t></w:r>{field}</w:p><w:p><w:r><w:t>, end</w:t></w:r></w:p></w:body></w:document>'
+    got = [(r.para_idx, r.text, r.look, r.is_field) for r in comparison_atoms(spark.createDataFrame([(1, "x", text)], KIND)).orderBy("place").collect()]
+    b = "<w:b/>"
+    assert got == [(0, "See,", "", False), (0, " ", "", False), (0, "Section", "", False), (0, " ", b, False), (0, "4", b, False), (0, " .", b, False), (0, "on page nine", "", True), (1, ",", "", False), (1, " ", "", False), (1, "end", "", False)]
+
+
+def test_field_query_matches_a_stack(spark):
+    import os
+    import re
+
+    import pytest
+
+    from quillwork.plans.marking import field_spans as of_documents
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    want = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        stack = []
+        for k, word in enumerate(re.split(r"[ \t\n\x0b\f\r]+", r.text)):
+            if len(word) in (2, 7):
+                stack.append([k, None, None, len(stack) + 1, stack[-1][0] if stack else None])
+                want.append((r.doc_id, stack[-1]))
+            elif len(word) == 5 and stack and stack[-1][1] is None:
+                stack[-1][1] = k
+            elif len(word) in (3, 9) and stack:
+                stack.pop()[2] = k
+    got = sorted(repr(tuple(r)) for r in of_documents(spark, sf).collect())
+    assert got == sorted(repr((d, *f)) for d, f in want) and max(f[3] for _, f in want) > 3

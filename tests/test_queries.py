@@ -42,7 +42,7 @@ def test_matches_sql(spark, duck, name):
 
 
 #: Queries that SQL cannot express; tests/test_comparing.py holds each against plain loops.
-BRUTE_FORCE = {"token_lcs", "hierarchical_diff_stats", "moves", "moved_atoms", "revision_extract", "unique_match_span", "paragraph_operations", "unified_paragraphs", "word_set_classes", "class_links", "best_partners", "similar_documents"}
+BRUTE_FORCE = {"field_spans", "token_lcs", "hierarchical_diff_stats", "moves", "moved_atoms", "revision_extract", "unique_match_span", "paragraph_operations", "unified_paragraphs", "word_set_classes", "class_links", "best_partners", "similar_documents"}
 
 
 def test_every_query_is_held_against_something():
