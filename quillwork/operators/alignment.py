@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ BLOCK_SIMILARITY = 0.5
 MOVE_SIMILARITY = 0.8
 MOVE_WORDS = 5
 SAME = 0.9999
-#: Cells of one alignment table; a longer pair is aligned in halves (linear memory).
+#: Cells of one alignment table; of a larger one only every so many rows are kept, and those between are made again.
 TABLE_CELLS = 4_000_000
 
 
@@ -32,13 +33,15 @@ def _ids(a: Sequence, b: Sequence) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array([codes.setdefault(x, len(codes)) for x in s], np.int64) for s in (a, b))
 
 
-def _last_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common subsequence of all of ``a`` and each start of ``b``."""
-    row = np.zeros(len(b) + 1, np.int32)
-    for x in a:
+def _rows(a: np.ndarray, b: np.ndarray, first: np.ndarray, every: int = 1) -> np.ndarray:
+    """Every so many rows of the table of lengths of common subsequences, from the row ``first`` that stands before ``a``."""
+    kept, row = [first], first
+    for i, x in enumerate(a, 1):
         diagonal = np.where(b == x, row[:-1] + 1, 0)
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], diagonal))
-    return row
+        row = np.concatenate([row[:1], np.maximum.accumulate(np.maximum(row[1:], diagonal))])
+        if i % every == 0:
+            kept.append(row)
+    return np.stack(kept)
 
 
 def lcs(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
@@ -46,9 +49,9 @@ def lcs(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
 
     What both end with is matched first; so is what both start with as long as it
     stands once on either side, where no other match can be. Only the middle needs a
-    table. Its rows are numpy vectors. Walking back, a tie goes to the shorter ``b``. A
-    table over TABLE_CELLS is split at the middle of ``a`` instead, which keeps the
-    length and bounds the memory.
+    table. Its rows are numpy vectors. Walking back, a tie goes to the shorter ``b``. Of
+    a table over TABLE_CELLS, one row of a block is kept and the walk makes its block
+    again, so the pairs are the same at any size and the memory is that of 2 sqrt(n) rows.
     """
     n, m, tail, head = len(a), len(b), 0, 0
     while tail < min(n, m) and a[n - 1 - tail] == b[m - 1 - tail]:
@@ -66,24 +69,20 @@ def _lcs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     n, m = len(x), len(y)
     if not n or not m:
         return []
-    if (n + 1) * (m + 1) > TABLE_CELLS and n > 1:
-        half = n // 2
-        ahead, behind = _last_row(x[:half], y), _last_row(x[half:][::-1], y[::-1])
-        cut = int(np.argmax(ahead + behind[::-1]))
-        return _lcs(x[:half], y[:cut]) + [(i + half, j + cut) for i, j in _lcs(x[half:], y[cut:])]
-    table = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(1, n + 1):
-        diagonal = np.where(y == x[i - 1], table[i - 1, :-1] + 1, 0)
-        table[i, 1:] = np.maximum.accumulate(np.maximum(table[i - 1, 1:], diagonal))
+    every = n if (n + 1) * (m + 1) <= TABLE_CELLS else isqrt(n)
+    kept = _rows(x, y, np.zeros(m + 1, np.int32), every) if every < n else np.zeros((1, m + 1), np.int32)
     out, i, j = [], n, m
     while i and j:
-        if x[i - 1] == y[j - 1]:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif table[i - 1, j] > table[i, j - 1]:
-            i -= 1
-        else:
-            j -= 1
+        base = (i - 1) // every * every
+        table = _rows(x[base:i], y[:j], kept[base // every, : j + 1])  # no column behind the walk is needed
+        while i > base and j:
+            if x[i - 1] == y[j - 1]:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif table[i - 1 - base, j] > table[i - base, j - 1]:
+                i -= 1
+            else:
+                j -= 1
     return out[::-1]
 
 
@@ -230,13 +229,18 @@ def compare_documents(pairs: DataFrame, passes: Sequence[float] = PASSES) -> tup
     return reduce(DataFrame.unionByName, kept), reduce(DataFrame.unionByName, told)
 
 
-def blocks(atoms: DataFrame) -> DataFrame:
-    """Deleted and inserted blocks of each pair, over the original's atoms and then the revision's."""
+def _blocked(atoms: DataFrame) -> DataFrame:
+    """Atoms with the number of their block, over the original's atoms and then the revision's; equal ones stand in both."""
     from .ordered import islands
 
     side = F.explode(F.when(F.col("status") == "Equal", F.array(F.lit(0), F.lit(1))).when(F.col("status") == "Deleted", F.array(F.lit(0))).otherwise(F.array(F.lit(1))))
     rows = atoms.withColumn("__side", side).withColumn("__at", F.struct("__side", "atom_idx"))
-    rows = islands(rows, ["pair_id"], "__at", ["status"], "block")
+    return islands(rows, ["pair_id"], "__at", ["status"], "block")
+
+
+def blocks(atoms: DataFrame) -> DataFrame:
+    """Deleted and inserted blocks of each pair, over the original's atoms and then the revision's."""
+    rows = _blocked(atoms)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", "text"))), lambda x: x["text"]), "")
     out = rows.where("status <> 'Equal'").groupBy("pair_id", "block", "status").agg(text.alias("text"), F.min("atom_idx").alias("first_atom"), F.max("atom_idx").alias("last_atom"))
     return out.withColumn("words", X.word_count(F.col("text")))
@@ -263,14 +267,14 @@ def moves(atoms: DataFrame, least: float = MOVE_SIMILARITY, least_words: int = M
     return rows.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("block", "status", "text"))).alias("blocks")).mapInPandas(run, schema)
 
 
-def with_moves(atoms: DataFrame, found: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """Atoms with MovedSource and MovedDestination for those in moved blocks, and their move group."""
-    rows = blocks(atoms) if rows is None else rows
+def with_moves(atoms: DataFrame, found: DataFrame) -> DataFrame:
+    """Atoms with MovedSource and MovedDestination for those in moved blocks, and their move group.
+
+    Atoms are numbered by block as the moves' blocks are, so the two meet by number.
+    """
     places = found.select("pair_id", F.explode(F.array(F.struct(F.col("source_block").alias("block"), F.lit("MovedSource").alias("to")), F.struct(F.col("target_block").alias("block"), F.lit("MovedDestination").alias("to")))).alias("x"), "move_group")
-    spans = places.select("pair_id", "x.block", "x.to", "move_group").join(rows, ["pair_id", "block"])
-    spans = spans.select(F.col("pair_id").alias("__pair"), F.col("status").alias("__status"), F.col("first_atom").alias("__first"), F.col("last_atom").alias("__last"), F.col("to").alias("__to"), "move_group")
-    cond = (F.col("pair_id") == F.col("__pair")) & (F.col("status") == F.col("__status")) & F.col("atom_idx").between(F.col("__first"), F.col("__last"))
-    joined = atoms.join(spans, cond, "left")
+    spans = places.select("pair_id", "x.block", F.col("x.to").alias("__to"), "move_group")
+    joined = _blocked(atoms).where("status <> 'Equal' or __side = 0").join(spans, ["pair_id", "block"], "left")
     return joined.select("pair_id", "atom_idx", F.coalesce("__to", "status").alias("status"), "orig_para", "rev_para", "text", "move_group")
 
 

@@ -93,6 +93,8 @@ def unique_match(text: Column, needle: Column) -> Column:
 
 #: Whole words within an item by which documents are looked up.
 ANCHOR_WORDS = 4
+#: First letters by which an item of one or two words is looked up.
+ANCHOR_LETTERS = 3
 
 
 def match_candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -100,24 +102,41 @@ def match_candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     A hit holds all words of the item but the first and the last as whole words, so four
     of these join; both texts are cut into words as they are and as the last stage sees
-    them, which all stages but the first lead to. An item of fewer than six words in
-    either form is looked for in every document. Pairs that share the item's first four
-    words are returned too, and ``head`` tells them.
+    them, which all stages but the first lead to. Of an item of three to five words in
+    either form, the inner words are one key; one of fewer words is found by its first
+    letters, in documents cut into runs of as many, only where there is such an item.
+    Pairs that share the item's first four words are returned too, and ``head`` tells them.
     """
     forms = lambda c: F.array(F.col(c), stage_texts(F.col(c))[-1])
     said = lambda c: F.transform(forms(c), X.words)
     key = lambda w, i: F.xxhash64(F.slice(w, i, ANCHOR_WORDS))
     known = items.where("needle <> ''").select("item_id", forms("needle").alias("forms"), said("needle").alias("ws"))
-    short = F.exists("ws", lambda w: F.size(w) < ANCHOR_WORDS + 2)
-    inner = known.where(~short).select("item_id", F.lit(False).alias("head"), F.explode(F.transform("ws", lambda w: key(w, 2))).alias("anchor"))
+    known = known.withColumn("least", F.array_min(F.transform("ws", F.size)))
+    inner = known.where(F.col("least") >= ANCHOR_WORDS + 2).select("item_id", F.lit(False).alias("head"), F.explode(F.transform("ws", lambda w: key(w, 2))).alias("anchor"))
     heads = known.where(F.size(F.col("ws")[0]) >= ANCHOR_WORDS).select("item_id", F.lit(True).alias("head"), key(F.col("ws")[0], 1).alias("anchor"))
     anchors = inner.unionByName(heads).distinct()
     grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - ANCHOR_WORDS + 1), lambda i: key(w, i))
     cut = docs.select("doc_id", F.explode(F.array_distinct(said("text"))).alias("w")).where(F.size("w") >= ANCHOR_WORDS)
     long = cut.select("doc_id", F.explode(grams(F.col("w"))).alias("anchor")).join(anchors, "anchor").select("doc_id", "item_id", "head")
-    own = docs.select("doc_id", forms("text").alias("texts"))
-    holds = F.contains(F.col("texts")[0], F.col("forms")[0]) | F.contains(F.col("texts")[1], F.col("forms")[1])
-    pairs = long.unionByName(own.join(known.where(short), holds).select("doc_id", "item_id", F.lit(False).alias("head")))
+    pairs = long
+    short = known.where((F.col("least") < ANCHOR_WORDS + 2) & (F.col("least") > 2))
+    if not short.isEmpty():
+        inside = lambda w: F.xxhash64(F.slice(w, 2, F.size(w) - 2), F.size(w) - 2)
+        named = short.select("item_id", F.explode(F.transform(F.filter("ws", lambda w: F.size(w) < ANCHOR_WORDS + 2), inside)).alias("anchor")).distinct()
+        named = named.unionByName(short.select("item_id", F.explode(F.transform(F.filter("ws", lambda w: F.size(w) >= ANCHOR_WORDS + 2), lambda w: key(w, 2))).alias("anchor")))
+        runs = lambda w, k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.slice(w, i, k), F.lit(k)))
+        every = [F.when(F.size("w") >= k, runs(F.col("w"), k)).otherwise(F.array().cast("array<bigint>")) for k in range(1, ANCHOR_WORDS)]
+        words = docs.select("doc_id", F.explode(F.array_distinct(said("text"))).alias("w"))
+        small = words.select("doc_id", F.explode(F.array_distinct(F.concat(*every))).alias("anchor")).unionByName(cut.select("doc_id", F.explode(grams(F.col("w"))).alias("anchor")))
+        pairs = pairs.unionByName(small.join(named, "anchor").select("doc_id", "item_id", F.lit(False).alias("head")))
+    tiny = known.where("least <= 2")
+    if not tiny.isEmpty():
+        letters = F.explode(F.array_distinct(F.transform(F.filter("forms", lambda t: t != ""), lambda t: F.left(t, F.lit(ANCHOR_LETTERS)))))
+        named = tiny.select("item_id", letters.alias("start"), "forms")
+        own = docs.select("doc_id", F.explode(F.array_distinct(forms("text"))).alias("t")).where("t <> ''")
+        starts = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(t, i, ANCHOR_LETTERS))
+        cuts = F.array_distinct(F.flatten(F.transform(starts(F.col("t")), lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda n: F.left(s, n)))))
+        pairs = pairs.unionByName(own.select("doc_id", F.explode(cuts).alias("start")).distinct().join(named.select("item_id", "start"), "start").select("doc_id", "item_id", F.lit(False).alias("head")))
     return pairs.groupBy("doc_id", "item_id").agg(F.bool_or("head").alias("head"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,20 +22,23 @@ STATUS = {"ins": "Inserted", "del": "Deleted", "moveFrom": "MovedSource", "moveT
 def deep_hashes(nodes: DataFrame) -> DataFrame:
     """Adds deep_hash to elements (doc_id, node, parent, pos, tag, attributes, text): of the element and all below it.
 
-    An element is hashed once all its children are, level by level from the leaves, so
-    there are as many rounds as levels. Elements on a cycle get no hash.
+    Depths take as many rounds as the depth has binary digits; then a level is hashed
+    from the one below it, which alone is read and written in its round. Elements on a
+    cycle, and below one, get no hash.
     """
     own = nodes.select("doc_id", "node", "parent", "pos", element_hash(F.col("tag"), F.col("attributes"), F.col("text")).alias("own"))
-    kids = own.where("parent is not null").groupBy("doc_id", F.col("parent").alias("node")).agg(F.count("*").alias("kids"))
-    waiting = settled(own.join(kids, ["doc_id", "node"], "left").withColumn("kids", F.coalesce("kids", F.lit(0))))
-    done = settled(waiting.where("kids = 0").select("doc_id", "node", "parent", "pos", F.col("own").alias("deep_hash")))
-    fresh = done
-    while not fresh.isEmpty():
-        told = done.where("parent is not null").groupBy("doc_id", F.col("parent").alias("node")).agg(F.count("*").alias("have"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node", "deep_hash"))), lambda x: x["deep_hash"]), ",").alias("below"))
-        ready = waiting.join(told, ["doc_id", "node"]).where("kids = have").join(done.select("doc_id", "node"), ["doc_id", "node"], "left_anti")
-        fresh = settled(ready.select("doc_id", "node", "parent", "pos", F.sha1(F.concat_ws("|", "own", "below")).alias("deep_hash")))
-        done = settled(done.unionByName(fresh))
-    return nodes.join(done.select("doc_id", "node", "deep_hash"), ["doc_id", "node"], "left")
+    depths = threads(nodes.select("doc_id", F.col("node").alias("comment_id"), F.col("parent").alias("parent_id")))
+    rows = settled(own.join(depths.where("root_id is not null").select("doc_id", F.col("comment_id").alias("node"), "depth"), ["doc_id", "node"]))
+    levels: list[DataFrame] = []
+    for depth in range(rows.agg(F.max("depth")).first()[0] or 0, -1, -1):
+        here, hashed = rows.where(F.col("depth") == depth), F.col("own")
+        if levels:
+            below = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node", "deep_hash"))), lambda x: x["deep_hash"]), ",")
+            here = here.join(levels[-1].groupBy("doc_id", F.col("parent").alias("node")).agg(below.alias("below")), ["doc_id", "node"], "left")
+            hashed = F.when(F.col("below").isNull(), F.col("own")).otherwise(F.sha1(F.concat_ws("|", "own", "below")))
+        levels.append(settled(here.select("doc_id", "node", "parent", "pos", hashed.alias("deep_hash"))))
+    done = reduce(DataFrame.unionByName, (x.select("doc_id", "node", "deep_hash") for x in levels))
+    return nodes.join(done, ["doc_id", "node"], "left")
 
 
 def deepest_first(nodes: DataFrame) -> DataFrame:

@@ -298,8 +298,10 @@ def tracked_xml(atoms: DataFrame, author: str, date: str) -> DataFrame:
 
 def variants(atoms: DataFrame, author: str, date: str) -> DataFrame:
     """(doc_id, variant, content): each comparison (pair_id, orig_para, rev_para, atom_idx, status, text) as two archives, clean and tracked."""
+    from ..lineage import settled
     from ..operators.alignment import side_text
 
+    atoms = settled(atoms)  # read twice, and a comparison is the dear part
     clean = side_text(atoms, True).select(F.col("pair_id").cast("string").alias("doc_id"), F.split("text", "\n").alias("paragraphs"))
     # a paragraph that was deleted whole stands where it was, before what follows it
     first = F.min("atom_idx").over(Window.partitionBy("pair_id", "orig_para", "rev_para"))

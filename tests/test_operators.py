@@ -19,6 +19,18 @@ def brute_lcs(a, b):
     return best[-1][-1]
 
 
+def test_lcs_is_the_same_at_any_size(monkeypatch):
+    """Memory is bounded without another choice among equal alignments."""
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(40))] for _ in range(2))
+        told = []
+        for cells in (4_000_000, 200, 1):
+            monkeypatch.setattr(G, "TABLE_CELLS", cells)
+            told.append(G.lcs(a, b))
+        assert told[0] == told[1] == told[2]
+
+
 @pytest.mark.parametrize("cells", [4_000_000, 4])
 def test_lcs(monkeypatch, cells):
     monkeypatch.setattr(G, "TABLE_CELLS", cells)
