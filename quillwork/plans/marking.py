@@ -80,6 +80,30 @@ def undeclared_uses(spark, sf_dir):
     return M.undeclared_uses(parts).groupBy("doc_id", "prefix", "local").agg(F.count("*").alias("uses"))
 
 
+_OLD, _NEW = "CASE WHEN (p // 9) % 2 = 1 THEN '<w:b/>' ELSE '' END", "CASE WHEN (p // 14) % 3 = 1 THEN '<w:i/>' WHEN (p // 14) % 3 = 2 THEN '<w:b/>' ELSE '' END"
+
+
+@query("compared_looks", f"""WITH w AS (SELECT doc_id, para_idx, regexp_extract_all(text, '\\s+|\\S+') AS ts FROM {PARAGRAPHS} WHERE text <> ''),
+t AS (SELECT doc_id, para_idx, unnest(ts) AS t, generate_subscripts(ts, 1) AS n FROM w),
+o AS (SELECT doc_id, para_idx, t, n, CAST(coalesce(sum(length(t)) OVER (PARTITION BY doc_id, para_idx ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS p FROM t),
+l AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para_idx, n) - 1 AS BIGINT) AS k, {_OLD} AS a, {_NEW} AS b FROM o)
+SELECT doc_id AS pair_id, k AS atom_idx, t AS text, a AS old_look, b AS new_look, CASE WHEN (a = '<w:b/>') <> (b = '<w:b/>') AND b = '<w:i/>' THEN 'bold,italic' WHEN b = '<w:i/>' THEN 'italic' ELSE 'bold' END AS names FROM l WHERE a <> b""")
+def compared_looks(spark, sf_dir):
+    """All text of ``documents`` in two sets of runs with other looks, read from markup, compared; what looks different."""
+    from ..operators.looks import compared_parts
+
+    def parts(width: int, *looks: str) -> DataFrame:
+        props = F.array(*[F.lit(f"<w:rPr>{k}</w:rPr>" if k else "") for k in looks])
+        run = lambda x, i: F.concat(F.lit("<w:r>"), F.element_at(props, (i % len(looks) + 1).cast("int")), F.lit("<w:t>"), X.escaped_xml(x), F.lit("</w:t></w:r>"))
+        runs = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{width}}}"), 0), run), "")
+        paras = F.transform(F.split("text", "\n"), lambda t: F.concat(F.lit("<w:p>"), runs(t), F.lit("</w:p>")))
+        rows = corpus.table(spark, sf_dir, "documents").where("text is not null")
+        return rows.select("doc_id", F.lit("word/document.xml").alias("part_uri"), F.concat(F.lit(_HEAD), F.array_join(paras, ""), F.lit(_TAIL)).alias("text"))
+
+    out = compared_parts(parts(9, "", "<w:b/>"), parts(14, "", "<w:i/>", "<w:b/>")).where("status = 'FormatChanged'")
+    return out.select("pair_id", "atom_idx", "text", "old_look", "new_look", F.array_join("names", ",").alias("names"))
+
+
 @query("field_spans")
 def field_spans(spark, sf_dir):
     """Fields begun, separated and ended by words of every document, over its paragraphs and nested as they come."""

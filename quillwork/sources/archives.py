@@ -281,14 +281,39 @@ def document_xml(texts: DataFrame) -> DataFrame:
 
 
 def tracked_xml(atoms: DataFrame, author: str, date: str) -> DataFrame:
-    """The main part of a comparison: atoms (doc_id, para_idx, atom_idx, status, text) as revision markup."""
+    """The main part of a comparison: atoms (doc_id, para_idx, atom_idx, status, text) as revision markup.
+
+    With ``old_look`` and ``new_look``, runs have their looks (what goes the old, the rest
+    the new one), and FormatChanged ones a record of the old; with ``move_group``, each
+    run of atoms of one move lies between range marks of one id, named by the move.
+    An atom has three ids of its own: of its wrapper, its record and the range it opens.
+    """
     from ..functions.text import escaped_xml
 
-    ns = W.strip("{}")
-    run = lambda tag: F.concat(F.lit(f'<w:r><w:{tag} xml:space="preserve">'), escaped_xml(F.col("text")), F.lit(f"</w:{tag}></w:r>"))
-    wrap = lambda kind, inner: F.concat(F.lit(f'<w:{kind} w:id="'), (F.col("atom_idx") + 1).cast("string"), F.lit(f'" w:author="{author}" w:date="{date}">'), inner, F.lit(f"</w:{kind}>"))
-    s = F.col("status")
+    ns, s = W.strip("{}"), F.col("status")
+    by = lambda kind, id_, more="": F.concat(F.lit(f'<w:{kind} w:id="'), id_.cast("string"), F.lit(f'"{more} w:author="{author}" w:date="{date}"'))
+    own = lambda k: 3 * F.col("atom_idx") + k
+    props = F.lit("")
+    if "new_look" in atoms.columns:
+        old, new = (F.coalesce(c, F.lit("")) for c in ("old_look", "new_look"))
+        record = F.concat(by("rPrChange", own(2)), F.lit("><w:rPr>"), old, F.lit("</w:rPr></w:rPrChange>"))
+        inner = F.when(s == "FormatChanged", F.concat(new, record)).when(s.isin("Deleted", "MovedSource"), old).otherwise(new)
+        props = F.when(inner != "", F.concat(F.lit("<w:rPr>"), inner, F.lit("</w:rPr>"))).otherwise("")
+    run = lambda tag: F.concat(F.lit("<w:r>"), props, F.lit(f'<w:{tag} xml:space="preserve">'), escaped_xml(F.col("text")), F.lit(f"</w:{tag}></w:r>"))
+    wrap = lambda kind, inner: F.concat(by(kind, own(1)), F.lit(">"), inner, F.lit(f"</w:{kind}>"))
     piece = F.when(s == "Deleted", wrap("del", run("delText"))).when(s == "Inserted", wrap("ins", run("t"))).when(s == "MovedSource", wrap("moveFrom", run("t"))).when(s == "MovedDestination", wrap("moveTo", run("t"))).otherwise(run("t"))
+    if "move_group" in atoms.columns:
+        from ..operators.ordered import islands
+
+        atoms = islands(atoms, ["doc_id"], "atom_idx", ["move_group", "status"])
+        range_ = Window.partitionBy("doc_id", "island")
+        atoms = atoms.withColumns({"opened": F.min("atom_idx").over(range_), "closed": F.max("atom_idx").over(range_)})
+        kind = F.when(s == "MovedSource", "moveFrom").when(s == "MovedDestination", "moveTo")
+        id_ = (3 * F.col("opened") + 3).cast("string")
+        start = F.concat(F.lit("<w:"), kind, F.lit('RangeStart w:id="'), id_, F.lit('" w:name="move'), F.col("move_group").cast("string"), F.lit(f'" w:author="{author}" w:date="{date}"/>'))
+        stop = F.concat(F.lit("<w:"), kind, F.lit('RangeEnd w:id="'), id_, F.lit('"/>'))
+        at = lambda place, mark: F.when(F.col("move_group").isNotNull() & (F.col("atom_idx") == F.col(place)), F.coalesce(mark, F.lit(""))).otherwise("")
+        piece = F.concat(at("opened", start), piece, at("closed", stop))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", c))), lambda x: x[c]), "")
     paras = atoms.withColumn("piece", piece).withColumn("o", F.col("atom_idx")).groupBy("doc_id", "para_idx").agg(joined("piece").alias("inner"))
     paras = paras.select("doc_id", F.col("para_idx").alias("o"), F.concat(F.lit("<w:p>"), "inner", F.lit("</w:p>")).alias("p"))
