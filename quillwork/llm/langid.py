@@ -24,6 +24,8 @@ WIDTHS, FILTERS = (2, 4, 6), 16
 WINDOW, STEP = 128, 128 - max(WIDTHS) + 1
 #: Texts that the network is fitted on, at most of each language, and windows of each text.
 FIT_TEXTS, FIT_WINDOWS = 1500, 4
+#: Languages that are learned, at most: the most frequent ones.
+FIT_LANGUAGES = 1000
 EPOCHS, BATCH, RATE, DECAY = 8, 256, 0.01, 1e-5
 SEED = 11
 UNKNOWN = "und"
@@ -174,8 +176,8 @@ def sampled_windows(docs: DataFrame, most: int = FIT_TEXTS, each: int = FIT_WIND
     """
     rows = docs.select(F.xxhash64(docs[id_col], docs[text_col]).alias("turn"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), held_out(docs[id_col]).alias("held"))
     rows = rows.where("not held and lang is not null").where(has_letter("text")).drop("held")
-    share = rows.groupBy("lang").agg((F.lit(2.0 * most) / F.count("*")).alias("share"))
-    drawn = rows.join(share, "lang").where(F.pmod("turn", F.lit(1 << 20)) <= F.col("share") * F.lit(1 << 20))  # about 2 * most a language
+    share = rows.groupBy("lang").agg((F.lit(2.0 * most) / F.count("*")).alias("share")).orderBy("share", "lang").limit(FIT_LANGUAGES)
+    drawn = rows.join(F.broadcast(share), "lang").where(F.pmod("turn", F.lit(1 << 20)) <= F.col("share") * F.lit(1 << 20))  # about 2 * most a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
