@@ -9,63 +9,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .alignment import lcs, tokenise
-
-# Fixed values of an operation.
-DELETE, EQUAL, INSERT = -1, 0, 1
-
-
-def _joined(ops: list[tuple[int, str]]) -> list[tuple[int, str]]:
-    """Neighbours of one kind as one; between equal parts a deletion stands before an insertion."""
-    out: list[tuple[int, str]] = []
-    gone = new = ""
-    for op, text in [*ops, (EQUAL, "")]:
-        if op == DELETE:
-            gone += text
-        elif op == INSERT:
-            new += text
-        else:
-            out += [(o, t) for o, t in ((DELETE, gone), (INSERT, new)) if t]
-            gone = new = ""
-            if out and out[-1][0] == EQUAL:
-                out[-1] = (EQUAL, out[-1][1] + text)
-            elif text:
-                out.append((EQUAL, text))
-    return out
+from .scripts import DELETE, EQUAL, INSERT, readable, shortest_script
 
 
 def character_diff(a: str, b: str, clean: bool = True) -> list[tuple[int, str]]:
-    """(op, text) operations that turn ``a`` into ``b``.
-
-    Common ends are set aside and the rest is aligned by characters. With ``clean``,
-    an equal part that is no longer than the changes on either side of it is taken
-    into them, so that scattered single letters do not split a change.
-    """
-    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    tail = next((i for i, (x, y) in enumerate(zip(a[head:][::-1], b[head:][::-1])) if x != y), min(len(a), len(b)) - head)
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    ops, p, q = [(EQUAL, a[:head])], 0, 0
-    for i, j in [*lcs(x, y), (len(x), len(y))]:
-        ops += [(DELETE, x[p:i]), (INSERT, y[q:j]), (EQUAL, x[i : i + 1])]
-        p, q = i + 1, j + 1
-    ops = _joined([*ops, (EQUAL, a[len(a) - tail :] if tail else "")])
-    while clean:
-        size = lambda part: max(sum(len(t) for o, t in part if o == k) for k in (DELETE, INSERT))
-        cut = None
-        for k in range(1, len(ops) - 1):
-            if ops[k][0] == EQUAL:
-                before, after = k, k + 1
-                while before and ops[before - 1][0] != EQUAL:
-                    before -= 1
-                while after < len(ops) and ops[after][0] != EQUAL:
-                    after += 1
-                n = len(ops[k][1])
-                if before < k and after > k + 1 and n <= size(ops[before:k]) and n <= size(ops[k + 1 : after]):
-                    cut = k
-                    break
-        if cut is None:
-            break
-        ops = _joined([*ops[:cut], (DELETE, ops[cut][1]), (INSERT, ops[cut][1]), *ops[cut + 1 :]])
-    return ops
+    """(op, text) operations that turn ``a`` into ``b``: a shortest script by characters; with ``clean``, made readable."""
+    ops = shortest_script(a, b)
+    return readable(ops) if clean else ops
 
 
 _OPS = T.ArrayType(T.StructType([T.StructField("op", T.IntegerType()), T.StructField("text", T.StringType())]))
