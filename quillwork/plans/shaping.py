@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from ..functions import counters as C
 from ..functions import formatting as S
 from ..functions import text as X
+from ..lineage import shared_folder
 from ..operators import edits as E
 from ..operators import ordered as O
 from ..operators import planning as P
@@ -16,6 +18,7 @@ from ..registry import query
 from ..sources import archives as A
 from ..sources import corpus
 from ..sources import reports
+from ..sources.zipped import register
 from .ordering import ordinal_sql
 from .sql import PARAGRAPHS, normalised, words
 
@@ -422,6 +425,21 @@ def archive_round_trip(spark, sf_dir):
     return A.paragraphs(A.entries(_archives(spark, sf_dir))).select("doc_id", "para_idx", F.coalesce("text", F.lit("")).alias("text"))
 
 
+@query("archive_parts", """
+SELECT CAST(doc_id AS VARCHAR) || '.docx' AS doc_id, 'meta/source.txt' AS part_uri, CAST(octet_length(encode(source)) AS BIGINT) AS uncompressed_bytes, source AS text FROM documents WHERE source IS NOT NULL
+UNION ALL SELECT CAST(doc_id AS VARCHAR) || '.docx', 'meta/lang.txt', CAST(octet_length(encode(lang)) AS BIGINT), lang FROM documents WHERE lang IS NOT NULL""")
+def archive_parts(spark, sf_dir):
+    """Documents as files of three entries in the shared folder; two of them are read, and their texts stay on disk."""
+    docs = corpus.table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("doc_id"), "source", "lang", "text")
+    parts = F.array(*[F.struct(F.lit(u).alias("part_uri"), F.encode(c, "utf-8").alias("content")) for u, c in (("meta/source.txt", "source"), ("meta/lang.txt", "lang"), ("word/text.txt", "text"))])
+    files = A.packed(docs.select("doc_id", F.inline(F.filter(parts, lambda p: p["content"].isNotNull()))))
+    register(spark)
+    folder = f"{shared_folder(spark)}/archives-{uuid4().hex}"
+    files.write.format("archives").mode("append").save(folder)
+    rows = spark.read.format("archives").load(folder).where(F.startswith("part_uri", F.lit("meta/")))
+    return rows.select("doc_id", "part_uri", "uncompressed_bytes", F.decode("content", "utf-8").alias("text"))
+
+
 @query("archive_guard", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(1 AS BIGINT) AS entries FROM documents")
 def archive_guard(spark, sf_dir):
     return A.guarded(A.entries(_archives(spark, sf_dir), with_content=False)).where("violation IS NULL OR violation IS NOT NULL").select("doc_id", "entries")
