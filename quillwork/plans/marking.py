@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..lineage import settled
 from ..operators import markup as M
+from ..operators import redline as L
 from ..registry import query
 from ..sources import corpus
 from .sql import PARAGRAPHS
@@ -110,3 +112,28 @@ def field_spans(spark, sf_dir):
     words = corpus.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("at", "word"))
     mark = F.expr("case when length(word) in (2, 7) then 'begin' when length(word) = 5 then 'separate' when length(word) in (3, 9) then 'end' end")
     return M.field_spans(words.select("doc_id", "at", mark.alias("mark")), ["doc_id"], "at")
+
+
+#: The revision of a paragraph: words more, gone, a few letters less, or as it was.
+_REVISED = "CASE para_idx % 4 WHEN 0 THEN text || ' and more' WHEN 1 THEN '' WHEN 2 THEN substr(text, 1, 4) || substr(text, 9) ELSE text END"
+
+
+@query("redlined_in_place", f"""
+WITH p AS (SELECT doc_id, text AS a, {_REVISED} AS b FROM {PARAGRAPHS}),
+s AS (SELECT doc_id, 'accepted' AS side, b AS t FROM p UNION ALL SELECT doc_id, 'rejected', a FROM p)
+SELECT doc_id, side, sha1(string_agg(t, chr(10) ORDER BY t)) AS hash FROM s WHERE t <> '' GROUP BY doc_id, side""")
+def redlined_in_place(spark, sf_dir):
+    """Every document and its revision, in runs of other lengths, as one part with tracked changes: accepted it is the one, rejected the other.
+
+    Which of two like paragraphs stands first can differ, so each side's are compared in order of their text.
+    """
+    rows = corpus.paragraphs(spark, sf_dir).withColumn("after", F.expr(_REVISED))
+    sides = []
+    for column, width in (("text", 23), ("after", 31)):
+        runs = F.transform(F.regexp_extract_all(column, F.lit(f"(?s).{{1,{width}}}"), 0), lambda t: F.concat(F.lit('<w:r><w:rPr><w:b/></w:rPr><w:t xml:space="preserve">'), X.escaped_xml(t), F.lit("</w:t></w:r>")))
+        para = F.concat(F.lit("<w:p>"), F.array_join(runs, ""), F.lit("</w:p>"))
+        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", para.alias("p")))), lambda x: x["p"]), "")
+        sides.append(rows.groupBy("doc_id").agg(F.concat(F.lit(_HEAD), body, F.lit(_TAIL)).alias("text")).select("doc_id", F.lit("word/document.xml").alias("part_uri"), "text"))
+    told = settled(L.in_place(*sides, "a", "2024-01-01"))
+    hashed = lambda done, side: L.part_texts(done, "t").select(F.col("pair_id").alias("doc_id"), F.lit(side).alias("side"), F.sha1(F.array_join(F.array_sort("t"), "\n")).alias("hash"))
+    return hashed(M.accept_markup(told), "accepted").unionByName(hashed(M.reject_markup(told), "rejected"))
