@@ -62,11 +62,13 @@ def modal_flags(runs: DataFrame, group: list[str], suppress_at: float = 0.60) ->
 
 def font_baseline(runs: DataFrame, group: list[str]) -> DataFrame:
     """Modal colour, font and size of each group in one pass; a mode that is empty is null."""
-    out = None
-    for c in ("color", "font", "size"):
-        one = mode_of(runs, group, [c], F.length("text"), "run_idx").select(*group, c if c == "size" else F.nullif(c, F.lit("")).alias(c))
-        out = one if out is None else out.join(one, group)
-    return out
+    names = ("color", "font", "size")
+    kinds = {f.name: f.dataType for f in runs.schema.fields}
+    values = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in names])
+    sums = runs.select(*group, F.inline(values), F.length("text").alias("n"), "run_idx").groupBy(*group, "kind", "value").agg(F.sum("n").alias("chars"), F.min("run_idx").alias("first"))
+    # a null mode is one like any other, so it is held in a struct
+    most = lambda c: F.max_by(F.struct("value"), F.when(F.col("kind") == c, F.struct("chars", -F.col("first"))))["value"]
+    return sums.groupBy(*group).agg(*[F.nullif(most(c), F.lit("")).cast(kinds[c]).alias(c) for c in names])
 
 
 # Elements that mark tracked changes.
