@@ -28,6 +28,9 @@ LABEL_RULES = (
     ("LETTER", r"^\((?i:[a-z])+\)\s*"),
 )
 
+#: The same rules where a number that goes on behind its last stop, such as an address of four numbers, is no heading.
+WHOLE_NUMBER_RULES = tuple((k, r.replace("[.)]", r"[.)](?!\d)") if k == "NUMBERED_HEADING" else r) for k, r in LABEL_RULES)
+
 
 def squeeze(text: Column) -> Column:
     """Runs of white space as one space, none at either end."""
@@ -105,25 +108,25 @@ def common_suffix(a: Column, b: Column, prefix: Column) -> Column:
 # Labels and headers.
 
 
-def label_type(text: Column) -> Column:
-    return reduce(lambda c, r: c.when(F.regexp_like(text, F.lit(r[1])), r[0]), LABEL_RULES[1:], F.when(F.regexp_like(text, F.lit(LABEL_RULES[0][1])), LABEL_RULES[0][0]))
+def label_type(text: Column, rules: tuple = LABEL_RULES) -> Column:
+    return reduce(lambda c, r: c.when(F.regexp_like(text, F.lit(r[1])), r[0]), rules[1:], F.when(F.regexp_like(text, F.lit(rules[0][1])), rules[0][0]))
 
 
-def label_match(text: Column) -> Column:
+def label_match(text: Column, rules: tuple = LABEL_RULES) -> Column:
     """What the first rule that holds matches, with the white space after it; empty without a label."""
-    first, *more = LABEL_RULES
+    first, *more = rules
     hit = F.when(F.regexp_like(text, F.lit(first[1])), F.regexp_extract(text, first[1], 0))
     for _, pattern in more:
         hit = hit.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, 0))
     return F.coalesce(hit, F.lit(""))
 
 
-def label(text: Column) -> Column:
-    return F.nullif(F.regexp_replace(label_match(text), rf"{WS}+$", ""), F.lit(""))
+def label(text: Column, rules: tuple = LABEL_RULES) -> Column:
+    return F.nullif(F.regexp_replace(label_match(text, rules), rf"{WS}+$", ""), F.lit(""))
 
 
-def without_label(text: Column) -> Column:
-    n = F.length(label_match(text))
+def without_label(text: Column, rules: tuple = LABEL_RULES) -> Column:
+    n = F.length(label_match(text, rules))
     return F.when(n > 0, F.regexp_replace(F.substring(text, n + 1, F.length(text)), rf"^{WS}+", "")).otherwise(text)
 
 

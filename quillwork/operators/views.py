@@ -21,20 +21,21 @@ LEAVES = (
 )
 
 
-def document_view(paragraphs: DataFrame, style_of: Column | None = None) -> DataFrame:
+def document_view(paragraphs: DataFrame, style_of: Column | None = None, rules: tuple = X.LABEL_RULES) -> DataFrame:
     """One wide row a paragraph: id, label, header, text without both, style, table context.
 
     Empty paragraphs are left out unless they stand in a table. ``paragraphs``: doc_id,
-    para_idx, text, and table_idx, row_idx, cell_idx (null outside tables).
+    para_idx, text, and table_idx, row_idx, cell_idx (null outside tables). ``rules`` tell
+    labels; of plain text, X.WHOLE_NUMBER_RULES take no address for one.
     """
     from .groups import identities
 
     rows = identities(paragraphs)
     inside = F.col("table_idx").isNotNull()
     rows = rows.where((F.regexp_replace("text", X.WS + "+", "") != "") | inside)
-    bare = X.without_label(F.col("text"))
+    bare = X.without_label(F.col("text"), rules)
     head = X.header(bare)
-    rows = rows.withColumn("list_label", X.label(F.col("text"))).withColumn("label_type", X.label_type(F.col("text"))).withColumn("__bare", bare).withColumn("__head", head)
+    rows = rows.withColumn("list_label", X.label(F.col("text"), rules)).withColumn("label_type", X.label_type(F.col("text"), rules)).withColumn("__bare", bare).withColumn("__head", head)
     header = F.col("__head.text")
     level = F.when(F.col("list_label").isNull(), -1).when(F.col("label_type").isin("SECTION", "ARTICLE", "NUMBERED_HEADING"), 0).otherwise(1)
     out = rows.withColumn("header", header).withColumn("header_style", F.col("__head.style")).withColumn("list_level", level)

@@ -23,7 +23,7 @@ FROM h WHERE regexp_replace(text, '\\s+', '', 'g') <> ''""")
 def document_view(spark, sf_dir):
     none = F.lit(None).cast("int")
     rows = corpus.paragraphs(spark, sf_dir).select("doc_id", "para_idx", "text", none.alias("table_idx"), none.alias("row_idx"), none.alias("cell_idx"))
-    return V.document_view(rows).select("doc_id", "para_idx", "para_id", "list_label", "list_level", "header")
+    return V.document_view(rows, rules=X.WHOLE_NUMBER_RULES).select("doc_id", "para_idx", "para_id", "list_label", "list_level", "header")
 
 
 _VIEWED = f"CASE WHEN para_idx % 5 = 4 THEN '  ' ELSE {LABELLED} END"
