@@ -21,13 +21,13 @@ def pattern_of(patterns: Sequence[str], whole_word: bool = False, case_sensitive
     return ("" if case_sensitive else "(?i)") + (rf"\b({joined})\b" if whole_word else f"({joined})")
 
 
-def grep(paragraphs: DataFrame, patterns: Sequence[str], whole_word: bool = False, case_sensitive: bool = False, context: int = 50, max_results: int | None = 100) -> tuple[DataFrame, DataFrame]:
+def grep(paragraphs: DataFrame, patterns: Sequence[str], whole_word: bool = False, case_sensitive: bool = False, context: int = 50, max_results: int | None = 100, rules: tuple = X.LABEL_RULES) -> tuple[DataFrame, DataFrame]:
     """(matches, totals) of a search over (doc_id, para_idx, text).
 
     One row a paragraph: how often it matches, its first match with the text around it,
     its label and header. The best ``max_results`` rows of each document are kept, while
     totals count everything. A pattern that is no pattern gives no matches and tells
-    its error in the totals.
+    its error in the totals. ``rules`` tell labels, as in ``views.document_view``.
     """
     try:
         pattern = pattern_of(patterns, whole_word, case_sensitive)
@@ -39,7 +39,7 @@ def grep(paragraphs: DataFrame, patterns: Sequence[str], whole_word: bool = Fals
     hits = paragraphs.where(F.regexp_like("text", p)).select("doc_id", "para_idx", "text", F.regexp_count("text", p).alias("match_count"), F.regexp_extract("text", pattern, 0).alias("match_text"), F.regexp_instr("text", p).alias("at"))
     before = F.substring("text", F.greatest(F.col("at") - context, F.lit(1)), F.least(F.lit(context), F.col("at") - 1))
     after = F.substring("text", F.col("at") + F.length("match_text"), F.lit(context))
-    rows = hits.select("doc_id", "para_idx", "match_count", "match_text", F.concat(F.lit("..."), before, F.lit(">>>"), "match_text", F.lit("<<<"), after, F.lit("...")).alias("context"), F.coalesce(X.label(F.col("text")), F.lit("")).alias("list_label"), F.coalesce(X.header(F.col("text"))["text"], F.lit("")).alias("header"))
+    rows = hits.select("doc_id", "para_idx", "match_count", "match_text", F.concat(F.lit("..."), before, F.lit(">>>"), "match_text", F.lit("<<<"), after, F.lit("...")).alias("context"), F.coalesce(X.label(F.col("text"), rules), F.lit("")).alias("list_label"), F.coalesce(X.header(F.col("text"))["text"], F.lit("")).alias("header"))
     totals = rows.agg(F.coalesce(F.sum("match_count"), F.lit(0)).alias("total_matches"), F.count("*").alias("paragraphs_with_matches"), F.lit(None).cast("string").alias("error"))
     if max_results is not None:
         rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("para_idx"))

@@ -31,7 +31,7 @@ FROM (SELECT *, regexp_extract(text, '{_RE}') AS m, length(regexp_split_to_array
       FROM {PARAGRAPHS} WHERE regexp_matches(text, '{_RE}'))
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) <= 100""")
 def grep_paragraphs(spark, sf_dir):
-    rows, _ = search.grep(corpus.paragraphs(spark, sf_dir), PATTERNS, whole_word=True)
+    rows, _ = search.grep(corpus.paragraphs(spark, sf_dir), PATTERNS, whole_word=True, rules=X.WHOLE_NUMBER_RULES)
     return rows.withColumn("match_count", F.col("match_count").cast("long"))
 
 

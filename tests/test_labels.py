@@ -21,3 +21,10 @@ def test_an_address_is_no_heading_of_plain_text(rows):
     assert told == {0: (None, -1), 1: ("1.2.", 0), 2: ("3)", 0), 3: ("7.", 0), 4: (None, -1), 5: ("(906)", 1)}
     by_rule = {r.para_idx: r.list_label for r in views.document_view(rows).collect()}
     assert by_rule[0] == "70.32.29."
+
+
+def test_an_address_is_no_label_of_a_hit(rows):
+    from quillwork.functions import text as X
+
+    found, _ = search.grep(rows, ["the"], whole_word=True, rules=X.WHOLE_NUMBER_RULES)
+    assert {r.para_idx: r.list_label for r in found.collect()} == {0: "", 1: "1.2.", 2: "3)", 4: "", 3: "7.", 5: "(906)"}
