@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from heapq import nsmallest
+from itertools import groupby
 from math import isqrt
+from operator import itemgetter
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,24 +27,23 @@ BLOCK_SIMILARITY = 0.5
 MOVE_SIMILARITY = 0.8
 MOVE_WORDS = 5
 SAME = 0.9999
-#: Cells of one alignment table; of a larger one only every so many rows are kept, and those between are made again.
-TABLE_CELLS = 4_000_000
+#: Cells of one alignment table, a bit each; of a larger one only every so many rows are kept, and those between are made again.
+TABLE_CELLS = 64_000_000
 
 
-def _ids(a: Sequence, b: Sequence) -> tuple[np.ndarray, np.ndarray]:
-    codes: dict = {}
-    return tuple(np.array([codes.setdefault(x, len(codes)) for x in s], np.int64) for s in (a, b))
+def _rows(a: Sequence, where: dict, width: int, first: int, every: int = 1) -> list[int]:
+    """Every so many rows of the table of lengths of common subsequences, from the row ``first`` that stands before ``a``.
 
-
-def _rows(a: np.ndarray, b: np.ndarray, first: np.ndarray, every: int = 1) -> np.ndarray:
-    """Every so many rows of the table of lengths of common subsequences, from the row ``first`` that stands before ``a``."""
-    kept, row = [first], first
+    A row is one whole number: bit j is 0 where the length grows from column j to the
+    next. ``where`` has the places of each item in the other sequence, as bits.
+    """
+    full, row, kept = (1 << width) - 1, first, [first]
     for i, x in enumerate(a, 1):
-        diagonal = np.where(b == x, row[:-1] + 1, 0)
-        row = np.concatenate([row[:1], np.maximum.accumulate(np.maximum(row[1:], diagonal))])
+        hits = row & where.get(x, 0)
+        row = ((row + hits) | (row - hits)) & full
         if i % every == 0:
             kept.append(row)
-    return np.stack(kept)
+    return kept
 
 
 def lcs(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
@@ -49,8 +51,8 @@ def lcs(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
 
     What both end with is matched first; so is what both start with as long as it
     stands once on either side, where no other match can be. Only the middle needs a
-    table. Its rows are numpy vectors. Walking back, a tie goes to the shorter ``b``. Of
-    a table over TABLE_CELLS, one row of a block is kept and the walk makes its block
+    table. Its rows are bits of whole numbers. Walking back, a tie goes to the shorter ``b``.
+    Of a table over TABLE_CELLS, one row of a block is kept and the walk makes its block
     again, so the pairs are the same at any size and the memory is that of 2 sqrt(n) rows.
     """
     n, m, tail, head = len(a), len(b), 0, 0
@@ -60,29 +62,32 @@ def lcs(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
         often = Counter(a[: n - tail]), Counter(b[: m - tail])
         while head < min(n, m) - tail and a[head] == b[head] and often[0][a[head]] == often[1][a[head]] == 1:
             head += 1
-    x, y = _ids(a[head : n - tail], b[head : m - tail])
-    middle = [(i + head, j + head) for i, j in _lcs(x, y)]
+    middle = [(i + head, j + head) for i, j in _lcs(a[head : n - tail], b[head : m - tail])]
     return [(i, i) for i in range(head)] + middle + [(n - k, m - k) for k in range(tail, 0, -1)]
 
 
-def _lcs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+def _lcs(x: Sequence, y: Sequence) -> list[tuple[int, int]]:
     n, m = len(x), len(y)
     if not n or not m:
         return []
+    where: dict = {}
+    for j, t in enumerate(y):
+        where[t] = where.get(t, 0) | 1 << j
     every = n if (n + 1) * (m + 1) <= TABLE_CELLS else isqrt(n)
-    kept = _rows(x, y, np.zeros(m + 1, np.int32), every) if every < n else np.zeros((1, m + 1), np.int32)
+    start = (1 << m) - 1
+    kept = _rows(x, where, m, start, every) if every < n else [start]
     out, i, j = [], n, m
     while i and j:
         base = (i - 1) // every * every
-        table = _rows(x[base:i], y[:j], kept[base // every, : j + 1])  # no column behind the walk is needed
+        table = _rows(x[base:i], where, m, kept[base // every])
         while i > base and j:
             if x[i - 1] == y[j - 1]:
                 i, j = i - 1, j - 1
                 out.append((i, j))
-            elif table[i - 1 - base, j] > table[i - base, j - 1]:
-                i -= 1
-            else:
+            elif table[i - base] >> (j - 1) & 1:  # no longer than without the last of y
                 j -= 1
+            else:
+                i -= 1
     return out[::-1]
 
 
@@ -94,23 +99,35 @@ def similarity(a: str, b: str) -> float:
 
 
 def greedy_pairs(left: Sequence[str], right: Sequence[str], least: float, reuse: bool = False) -> list[tuple[int, int, float]]:
-    """For each left text in order the most similar free right one, the first of equals, from ``least`` on.
+    """For each left text in order the most similar free right one, the first of equals, from ``least`` (over 0) on.
 
-    Right texts are looked up by the words they share; a text that shares none has similarity 0.
+    Two sets of words that agree so far share one of the rarest (1 - least) * n + 1 words
+    of each, so right texts are looked up by these.
     """
-    index: dict[str, set[int]] = {}
-    for j, t in enumerate(right):
-        for w in t.split():
-            index.setdefault(w, set()).add(j)
-    blank = [j for j, t in enumerate(right) if not t.split()]
+    if not left or not right or least > 1:
+        return []
+    mine, theirs = [frozenset(t.split()) for t in left], [frozenset(t.split()) for t in right]
+    often = Counter(w for ws in (*mine, *theirs) for w in ws)
+    rare = lambda ws: nsmallest(int(len(ws) * (1 - least) + 1e-9) + 1, ws, key=lambda w: (often[w], w)) if ws else [None]
+    index: dict[str | None, list[int]] = {}
+    for j, ws in enumerate(theirs):
+        for w in rare(ws):
+            index.setdefault(w, []).append(j)
     free, out = set(range(len(right))), []
-    for i, t in enumerate(left):
-        near = set().union(*(index.get(w, ()) for w in t.split())) if t.split() else set(blank)
-        best = max(((similarity(t, right[j]), -j) for j in near & free), default=(0.0, 0))
-        if near & free and best[0] >= least:
-            out.append((i, -best[1], best[0]))
+    for i, ws in enumerate(mine):
+        best, at, size = 0.0, -1, len(ws)
+        for j in sorted({j for w in rare(ws) for j in index.get(w, ())} & free):
+            other = len(theirs[j])
+            if min(size, other) + 1e-9 < max(size, other) * least:
+                continue
+            shared = len(ws & theirs[j])
+            score = shared / (size + other - shared) if ws else 1.0
+            if score > best:
+                best, at = score, j
+        if at >= 0 and best >= least:
+            out.append((i, at, best))
             if not reuse:
-                free.discard(-best[1])
+                free.discard(at)
     return out
 
 
@@ -156,7 +173,11 @@ def compare_texts(original: Sequence[str], revised: Sequence[str], least: float
             continue
         i = back[j]
         deleted(i)
-        x, y = tokenise(original[i]), tokenise(text)
+        x = tokenise(original[i])
+        if original[i] == text:
+            out.extend(("Equal", i, j, t) for t in x or [""])
+            continue
+        y = tokenise(text)
         p = q = 0
         for s, t in [*lcs(x, y), (len(x), len(y))]:
             out.extend(("Deleted", i, j, w) for w in x[p:s])
@@ -164,37 +185,122 @@ def compare_texts(original: Sequence[str], revised: Sequence[str], least: float
             if s < len(x):
                 out.append(("Equal", i, j, x[s]))
             p, q = s + 1, t + 1
-        if not x and not y:
-            out.append(("Equal", i, j, ""))
     deleted(len(original))
     return out
 
 
 ATOMS = "pair_id long, atom_idx long, status string, orig_para int, rev_para int, text string"
+#: All statuses of a comparison, for ``joined``.
+STATUSES = ("Equal", "Deleted", "Inserted")
+#: Rows of one batch that goes back from a kernel, and the types of its columns.
+BATCH_ROWS = 50_000
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
+
+def _stretches(atoms: list[tuple[str, int, int, str]], joined: Sequence[str] = STATUSES) -> list[tuple[int, str, int, int, str, int]]:
+    """(atom_idx, status, original paragraph, revised paragraph, text, tokens): neighbours of one of these statuses and of one pair of paragraphs as one."""
+    out, n = [], 0
+    for (status, i, j), same in groupby(atoms, itemgetter(0, 1, 2)):
+        texts = [t for *_, t in same]
+        if status in joined:
+            out.append((n, status, i, j, "".join(texts), len(texts)))
+        else:
+            out.extend((n + k, status, i, j, t, 1) for k, t in enumerate(texts))
+        n += len(texts)
+    return out
 
 
-def compare_pairs(pairs: DataFrame, least: float = PARAGRAPH_SIMILARITY) -> DataFrame:
-    """Atoms of each pair (pair_id, original array<string>, revised array<string>); pairs run apart.
+def _each_pair(pairs: DataFrame, rows_of: Callable[[list[str], list[str]], list[tuple]], schema: str) -> DataFrame:
+    """What a function of both sides tells of each pair, one after another; ``schema`` begins with the pair's id.
 
-    The alignment of a pair is dynamic programming, so a pair is one row of a Python
-    kernel; its memory is bounded by the kernel's table. Few bytes can be much work, so
-    pairs are spread over all cores by number, not by size. A null side is a document
-    without paragraphs, a null paragraph an empty one.
+    Few bytes can be much work, so pairs are spread over all cores by number, not by size.
+    A null side is a document without paragraphs, a null paragraph an empty one. Rows go
+    back in batches over pairs.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                sides = ([t or "" for t in (() if x is None else x)] for x in (r.original, r.revised))
-                atoms = compare_texts(*sides, least)
-                out = pd.DataFrame(atoms, columns=["status", "orig_para", "rev_para", "text"])
-                out.insert(0, "pair_id", r.pair_id)
-                out.insert(1, "atom_idx", range(len(out)))
-                yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+        rows: list[tuple] = []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), fields.types)], schema=fields)
+        for batch in batches:
+            for pair, *sides in zip(*batch.columns):
+                pair = pair.as_py()
+                rows += [(pair, *r) for r in rows_of(*([t or "" for t in side.as_py() or ()] for side in sides))]
+                if len(rows) >= BATCH_ROWS:
+                    yield made()
+                    rows = []
+        if rows:
+            yield made()
 
     spark = pairs.sparkSession
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return pairs.select("pair_id", "original", "revised").repartition(tasks, "pair_id").mapInPandas(run, ATOMS)
+    return pairs.select(F.col("pair_id").cast("long").alias("pair_id"), "original", "revised").repartition(tasks, "pair_id").mapInArrow(run, schema)
+
+
+def compare_pairs(pairs: DataFrame, least: float = PARAGRAPH_SIMILARITY, joined: Sequence[str] = ()) -> DataFrame:
+    """Atoms of each pair (pair_id, original array<string>, revised array<string>); pairs run apart.
+
+    The alignment of a pair is dynamic programming, so a pair is one row of a Python
+    kernel; its memory is bounded by the kernel's table. Neighbours of the statuses in
+    ``joined`` that are of one pair of paragraphs are one row, with the number of the
+    first and how many they are as ``tokens``: what reads texts and not words needs no more.
+    """
+    if joined:
+        return _each_pair(pairs, lambda a, b: _stretches(compare_texts(a, b, least), joined), f"{ATOMS}, tokens int")
+    return _each_pair(pairs, lambda a, b: [(n, *r) for n, r in enumerate(compare_texts(a, b, least))], ATOMS)
+
+
+#: Words as ``X.word_count`` counts them.
+_WORD = re.compile("[^ \t\n\x0b\f\r\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
+
+
+def _moved(rows: list[tuple], least: float, least_words: int) -> tuple[list[int | None], list[tuple[int, int, int, float]]]:
+    """The moves of one pair's stretches, as ``moves`` has them, and for each stretch the number of its block (None: equal)."""
+    blocks: list[tuple[int, str, list[str]]] = []
+    own: list[int | None] = [None] * len(rows)
+    n, last = 0, None
+    for other in ("Inserted", "Deleted"):
+        for k, (_, status, _, _, text, _) in enumerate(rows):
+            if status == other:
+                continue
+            if status != last:
+                n, last = n + 1, status
+                if status != "Equal":
+                    blocks.append((n, status, []))
+            if status != "Equal":
+                blocks[-1][2].append(text)
+                own[k] = n
+    texts = [(n, status, "".join(t)) for n, status, t in blocks]
+    big = [b for b in texts if len(_WORD.findall(b[2])) >= least_words]
+    gone, new = ([(n, t) for n, s, t in big if s == status] for status in ("Deleted", "Inserted"))
+    found = greedy_pairs([t.lower() for _, t in gone], [t.lower() for _, t in new], least)
+    return own, [(k, gone[i][0], new[j][0], s) for k, (i, j, s) in enumerate(found, 1)]
+
+
+def pair_moves(pairs: DataFrame, least: float = MOVE_SIMILARITY, least_words: int = MOVE_WORDS) -> DataFrame:
+    """``moves`` of the comparison of each pair (pair_id, original, revised), told where it is compared: no atom leaves its task."""
+
+    def rows_of(a: list[str], b: list[str]) -> list[tuple]:
+        found = _moved(_stretches(compare_texts(a, b)), least, least_words)[1]
+        return [(k, f"move{k}", i, j, s) for k, i, j, s in found]
+
+    return _each_pair(pairs, rows_of, MOVES)
+
+
+def compare_with_moves(pairs: DataFrame, least: float = MOVE_SIMILARITY, least_words: int = MOVE_WORDS) -> DataFrame:
+    """``with_moves`` of the comparison of each pair (pair_id, original, revised), neighbours joined as by ``compare_pairs``."""
+
+    def rows_of(a: list[str], b: list[str]) -> list[tuple]:
+        rows = _stretches(compare_texts(a, b))
+        own, found = _moved(rows, least, least_words)
+        to = {i: ("MovedSource", k) for k, i, _, _ in found} | {j: ("MovedDestination", k) for k, _, j, _ in found}
+        out = []
+        for (n, status, i, j, text, tokens), block in zip(rows, own):
+            status, group = to.get(block, (status, None))
+            out.append((n, status, i, j, text, tokens, group))
+        return out
+
+    return _each_pair(pairs, rows_of, f"{ATOMS}, tokens int, move_group int")
 
 
 def unified_index(atoms: DataFrame) -> DataFrame:
@@ -207,18 +313,18 @@ def unified_index(atoms: DataFrame) -> DataFrame:
 PASSES = (0.25, 0.35, 0.5, 0.75)
 
 
-def compare_documents(pairs: DataFrame, passes: Sequence[float] = PASSES) -> tuple[DataFrame, DataFrame]:
+def compare_documents(pairs: DataFrame, passes: Sequence[float] = PASSES, joined: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(atoms, report) of pairs (pair_id, original, revised): each pair by the first pass that survives the round trip.
 
     A pass is safe for a pair if accepting all its changes gives the revision and
     rejecting all gives the original. Pairs that no pass is safe for are rebuilt: all
     their old paragraphs are deleted and the new ones inserted. The report has pair_id,
-    mode (aligned or rebuilt) and the number of the pass, from 1.
+    mode (aligned or rebuilt) and the number of the pass, from 1. ``joined`` is that of ``compare_pairs``.
     """
     todo, kept, told = pairs.select("pair_id", "original", "revised"), [], []
     for n, least in enumerate((*passes, 2.0), 1):
         rebuilt = n > len(passes)
-        atoms = settled(compare_pairs(todo, least))
+        atoms = settled(compare_pairs(todo, least, joined))
         ok = round_trip(atoms, todo).where(F.lit(rebuilt) | (F.col("accepts") & F.col("rejects"))).select("pair_id")
         ok = settled(ok)
         kept.append(atoms.join(ok, "pair_id", "left_semi"))
@@ -246,12 +352,14 @@ def blocks(atoms: DataFrame) -> DataFrame:
     return out.withColumn("words", X.word_count(F.col("text")))
 
 
+MOVES = "pair_id long, move_group int, move_name string, source_block long, target_block long, similarity double"
+
+
 def moves(atoms: DataFrame, least: float = MOVE_SIMILARITY, least_words: int = MOVE_WORDS) -> DataFrame:
     """(pair_id, move_group, move_name, source_block, target_block, similarity): deleted blocks found again.
 
     Deleted blocks in order take the most similar inserted block that is free.
     """
-    schema = "pair_id long, move_group int, move_name string, source_block long, target_block long, similarity double"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -264,7 +372,7 @@ def moves(atoms: DataFrame, least: float = MOVE_SIMILARITY, least_words: int = M
             yield pd.DataFrame(out, columns=["pair_id", "move_group", "move_name", "source_block", "target_block", "similarity"])
 
     rows = blocks(atoms).where(F.col("words") >= least_words)
-    return rows.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("block", "status", "text"))).alias("blocks")).mapInPandas(run, schema)
+    return rows.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("block", "status", "text"))).alias("blocks")).mapInPandas(run, MOVES)
 
 
 def with_moves(atoms: DataFrame, found: DataFrame) -> DataFrame:
@@ -353,19 +461,8 @@ def paragraph_operations(original: Sequence[str], revised: Sequence[str], least:
 
 def compare_paragraphs(pairs: DataFrame, least: float = BLOCK_SIMILARITY) -> DataFrame:
     """(pair_id, place, op, orig_para, rev_para) of each pair (pair_id, original, revised): what was done to each paragraph, in order."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                sides = ([t or "" for t in (() if x is None else x)] for x in (r.original, r.revised))
-                out = pd.DataFrame(paragraph_operations(*sides, least), columns=["op", "orig_para", "rev_para"])
-                out.insert(0, "pair_id", r.pair_id)
-                out.insert(1, "place", range(len(out)))
-                yield out
-
-    spark = pairs.sparkSession
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return pairs.select("pair_id", "original", "revised").repartition(tasks, "pair_id").mapInPandas(run, "pair_id long, place int, op string, orig_para int, rev_para int")
+    schema = "pair_id long, place int, op string, orig_para int, rev_para int"
+    return _each_pair(pairs, lambda a, b: [(n, *r) for n, r in enumerate(paragraph_operations(a, b, least))], schema)
 
 
 def paragraph_changes(pairs: DataFrame, least: float = BLOCK_SIMILARITY) -> DataFrame:

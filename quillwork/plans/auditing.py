@@ -213,19 +213,19 @@ def paragraph_changes(spark, sf_dir):
 
 @query("compared_documents", f"WITH {comparing._PAIRS} SELECT pair_id, 'aligned' AS mode, CAST(1 AS INTEGER) AS pass FROM pairs")
 def compared_documents(spark, sf_dir):
-    return G.compare_documents(comparing.pairs(spark, sf_dir))[1]
+    return G.compare_documents(comparing.pairs(spark, sf_dir), joined=G.STATUSES)[1]
 
 
 @query("unified_paragraphs")
 def unified_paragraphs(spark, sf_dir):
     """The place of each paragraph of a comparison in the merged output."""
-    return G.unified_index(G.compare_pairs(comparing.pairs(spark, sf_dir))).select("pair_id", "orig_para", "rev_para", "para_idx").distinct()
+    return G.unified_index(G.compare_pairs(comparing.pairs(spark, sf_dir), joined=G.STATUSES)).select("pair_id", "orig_para", "rev_para", "para_idx").distinct()
 
 
 @query("saved_variants", f"""WITH {comparing._PAIRS} SELECT CAST(pair_id AS VARCHAR) AS doc_id, sha1(text) AS clean, TRUE AS tracked_accepts FROM pairs JOIN documents ON doc_id = pair_id""")
 def saved_variants(spark, sf_dir):
     """The clean archive of each comparison read back, and whether the tracked one, accepted, holds the same words."""
-    files = A.variants(G.compare_pairs(comparing.pairs(spark, sf_dir)), "reviewer", "2020-01-01T00:00:00Z")
+    files = A.variants(G.compare_pairs(comparing.pairs(spark, sf_dir), joined=G.STATUSES), "reviewer", "2020-01-01T00:00:00Z")
     clean = A.document_text(A.paragraphs(A.entries(files.where("variant = 'clean'")))).select("doc_id", F.col("text").alias("clean"))
     runs = A.runs(A.entries(files.where("variant = 'tracked'"))).where("coalesce(rev_tag, '') <> 'del'")
     tracked = runs.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "run_idx", "text"))), lambda x: x["text"]), "").alias("t"))

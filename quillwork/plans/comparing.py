@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..lineage import settled
 from ..operators import alignment as G
 from ..operators import edits as E
 from ..operators import groups
@@ -37,8 +36,8 @@ def document_pairs(spark, sf_dir):
 
 @query("token_lcs")
 def token_lcs(spark, sf_dir):
-    atoms = G.compare_pairs(pairs(spark, sf_dir))
-    return atoms.where("status = 'Equal'").groupBy("pair_id").agg(F.count("*").alias("matches"))
+    atoms = G.compare_pairs(pairs(spark, sf_dir), joined=G.STATUSES)
+    return atoms.where("status = 'Equal'").groupBy("pair_id").agg(F.sum("tokens").alias("matches"))
 
 
 @query("hierarchical_diff_stats")
@@ -50,23 +49,23 @@ def hierarchical_diff_stats(spark, sf_dir):
 @query("round_trip_ok", f"WITH {_PAIRS} SELECT pair_id, TRUE AS accepts, TRUE AS rejects FROM pairs")
 def round_trip_ok(spark, sf_dir):
     rows = pairs(spark, sf_dir)
-    return G.round_trip(G.compare_pairs(rows), rows)
+    return G.round_trip(G.compare_pairs(rows, joined=G.STATUSES), rows)
 
 
 @query("accepted_text", f"WITH {_PAIRS} SELECT pair_id, sha1(text) AS hash FROM pairs JOIN documents ON doc_id = pair_id")
 def accepted_text(spark, sf_dir):
-    return G.side_text(E.accept_all(G.compare_pairs(pairs(spark, sf_dir))), True).select("pair_id", F.sha1("text").alias("hash"))
+    return G.side_text(E.accept_all(G.compare_pairs(pairs(spark, sf_dir), joined=G.STATUSES)), True).select("pair_id", F.sha1("text").alias("hash"))
 
 
 @query("rejected_text", f"WITH {_PAIRS} SELECT pair_id, sha1(text) AS hash FROM pairs JOIN documents ON doc_id = original_id")
 def rejected_text(spark, sf_dir):
-    return G.side_text(E.reject_all(G.compare_pairs(pairs(spark, sf_dir))), False).select("pair_id", F.sha1("text").alias("hash"))
+    return G.side_text(E.reject_all(G.compare_pairs(pairs(spark, sf_dir), joined=G.STATUSES)), False).select("pair_id", F.sha1("text").alias("hash"))
 
 
 @query("self_compare", "SELECT doc_id AS pair_id, CAST(0 AS BIGINT) AS changes FROM documents")
 def self_compare(spark, sf_dir):
     lines = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.split("text", "\n").alias("original")).withColumn("revised", F.col("original"))
-    return G.compare_pairs(lines).groupBy("pair_id").agg(F.count_if(F.col("status") != "Equal").alias("changes"))
+    return G.compare_pairs(lines, joined=G.STATUSES).groupBy("pair_id").agg(F.sum(F.when(F.col("status") != "Equal", F.col("tokens")).otherwise(0)).alias("changes"))
 
 
 def _moved(spark, sf_dir) -> DataFrame:
@@ -83,20 +82,19 @@ def _moved(spark, sf_dir) -> DataFrame:
 
 @query("moves")
 def moves(spark, sf_dir):
-    return G.move_ids(G.moves(G.compare_pairs(_moved(spark, sf_dir))))
+    return G.move_ids(G.pair_moves(_moved(spark, sf_dir)))
 
 
 @query("moved_atoms")
 def moved_atoms(spark, sf_dir):
-    atoms = settled(G.compare_pairs(_moved(spark, sf_dir)))  # used for blocks, moves and the atoms themselves
-    return G.with_moves(atoms, G.moves(atoms)).groupBy("pair_id", "status").agg(F.count("*").alias("n"))
+    return G.compare_with_moves(_moved(spark, sf_dir)).groupBy("pair_id", "status").agg(F.sum("tokens").alias("n"))
 
 
 @query("revision_extract")
 def revision_extract(spark, sf_dir):
     from ..operators.paging import revision_page
 
-    found = G.revisions(G.compare_pairs(pairs(spark, sf_dir)))
+    found = G.revisions(G.compare_pairs(pairs(spark, sf_dir), joined=("Equal",)))
     return revision_page(found, 0, 50, "pair_id", "para_key").select("pair_id", "para_key", "kind", "before", "after", "entries")
 
 
@@ -166,7 +164,7 @@ def similar_documents(spark, sf_dir):
 def tracked_markup(spark, sf_dir):
     """The markup of each comparison, parsed again: what it keeps when accepted is the revision."""
     rows = pairs(spark, sf_dir)
-    atoms = G.compare_pairs(rows).select(F.col("pair_id").cast("string").alias("doc_id"), F.coalesce(F.nullif("rev_para", F.lit(-1)), F.lit(-1) - F.col("orig_para")).alias("para_idx"), "atom_idx", "status", "text")
+    atoms = G.compare_pairs(rows, joined=G.STATUSES).select(F.col("pair_id").cast("string").alias("doc_id"), F.coalesce(F.nullif("rev_para", F.lit(-1)), F.lit(-1) - F.col("orig_para")).alias("para_idx"), "atom_idx", "status", "text")
     files = A.tracked_xml(atoms, "reviewer", "2020-01-01T00:00:00Z")
     runs = A.runs(files).where("coalesce(rev_tag, '') <> 'del'")
     texts = runs.groupBy("doc_id", "para_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_idx", "text"))), lambda x: x["text"]), "").alias("t"))
