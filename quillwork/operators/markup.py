@@ -8,10 +8,13 @@ events that stay, put together in order: every byte that is not touched stays as
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..lineage import settled
@@ -39,22 +42,44 @@ def events(parts: DataFrame) -> DataFrame:
     (its own place for an empty one), ``parent`` that of the tag around. The raw strings
     of a part put together in order are its text.
     """
-    rows = parts.select(*KEY, F.posexplode(F.regexp_extract_all("text", F.lit(_TOKEN), 0)).alias("pos", "raw"))
-    tag = F.regexp_extract("raw", r"^</?([^\s<>/!?]+)", 1)
-    kind = F.when(F.startswith("raw", F.lit("</")), "close").when(tag != "", F.when(F.endswith("raw", F.lit("/>")), "empty").otherwise("open")).when(F.startswith("raw", F.lit("<!--")) | F.startswith("raw", F.lit("<?")), "other").otherwise("text")
-    rows = rows.withColumns({"kind": kind, "tag": F.when(tag != "", tag)})
-    by = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    level = F.sum(F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)).over(by)
-    rows = rows.withColumn("depth", (level + F.when(F.col("kind") == "open", 0).otherwise(1)).cast("int"))
-    paired = F.col("kind").isin("open", "close")
-    after = F.lead("pos").over(Window.partitionBy(*KEY, "depth", paired).orderBy("pos"))
-    rows = rows.withColumn("close", F.when(F.col("kind") == "open", after).when(F.col("kind") == "empty", F.col("pos")))
-    # children meet the tags one level up: the last of those before a child is its parent
-    both = F.array(F.struct((F.col("depth") - 1).alias("level"), F.lit(None).cast("int").alias("opened")), F.struct(F.col("depth").alias("level"), F.col("pos").alias("opened")))
-    rows = rows.withColumn("two", F.explode(F.when(F.col("kind") == "open", both).otherwise(F.slice(both, 1, 1))))
-    up = Window.partitionBy(*KEY, "two.level").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("parent", F.last("two.opened", True).over(up)).where("two.opened is null")
-    return rows.drop("two")
+    spark = parts.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # parts are dealt out whole: they are smaller than their events, and what follows finds the events of a part together
+    rows = parts.select(*KEY, "text").repartition(tasks, *KEY)
+    rows = rows.select(*KEY, F.regexp_extract_all("text", F.lit(_TOKEN), 0).alias("raws"))
+    rows = rows.withColumn("nested", _nested("raws"))
+    return rows.select(*KEY, F.posexplode(F.arrays_zip("raws", "nested")).alias("pos", "x")).select(*KEY, "pos", F.col("x.raws").alias("raw"), "x.nested.*")
+
+
+_PLACES = T.StructType([T.StructField("kind", T.StringType()), T.StructField("tag", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("depth", "close", "parent")]])
+_TAG = re.compile("</?([^ \t\n\x0b\f\r<>/!?]+)")
+
+
+@F.arrow_udf(T.ArrayType(_PLACES))
+def _nested(raws: pa.Array) -> pa.Array:
+    """Kind, tag, depth, close and parent of the tags and texts of each part, in one walk that knows what is open at each depth."""
+    kinds, tags, depths, closes, parents, bounds = [], [], [], [], [], [0]
+    for part in raws:
+        level, opened, waiting, first = 0, {}, {}, len(kinds)
+        for pos, raw in enumerate(part.as_py() or ()):
+            found = _TAG.match(raw) if raw[0] == "<" else None
+            kind = "close" if raw.startswith("</") else ("empty" if raw.endswith("/>") else "open") if found else "other" if raw.startswith(("<!--", "<?")) else "text"
+            level += (kind == "open") - (kind == "close")
+            depth = level + (kind != "open")
+            kinds.append(kind)
+            tags.append(found[1] if found else None)
+            depths.append(depth)
+            closes.append(pos if kind == "empty" else None)
+            parents.append(opened.get(depth - 1))
+            if kind == "open" or kind == "close":
+                before = waiting.pop(depth, None)
+                if before is not None:
+                    closes[first + before] = pos
+                if kind == "open":
+                    waiting[depth] = opened[depth] = pos
+        bounds.append(len(kinds))
+    rows = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(tags, pa.string()), *[pa.array(c, pa.int32()) for c in (depths, closes, parents)]], names=_PLACES.names)
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows)
 
 
 def joined(rows: DataFrame) -> DataFrame:
