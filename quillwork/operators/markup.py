@@ -9,7 +9,7 @@ events that stay, put together in order: every byte that is not touched stays as
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,7 +33,7 @@ STATUS_OF = {"w:ins": "Inserted", "w:del": "Deleted", "w:moveFrom": "MovedSource
 BOOKMARKS = ("w:bookmarkStart", "w:bookmarkEnd")
 
 
-def events(parts: DataFrame) -> DataFrame:
+def events(parts: DataFrame, told: bool = False) -> DataFrame:
     """(doc_id, part_uri, pos, raw, kind, tag, depth, close, parent) of parts (doc_id, part_uri, text).
 
     ``kind`` is open, close, empty, text or other (comments and instructions); ``tag`` the
@@ -41,45 +41,105 @@ def events(parts: DataFrame) -> DataFrame:
     siblings' having one depth; ``close`` is the place of the end tag of an opened element
     (its own place for an empty one), ``parent`` that of the tag around. The raw strings
     of a part put together in order are its text.
+
+    With ``told``, also ``about``, what an element holds (on both its tags, as bits), and
+    ``body``, the place behind an element's leading paragraph properties, else its own.
     """
     spark = parts.sparkSession
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # parts are dealt out whole: they are smaller than their events, and what follows finds the events of a part together
-    rows = parts.select(*KEY, "text").repartition(tasks, *KEY)
-    rows = rows.select(*KEY, F.regexp_extract_all("text", F.lit(_TOKEN), 0).alias("raws"))
-    rows = rows.withColumn("nested", _nested("raws"))
-    return rows.select(*KEY, F.posexplode(F.arrays_zip("raws", "nested")).alias("pos", "x")).select(*KEY, "pos", F.col("x.raws").alias("raw"), "x.nested.*")
-
-
-_PLACES = T.StructType([T.StructField("kind", T.StringType()), T.StructField("tag", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("depth", "close", "parent")]])
-_TAG = re.compile("</?([^ \t\n\x0b\f\r<>/!?]+)")
-
-
-@F.arrow_udf(T.ArrayType(_PLACES))
-def _nested(raws: pa.Array) -> pa.Array:
-    """Kind, tag, depth, close and parent of the tags and texts of each part, in one walk that knows what is open at each depth."""
-    kinds, tags, depths, closes, parents, bounds = [], [], [], [], [], [0]
-    for part in raws:
-        level, opened, waiting, first = 0, {}, {}, len(kinds)
-        for pos, raw in enumerate(part.as_py() or ()):
-            found = _TAG.match(raw) if raw[0] == "<" else None
-            kind = "close" if raw.startswith("</") else ("empty" if raw.endswith("/>") else "open") if found else "other" if raw.startswith(("<!--", "<?")) else "text"
-            level += (kind == "open") - (kind == "close")
-            depth = level + (kind != "open")
-            kinds.append(kind)
-            tags.append(found[1] if found else None)
-            depths.append(depth)
-            closes.append(pos if kind == "empty" else None)
-            parents.append(opened.get(depth - 1))
-            if kind == "open" or kind == "close":
-                before = waiting.pop(depth, None)
-                if before is not None:
-                    closes[first + before] = pos
-                if kind == "open":
-                    waiting[depth] = opened[depth] = pos
-        bounds.append(len(kinds))
-    rows = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(tags, pa.string()), *[pa.array(c, pa.int32()) for c in (depths, closes, parents)]], names=_PLACES.names)
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows)
+    kinds = {f.name: f.dataType for f in parts.schema.fields}
+    walked = T.StructType([*[T.StructField(c, kinds[c]) for c in (*KEY, "text")], *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in _PLACES]])
+    rows = parts.select(*KEY, "text").mapInArrow(_walked, walked)
+    # parts are dealt out whole and once, with their places as small numbers: they are smaller than their events, and what follows
+    # finds the events of a part together; by document alone, as a name that all parts share would be folded and the dealing forgotten
+    rows = rows.repartition(tasks, "doc_id").withColumn("raws", F.regexp_extract_all("text", F.lit(_TOKEN), 0))
+    rows = rows.select(*KEY, F.posexplode(F.arrays_zip("raws", *_PLACES)).alias("pos", "x"))
+    near = lambda c: F.col("pos") + F.col(f"x.{c}")
+    told_of = (F.col("x.about"), near("body").alias("body")) if told else ()
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), F.col("x.kind") + 1)
+    tag = F.when(F.col("x.kind") < 3, F.regexp_extract("x.raws", _TAG, 1))
+    return rows.select(*KEY, "pos", F.col("x.raws").alias("raw"), kind.alias("kind"), tag.alias("tag"), "x.depth", near("close").alias("close"), near("parent").alias("parent"), *told_of)
+
+
+#: What the walk tells of each event; places are counted from its own.
+_PLACES = ("kind", "depth", "close", "parent", "about", "body")
+_KINDS = ("open", "close", "empty", "text", "other")
+_OPEN, _CLOSE, _EMPTY, _TEXT, _OTHER = range(5)
+_TAG = r"^</?([^ \t\n\x0b\f\r<>/!?]+)"
+
+#: What is told of an element by the bits of ``about``: children that delete or insert, others of w: that are or hold runs, a record
+#: of changes; a deleted or inserted mark of its paragraph; that it is the first record around or, in one, the first of what was; that it ends here.
+HOLDS_DELETED, HOLDS_INSERTED, HOLDS_RUN, HOLDS_RECORD, MARK_DELETED, MARK_INSERTED, FIRST_RECORD, HAS_FORMER, IS_FORMER, ENDS = (1 << k for k in range(10))
+_CHILD = dict.fromkeys(DELETED, HOLDS_DELETED) | dict.fromkeys(INSERTED, HOLDS_INSERTED) | dict.fromkeys(CHANGES, HOLDS_RECORD)
+_MARK = {"w:del": MARK_DELETED, "w:ins": MARK_INSERTED}
+_NO_RUN = {"w:pPr", *RANGES, *DELETED, *INSERTED}
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts with the places of their tags and texts, a few parts at a time."""
+    tokens, tag_of = re.compile(_TOKEN, re.ASCII), re.compile(_TAG)
+    for batch in batches:
+        start = 0
+        while start < batch.num_rows:
+            found: list[list] = [[] for _ in _PLACES]
+            bounds, stop = [0], start
+            while stop < batch.num_rows and bounds[-1] < 50_000:
+                _places(tokens.finditer(batch.column(2)[stop].as_py() or ""), tag_of, found)
+                bounds.append(len(found[0]))
+                stop += 1
+            lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(c, pa.int32())) for c in found]
+            yield pa.RecordBatch.from_arrays([*batch.slice(start, stop - start).columns, *lists], names=[*batch.schema.names, *_PLACES])
+            start = stop
+
+
+def _places(tokens: Iterator[re.Match], tag_of: re.Pattern, found: list[list]) -> None:
+    """Adds kind, depth, close, parent, about and body of the tags and texts of a part, in one walk that knows what is open at each depth."""
+    kinds, depths, closes, parents, about, body = found
+    level, opened, waiting, first, runs, before_runs, tags = 0, {}, {}, len(kinds), 0, {}, []
+    for pos, token in enumerate(tokens):
+        raw = token[0]
+        named = tag_of.match(raw) if raw[0] == "<" else None
+        kind = _CLOSE if raw.startswith("</") else (_EMPTY if raw.endswith("/>") else _OPEN) if named else _OTHER if raw.startswith(("<!--", "<?")) else _TEXT
+        level += (kind == _OPEN) - (kind == _CLOSE)
+        depth = level + (kind != _OPEN)
+        tag, parent, own = named[1] if named else None, opened.get(depth - 1), 0
+        if parent is not None and (kind == _OPEN or kind == _EMPTY):
+            up, around = first + parent, tags[parent]
+            bit = _CHILD.get(tag, 0)
+            if bit == HOLDS_RECORD and not about[up] & HOLDS_RECORD:
+                own |= FIRST_RECORD
+            if about[up] & FIRST_RECORD and not about[up] & HAS_FORMER and tag == around.replace("Change", ""):
+                own |= IS_FORMER
+                bit |= HAS_FORMER
+            about[up] |= bit | (HOLDS_RUN if tag == "w:r" else 0)
+            if tag in _MARK and around == "w:rPr" and parents[up] is not None:
+                props = parent + parents[up]
+                if tags[props] == "w:pPr" and parents[first + props] is not None:
+                    about[first + props + parents[first + props]] |= _MARK[tag]
+            if tag == "w:pPr" and kind == _EMPTY and pos == parent + 1:
+                body[up] = 1
+        runs += tag == "w:r" and kind != _CLOSE
+        kinds.append(kind)
+        tags.append(tag)
+        depths.append(depth)
+        closes.append(0 if kind == _EMPTY else None)
+        parents.append(None if parent is None else parent - pos)
+        body.append(0)
+        if kind == _OPEN or kind == _CLOSE:
+            before = waiting.pop(depth, None)
+            if before is not None:
+                start = first + before
+                closes[start], own = pos - before, about[start] | ENDS
+                if parents[start] is not None:
+                    outer = before + parents[start]
+                    if runs > before_runs[before] and tags[before].startswith("w:") and tags[before] not in _NO_RUN:
+                        about[first + outer] |= HOLDS_RUN
+                    if tags[before] == "w:pPr" and before == outer + 1:
+                        body[first + outer] = pos - outer
+            if kind == _OPEN:
+                waiting[depth] = opened[depth] = pos
+                before_runs[pos] = runs
+        about.append(own)
 
 
 def joined(rows: DataFrame) -> DataFrame:
@@ -105,40 +165,42 @@ def within(rows: DataFrame, spans: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, on - off).drop("w_on", "w_off")
 
 
-def _parents(rows: DataFrame, of: DataFrame, *names: str) -> DataFrame:
-    """``of`` with the tag and parent of its parent as ``names``."""
-    up = rows.where("kind = 'open'").select(*KEY, F.col("pos").alias("parent"), F.col("tag").alias(names[0]), F.col("parent").alias(names[1]))
-    return of.join(up, [*KEY, "parent"])
+def _has(bit: int) -> Column:
+    return F.col("about").bitwiseAND(F.lit(bit)) != 0
+
+
+def _starts() -> Column:
+    return F.col("kind").isin("open", "empty")
 
 
-def doomed_paragraphs(rows: DataFrame, gone: Sequence[str], stays: Sequence[str]) -> DataFrame:
-    """(doc_id, part_uri, pos, close) of the paragraphs that go with what is ``gone``.
+def _doomed(gone: Sequence[str]) -> Column:
+    """Whether a paragraph (told on both its tags) goes with what is ``gone``.
 
     Those are paragraphs whose own mark is of the kind that goes (w:del or w:ins), and
     those of which only wrappers that go have runs, if they have such a wrapper and none
-    that ``stays``.
+    that stays.
+    """
+    mark, some, others = (MARK_DELETED, HOLDS_DELETED, HOLDS_INSERTED) if gone == DELETED else (MARK_INSERTED, HOLDS_INSERTED, HOLDS_DELETED)
+    return F.coalesce(F.col("tag") == "w:p", F.lit(False)) & (_has(mark) | (_has(some) & ~_has(others | HOLDS_RUN)))
+
+
+def _left(rows: DataFrame, weight: Column, gone: Sequence[str]) -> DataFrame:
+    """Adds ``inside``: by how much the elements that an event lies in weigh, its own bounds included, by running sums over each part.
+
+    Elements of the kinds that are gone and marks of moved ranges weigh 1 each, besides
+    their ``weight``. What is told of an element stands on both its tags, so no bound is joined.
     """
-    w = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    elements = rows.withColumn("runs", F.sum(F.when((F.col("tag") == "w:r") & (F.col("kind") != "close"), 1).otherwise(0)).over(w))
-    level = Window.partitionBy(*KEY, "depth", F.col("kind").isin("open", "close")).orderBy("pos")
-    elements = elements.withColumn("has_run", (F.col("kind") == "open") & (F.lead("runs").over(level) > F.col("runs"))).where(F.col("kind").isin("open", "empty"))
-    marks = _parents(rows, elements.where(F.col("tag") == gone[0]).select(*KEY, "parent"), "t1", "p1").where("t1 = 'w:rPr'").select(*KEY, F.col("p1").alias("parent"))
-    marks = _parents(rows, marks, "t2", "p2").where("t2 = 'w:pPr'").select(*KEY, F.col("p2").alias("pos"))
-    t = F.col("tag")
-    skipped = t.isin("w:pPr", *RANGES, *gone)
-    children = elements.where(t.startswith("w:")).groupBy(*KEY, F.col("parent").alias("pos")).agg(
-        F.bool_or(t.isin(*stays) | (~skipped & ((t == "w:r") | F.col("has_run")))).alias("live"), F.bool_or(t.isin(*gone)).alias("some"))
-    paragraphs = rows.where("tag = 'w:p' and kind in ('open', 'empty')").select(*KEY, "pos", "close")
-    marked = marks.distinct().withColumn("marked", F.lit(True))
-    told = paragraphs.join(children, [*KEY, "pos"], "left").join(marked, [*KEY, "pos"], "left")
-    return told.where("marked or (some and not live)").select(*KEY, "pos", "close")
-
-
-def _finished(rows: DataFrame, spans: DataFrame, gone: Sequence[str], stays: Sequence[str]) -> DataFrame:
-    """The events that stay: not in ``spans`` or an element that is gone, nor a wrapper of those that stay."""
-    tags = rows.where(F.col("kind").isin("open", "empty") & F.col("tag").isin(*gone, *RANGES)).select(*KEY, "pos", "close", F.lit(1).alias("weight"))
-    out = within(rows, spans.unionByName(tags), "inside").where("inside <= 0")
-    return out.where(~F.coalesce(F.col("tag").isin(*stays), F.lit(False)))
+    weight = weight + F.coalesce(F.col("tag").isin(*gone, *RANGES), F.lit(False)).cast("int")
+    w = Window.partitionBy(*KEY).orderBy("pos")
+    on = F.sum(F.when(_starts(), weight).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ends = (F.col("kind") == "empty") | (F.col("kind") == "close") & _has(ENDS)
+    off = F.sum(F.when(ends, weight).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("inside", on - F.coalesce(off, F.lit(0)))
+
+
+def _stays(stays: Sequence[str]) -> Column:
+    """Whether an event stays: not in what is gone, nor a wrapper of what stays."""
+    return (F.col("inside") <= 0) & ~F.coalesce(F.col("tag").isin(*stays), F.lit(False))
 
 
 def accept_markup(parts: DataFrame) -> DataFrame:
@@ -148,46 +210,35 @@ def accept_markup(parts: DataFrame) -> DataFrame:
     and those whose mark is deleted; wrappers of what is inserted or moved here are taken
     off; records of property changes go, and so does the deletion's session attribute.
     """
-    rows = settled(events(parts))
-    doomed = doomed_paragraphs(rows, DELETED, INSERTED).withColumn("weight", F.lit(1))
-    changes = rows.where(F.col("kind").isin("open", "empty") & F.col("tag").isin(*CHANGES)).select(*KEY, "pos", "close", F.lit(1).alias("weight"))
-    left = _finished(rows, doomed.unionByName(changes), DELETED, INSERTED)
-    raw = F.when(F.col("kind").isin("open", "empty"), F.regexp_replace("raw", r"""\sw:rsidDel\s*=\s*("[^"]*"|'[^']*')""", "")).otherwise(F.col("raw"))
+    changes = F.coalesce(F.col("tag").isin(*CHANGES), F.lit(False))
+    left = _left(events(parts, told=True), _doomed(DELETED).cast("int") + changes.cast("int"), DELETED).where(_stays(INSERTED))
+    raw = F.when(_starts(), F.regexp_replace("raw", r"""\sw:rsidDel\s*=\s*("[^"]*"|'[^']*')""", "")).otherwise(F.col("raw"))
     return joined(left.select(*KEY, F.col("pos").alias("at"), F.lit(0).alias("turn"), "pos", raw.alias("raw")))
 
 
-def _moved_bookmarks(rows: DataFrame, doomed: DataFrame) -> DataFrame:
-    """(doc_id, part_uri, pos, at, turn): bookmarks of doomed paragraphs and beside them, and where they go.
+def _moved_bookmarks(rows: DataFrame) -> DataFrame:
+    """Adds ``moved`` to events (with ``gone``: that a doomed paragraph begins): owner, how, nth and at of a bookmark that moves, null of all else.
 
-    They go to the beginning of the next paragraph beside theirs that stays, behind its
-    properties, else of the one before; the last that is moved stands first.
+    Bookmarks of doomed paragraphs and beside them go to the beginning of the next
+    paragraph beside theirs that stays, behind its properties, else of the one before;
+    the last that is moved, by owner, how and nth, stands first.
     """
-    elements = rows.where(F.col("kind").isin("open", "empty"))
-    marked = doomed.select(*KEY, "pos", F.lit(True).alias("gone"))
-    beside = elements.join(marked, [*KEY, "pos"], "left")
-    kept = (F.col("tag") == "w:p") & F.col("gone").isNull()
+    is_mark = _starts() & F.col("tag").isin(*BOOKMARKS)
+    kept = F.when(_starts() & (F.col("tag") == "w:p") & ~F.col("gone"), F.col("body"))
     # running frames from either end; a frame that shrinks would be read anew for each row
     behind, ahead = (Window.partitionBy(*KEY, "parent").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("pos", F.desc("pos")))
-    near = F.struct("pos", F.coalesce("gone", F.lit(False)).alias("gone"))
-    solid = F.when(~F.col("tag").isin(*BOOKMARKS), near)
-    beside = beside.withColumns({
-        "target": F.coalesce(F.last(F.when(kept, F.col("pos")), True).over(ahead), F.last(F.when(kept, F.col("pos")), True).over(behind)),
-        "next": F.last(solid, True).over(ahead),
-        "last": F.last(solid, True).over(behind),
-    })
-    targets = beside.where("gone and target is not null").select(*KEY, F.col("pos").alias("owner"), "target")
-    marks = beside.where(F.col("tag").isin(*BOOKMARKS) & F.col("gone").isNull())
-    # its own parent's first, else by the doomed paragraph before it, else by the one after
-    owner = F.when(F.col("last.gone"), F.struct(F.col("last.pos").alias("owner"), F.lit(2).alias("how"), F.col("pos").alias("nth"))).when(F.col("next.gone"), F.struct(F.col("next.pos").alias("owner"), F.lit(1).alias("how"), (-F.col("pos")).alias("nth")))
-    outside = marks.where(owner.isNotNull()).select(*KEY, "pos", owner.alias("o")).select(*KEY, "pos", "o.*")
-    inside = marks.join(doomed.select(*KEY, F.col("pos").alias("parent")), [*KEY, "parent"]).select(*KEY, "pos", F.col("parent").alias("owner"), F.lit(0).alias("how"), F.col("pos").alias("nth"))
-    moved = inside.unionByName(outside).join(targets, [*KEY, "owner"])
-    # where the target begins: behind its properties if they come first
-    first = rows.where("kind <> 'close'").groupBy(*KEY, F.col("parent").alias("target")).agg(F.min_by(F.struct("tag", "close"), "pos").alias("f"))
-    moved = moved.join(first, [*KEY, "target"], "left")
-    at = F.when(F.col("f.tag") == "w:pPr", F.col("f.close")).otherwise(F.col("target"))
-    turn = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("owner"), F.desc("how"), F.desc("nth")))
-    return moved.select(*KEY, "pos", at.alias("at"), turn.alias("turn"))
+    solid = F.when(_starts() & ~F.col("tag").isin(*BOOKMARKS), F.struct("pos", "gone"))
+    rows = rows.withColumns({"to": F.coalesce(F.last(kept, True).over(ahead), F.last(kept, True).over(behind)), "next": F.last(solid, True).over(ahead), "last": F.last(solid, True).over(behind)})
+    # a bookmark and the paragraph that it is a child of meet at the place of the paragraph
+    rows = rows.withColumn("home", F.when(is_mark, F.col("parent")).when(_starts() & (F.col("tag") == "w:p"), F.col("pos")))
+    home = F.first(F.struct("pos", "gone", "to")).over(Window.partitionBy(*KEY, "home").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("of", F.when(is_mark, home))
+    to = lambda owner, how, nth, at: F.struct(F.col(owner).alias("owner"), F.lit(how).alias("how"), nth.alias("nth"), F.col(at).alias("at"))
+    # its own parent's first, else by the doomed paragraph before it, else by the one after; only bookmarks stand between, so theirs is where it goes
+    inside = (F.col("of.pos") == F.col("parent")) & F.col("of.gone")
+    moved = F.when(inside, to("parent", 0, F.col("pos"), "of.to")).when(F.col("last.gone"), to("last.pos", 2, F.col("pos"), "to")).when(F.col("next.gone"), to("next.pos", 1, -F.col("pos"), "to"))
+    rows = rows.withColumn("moved", F.when(is_mark, moved))
+    return rows.withColumn("moved", F.when(F.col("moved.at").isNotNull(), F.col("moved"))).drop("to", "next", "last", "home", "of")
 
 
 def reject_markup(parts: DataFrame) -> DataFrame:
@@ -198,28 +249,20 @@ def reject_markup(parts: DataFrame) -> DataFrame:
     Wrappers of what is deleted or moved away are taken off, and deleted text is text
     again. Properties are what their record of change says, or none.
     """
-    rows = settled(events(parts))
-    doomed = settled(doomed_paragraphs(rows, INSERTED, DELETED))
-    starts = rows.where(F.col("kind").isin("open", "empty"))
+    rows = events(parts, told=True)
+    doomed = _doomed(INSERTED)
+    rows = _moved_bookmarks(rows.withColumn("gone", _starts() & doomed))
     # a record stands in the properties it tells of: these go, but for what the record holds
-    first = F.row_number().over(Window.partitionBy(*KEY, "parent").orderBy("pos"))
-    records = starts.where(F.col("tag").isin(*CHANGES)).withColumn("n", first).where("n = 1").select(*KEY, F.col("pos").alias("record"), "parent", F.expr("replace(tag, 'Change', '')").alias("old"))
-    whole = rows.where("kind = 'open'").select(*KEY, F.col("pos").alias("parent"), "close")
-    away = records.join(whole, [*KEY, "parent"]).select(*KEY, F.col("parent").alias("pos"), "close", F.lit(1).alias("weight"))
-    held = starts.select(*KEY, F.col("parent").alias("record"), F.col("tag").alias("old"), "pos", "close")
-    back = records.join(held, [*KEY, "record", "old"]).groupBy(*KEY, "record").agg(F.min_by(F.struct("pos", "close"), "pos").alias("s")).select(*KEY, "s.pos", "s.close", F.lit(-1).alias("weight"))
-    spans = doomed.withColumn("weight", F.lit(1)).unionByName(away).unionByName(back)
-    moved = settled(_moved_bookmarks(rows, doomed))
-    rows = rows.join(moved, [*KEY, "pos"], "left")
-    stays = _finished(rows.where("at is null"), spans, INSERTED, DELETED).withColumns({"at": F.col("pos"), "turn": F.lit(0)})
-    empties = moved.select(*KEY, F.col("at").alias("pos")).distinct().withColumn("takes", F.lit(True))
-    stays = stays.join(empties, [*KEY, "pos"], "left").where("inside <= 0")
-    opened = F.col("takes") & (F.col("kind") == "empty") & (F.col("tag") == "w:p")
+    rows = _left(rows, doomed.cast("int") + _has(HOLDS_RECORD).cast("int") - _has(IS_FORMER).cast("int"), INSERTED)
+    rows = rows.where(F.col("moved").isNotNull() | _stays(DELETED)).withColumn("at", F.coalesce("moved.at", "pos"))
+    # what comes to a place stands behind what is there; an empty paragraph there is opened, and shut behind the last
+    there = Window.partitionBy(*KEY, "at").orderBy(F.col("moved").isNotNull(), F.desc("moved.owner"), F.desc("moved.how"), F.desc("moved.nth"))
+    empty = F.col("moved").isNull() & (F.col("kind") == "empty") & (F.col("tag") == "w:p")
+    rows = rows.withColumns({"turn": F.row_number().over(there), "more": F.lead("pos").over(there).isNotNull(), "shut": F.first(empty).over(there.rowsBetween(Window.unboundedPreceding, 0))})
     text = F.regexp_replace("raw", r"^(</?)w:delText\b", "$1w:t")
-    raw = F.when(F.col("tag") == "w:delText", text).when(opened, F.regexp_replace("raw", r"\s*/>$", ">")).otherwise(F.col("raw"))
-    shut = stays.where(opened).select(*KEY, "at", F.lit(1 << 30).alias("turn"), "pos", F.lit("</w:p>").alias("raw"))
-    put = rows.where("at is not null").select(*KEY, "at", "turn", "pos", "raw")
-    return joined(stays.select(*KEY, "at", "turn", "pos", raw.alias("raw")).unionByName(put).unionByName(shut))
+    raw = F.when(F.col("moved").isNotNull(), F.when(F.col("shut") & ~F.col("more"), F.concat("raw", F.lit("</w:p>"))).otherwise(F.col("raw")))
+    raw = raw.when(F.col("tag") == "w:delText", text).when(empty & F.col("more"), F.regexp_replace("raw", r"\s*/>$", ">")).otherwise(F.col("raw"))
+    return joined(rows.select(*KEY, "at", "turn", "pos", raw.alias("raw")))
 
 
 def unescaped(text: Column) -> Column:

@@ -40,3 +40,13 @@ def test_events_take_one_shuffle_of_whole_parts(spark):
     frame = spark.createDataFrame([(1, "p", "<a>b</a>")], "doc_id long, part_uri string, text string")
     plan = M.events(frame)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Window" not in plan and "Sort " not in plan
+
+
+def test_markup_is_rejected_and_accepted_in_one_shuffle_of_whole_parts(spark):
+    """Rejecting once joined events by place, which shuffled each of them again; a shared name of the parts did so too."""
+    text = '<w:p><w:bookmarkStart w:id="1"/><w:ins><w:r><w:t>a</w:t></w:r></w:ins></w:p><w:p/>'
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string").selectExpr("doc_id", "'p' AS part_uri", "text")
+    for done, want in ((M.reject_markup(frame), '<w:p><w:bookmarkStart w:id="1"/></w:p>'), (M.accept_markup(frame), text.replace("<w:ins>", "").replace("</w:ins>", ""))):
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan
+        assert done.first().text == want
