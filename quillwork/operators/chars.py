@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,16 +23,32 @@ def character_diff(a: str, b: str, clean: bool = True) -> list[tuple[int, str]]:
 _OPS = T.ArrayType(T.StructType([T.StructField("op", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
-@F.pandas_udf(_OPS)
-def diff_ops(a: pd.Series, b: pd.Series) -> pd.Series:
+def _told(script: Callable[[str, str], list[tuple[int, str]]], a: pa.Array, b: pa.Array) -> pa.Array:
+    """The operations of each pair of texts as lists of one array; null counts as empty."""
+    bounds, ops = [0], []
+    for x, y in zip(a.to_pylist(), b.to_pylist()):
+        ops += script(x or "", y or "")
+        bounds.append(len(ops))
+    kinds, texts = pa.array([o for o, _ in ops], pa.int32()), pa.array([t for _, t in ops], pa.string())
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([kinds, texts], names=["op", "text"]))
+
+
+@F.arrow_udf(_OPS)
+def diff_ops(a: pa.Array, b: pa.Array) -> pa.Array:
     """The operations between two columns of texts; null counts as empty."""
-    return pd.Series([[{"op": o, "text": t} for o, t in character_diff(x or "", y or "")] for x, y in zip(a, b)])
+    return _told(character_diff, a, b)
 
 
-@F.pandas_udf(_OPS)
-def word_ops(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(_OPS)
+def word_ops(a: pa.Array, b: pa.Array) -> pa.Array:
     """The operations between two columns of texts, word by word; neighbours of one kind are one. Null counts as empty."""
-    return pd.Series([[{"op": o, "text": t} for o, t in word_diff(x or "", y or "")] for x, y in zip(a, b)])
+    return _told(word_diff, a, b)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores by number: few bytes can be much work, so a file that is one task by its size is more."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def word_diff(a: str, b: str) -> list[tuple[int, str]]:

@@ -19,7 +19,7 @@ def _neighbours(spark, sf_dir):
 
 @query("char_diff_round_trip", "SELECT a.item_id, a.text AS before_text, b.text AS after_text, TRUE AS adds_up FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
 def char_diff_round_trip(spark, sf_dir):
-    rows = _neighbours(spark, sf_dir).withColumn("ops", C.diff_ops("text", "after")).withColumn("n", C.change_counts(F.col("ops")))
+    rows = C.spread(_neighbours(spark, sf_dir)).withColumn("ops", C.diff_ops("text", "after")).withColumn("n", C.change_counts(F.col("ops")))
     adds_up = (F.col("n.equal") + F.col("n.deleted") == F.length("text")) & (F.col("n.equal") + F.col("n.inserted") == F.length("after"))
     return rows.select("item_id", C.rebuilt(F.col("ops"), C.DELETE).alias("before_text"), C.rebuilt(F.col("ops"), C.INSERT).alias("after_text"), adds_up.alias("adds_up"))
 
@@ -37,7 +37,7 @@ def char_diffs(spark, sf_dir):
     Which of two equal letters was taken out cannot be told, so there only their number is.
     """
     signs = F.create_map(F.lit(-1), F.lit("-"), F.lit(0), F.lit("="), F.lit(1), F.lit("+"))
-    rows = corpus.table(spark, sf_dir, "part").withColumn("edited", F.expr(_EDITED)).withColumn("o", C.diff_ops("p_name", "edited"))
+    rows = C.spread(corpus.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")).withColumn("edited", F.expr(_EDITED)).withColumn("o", C.diff_ops("p_name", "edited"))
     told = F.array_join(F.transform("o", lambda x: F.concat(F.element_at(signs, x["op"]), x["text"])), " ")
     return rows.select("p_partkey", F.when(F.col("p_size") % 3 < 2, told).otherwise(F.concat(F.lit("-"), C.change_counts(F.col("o"))["deleted"].cast("string"))).alias("ops"))
 

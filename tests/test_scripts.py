@@ -135,3 +135,16 @@ def test_run_changes_against_single_characters(spark):
 def test_ops_of_nulls(spark):
     row = spark.range(1).select(C.diff_ops(F.lit(None).cast("string"), F.lit("x")).alias("o")).first()
     assert [tuple(o) for o in row.o] == [(1, "x")]
+
+
+def test_small_changes_are_told_without_arrays_and_in_many_tasks(spark, monkeypatch, tmp_path):
+    """A table of small texts is one file and was one task; arrays of both texts were made for one letter."""
+    from quillwork.plans.diffing import char_diffs
+
+    monkeypatch.setattr(S, "_padded", None)
+    long = "a b c " * 3000
+    assert S.shortest_script(long + "x" + long, long + "yz" + long) == [(0, long), (-1, "x"), (1, "yz"), (0, long)]
+    assert S.shortest_script("aa", "aaa") == [(0, "aa"), (1, "a")] and S.shortest_script("", "") == []
+    spark.createDataFrame([(i, "green mint", i % 50) for i in range(400)], "p_partkey long, p_name string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    out = char_diffs(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() >= 16 and {r.p_partkey: r.ops for r in out.collect()}[0] == "=gree -n +# = mint"
