@@ -35,6 +35,11 @@ def _drop(files, path) -> None:
         files.delete(path, True)
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks what is much work, or much memory, for its bytes is dealt to: by number, so that they are not joined by size."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """A checkpoint of ``df`` in the shared folder that the session names; it survives lost executors."""
     shared_folder(df.sparkSession)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..lineage import tasks
 from .alignment import lcs, tokenise
 from .scripts import DELETE, EQUAL, INSERT, readable, shortest_script
 
@@ -47,8 +48,7 @@ def word_ops(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def spread(rows: DataFrame) -> DataFrame:
     """Rows dealt to all cores by number: few bytes can be much work, so a file that is one task by its size is more."""
-    spark = rows.sparkSession
-    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.repartition(tasks(rows.sparkSession))
 
 
 def word_diff(a: str, b: str) -> list[tuple[int, str]]:

@@ -4,22 +4,50 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import tasks
+
 # The namespace of the markup and the parts that are read.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 PARTS = ("word/document.xml", "word/styles.xml", "word/numbering.xml", "word/footnotes.xml", "word/_rels/document.xml.rels")
 MAX_ENTRIES, MAX_ENTRY_BYTES, MAX_TOTAL_BYTES, MAX_RATIO = 2000, 50 << 20, 200 << 20, 200
 
+#: Rows and bytes after which what a task has made goes back, so that it holds few archives at a time and a small one costs no frame of its own.
+BATCH_ROWS, BATCH_BYTES = 10_000, 8 << 20
+_KINDS = {"string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "long": pa.int64(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+
 ENTRIES = "doc_id string, part_uri string, is_directory boolean, compressed_bytes long, uncompressed_bytes long, content binary, error string"
 
 
+def _each_file(files: DataFrame, rows_of: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
+    """What a function of the columns of a row tells of each archive or part, row by row, in batches of bounded size."""
+    fields = pa.schema([(n, _KINDS[k]) for n, k in (c.split(" ") for c in schema.split(", "))])
+    sized = [k for k, f in enumerate(fields) if f.type in (pa.string(), pa.binary())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), fields.types)], schema=fields)
+        rows, size = [], 0
+        for batch in batches:
+            for values in zip(*batch.columns):
+                for row in rows_of(*(v.as_py() for v in values)):
+                    rows.append(row)
+                    size += sum(len(row[k] or "") for k in sized)
+                    if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield made(rows)
+                        rows, size = [], 0
+        if rows:
+            yield made(rows)
+
+    return files.mapInArrow(run, schema)
+
+
 def archives(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, content): files below a folder, read as bytes by Spark."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -33,29 +61,28 @@ def entries(files: DataFrame, with_content: bool = True) -> DataFrame:
     a small file cannot unfold into more than a task can hold.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for doc, content in zip(frame.doc_id, frame.content):
-                rows = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for e in z.infolist():
-                            fits = with_content and not e.is_dir() and e.file_size <= MAX_ENTRY_BYTES
-                            over = with_content and e.file_size > MAX_ENTRY_BYTES
-                            rows.append((doc, e.filename, e.is_dir(), max(e.compress_size, 0), max(e.file_size, 0), z.read(e) if fits else None, "entry too large" if over else None))
-                except (zipfile.BadZipFile, TypeError, OSError) as error:
-                    rows = [(doc, None, None, None, None, None, str(error))]
-                yield pd.DataFrame(rows, columns=["doc_id", "part_uri", "is_directory", "compressed_bytes", "uncompressed_bytes", "content", "error"])
+    def rows_of(doc, content):
+        rows = []
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for e in z.infolist():
+                    fits = with_content and not e.is_dir() and e.file_size <= MAX_ENTRY_BYTES
+                    over = with_content and e.file_size > MAX_ENTRY_BYTES
+                    rows.append((doc, e.filename, e.is_dir(), max(e.compress_size, 0), max(e.file_size, 0), z.read(e) if fits else None, "entry too large" if over else None))
+        except (zipfile.BadZipFile, TypeError, OSError) as error:
+            rows = [(doc, None, None, None, None, None, str(error))]
+        return rows
 
-    return files.select("doc_id", "content").mapInPandas(run, ENTRIES)
+    return _each_file(files.select("doc_id", "content"), rows_of, ENTRIES)
 
 
 def part(rows: DataFrame, uri: str, required: bool = True) -> DataFrame:
     """(doc_id, text, error) of one part of each archive; a required part that is missing is an error."""
-    docs = rows.select("doc_id").distinct()
-    own = rows.where(F.col("part_uri") == uri).select("doc_id", F.col("content").cast("string").alias("text"), F.col("error").alias("__why"))
+    # one pass: the entries of an archive are told together, and only what is asked for is sent with them
+    own = F.when(F.col("part_uri") == uri, F.struct(F.col("content").cast("string").alias("text"), F.col("error").alias("__why")))
+    docs = rows.groupBy("doc_id").agg(F.collect_list(own).alias("own")).select("doc_id", F.explode_outer("own").alias("o")).select("doc_id", "o.*")
     error = F.when(F.col("__why").isNotNull(), F.concat(F.col("__why"), F.lit(f": {uri}"))).when(F.col("text").isNull() & F.lit(required), F.lit(f"missing part: {uri}"))
-    return docs.join(own, "doc_id", "left").select("doc_id", "text", error.alias("error"))
+    return docs.select("doc_id", "text", error.alias("error"))
 
 
 def guarded(rows: DataFrame) -> DataFrame:
@@ -79,19 +106,17 @@ def changed_parts(now: DataFrame, before: DataFrame) -> DataFrame:
 def packed(rows: DataFrame) -> DataFrame:
     """(doc_id, content): parts (doc_id, part_uri, content) as one archive each, entries in order of name."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                buffer = io.BytesIO()
-                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-                    for p in r.parts:
-                        z.writestr(zipfile.ZipInfo(p["part_uri"]), p["content"])
-                out.append((r.doc_id, buffer.getvalue()))
-            yield pd.DataFrame(out, columns=["doc_id", "content"])
+    def rows_of(doc, parts):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in parts:
+                z.writestr(zipfile.ZipInfo(p["part_uri"]), p["content"])
+        yield doc, buffer.getvalue()
 
-    by = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part_uri", "content"))).alias("parts"))
-    return by.mapInPandas(run, "doc_id string, content binary")
+    # markup shrinks so far in a shuffle that partitions joined by size would give a task thousands of large parts at once
+    dealt = rows.repartition(tasks(rows.sparkSession), "doc_id")
+    by = dealt.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part_uri", "content"))).alias("parts"))
+    return _each_file(by, rows_of, "doc_id string, content binary")
 
 
 # Markup to relations.
@@ -178,18 +203,17 @@ def _walk_body(root) -> Iterator[tuple]:
 
 
 def _each_document(rows: DataFrame, uri: str, schema: str, flatten) -> DataFrame:
-    names = [c.strip().split(" ")[0] for c in schema.split(", ")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for doc, content in zip(frame.doc_id, frame.content):
-                try:
-                    out = [(doc, *r) for r in flatten(ElementTree.fromstring(bytes(content)))]
-                except ElementTree.ParseError:
-                    out = []
-                yield pd.DataFrame(out, columns=names).astype(object).where(lambda d: d.notna(), None)
-
-    return rows.where((F.col("part_uri") == uri) & F.col("content").isNotNull()).select("doc_id", "content").mapInPandas(run, schema)
+    """What ``flatten`` yields of the markup of a part, for each document; of one that is no markup, nothing."""
+
+    def rows_of(doc, content):
+        try:
+            root = ElementTree.fromstring(content)
+        except ElementTree.ParseError:
+            return
+        for r in flatten(root):
+            yield (doc, *r)
+
+    return _each_file(rows.where((F.col("part_uri") == uri) & F.col("content").isNotNull()).select("doc_id", "content"), rows_of, schema)
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:

@@ -84,3 +84,23 @@ def test_oversized_parts_and_plans_are_told(spark, monkeypatch):
     plans = spark.createDataFrame([(1, 0, "a", 1, "[" + " " * (1 << 20) + "]"), (1, 1, "b", 1, '{"steps": 1}'), (1, 2, "c", 1, '[{"operation": "insert_paragraph"}]')], "doc_id long, plan_index int, plan_id string, base_revision int, steps string")
     assert {(r.plan_id, r.error) for r in planning.plan_errors(plans).collect()} == {("a", "plan file over 1 MiB"), ("b", "not a list of steps")}
     assert [r.plan_id for r in planning.steps(plans).collect()] == ["c"]
+
+
+def test_archives_are_read_in_one_pass_and_few_batches(spark):
+    """Each archive once had a frame of its own at every step, was packed and read twice for one part, and thousands met in one task."""
+    texts = spark.range(200).selectExpr("cast(id AS string) AS doc_id", "array('a', cast(id AS string)) AS paragraphs")
+    rows = A.entries(A.packed(A.document_xml(texts)))
+    part = A.part(rows, A.PARTS[1])
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan and "REPARTITION_BY_NUM" in plan
+    assert {(r.text, r.error) for r in part.collect()} == {(None, "missing part: word/styles.xml")}
+    assert {(r.doc_id, r.para_idx, r.text) for r in A.paragraphs(rows).collect()} == {(str(i), k, t) for i in range(200) for k, t in enumerate(("a", str(i)))}
+
+
+def test_small_batches_and_repeated_parts_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(A, "BATCH_BYTES", 64)
+    texts = spark.range(40).repartition(1).selectExpr("cast(id AS string) AS doc_id", "array('some text') AS paragraphs")
+    assert A.paragraphs(A.entries(A.packed(A.document_xml(texts)))).count() == 40
+    # a part asked for twice in an archive is told twice
+    twice = spark.createDataFrame([("a", "x", b"1", None), ("a", "x", b"2", None), ("b", "y", b"3", None)], "doc_id string, part_uri string, content binary, error string")
+    assert sorted((r.doc_id, r.text or "", r.error or "") for r in A.part(twice, "x").collect()) == [("a", "1", ""), ("a", "2", ""), ("b", "", "missing part: x")]
