@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..lineage import settled
+from ..lineage import settled, tasks
 from .ordered import merged_runs, punctuation_attached
 from .views import LEAVES, leaf_text
 
@@ -45,14 +45,12 @@ def events(parts: DataFrame, told: bool = False) -> DataFrame:
     With ``told``, also ``about``, what an element holds (on both its tags, as bits), and
     ``body``, the place behind an element's leading paragraph properties, else its own.
     """
-    spark = parts.sparkSession
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kinds = {f.name: f.dataType for f in parts.schema.fields}
     walked = T.StructType([*[T.StructField(c, kinds[c]) for c in (*KEY, "text")], *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in _PLACES]])
     rows = parts.select(*KEY, "text").mapInArrow(_walked, walked)
     # parts are dealt out whole and once, with their places as small numbers: they are smaller than their events, and what follows
     # finds the events of a part together; by document alone, as a name that all parts share would be folded and the dealing forgotten
-    rows = rows.repartition(tasks, "doc_id").withColumn("raws", F.regexp_extract_all("text", F.lit(_TOKEN), 0))
+    rows = rows.repartition(tasks(parts.sparkSession), "doc_id").withColumn("raws", F.regexp_extract_all("text", F.lit(_TOKEN), 0))
     rows = rows.select(*KEY, F.posexplode(F.arrays_zip("raws", *_PLACES)).alias("pos", "x"))
     near = lambda c: F.col("pos") + F.col(f"x.{c}")
     told_of = (F.col("x.about"), near("body").alias("body")) if told else ()
@@ -332,7 +330,8 @@ def field_spans(marks: DataFrame, group: list[str], order: str) -> DataFrame:
     field count for nothing; a field that does not end has a null stop.
     """
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = marks.where(F.col("mark").isin("begin", "separate", "end")).select(*group, order, "mark")
+    # marks are small and much alike, so partitions joined by their bytes in a shuffle would give a task more rows the larger the input is
+    rows = marks.where(F.col("mark").isin("begin", "separate", "end")).select(*group, order, "mark").repartition(4 * tasks(marks.sparkSession), *group)
     step = F.when(F.col("mark") == "begin", 1).when(F.col("mark") == "end", -1).otherwise(0)
     raw = F.sum(step).over(w)
     rows = rows.withColumn("raw", raw).withColumn("low", F.least(F.min("raw").over(w), F.lit(0)))

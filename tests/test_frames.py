@@ -27,3 +27,15 @@ def test_redlining_looks_ahead_by_running_frames(spark, monkeypatch):
     parts = spark.createDataFrame([(1, "p", "<w:document/>")], "doc_id long, part_uri string, text string")
     plans.append(redline.in_place(parts, parts, "a", "2024-01-01"))
     assert not any(SHRINKS.search(plan_of(p)) for p in plans)
+
+
+def test_marks_of_fields_are_dealt_by_number(spark):
+    """Partitions of small rows were joined by their bytes, so a task's memory grew with the input."""
+    from quillwork.lineage import tasks
+    from quillwork.operators.markup import field_spans
+
+    marks = spark.range(60).selectExpr("id div 6 AS doc_id", "id % 6 AS at", "element_at(array('begin', 'begin', 'separate', 'end', 'end', 'end'), cast(id % 6 AS int) + 1) AS mark")
+    out = field_spans(marks, ["doc_id"], "at")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and f"{4 * tasks(spark)}), REPARTITION_BY_NUM" in plan
+    assert sorted(tuple(r) for r in out.where("doc_id = 3").collect()) == [(3, 0, None, 4, 1, None), (3, 1, 2, 3, 2, 0)]
