@@ -531,25 +531,19 @@ def best_partners(texts: DataFrame, least: float = 0.5) -> DataFrame:
 def similar_across(items: DataFrame, texts: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs (item, id, shared, total) of ``items`` and ``texts`` (both id, text) whose word sets agree to ``least``.
 
-    The prefix filter of ``candidate_pairs`` over two tables. Word sets that are equal
-    are compared once on each side; every text of a set then has its row.
+    Each word of an item meets the texts that have it, and the meetings of an item and a
+    text of fitting sizes are what they share: texts are cut into words once and never
+    sorted, grouped or compared as sets. Copies and rows of one id stay rows of their own.
     """
-    words = lambda t: t.select("id", F.array_sort(F.array_distinct(X.words(F.lower("text")))).alias("ws")).where(F.size("ws") > 0)
-    known, own = words(items), words(texts)
-    left, right = (t.groupBy("ws").agg(F.min("id").alias("rep")) for t in (known, own))
-    often = left.select(F.explode("ws").alias("w")).unionAll(right.select(F.explode("ws").alias("w"))).groupBy("w").agg(F.count("*").alias("n"))
-
-    def keys(reps: DataFrame) -> DataFrame:
-        said = reps.select("rep", F.explode("ws").alias("w")).join(often, "w")
-        ranked = said.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("ws")).withColumn("size", F.size("ws"))
-        first = F.slice("ws", F.lit(1), (F.floor(F.col("size") * (1 - least) + 1e-9) + 1).cast("int"))
-        return ranked.select("rep", "size", F.explode(first).alias("w"))
-
-    fits = F.least("na", "nb") >= F.greatest("na", "nb") * least
-    pairs = keys(left).toDF("a", "na", "w").join(keys(right).toDF("b", "nb", "w"), "w").where(fits).select("a", "b").distinct()
-    rows = pairs.join(left.toDF("wa", "a"), "a").join(right.toDF("wb", "b"), "b")
-    rows = rows.select("wa", "wb", F.size(F.array_intersect("wa", "wb")).alias("shared"), F.size(F.array_union("wa", "wb")).alias("total")).where(F.col("shared") >= F.col("total") * least)
-    return rows.join(known.toDF("item", "wa"), "wa").join(own.toDF("id", "wb"), "wb").select("item", "id", "shared", "total")
+
+    def said(rows: DataFrame, name: str) -> DataFrame:
+        sets = rows.select(F.monotonically_increasing_id().alias(f"{name}_row"), F.col("id").alias(name), F.array_distinct(X.words(F.lower("text"))).alias("ws"))
+        return sets.select(f"{name}_row", name, F.size("ws").alias(f"{name}_size"), F.explode("ws").alias("w"))
+
+    sizes = F.col("item_size"), F.col("id_size")
+    met = said(texts, "id").join(said(items, "item"), "w").where(F.least(*sizes) >= F.greatest(*sizes) * least)
+    rows = met.groupBy("item_row", "id_row", "item", "id", *sizes).agg(F.count("*").cast("int").alias("shared")).withColumn("total", sizes[0] + sizes[1] - F.col("shared"))
+    return rows.where(F.col("shared") >= F.col("total") * least).select("item", "id", "shared", "total")
 
 
 def best_match(pairs: DataFrame, left: str, right: str, score: Column) -> DataFrame:

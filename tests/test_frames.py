@@ -39,3 +39,16 @@ def test_marks_of_fields_are_dealt_by_number(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and f"{4 * tasks(spark)}), REPARTITION_BY_NUM" in plan
     assert sorted(tuple(r) for r in out.where("doc_id = 3").collect()) == [(3, 0, None, 4, 1, None), (3, 1, 2, 3, 2, 0)]
+
+
+def test_similar_texts_across_tables_are_told_by_the_words_they_meet_in(spark):
+    """Word sets were sorted, grouped, joined and intersected; rows of one id count apart."""
+    from quillwork.operators.alignment import similar_across
+
+    items = spark.createDataFrame([(1, "A b c d"), (2, "x"), (3, None)], "id long, text string")
+    texts = spark.createDataFrame([(7, "a b c"), (7, "d c b a a"), (8, "d e f g h i j k"), (9, ""), (10, "A B C")], "id long, text string")
+    out = similar_across(items, texts, 0.5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "array_intersect" not in plan
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 7, 3, 4), (1, 7, 4, 4), (1, 10, 3, 4)]
+    assert dict(out.dtypes) == {"item": "bigint", "id": "bigint", "shared": "int", "total": "int"}
