@@ -6,7 +6,6 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
-from heapq import nsmallest
 from itertools import groupby
 from math import isqrt
 from operator import itemgetter
@@ -108,7 +107,7 @@ def greedy_pairs(left: Sequence[str], right: Sequence[str], least: float, reuse:
         return []
     mine, theirs = [frozenset(t.split()) for t in left], [frozenset(t.split()) for t in right]
     often = Counter(w for ws in (*mine, *theirs) for w in ws)
-    rare = lambda ws: nsmallest(int(len(ws) * (1 - least) + 1e-9) + 1, ws, key=lambda w: (often[w], w)) if ws else [None]
+    rare = lambda ws: [w for _, w in sorted((often[w], w) for w in ws)[: int(len(ws) * (1 - least) + 1e-9) + 1]] if ws else [None]
     index: dict[str | None, list[int]] = {}
     for j, ws in enumerate(theirs):
         for w in rare(ws):
@@ -144,7 +143,12 @@ def tokenise(text: str) -> list[str]:
 
 
 def compare_texts(original: Sequence[str], revised: Sequence[str], least: float = PARAGRAPH_SIMILARITY) -> list[tuple[str, int, int, str]]:
-    """Atoms (status, original paragraph, revised paragraph, text) of a comparison; -1 for none.
+    """Atoms (status, original paragraph, revised paragraph, text) of a comparison; -1 for none: those of ``_compared``, one by one."""
+    return [(status, i, j, t) for status, i, j, tokens, _ in _compared(original, revised, least) for t in tokens]
+
+
+def _compared(original: Sequence[str], revised: Sequence[str], least: float = PARAGRAPH_SIMILARITY) -> list[tuple[str, int, int, list[str], str | None]]:
+    """Atoms (status, original paragraph, revised paragraph, tokens, text) of a comparison, a paragraph of one status being one, with its text.
 
     Paragraphs are aligned by their normalised text, those left over by similarity,
     and the tokens inside matched pairs by their own alignment. Atoms stand in the
@@ -157,33 +161,30 @@ def compare_texts(original: Sequence[str], revised: Sequence[str], least: float
     right = [j for j in range(len(b)) if j not in used]
     pairs |= {left[i]: right[j] for i, j, _ in greedy_pairs([a[i] for i in left], [b[j] for j in right], least)}
     back = {j: i for i, j in pairs.items()}
-    out: list[tuple[str, int, int, str]] = []
+    out: list[tuple[str, int, int, list[str], str | None]] = []
     told = 0
 
     def deleted(stop: int) -> None:
         nonlocal told
         for i in range(told, stop):
             if i not in pairs:
-                out.extend(("Deleted", i, -1, t) for t in tokenise(original[i]) or [""])
+                out.append(("Deleted", i, -1, tokenise(original[i]) or [""], original[i]))
         told = max(told, stop)
 
     for j, text in enumerate(revised):
         if j not in back:
-            out.extend(("Inserted", -1, j, t) for t in tokenise(text) or [""])
+            out.append(("Inserted", -1, j, tokenise(text) or [""], text))
             continue
         i = back[j]
         deleted(i)
         x = tokenise(original[i])
         if original[i] == text:
-            out.extend(("Equal", i, j, t) for t in x or [""])
+            out.append(("Equal", i, j, x or [""], text))
             continue
         y = tokenise(text)
         p = q = 0
         for s, t in [*lcs(x, y), (len(x), len(y))]:
-            out.extend(("Deleted", i, j, w) for w in x[p:s])
-            out.extend(("Inserted", i, j, w) for w in y[q:t])
-            if s < len(x):
-                out.append(("Equal", i, j, x[s]))
+            out += [(status, i, j, tokens, None) for status, tokens in (("Deleted", x[p:s]), ("Inserted", y[q:t]), ("Equal", x[s : s + 1])) if tokens]
             p, q = s + 1, t + 1
     deleted(len(original))
     return out
@@ -197,13 +198,15 @@ BATCH_ROWS = 50_000
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
 
 
-def _stretches(atoms: list[tuple[str, int, int, str]], joined: Sequence[str] = STATUSES) -> list[tuple[int, str, int, int, str, int]]:
+def _stretches(compared: list[tuple[str, int, int, list[str], str | None]], joined: Sequence[str] = STATUSES) -> list[tuple[int, str, int, int, str, int]]:
     """(atom_idx, status, original paragraph, revised paragraph, text, tokens): neighbours of one of these statuses and of one pair of paragraphs as one."""
     out, n = [], 0
-    for (status, i, j), same in groupby(atoms, itemgetter(0, 1, 2)):
-        texts = [t for *_, t in same]
+    for (status, i, j), same in groupby(compared, itemgetter(0, 1, 2)):
+        first, *others = same
+        texts = [t for c in (first, *others) for t in c[3]] if others else first[3]
         if status in joined:
-            out.append((n, status, i, j, "".join(texts), len(texts)))
+            # a whole paragraph is not put together again
+            out.append((n, status, i, j, "".join(texts) if others or first[4] is None else first[4], len(texts)))
         else:
             out.extend((n + k, status, i, j, t, 1) for k, t in enumerate(texts))
         n += len(texts)
@@ -246,7 +249,7 @@ def compare_pairs(pairs: DataFrame, least: float = PARAGRAPH_SIMILARITY, joined:
     first and how many they are as ``tokens``: what reads texts and not words needs no more.
     """
     if joined:
-        return _each_pair(pairs, lambda a, b: _stretches(compare_texts(a, b, least), joined), f"{ATOMS}, tokens int")
+        return _each_pair(pairs, lambda a, b: _stretches(_compared(a, b, least), joined), f"{ATOMS}, tokens int")
     return _each_pair(pairs, lambda a, b: [(n, *r) for n, r in enumerate(compare_texts(a, b, least))], ATOMS)
 
 
@@ -281,7 +284,7 @@ def pair_moves(pairs: DataFrame, least: float = MOVE_SIMILARITY, least_words: in
     """``moves`` of the comparison of each pair (pair_id, original, revised), told where it is compared: no atom leaves its task."""
 
     def rows_of(a: list[str], b: list[str]) -> list[tuple]:
-        found = _moved(_stretches(compare_texts(a, b)), least, least_words)[1]
+        found = _moved(_stretches(_compared(a, b)), least, least_words)[1]
         return [(k, f"move{k}", i, j, s) for k, i, j, s in found]
 
     return _each_pair(pairs, rows_of, MOVES)
@@ -291,7 +294,7 @@ def compare_with_moves(pairs: DataFrame, least: float = MOVE_SIMILARITY, least_w
     """``with_moves`` of the comparison of each pair (pair_id, original, revised), neighbours joined as by ``compare_pairs``."""
 
     def rows_of(a: list[str], b: list[str]) -> list[tuple]:
-        rows = _stretches(compare_texts(a, b))
+        rows = _stretches(_compared(a, b))
         own, found = _moved(rows, least, least_words)
         to = {i: ("MovedSource", k) for k, i, _, _ in found} | {j: ("MovedDestination", k) for k, _, j, _ in found}
         out = []

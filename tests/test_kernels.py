@@ -78,3 +78,17 @@ def test_a_long_paragraph_is_aligned_in_a_moment():
     a, b = ([rng.choice("abcdefgh") for _ in range(6000)] for _ in range(2))
     t = time.process_time()
     assert len(G.lcs(a, b)) > 2000 and time.process_time() - t < 0.6
+
+
+def test_whole_paragraphs_of_a_comparison_stay_whole():
+    """Each was cut into atoms that were put together again one by one."""
+    a, b = ["same text", "gone away", "one two", ""], ["same text", "one  three", "new", ""]
+    told = G._compared(a, b)
+    assert sum(i == 0 or (i == 1) for _, i, *_ in told) == 2 and [t for *_, t in told if t is not None][:1] == ["same text"]
+    atoms = G.compare_texts(a, b)
+    assert atoms == [(s, i, j, t) for s, i, j, tokens, _ in told for t in tokens]
+    rows = G._stretches(told)
+    assert [r[0] for r in rows] == [sum(r[5] for r in rows[:k]) for k in range(len(rows))] and sum(r[5] for r in rows) == len(atoms)
+    for side, other, text in ((2, "Inserted", a), (3, "Deleted", b)):
+        for p, want in enumerate(text):
+            assert "".join(r[4] for r in rows if r[side] == p and r[1] != other) == want
