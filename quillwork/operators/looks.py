@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.formatting import changed_properties
+from ..lineage import tasks
 from .edits import GONE, NEW
 
 
@@ -72,17 +77,95 @@ def paragraph_texts(atoms: DataFrame, name: str) -> DataFrame:
     return paras.groupBy(F.col("doc_id").alias("pair_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "t"))), lambda x: x["t"]).alias(name))
 
 
+#: Atoms of one pair of looks, as they leave the task that compares.
+_PAIRED = "pair_id long, old_look string, new_look string, atoms array<struct<atom_idx:long,status:string,orig_para:int,rev_para:int,text:string>>"
+_ATOM = pa.struct([("atom_idx", pa.int64()), ("status", pa.string()), ("orig_para", pa.int32()), ("rev_para", pa.int32()), ("text", pa.string())])
+_ROWS = pa.schema([("pair_id", pa.int64()), ("old_look", pa.string()), ("new_look", pa.string()), ("atoms", pa.list_(_ATOM))])
+
+
+def _looks_of(paras: list[list[tuple[str, str]]], para: np.ndarray, size: np.ndarray, on: np.ndarray, kinds: list[str | None]) -> np.ndarray:
+    """The number among ``kinds`` (0: none) of the look of the first character of each atom, by its paragraph and its length.
+
+    ``on`` are the atoms that this side has. Those of a paragraph follow each other, so
+    a running sum of lengths tells where each begins; ``kinds`` gets the looks of this side.
+    """
+    number = {k: n for n, k in enumerate(kinds)}
+    spans = [(p, len(text), number.setdefault(look, len(number))) for p, own in enumerate(paras) for text, look in own if text]
+    kinds += list(number)[len(kinds) :]
+    out = np.zeros(len(para), np.int64)
+    here = np.flatnonzero(on)
+    if not len(here) or not spans:
+        return out
+    home, long, look = np.array(spans, np.int64).T
+    # paragraphs lie one behind the other, a place apart
+    begin = np.cumsum(long) - long + home
+    first = np.zeros(len(paras) + 1, np.int64)
+    np.add.at(first, home + 1, long)
+    first = np.cumsum(first) + np.arange(len(paras) + 1)
+    mine, upto = para[here], np.cumsum(size[here]) - size[here]
+    turns = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+    upto = upto - np.repeat(upto[turns], np.diff(np.append(turns, len(mine))))
+    found = np.searchsorted(begin, first[mine] + upto, "right") - 1
+    out[here] = np.where((found >= 0) & (home[found] == mine), look[found], 0)
+    return out
+
+
+def _compared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of parts compared with their looks, one after another; atoms go back by their two looks."""
+    from .alignment import BATCH_ROWS, STATUSES, _compared
+    from .markup import looked_paragraphs
+
+    for batch in batches:
+        pairs, olds, news, sizes, columns, held = [], [], [], [], [[] for _ in _ATOM], 0
+        for pair, *sides in zip(*batch.columns):
+            old, new = (looked_paragraphs(side.as_py() or "") for side in sides)
+            told = _compared(*[["".join(t for t, _ in own) for own in side] for side in (old, new)])
+            if told:
+                n = [len(tokens) for _, _, _, tokens, _ in told]
+                status, i, j = (np.repeat(np.array(c, np.int64), n) for c in ([STATUSES.index(t[0]) for t in told], [t[1] for t in told], [t[2] for t in told]))
+                tokens = [t for c in told for t in c[3]]
+                size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+                kinds: list[str | None] = [None]
+                looks = [_looks_of(old, i, size, status != STATUSES.index("Inserted"), kinds), _looks_of(new, j, size, status != STATUSES.index("Deleted"), kinds)]
+                key = looks[0] * len(kinds) + looks[1]
+                order = np.argsort(key, kind="stable")
+                some, counts = np.unique(key, return_counts=True)
+                pairs += [pair.as_py()] * len(some)
+                olds += [kinds[k // len(kinds)] for k in some]
+                news += [kinds[k % len(kinds)] for k in some]
+                sizes += counts.tolist()
+                told_of = (pa.array(order), pa.array(np.array(STATUSES)[status[order]].tolist(), pa.string()), pa.array(i[order].astype(np.int32)), pa.array(j[order].astype(np.int32)), pa.array(tokens, pa.string()).take(pa.array(order)))
+                for own, c in zip(columns, told_of):
+                    own.append(c)
+                held += len(tokens)
+            if held >= BATCH_ROWS:
+                yield _made(pairs, olds, news, sizes, columns)
+                pairs, olds, news, sizes, columns, held = [], [], [], [], [[] for _ in _ATOM], 0
+        if held:
+            yield _made(pairs, olds, news, sizes, columns)
+
+
+def _made(pairs: list, olds: list, news: list, sizes: list, columns: list[list[pa.Array]]) -> pa.RecordBatch:
+    atoms = pa.StructArray.from_arrays([pa.concat_arrays(c) for c in columns], fields=list(_ATOM))
+    bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(olds, pa.string()), pa.array(news, pa.string()), pa.ListArray.from_arrays(bounds, atoms)], schema=_ROWS)
+
+
 def compared_parts(original: DataFrame, revised: DataFrame) -> DataFrame:
-    """The comparison of two sets of parts with one id for each pair, looks included: what ``look_changes`` tells.
+    """The comparison of two sets of parts, one of each id a side, looks included: what ``look_changes`` tells.
 
-    Each side is read from markup once, as its atoms; changes that a side has tracked
-    already count as text. Paragraphs without text are no paragraphs here.
+    Both parts of a pair meet in one task, which walks the markup of each once and
+    compares; no tag, run or span is a row. Atoms come back by their two looks, so
+    properties are told once for each two looks of a pair. Changes that a side has
+    tracked already count as text. Paragraphs without text are no paragraphs here.
     """
-    from ..lineage import settled
-    from .alignment import compare_pairs
-    from .markup import comparison_atoms
-
-    sides = [settled(comparison_atoms(p)) for p in (original, revised)]
-    texts = [paragraph_texts(a, n) for a, n in zip(sides, ("original", "revised"))]
-    atoms = settled(compare_pairs(texts[0].join(texts[1], "pair_id", "full_outer")))
-    return look_changes(atoms, *[look_spans(a) for a in sides])
+    # few bytes of markup can be much work: pairs are dealt out by number, and the join takes that as it is
+    dealt = [p.select(F.col("doc_id").alias("pair_id"), F.col("text").alias(n)).repartition(tasks(p.sparkSession), "pair_id") for p, n in ((original, "original"), (revised, "revised"))]
+    pairs = dealt[0].join(dealt[1], "pair_id", "full_outer").select(F.col("pair_id").cast("long").alias("pair_id"), "original", "revised")
+    rows = pairs.mapInArrow(_compared_batches, _PAIRED)
+    names = changed_properties(properties(F.coalesce("old_look", F.lit(""))), properties(F.coalesce("new_look", F.lit(""))))
+    # names of looks that are the same markup are none, and need not be told
+    rows = rows.withColumn("names", F.when(~F.col("old_look").eqNullSafe(F.col("new_look")), names)).withColumn("names", F.when(F.size("names") > 0, F.col("names")))
+    rows = rows.select("pair_id", "old_look", "new_look", "names", F.inline("atoms"))
+    changed = (F.col("status") == "Equal") & F.col("names").isNotNull()
+    return rows.select("pair_id", "atom_idx", F.when(changed, "FormatChanged").otherwise(F.col("status")).alias("status"), "orig_para", "rev_para", "text", "old_look", "new_look", F.when(changed, F.col("names")).alias("names"))

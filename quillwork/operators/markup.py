@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -391,6 +392,129 @@ def comparison_atoms(parts: DataFrame) -> DataFrame:
     return rows.select(*KEY, (F.row_number().over(Window.partitionBy(*KEY).orderBy("place")) - 1).alias("place"), "para_idx", "rev_tag.status", "rpr_hash.look", "text", F.col("rev_tag.field").isNotNull().alias("is_field"))
 
 
+#: A run of plain text whose properties are empty tags, as most runs are: one match in place of one for each tag.
+_RUN = rf"""<w:r>(?:<w:rPr>((?:<w:(?!(?:{"|".join((*LEAVES, "rPr", "rPrChange"))})[ />])[A-Za-z]+(?: w:[A-Za-z]+="[^"<>]*")*/>)*)</w:rPr>)?<w:t(?: xml:space="preserve")?>([^<]*)</w:t></w:r>"""
+_RUNS, _TOKENS, _NAMED = re.compile(f"(?s){_RUN}|{_TOKEN.removeprefix('(?s)')}", re.ASCII), re.compile(_TOKEN, re.ASCII), re.compile(_TAG)
+_REFERENCE = re.compile(r"(?s)<!\[CDATA\[.*?\]\]>|&[^;&<]{1,10};")
+_SIGNS = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+_MARKED = re.compile(r"""\sw:fldCharType\s*=\s*("[^"]*"|'[^']*')""", re.ASCII)
+_COUNTED = {"w:p": "p", "w:r": "run", "w:rPr": "props", "w:rPrChange": "record"} | {"mc:AlternateContent" if t == "AlternateContent" else f"w:{t}": "leaf" for t in LEAVES}
+_SHOWN = {"br": "\n", "cr": "\n", "tab": "\t"}
+
+
+def _resolved(found: re.Match) -> str:
+    """What a reference or CDATA stands for, as in ``unescaped``."""
+    raw = found[0]
+    if raw[0] == "<":
+        return raw[9:-3]
+    digits = re.fullmatch(r"&#(?:x([0-9A-Fa-f]{1,6})|([0-9]{1,7}));", raw)
+    if digits is None:
+        return _SIGNS.get(raw, raw)
+    code = int(digits[1], 16) if digits[1] else int(digits[2])
+    return "\ufffd" if code > 0x10FFFF or 0xD800 <= code < 0xE000 else chr(code)
+
+
+def looked_paragraphs(text: str) -> list[list[tuple[str, str]]]:
+    """The paragraphs of a part, each as its texts and their looks (the atoms of ``comparison_atoms``), in one walk.
+
+    Leaves, runs, properties and fields are those of ``atoms_of_parts`` and
+    ``collapse_fields``; the walk counts what is open of each kind, as they do.
+    """
+    depth = dict.fromkeys(("p", "run", "props", "record", "leaf"), 0)
+    at: dict[str, dict[int, int]] = {name: {} for name in depth}
+    opened: dict[int, int] = {}
+    inner: dict[int, list[str]] = {}
+    looks: dict[int, list[str]] = {}
+    of_props: dict[int, int | None] = {}
+    level, pos, para = 0, -1, None
+    # of each leaf: its paragraph, name, text (its place, if it has a body), look (the place of its run); and the marks of fields
+    paras, names, texts, runs, marks = [], [], [], [], {}
+
+    def walked(raw: str) -> None:
+        nonlocal level, para
+        named = _NAMED.match(raw) if raw[0] == "<" else None
+        kind = _CLOSE if raw.startswith("</") else (_EMPTY if raw.endswith("/>") else _OPEN) if named else _OTHER if raw.startswith(("<!--", "<?")) else _TEXT
+        level += (kind == _OPEN) - (kind == _CLOSE)
+        parent, tag = opened.get(level - (kind == _OPEN)), named[1] if named else None
+        name = _COUNTED.get(tag)
+        if kind == _OPEN:
+            opened[level] = pos
+        if name and kind == _OPEN:
+            depth[name] += 1
+            at[name][depth[name]] = pos
+            if tag == "w:rPr":
+                of_props[pos] = parent
+            if tag == "w:p" and depth["p"] == 1:
+                para = pos
+        elif name and kind == _CLOSE:
+            depth[name] -= 1
+        if name == "leaf" and (kind == _OPEN and depth["leaf"] == 1 or kind == _EMPTY and depth["leaf"] == 0):
+            short = tag.rpartition(":")[2]
+            if short == "fldChar" and (mark := _MARKED.search(raw)):
+                marks[len(paras)] = mark[1][1:-1]
+            paras.append(para if depth["p"] > 0 else None)
+            names.append(short)
+            texts.append(pos if short in ("t", "delText") else _SHOWN.get(short, ""))
+            runs.append(at["run"].get(depth["run"]) if depth["run"] > 0 else None)
+        elif kind == _TEXT and depth["leaf"] == 1 and parent is not None:
+            inner.setdefault(parent, []).append(raw)
+        if depth["props"] > 0 and depth["record"] == 0 and tag not in ("w:rPr", "w:rPrChange"):
+            owner = of_props.get(at["props"].get(depth["props"]))
+            if owner is not None:
+                looks.setdefault(owner, []).append(raw)
+
+    for token in _RUNS.finditer(text):
+        pos += 1
+        if token[2] is None:
+            walked(token[0])
+        elif depth["leaf"] or depth["props"] > 0 or depth["record"]:
+            for part in _TOKENS.finditer(token[0]):
+                walked(part[0])
+                pos += 1
+        else:
+            paras.append(para if depth["p"] > 0 else None)
+            names.append("t")
+            texts.append(_REFERENCE.sub(_resolved, token[2]) if "&" in token[2] else token[2])
+            runs.append(token[1] or "")
+    texts = [_REFERENCE.sub(_resolved, "".join(inner.get(t, ()))) if isinstance(t, int) else t for t in texts]
+    runs = ["".join(looks.get(r, ())) if not isinstance(r, str) else r for r in runs]
+    whole: dict[int | None, list[tuple[str, str]]] = {}
+    for k, shown, is_field in _folded(paras, names, texts, marks) if marks else zip(range(len(texts)), texts, repeat(False)):
+        if shown or is_field:
+            whole.setdefault(paras[k], []).append((shown, runs[k]))
+    return [whole[p] for p in sorted(whole, key=lambda p: -1 if p is None else p)]
+
+
+def _folded(paras: list, names: list[str], texts: list[str], marks: dict[int, str]) -> Iterator[tuple[int, str, bool]]:
+    """(number, text, is_field) of the leaves of a part, each field within one paragraph as one, as in ``collapse_fields``."""
+    turn, stack, fields = [0] * len(paras), [], {}
+    for k in range(1, len(paras)):
+        turn[k] = turn[k - 1] + (paras[k] != paras[k - 1])
+    for k, mark in marks.items():
+        if mark == "begin":
+            stack.append([k, None])
+        elif mark == "separate" and stack and stack[-1][1] is None:
+            stack[-1][1] = k
+        elif mark == "end" and stack:
+            start, separate = stack.pop()
+            fields[start] = (separate, k, turn[start] == turn[k])
+    steps = [0] * (len(paras) + 1)
+    for start, (separate, stop, single) in fields.items():
+        steps[start] += 1
+        steps[(stop if single or separate is None else separate) + 1] -= 1
+    inside, k = 0, 0
+    while k < len(paras):
+        inside += steps[k]
+        separate, stop, single = fields.get(k, (None, k, False))
+        if single and inside == 1:
+            yield k, "".join(texts[i] for i in range(k if separate is None else separate + 1, stop + 1) if names[i] == "t"), True
+            inside += sum(steps[k + 1 : stop + 1])
+            k = stop
+        else:
+            yield k, texts[k], False
+        k += 1
+
+
 def undeclared_uses(parts: DataFrame) -> DataFrame:
     """(doc_id, part_uri, pos, prefix, local): tags and attributes whose prefix no declaration around them covers.
 

@@ -4,8 +4,9 @@ import random
 import re
 from xml.etree import ElementTree
 
-from quillwork.operators.alignment import compare_texts
-from quillwork.operators.looks import compared_parts, look_changes
+from quillwork.operators.alignment import compare_pairs, compare_texts
+from quillwork.operators.looks import compared_parts, look_changes, look_spans, paragraph_texts
+from quillwork.operators.markup import comparison_atoms
 from quillwork.sources.archives import tracked_xml
 
 LOOKS = ["", "<w:b/>", "<w:i/>", '<w:sz w:val="24"/>', '<w:b/><w:sz w:val="28"/>']
@@ -97,3 +98,25 @@ def test_markup_of_looks_and_moves_is_paired(spark):
     assert [c.tag for c in change.iter()][1:] == [w("rPr"), w("i")]
     looks = [[c.tag for c in r.find(w("rPr"))] for r in root.iter(w("r")) if r.find(w("rPr")) is not None]
     assert looks == [[w("b")], [w("rPrChange")], [w("b")]]
+
+
+def composed(old, new):
+    """The comparison of parts by their atoms, spans and looks as tables."""
+    sides = [comparison_atoms(p) for p in (old, new)]
+    texts = [paragraph_texts(a, n) for a, n in zip(sides, ("original", "revised"))]
+    return look_changes(compare_pairs(texts[0].join(texts[1], "pair_id", "full_outer")), *[look_spans(a) for a in sides])
+
+
+def test_parts_compared_in_one_walk_are_those_of_the_tables(spark):
+    """Fields, drawings, records of changes, references and broken markup; no tag is a row of a shuffle."""
+    from .test_markup import leafy
+
+    broken = ["<w:p><w:r><w:t>a</w:p></w:r>b<w:t>c", "</w:r></w:p><w:p><w:r><w:rPr><w:b/><w:r><w:rPr><w:i/></w:rPr><w:t>x y</w:t></w:r></w:rPr><w:t>z</w:t></w:r></w:p>", "<w:t>a<w:r><w:t>b</w:t></w:r>c</w:t>", "<w:p><w:r><w:rPr><w:tab/></w:rPr><w:t>t</w:t></w:r><w:r><w:rPr/><w:t>u &nope; &amp;lt;</w:t></w:r><w:r><w:t>v</w:t><w:rPr><w:u w:val='x'/></w:rPr></w:r></w:p>"]
+    kind = "doc_id long, part_uri string, text string"
+    old = [(i, "x", t) for i, _, t in leafy(300, 21)] + [(1000 + i, "x", t) for i, t in enumerate(broken)] + [(2000, "x", broken[0])]
+    new = [(i, "x", t.replace("a, b", "a b") if i % 3 else t) for i, _, t in leafy(300, 22)[:150]] + [(i, "x", t.replace("<w:b/>", "<w:i/>", 2)) for i, _, t in leafy(300, 21)[150:]] + [(1000 + i, "x", t) for i, t in enumerate(broken[::-1])] + [(2001, "x", broken[3])]
+    old, new = (spark.createDataFrame(rows, kind).repartition(4) for rows in (old, new))
+    got = compared_parts(old, new)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    got, want = (sorted(map(tuple, df.collect()), key=lambda r: r[:2]) for df in (got, composed(old, new)))
+    assert got == want and sum(r[2] == "FormatChanged" for r in want) > 50 and {r[0] for r in want} >= {1001, 1003, 2001}
