@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import partial
 from itertools import repeat
 
 import pyarrow as pa
@@ -33,6 +34,12 @@ DELETED, INSERTED = ("w:del", "w:moveFrom"), ("w:ins", "w:moveTo")
 STATUS_OF = {"w:ins": "Inserted", "w:del": "Deleted", "w:moveFrom": "MovedSource", "w:moveTo": "MovedDestination"}
 BOOKMARKS = ("w:bookmarkStart", "w:bookmarkEnd")
 
+#: What accepting and rejecting look for, which no run that is one event holds.
+_LOOKED_FOR = "|".join(t.removeprefix("w:") for t in (*RANGES, *CHANGES, *DELETED, *INSERTED, *BOOKMARKS, "w:p", "w:r", "w:pPr", "w:rPr"))
+_SHUT = "</w:r>"
+#: A run of plain text, kept or deleted, whose properties are empty tags, as most runs are, and else a tag or text.
+_FOLDED = rf"""(?s)<w:r>(?:<w:rPr>(?:<w:(?!(?:{_LOOKED_FOR})[ />])[A-Za-z]+(?: w:(?!rsidDel=)[A-Za-z]+="[^"'<>]*"){{0,16}}/>){{0,64}}</w:rPr>)?(?:<w:t(?: xml:space="preserve")?>[^<]*</w:t>|<w:delText(?: xml:space="preserve")?>[^<]*</w:delText>){_SHUT}|{_TOKEN.removeprefix("(?s)")}"""
+
 
 def events(parts: DataFrame, told: bool = False) -> DataFrame:
     """(doc_id, part_uri, pos, raw, kind, tag, depth, close, parent) of parts (doc_id, part_uri, text).
@@ -44,14 +51,16 @@ def events(parts: DataFrame, told: bool = False) -> DataFrame:
     of a part put together in order are its text.
 
     With ``told``, also ``about``, what an element holds (on both its tags, as bits), and
-    ``body``, the place behind an element's leading paragraph properties, else its own.
+    ``body``, the place behind an element's leading paragraph properties, else its own;
+    a run of plain text is one event then, an empty ``w:r``, as nothing in it is looked for.
     """
+    token = _FOLDED if told else _TOKEN
     kinds = {f.name: f.dataType for f in parts.schema.fields}
     walked = T.StructType([*[T.StructField(c, kinds[c]) for c in (*KEY, "text")], *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in _PLACES]])
-    rows = parts.select(*KEY, "text").mapInArrow(_walked, walked)
+    rows = parts.select(*KEY, "text").mapInArrow(partial(_walked, token), walked)
     # parts are dealt out whole and once, with their places as small numbers: they are smaller than their events, and what follows
     # finds the events of a part together; by document alone, as a name that all parts share would be folded and the dealing forgotten
-    rows = rows.repartition(tasks(parts.sparkSession), "doc_id").withColumn("raws", F.regexp_extract_all("text", F.lit(_TOKEN), 0))
+    rows = rows.repartition(tasks(parts.sparkSession), "doc_id").withColumn("raws", F.regexp_extract_all("text", F.lit(token), 0))
     rows = rows.select(*KEY, F.posexplode(F.arrays_zip("raws", *_PLACES)).alias("pos", "x"))
     near = lambda c: F.col("pos") + F.col(f"x.{c}")
     told_of = (F.col("x.about"), near("body").alias("body")) if told else ()
@@ -74,9 +83,9 @@ _MARK = {"w:del": MARK_DELETED, "w:ins": MARK_INSERTED}
 _NO_RUN = {"w:pPr", *RANGES, *DELETED, *INSERTED}
 
 
-def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _walked(token: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parts with the places of their tags and texts, a few parts at a time."""
-    tokens, tag_of = re.compile(_TOKEN, re.ASCII), re.compile(_TAG)
+    tokens, tag_of = re.compile(token, re.ASCII), re.compile(_TAG)
     for batch in batches:
         start = 0
         while start < batch.num_rows:
@@ -98,7 +107,7 @@ def _places(tokens: Iterator[re.Match], tag_of: re.Pattern, found: list[list]) -
     for pos, token in enumerate(tokens):
         raw = token[0]
         named = tag_of.match(raw) if raw[0] == "<" else None
-        kind = _CLOSE if raw.startswith("</") else (_EMPTY if raw.endswith("/>") else _OPEN) if named else _OTHER if raw.startswith(("<!--", "<?")) else _TEXT
+        kind = _CLOSE if raw.startswith("</") else (_EMPTY if raw.endswith(("/>", _SHUT)) else _OPEN) if named else _OTHER if raw.startswith(("<!--", "<?")) else _TEXT
         level += (kind == _OPEN) - (kind == _CLOSE)
         depth = level + (kind != _OPEN)
         tag, parent, own = named[1] if named else None, opened.get(depth - 1), 0
@@ -172,6 +181,11 @@ def _starts() -> Column:
     return F.col("kind").isin("open", "empty")
 
 
+def _is_folded() -> Column:
+    """Whether an event is a whole run of plain text."""
+    return (F.col("kind") == "empty") & F.endswith("raw", F.lit(_SHUT))
+
+
 def _doomed(gone: Sequence[str]) -> Column:
     """Whether a paragraph (told on both its tags) goes with what is ``gone``.
 
@@ -211,7 +225,7 @@ def accept_markup(parts: DataFrame) -> DataFrame:
     """
     changes = F.coalesce(F.col("tag").isin(*CHANGES), F.lit(False))
     left = _left(events(parts, told=True), _doomed(DELETED).cast("int") + changes.cast("int"), DELETED).where(_stays(INSERTED))
-    raw = F.when(_starts(), F.regexp_replace("raw", r"""\sw:rsidDel\s*=\s*("[^"]*"|'[^']*')""", "")).otherwise(F.col("raw"))
+    raw = F.when(_starts() & ~_is_folded(), F.regexp_replace("raw", r"""\sw:rsidDel\s*=\s*("[^"]*"|'[^']*')""", "")).otherwise(F.col("raw"))
     return joined(left.select(*KEY, F.col("pos").alias("at"), F.lit(0).alias("turn"), "pos", raw.alias("raw")))
 
 
@@ -258,9 +272,9 @@ def reject_markup(parts: DataFrame) -> DataFrame:
     there = Window.partitionBy(*KEY, "at").orderBy(F.col("moved").isNotNull(), F.desc("moved.owner"), F.desc("moved.how"), F.desc("moved.nth"))
     empty = F.col("moved").isNull() & (F.col("kind") == "empty") & (F.col("tag") == "w:p")
     rows = rows.withColumns({"turn": F.row_number().over(there), "more": F.lead("pos").over(there).isNotNull(), "shut": F.first(empty).over(there.rowsBetween(Window.unboundedPreceding, 0))})
-    text = F.regexp_replace("raw", r"^(</?)w:delText\b", "$1w:t")
+    text = F.regexp_replace("raw", r"(</?)w:delText\b", "$1w:t")
     raw = F.when(F.col("moved").isNotNull(), F.when(F.col("shut") & ~F.col("more"), F.concat("raw", F.lit("</w:p>"))).otherwise(F.col("raw")))
-    raw = raw.when(F.col("tag") == "w:delText", text).when(empty & F.col("more"), F.regexp_replace("raw", r"\s*/>$", ">")).otherwise(F.col("raw"))
+    raw = raw.when((F.col("tag") == "w:delText") | _is_folded(), text).when(empty & F.col("more"), F.regexp_replace("raw", r"\s*/>$", ">")).otherwise(F.col("raw"))
     return joined(rows.select(*KEY, "at", "turn", "pos", raw.alias("raw")))
 
 

@@ -344,3 +344,15 @@ def test_field_query_matches_a_stack(spark):
                 stack.pop()[2] = k
     got = sorted(repr(tuple(r)) for r in of_documents(spark, sf).collect())
     assert got == sorted(repr((d, *f)) for d, f in want) and max(f[3] for _, f in want) > 3
+
+
+def test_a_run_of_plain_text_is_one_event_where_changes_are_looked_for(spark):
+    """Each tag and text of a run was a row of the windows; what is looked for still is one of its own."""
+    plain = '<w:r><w:rPr><w:b/><w:sz w:val="2"/></w:rPr><w:t xml:space="preserve">a w:rsidDel="1" &lt;w:delText</w:t></w:r>'
+    gone = "<w:r><w:delText>w:delText gone</w:delText></w:r>"
+    other = '<w:r><w:rPr><w:b w:rsidDel="3"/></w:rPr><w:t>x</w:t></w:r><w:r><w:rPr><w:ins/></w:rPr><w:t>y</w:t></w:r>'
+    parts = spark.createDataFrame([(1, "p", f"<w:body><w:p>{plain}<w:del>{gone}</w:del>{other}</w:p></w:body>")], "doc_id long, part_uri string, text string")
+    rows = events(parts, told=True).orderBy("pos").collect()
+    assert [r.kind for r in rows if r.tag == "w:r"][:2] == ["empty", "empty"] and len(rows) == 24 and "".join(r.raw for r in rows) == parts.first().text
+    assert accept_markup(parts).first().text == f"<w:body><w:p>{plain}<w:r><w:rPr><w:b/></w:rPr><w:t>x</w:t></w:r><w:r><w:rPr></w:rPr><w:t>y</w:t></w:r></w:p></w:body>"
+    assert reject_markup(parts).first().text == f"<w:body><w:p>{plain}<w:r><w:t>w:delText gone</w:t></w:r>{other.replace('<w:ins/>', '')}</w:p></w:body>"

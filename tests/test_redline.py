@@ -110,3 +110,20 @@ def test_ids_are_new_and_differ(told):
         ids = [int(i) for i in re.findall(r'<w:(?:ins|del) w:id="(\d+)"', text)]
         assert len(ids) == len(set(ids)), text
         assert not ids or min(ids) > max([0, *map(int, re.findall(r'w:id="(\d+)"', told[1][n]))])
+
+
+def test_pairs_are_written_where_they_are_compared(spark):
+    """Events, atoms and pieces were rows of some forty joins and windows, and each word that went a run of its own."""
+    from quillwork.operators.redline import redlined
+
+    run = lambda t, look="": f"<w:r>{look}<w:t>{t}</w:t></w:r>"
+    old = f"{HEAD}<w:p>{run('keep')}</w:p><w:p>{run('one two ')}{run('three &amp; four', '<w:rPr><w:b/></w:rPr>')}</w:p>{TAIL}"
+    new = f"{HEAD}<w:p>{run('keep')}</w:p>{TAIL}"
+    pairs = spark.createDataFrame([(1, "p", old, new), (2, "p", None, new), (3, "p", old, None)], "doc_id long, part_uri string, original string, revised string")
+    out = redlined(pairs, "a", "d")
+    assert not re.search("Window|Join|Exchange", out._jdf.queryExecution().executedPlan().toString())
+    told = {r.doc_id: r.text for r in out.collect()}
+    assert set(told) == {1, 2}
+    assert re.findall("<w:delText[^>]*>([^<]*)", told[1]) == ["one two ", "three &amp; four"]
+    assert told[1].startswith(f"{HEAD}<w:p>{run('keep')}</w:p>") and told[1].endswith(TAIL)
+    assert told[2].count("<w:ins ") == 2 and run("keep") in told[2]
