@@ -148,3 +148,13 @@ def test_small_changes_are_told_without_arrays_and_in_many_tasks(spark, monkeypa
     spark.createDataFrame([(i, "green mint", i % 50) for i in range(400)], "p_partkey long, p_name string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     out = char_diffs(spark, str(tmp_path))
     assert out.rdd.getNumPartitions() >= 16 and {r.p_partkey: r.ops for r in out.collect()}[0] == "=gree -n +# = mint"
+
+
+def test_texts_are_cut_where_they_are(spark):
+    """Runs and steps of both sides were rows of five shuffles and of windows; no group is dealt out again."""
+    run = "array<struct<from_run:int,n:int,look:string>>"
+    rows = spark.createDataFrame([(None, [(0, "ab"), (-1, "cde"), (1, "é😀")], [(0, 3, "B"), (1, 2, "I")], [(4, 1, "U"), (7, 3, "N")]), (2, None, [], []), (3, [(1, "x")], [], [(0, 1, "B")])], f"id int, ops array<struct<op:int,text:string>>, old {run}, new {run}")
+    out = V.nested_run_changes(rows, ["id"], ["look"])
+    assert not any(x in out._jdf.queryExecution().executedPlan().toString() for x in ("Window", "Exchange", "Join"))
+    got = sorted((tuple(r) for r in out.collect()), key=lambda r: (r[0] or 0, r[1]))
+    assert got == [(None, 0, 0, "a", 4, "U"), (None, 1, 0, "b", 7, "N"), (None, 2, -1, "c", 0, "B"), (None, 3, -1, "de", 1, "I"), (None, 4, 1, "é😀", 7, "N"), (3, 0, 1, "x", 0, "B")]
