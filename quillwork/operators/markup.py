@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from ..lineage import settled, tasks
 from .ordered import merged_runs, punctuation_attached
-from .views import LEAVES, leaf_text
+from .views import LEAVES
 
 KEY = ["doc_id", "part_uri"]
 
@@ -278,33 +278,6 @@ def reject_markup(parts: DataFrame) -> DataFrame:
     return joined(rows.select(*KEY, "at", "turn", "pos", raw.alias("raw")))
 
 
-def unescaped(text: Column) -> Column:
-    """Text with its references resolved, and CDATA as it stands."""
-    pieces = F.regexp_extract_all(text, F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|&[^;&<]{1,10};|[^&<]+|."), 0)
-    wide = lambda hexes: F.decode(F.unhex(F.lpad(hexes, 8, "0")), "UTF-32")
-    plain = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
-
-    def one(p: Column) -> Column:
-        out = F.when(F.startswith(p, F.lit("<![CDATA[")), F.substring(p, F.lit(10), F.length(p) - 12))
-        for name, sign in plain.items():
-            out = out.when(p == name, sign)
-        out = out.when(F.regexp_like(p, F.lit(r"^&#x[0-9A-Fa-f]{1,6};$")), wide(F.substring(p, F.lit(4), F.length(p) - 4)))
-        return out.when(F.regexp_like(p, F.lit(r"^&#[0-9]{1,7};$")), wide(F.hex(F.substring(p, F.lit(3), F.length(p) - 3).cast("long")))).otherwise(p)
-
-    return F.when(F.contains(text, F.lit("&")) | F.contains(text, F.lit("<")), F.array_join(F.transform(pieces, one), "")).otherwise(text)
-
-
-def innermost(rows: DataFrame, tags: Sequence[str], name: str) -> DataFrame:
-    """Adds ``name``: the place of the nearest open element of these tags around each event (its own for an opening tag), and ``name``_depth: how many are open."""
-    by = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    mine = F.col("tag").isin(*tags)
-    step = F.when(mine & (F.col("kind") == "open"), 1).when(mine & (F.col("kind") == "close"), -1).otherwise(0)
-    rows = rows.withColumn(f"{name}_depth", F.sum(F.coalesce(step, F.lit(0))).over(by))
-    level = Window.partitionBy(*KEY, f"{name}_depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    opened = F.last(F.when(mine & (F.col("kind") == "open"), F.col("pos")), True).over(level)
-    return rows.withColumn(name, F.when(F.col(f"{name}_depth") > 0, opened))
-
-
 def atoms_of_parts(parts: DataFrame) -> DataFrame:
     """(doc_id, part_uri, atom_idx, para_idx, run, tag, text, mark, status, author, date, look): the leaves of each part in order.
 
@@ -314,26 +287,49 @@ def atoms_of_parts(parts: DataFrame) -> DataFrame:
     ``look`` its properties as markup, without records of their changes; ``mark`` is begin,
     separate or end for the characters of a field.
     """
-    leaves = [f"w:{t}" for t in LEAVES if t != "AlternateContent"] + ["mc:AlternateContent"]
-    rows = events(parts)
-    for tags, name in ((list(STATUS_OF), "wrapper"), (["w:p"], "p"), (["w:r"], "run"), (leaves, "leaf"), (["w:rPr"], "props"), (["w:rPrChange"], "record")):
-        rows = innermost(rows, tags, name)
-    by = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = settled(rows.withColumn("para", F.when(F.col("p_depth") > 0, F.last(F.when((F.col("tag") == "w:p") & (F.col("kind") == "open") & (F.col("p_depth") == 1), F.col("pos")), True).over(by))))
-    body = rows.where("kind = 'text' and leaf_depth = 1").groupBy(*KEY, F.col("parent").alias("pos")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), "").alias("inner"))
-    inside = rows.where("props_depth > 0 and record_depth = 0 and pos <> props").where("tag is null or tag not in ('w:rPr', 'w:rPrChange')")
-    props = rows.where("tag = 'w:rPr' and kind = 'open'").select(*KEY, F.col("pos").alias("props"), F.col("parent").alias("run"))
-    look = inside.drop("run").join(props, [*KEY, "props"]).groupBy(*KEY, "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), "").alias("look"))
-    starts = (F.col("kind") == "open") & (F.col("leaf_depth") == 1) | (F.col("kind") == "empty") & (F.col("leaf_depth") == 0)
-    found = rows.where(F.col("tag").isin(*leaves) & starts)
-    who = rows.where(F.col("tag").isin(*STATUS_OF) & (F.col("kind") == "open")).select(*KEY, F.col("pos").alias("wrapper"), F.col("tag").alias("around"), attribute(F.col("raw"), "w:author").alias("author"), attribute(F.col("raw"), "w:date").alias("date"))
-    found = found.join(body, [*KEY, "pos"], "left").join(look, [*KEY, "run"], "left").join(who, [*KEY, "wrapper"], "left")
-    name = F.substring_index("tag", ":", -1)
-    status = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in STATUS_OF.items() for x in p]), F.col("around")), F.lit("Equal"))
-    order = Window.partitionBy(*KEY).orderBy("pos")
-    para = F.dense_rank().over(Window.partitionBy(*KEY).orderBy(F.col("para").asc_nulls_first())) - 1
-    para = F.when(F.col("para").isNotNull(), para - F.max(F.when(F.col("para").isNull(), 1).otherwise(0)).over(Window.partitionBy(*KEY)))
-    return found.select(*KEY, (F.row_number().over(order) - 1).alias("atom_idx"), para.alias("para_idx"), "run", name.alias("tag"), leaf_text(name, unescaped(F.coalesce("inner", F.lit("")))).alias("text"), F.when(name == "fldChar", attribute(F.col("raw"), "w:fldCharType")).alias("mark"), status.alias("status"), "author", "date", F.coalesce("look", F.lit("")).alias("look"))
+    kinds = {c: parts.schema[c] for c in KEY}
+    told = T.StructType([*kinds.values(), *[T.StructField(c, T.IntegerType() if c in ("atom_idx", "para_idx", "run") else T.StringType()) for c in _ATOM]])
+    # parts are dealt out whole, as they are smaller than their events, and no event is a row
+    return parts.select(*KEY, "text").repartition(tasks(parts.sparkSession), "doc_id").mapInArrow(_leaf_atoms, told)
+
+
+_ATOM = ("atom_idx", "para_idx", "run", "tag", "text", "mark", "status", "author", "date", "look")
+#: Atoms of one batch that goes back from a task.
+_ATOM_ROWS = 50_000
+
+
+def _leaf_atoms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The atoms of parts, a few parts at a time."""
+    for batch in batches:
+        home: list[int] = []
+        found: list[list] = [[] for _ in _ATOM]
+
+        def made() -> pa.RecordBatch:
+            types = [pa.int32() if c in ("atom_idx", "para_idx", "run") else pa.string() for c in _ATOM]
+            own = [batch.column(k).take(pa.array(home, pa.int64())) for k in range(len(KEY))]
+            return pa.RecordBatch.from_arrays([*own, *[pa.array(c, t) for c, t in zip(found, types)]], names=[*KEY, *_ATOM])
+
+        for k, text in enumerate(batch.column(len(KEY))):
+            paras, names, texts, runs, looks, marks, wrappers = _leaves(text.as_py() or "")
+            n = len(paras)
+            nth = {p: i for i, p in enumerate(sorted({p for p in paras if p is not None}))}
+            who = {w: (STATUS_OF[_NAMED.match(w)[1]], *(_attribute(w, name) for name in ("author", "date"))) for w in set(wrappers) if w is not None}
+            who[None] = ("Equal", None, None)
+            home += [k] * n
+            told = (range(n), map(nth.get, paras), runs, names, texts, map(marks.get, range(n)), *([who[w][i] for w in wrappers] for i in range(3)), looks)
+            for own, c in zip(found, told):
+                own.extend(c)
+            if len(home) >= _ATOM_ROWS:
+                yield made()
+                home, found = [], [[] for _ in _ATOM]
+        if home:
+            yield made()
+
+
+def _attribute(raw: str, name: str) -> str | None:
+    """The value of an attribute of w: of a tag, as in ``attribute``."""
+    found = re.search(rf"""\sw:{name}\s*=\s*("[^"]*"|'[^']*')""", raw, re.ASCII)
+    return found and found[1][1:-1]
 
 
 def field_spans(marks: DataFrame, group: list[str], order: str) -> DataFrame:
@@ -412,12 +408,12 @@ _RUNS, _TOKENS, _NAMED = re.compile(f"(?s){_RUN}|{_TOKEN.removeprefix('(?s)')}",
 _REFERENCE = re.compile(r"(?s)<!\[CDATA\[.*?\]\]>|&[^;&<]{1,10};")
 _SIGNS = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
 _MARKED = re.compile(r"""\sw:fldCharType\s*=\s*("[^"]*"|'[^']*')""", re.ASCII)
-_COUNTED = {"w:p": "p", "w:r": "run", "w:rPr": "props", "w:rPrChange": "record"} | {"mc:AlternateContent" if t == "AlternateContent" else f"w:{t}": "leaf" for t in LEAVES}
+_COUNTED = {"w:p": "p", "w:r": "run", "w:rPr": "props", "w:rPrChange": "record"} | dict.fromkeys(STATUS_OF, "wrapper") | {"mc:AlternateContent" if t == "AlternateContent" else f"w:{t}": "leaf" for t in LEAVES}
 _SHOWN = {"br": "\n", "cr": "\n", "tab": "\t"}
 
 
 def _resolved(found: re.Match) -> str:
-    """What a reference or CDATA stands for, as in ``unescaped``."""
+    """What a reference or CDATA stands for; CDATA stays as it stands."""
     raw = found[0]
     if raw[0] == "<":
         return raw[9:-3]
@@ -428,21 +424,21 @@ def _resolved(found: re.Match) -> str:
     return "\ufffd" if code > 0x10FFFF or 0xD800 <= code < 0xE000 else chr(code)
 
 
-def looked_paragraphs(text: str) -> list[list[tuple[str, str]]]:
-    """The paragraphs of a part, each as its texts and their looks (the atoms of ``comparison_atoms``), in one walk.
+def _leaves(text: str) -> tuple[list[int | None], list[str], list[str], list[int | None], list[str], dict[int, str], list[str | None]]:
+    """The leaves of a part in one walk, which counts what is open of each kind.
 
-    Leaves, runs, properties and fields are those of ``atoms_of_parts`` and
-    ``collapse_fields``; the walk counts what is open of each kind, as they do.
+    Of each its paragraph, name, text, run (places, as ``events`` number them) and look;
+    the marks of fields, by the leaf's number; and the tag of the nearest revision wrapper.
     """
-    depth = dict.fromkeys(("p", "run", "props", "record", "leaf"), 0)
+    depth = dict.fromkeys(("p", "run", "props", "record", "leaf", "wrapper"), 0)
     at: dict[str, dict[int, int]] = {name: {} for name in depth}
     opened: dict[int, int] = {}
     inner: dict[int, list[str]] = {}
     looks: dict[int, list[str]] = {}
     of_props: dict[int, int | None] = {}
-    level, pos, para = 0, -1, None
-    # of each leaf: its paragraph, name, text (its place, if it has a body), look (the place of its run); and the marks of fields
-    paras, names, texts, runs, marks = [], [], [], [], {}
+    level, pos, para, around = 0, -1, None, {}
+    # texts that are the place of their leaf, and looks that are none, are told at the end
+    paras, names, texts, runs, shown, marks, wrappers = [], [], [], [], [], {}, []
 
     def walked(raw: str) -> None:
         nonlocal level, para
@@ -458,6 +454,8 @@ def looked_paragraphs(text: str) -> list[list[tuple[str, str]]]:
             at[name][depth[name]] = pos
             if tag == "w:rPr":
                 of_props[pos] = parent
+            elif name == "wrapper":
+                around[depth[name]] = raw
             if tag == "w:p" and depth["p"] == 1:
                 para = pos
         elif name and kind == _CLOSE:
@@ -470,6 +468,8 @@ def looked_paragraphs(text: str) -> list[list[tuple[str, str]]]:
             names.append(short)
             texts.append(pos if short in ("t", "delText") else _SHOWN.get(short, ""))
             runs.append(at["run"].get(depth["run"]) if depth["run"] > 0 else None)
+            shown.append(None)
+            wrappers.append(around[depth["wrapper"]] if depth["wrapper"] > 0 else None)
         elif kind == _TEXT and depth["leaf"] == 1 and parent is not None:
             inner.setdefault(parent, []).append(raw)
         if depth["props"] > 0 and depth["record"] == 0 and tag not in ("w:rPr", "w:rPrChange"):
@@ -485,17 +485,29 @@ def looked_paragraphs(text: str) -> list[list[tuple[str, str]]]:
             for part in _TOKENS.finditer(token[0]):
                 walked(part[0])
                 pos += 1
+            pos -= 1
         else:
             paras.append(para if depth["p"] > 0 else None)
             names.append("t")
             texts.append(_REFERENCE.sub(_resolved, token[2]) if "&" in token[2] else token[2])
-            runs.append(token[1] or "")
+            runs.append(pos)
+            shown.append(token[1] or "")
+            wrappers.append(around[depth["wrapper"]] if depth["wrapper"] > 0 else None)
+            pos += 3 + (token[2] != "") + (0 if token[1] is None else 2 + token[1].count("<"))
     texts = [_REFERENCE.sub(_resolved, "".join(inner.get(t, ()))) if isinstance(t, int) else t for t in texts]
-    runs = ["".join(looks.get(r, ())) if not isinstance(r, str) else r for r in runs]
+    return paras, names, texts, runs, ["".join(looks.get(r, ())) if k is None else k for r, k in zip(runs, shown)], marks, wrappers
+
+
+def looked_paragraphs(text: str) -> list[list[tuple[str, str]]]:
+    """The paragraphs of a part, each as its texts and their looks (the atoms of ``comparison_atoms``), in one walk.
+
+    Leaves, runs, properties and fields are those of ``atoms_of_parts`` and ``collapse_fields``.
+    """
+    paras, names, texts, _, looks, marks, _ = _leaves(text)
     whole: dict[int | None, list[tuple[str, str]]] = {}
     for k, shown, is_field in _folded(paras, names, texts, marks) if marks else zip(range(len(texts)), texts, repeat(False)):
         if shown or is_field:
-            whole.setdefault(paras[k], []).append((shown, runs[k]))
+            whole.setdefault(paras[k], []).append((shown, looks[k]))
     return [whole[p] for p in sorted(whole, key=lambda p: -1 if p is None else p)]
 
 

@@ -356,3 +356,17 @@ def test_a_run_of_plain_text_is_one_event_where_changes_are_looked_for(spark):
     assert [r.kind for r in rows if r.tag == "w:r"][:2] == ["empty", "empty"] and len(rows) == 24 and "".join(r.raw for r in rows) == parts.first().text
     assert accept_markup(parts).first().text == f"<w:body><w:p>{plain}<w:r><w:rPr><w:b/></w:rPr><w:t>x</w:t></w:r><w:r><w:rPr></w:rPr><w:t>y</w:t></w:r></w:p></w:body>"
     assert reject_markup(parts).first().text == f"<w:body><w:p>{plain}<w:r><w:t>w:delText gone</w:t></w:r>{other.replace('<w:ins/>', '')}</w:p></w:body>"
+
+
+def test_leaves_are_told_in_one_walk(spark):
+    """Events with what is open around were written to disk, and read by five joins; places are those of events."""
+    part = '<w:body><w:p><w:ins w:id="1" w:author="a &gt; b" w:date=\'d\'><w:r><w:rPr><w:b/></w:rPr><w:t>one</w:t></w:r><w:r><w:t/><w:tab/></w:r></w:ins></w:p><w:p><w:r><w:t></w:t></w:r></w:p></w:body>'
+    parts = spark.createDataFrame([(1, "p", part), (2, "p", None), (3, "p", "")], "doc_id long, part_uri string, text string")
+    out = atoms_of_parts(parts)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Window", "Join", "Generate")) and plan.count("Exchange") == 1 and plan.count("ExistingRDD") == 1
+    runs = [r.pos for r in events(parts).where("tag = 'w:r' and kind = 'open'").orderBy("pos").collect()]
+    got = [(r.atom_idx, r.para_idx, r.run, r.tag, r.text, r.status, r.author, r.date, r.look) for r in out.orderBy("atom_idx").collect()]
+    who = ("Inserted", "a &gt; b", "d")
+    assert got == [(0, 0, runs[0], "t", "one", *who, "<w:b/>"), (1, 0, runs[1], "t", "", *who, ""), (2, 0, runs[1], "tab", "\t", *who, ""), (3, 1, runs[2], "t", "", "Equal", None, None, "")]
+    assert [(f.name, f.dataType.simpleString()) for f in out.schema if f.name in ("atom_idx", "para_idx", "run")] == [("atom_idx", "int"), ("para_idx", "int"), ("run", "int")]
