@@ -195,7 +195,7 @@ ATOMS = "pair_id long, atom_idx long, status string, orig_para int, rev_para int
 STATUSES = ("Equal", "Deleted", "Inserted")
 #: Rows of one batch that goes back from a kernel, and the types of its columns.
 BATCH_ROWS = 50_000
-_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<struct<status:string,text:string>>": pa.list_(pa.struct([("status", pa.string()), ("text", pa.string())]))}
 
 
 def _stretches(compared: list[tuple[str, int, int, list[str], str | None]], joined: Sequence[str] = STATUSES) -> list[tuple[int, str, int, int, str, int]]:
@@ -443,6 +443,32 @@ def revisions(atoms: DataFrame) -> DataFrame:
     return out.where("has_gone OR has_new").select("pair_id", "para_key", "before", "after", kind.alias("kind"), F.transform("entries", lambda e: F.struct(e["status"].alias("status"), e["text"].alias("text"))).alias("entries"))
 
 
+REVISIONS = "pair_id long, para_key double, before string, after string, kind string, entries array<struct<status:string,text:string>>"
+
+
+def _revised(compared: list[tuple[str, int, int, list[str], str | None]], offset: int, limit: int) -> list[tuple[float, str, str, str, list[dict]]]:
+    """``revisions`` of one pair from a 0-based offset on, so many at most."""
+    paras: dict[float, list[tuple[str, list[str], str | None]]] = {}
+    for status, i, j, tokens, text in compared:
+        if tokens:
+            paras.setdefault(float(j) if j != -1 else i + 0.5, []).append((status, tokens, text))
+    changed = [k for k in sorted(paras) if any(s != "Equal" for s, _, _ in paras[k])]
+    out = []
+    for key in changed[offset : offset + limit]:
+        own = paras[key]
+        without = lambda other: "".join(t if t is not None else "".join(ts) for s, ts, t in own if s != other)  # noqa: B023, E731
+        has = {s for s, _, _ in own}
+        kind = "inserted" if has == {"Inserted"} else "deleted" if has == {"Deleted"} else "modified"
+        out.append((key, without("Inserted"), without("Deleted"), kind, [{"status": s, "text": t} for status in ("Inserted", "Deleted") for s, ts, _ in own if s == status for t in ts]))
+    return out
+
+
+def pair_revisions(pairs: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page of ``revisions`` of the comparison of each pair (pair_id, original, revised), by ``revision_page``'s rule: told where it is compared, so no atom leaves its task."""
+    limit = min(max(limit, 1), 500)
+    return _each_pair(pairs, lambda a, b: _revised(_compared(a, b), offset, limit), REVISIONS)
+
+
 def paragraph_operations(original: Sequence[str], revised: Sequence[str], least: float = BLOCK_SIMILARITY) -> list[tuple[str, int, int]]:
     """unchanged, modified, inserted and deleted paragraphs in the order of the revision; what is left comes last."""
     a, b = [normalise(t) for t in original], [normalise(t) for t in revised]

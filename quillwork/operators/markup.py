@@ -413,7 +413,7 @@ _SHOWN = {"br": "\n", "cr": "\n", "tab": "\t"}
 
 
 def _resolved(found: re.Match) -> str:
-    """What a reference or CDATA stands for; CDATA stays as it stands."""
+    """What a reference or CDATA stands for."""
     raw = found[0]
     if raw[0] == "<":
         return raw[9:-3]

@@ -23,10 +23,10 @@ def pairs(spark, sf_dir) -> DataFrame:
     docs = corpus.table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
     heads = docs.select("doc_id", F.sha1(F.get(F.split("text", "\n"), F.lit(0))).alias("head"))
     before = heads.select("doc_id", F.lag("doc_id").over(Window.partitionBy("head").orderBy("doc_id")).alias("original_id")).where("original_id is not null")
-    lines = docs.select("doc_id", F.split("text", "\n").alias("lines"))
-    own = lines.select("doc_id", F.col("lines").alias("revised"))
-    old = lines.select(F.col("doc_id").alias("original_id"), F.col("lines").alias("original"))
-    return before.join(own, "doc_id").join(old, "original_id").select(F.col("doc_id").alias("pair_id"), "original_id", "original", "revised")
+    # either side is the same shuffle of the texts, which is made once; they are cut into paragraphs behind it
+    own, old = (docs.select(F.col("doc_id").alias(i), F.col("text").alias(t)) for i, t in (("pair_id", "revised"), ("original_id", "original")))
+    found = before.withColumnRenamed("doc_id", "pair_id").join(own, "pair_id").join(old, "original_id")
+    return found.select("pair_id", "original_id", *[F.split(t, "\n").alias(t) for t in ("original", "revised")])
 
 
 @query("document_pairs", f"WITH {_PAIRS} SELECT * FROM pairs")
@@ -92,10 +92,7 @@ def moved_atoms(spark, sf_dir):
 
 @query("revision_extract")
 def revision_extract(spark, sf_dir):
-    from ..operators.paging import revision_page
-
-    found = G.revisions(G.compare_pairs(pairs(spark, sf_dir), joined=("Equal",)))
-    return revision_page(found, 0, 50, "pair_id", "para_key").select("pair_id", "para_key", "kind", "before", "after", "entries")
+    return G.pair_revisions(pairs(spark, sf_dir), 0, 50).select("pair_id", "para_key", "kind", "before", "after", "entries")
 
 
 @query("format_changes", "SELECT item_id, ['bold'] AS names FROM benchmark WHERE item_id % 2 = 0")

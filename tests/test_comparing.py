@@ -274,3 +274,34 @@ def test_word_set_queries(spark):
     said = {i: set(t.lower().split()) for i, t in docs.items()}
     want = {(i, d, len(a & b), len(a | b)) for i, a in words.items() for d, b in said.items() if score(a, b) >= 0.12}
     assert {tuple(r) for r in QUERIES["similar_documents"](spark, SF).collect()} == want
+
+
+def test_a_page_of_revisions_is_told_where_a_pair_is_compared(spark):
+    """Atoms were shuffled three times after the comparison; the page is that of all revisions."""
+    import random
+
+    from quillwork.operators.alignment import compare_pairs, pair_revisions, revisions
+    from quillwork.operators.paging import revision_page
+
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(7)))
+    rows = [(n, [text() for _ in range(rng.randrange(9))], [text() for _ in range(rng.randrange(9))]) for n in range(60)] + [(60, None, ["a", None]), (61, ["a  b"], None), (62, None, None)]
+    pairs = spark.createDataFrame(rows, "pair_id long, original array<string>, revised array<string>")
+    out = pair_revisions(pairs, 2, 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+    want = revision_page(revisions(compare_pairs(pairs)), 2, 3, "pair_id", "para_key").select(*out.columns)
+    assert dict(out.dtypes) == dict(want.dtypes)
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_the_texts_of_pairs_are_shuffled_once_for_both_sides(spark):
+    from quillwork.plans.comparing import pairs
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = pairs(spark, SF).select("pair_id", "original", "revised")
+        rows.collect()
+        assert "ReusedExchange" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
